@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.operators import skipgram as sgo
 from wordloom.operators import tfidf as tfo
+from wordloom.operators import vocab as vo
 from wordloom.sources.corpus import chunk_documents, parse_json_corpus, read_corpus, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +53,61 @@ def q_document_frequency(spark, sf_dir):
     return tfo.corpus_document_frequency(documents(spark, sf_dir), "A")
 
 
+def tree(spark, sf_dir) -> DataFrame:
+    return vo.tree_vocabulary(documents(spark, sf_dir))
+
+
+def q_word_counts(spark, sf_dir):
+    return vo.word_counts(documents(spark, sf_dir))
+
+
+def q_vocabulary(spark, sf_dir):
+    return vo.vocabulary(vo.word_counts(documents(spark, sf_dir)))
+
+
+def q_integer_tokens(spark, sf_dir):
+    return vo.integer_words(vo.vocabulary(vo.word_counts(documents(spark, sf_dir))))
+
+
+def q_overfrequent(spark, sf_dir):
+    return vo.overfrequent(vo.word_counts(documents(spark, sf_dir)))
+
+
+def q_vocab_lookup(spark, sf_dir):
+    """Words of the ``benchmark`` passages looked up in the corpus vocabulary."""
+    bench = read_corpus(spark, f"{sf_dir.rstrip('/')}/benchmark.parquet", id_col="item_id")
+    words = tfo.token_positions(bench, "C").select("word")
+    return vo.lookup(tree(spark, sf_dir), words)
+
+
+def q_top_words(spark, sf_dir):
+    return vo.top_words(tree(spark, sf_dir), 100)
+
+
+def q_count_histogram(spark, sf_dir):
+    return vo.count_histogram(tree(spark, sf_dir))
+
+
+def q_encode_tokens(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return vo.encode(tfo.token_positions(docs, "C"), vo.tree_vocabulary(docs))
+
+
+def q_oov_rate(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return vo.oov_rate(tfo.token_positions(docs, "C"), vo.tree_vocabulary(docs))
+
+
+def q_skipgram_pairs(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return sgo.skipgram_pairs(docs, vo.tree_vocabulary(docs))
+
+
+def q_cooccurrence(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return sgo.cooccurrence(sgo.skipgram_pairs(docs, vo.tree_vocabulary(docs)))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "corpus_scan": lambda s, d: documents(s, d),
@@ -71,5 +128,17 @@ def queries() -> dict[str, Query]:
         "postings": _on_docs(tfo.postings),
         "tfidf": _on_docs(tfo.tfidf),
         "tfidf_vectors": _on_docs(tfo.tfidf_vectors),
+        "word_counts": q_word_counts,
+        "total_words": _on_docs(vo.total_words),
+        "vocabulary": q_vocabulary,
+        "integer_tokens": q_integer_tokens,
+        "overfrequent_words": q_overfrequent,
+        "vocab_lookup": q_vocab_lookup,
+        "top_words": q_top_words,
+        "count_histogram": q_count_histogram,
+        "encode_tokens": q_encode_tokens,
+        "oov_rate": q_oov_rate,
+        "skipgram_pairs": q_skipgram_pairs,
+        "cooccurrence": q_cooccurrence,
     }
     return q

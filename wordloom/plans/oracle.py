@@ -158,4 +158,34 @@ def sql() -> dict[str, str]:
            coalesce(v.tf_idf, []::DOUBLE[]) AS tf_idf
     FROM documents d LEFT JOIN v USING (doc_id)"""
 
+    v = _vocab_ctes()
+    q["word_counts"] = f"WITH {v} SELECT word, count FROM wc"
+    q["total_words"] = f"WITH {v} SELECT coalesce(total, 0)::BIGINT AS total_words FROM tot"
+    q["vocabulary"] = f"WITH {v} SELECT word, count FROM vocab"
+    q["integer_tokens"] = f"""WITH {v}
+    SELECT word, count, octet_length(encode(word))::BIGINT AS n_bytes,
+           octet_length(encode(word)) > 7 AS dropped
+    FROM vocab WHERE regexp_full_match(word, '[+-]?[0-9]+')"""
+    q["overfrequent_words"] = f"""WITH {v}
+    SELECT word, count FROM wc, tot WHERE count > floor(total * 0.005)"""
+    q["vocab_lookup"] = f"""WITH {v},
+    bw AS (SELECT DISTINCT unnest({toks('C')}) AS word FROM benchmark)
+    SELECT bw.word, tree.count FROM bw LEFT JOIN tree USING (word)"""
+    q["top_words"] = f"""WITH {v}
+    SELECT word, count FROM tree ORDER BY count DESC, word LIMIT 100"""
+    q["count_histogram"] = f"""WITH {v}
+    SELECT count, count(*)::BIGINT AS n_words FROM tree GROUP BY count"""
+    q["encode_tokens"] = f"""WITH {v},
+    tp AS (SELECT doc_id, unnest(w) AS word, (generate_subscripts(w, 1) - 1)::BIGINT AS pos FROM tw)
+    SELECT tp.doc_id, tp.pos, tp.word, tree.word IS NOT NULL AS known
+    FROM tp LEFT JOIN tree USING (word)"""
+    q["oov_rate"] = f"""WITH {v},
+    tp AS (SELECT unnest(w) AS word FROM tw)
+    SELECT count(*)::BIGINT AS n_tokens, count(tree.word)::BIGINT AS n_known,
+           (count(*) - count(tree.word))::BIGINT AS n_oov
+    FROM tp LEFT JOIN tree USING (word)"""
+    q["skipgram_pairs"] = f"""WITH {v}, {_pairs_cte()}
+    SELECT doc_id, pos::BIGINT AS pos, context_pos::BIGINT AS context_pos, word, context FROM pairs"""
+    q["cooccurrence"] = f"""WITH {v}, {_pairs_cte()}
+    SELECT word, context, count(*)::BIGINT AS n FROM pairs GROUP BY word, context"""
     return q
