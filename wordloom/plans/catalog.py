@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators import skipgram as sgo
 from wordloom.operators import tfidf as tfo
+from wordloom.operators import vectors as vx
 from wordloom.operators import vocab as vo
+from wordloom.functions import vector as V
 from wordloom.sources.corpus import chunk_documents, parse_json_corpus, read_corpus, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +110,84 @@ def q_cooccurrence(spark, sf_dir):
     return sgo.cooccurrence(sgo.skipgram_pairs(docs, vo.tree_vocabulary(docs)))
 
 
+def embeddings(spark, sf_dir) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings")
+
+
+def emb_vectors(spark, sf_dir) -> DataFrame:
+    return vx.as_vectors(embeddings(spark, sf_dir), "vec_id", "embedding")
+
+
+def consecutive_pairs(spark, sf_dir) -> DataFrame:
+    """Each vector with the next id: an equi-join, one partner per vector."""
+    e = embeddings(spark, sf_dir)
+    return (e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+            .join(e.select(F.col("vec_id").alias("b")), "b"))
+
+
+def label_queries(spark, sf_dir) -> DataFrame:
+    """One query per label: the vector with the smallest id of that label."""
+    e = embeddings(spark, sf_dir)
+    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    return (first.join(e.select("vec_id", "embedding"), "vec_id")
+            .select(F.col("label").alias("query_id"), V.as_double("embedding").alias("qvec")))
+
+
+def label_triples(spark, sf_dir) -> DataFrame:
+    """Per label, the three smallest ids as (a, b, c) of an analogy."""
+    e = embeddings(spark, sf_dir)
+    w = Window.partitionBy("label").orderBy("vec_id")
+    top3 = e.select("label", "vec_id").withColumn("_r", F.row_number().over(w)).where("_r <= 3")
+    t = top3.groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("_t"))
+    return t.where(F.size("_t") == 3).select(
+        F.col("label").alias("query_id"), F.col("_t")[0].alias("a"),
+        F.col("_t")[1].alias("b"), F.col("_t")[2].alias("c"))
+
+
+def q_cosine_pairs(spark, sf_dir):
+    r = vx.cosine_pairs(emb_vectors(spark, sf_dir), consecutive_pairs(spark, sf_dir))
+    return r.select("a", "b", F.round("cos", 6).alias("cos"))
+
+
+def q_score_pairs(spark, sf_dir):
+    r = vx.score_pairs(emb_vectors(spark, sf_dir), consecutive_pairs(spark, sf_dir), scale=20.0)
+    return r.select("a", "b", F.round("dot", 6).alias("dot"), F.round("score", 6).alias("score"))
+
+
+def q_nearest(spark, sf_dir):
+    r = vx.nearest(emb_vectors(spark, sf_dir), label_queries(spark, sf_dir), k=10)
+    return r.select("query_id", "rank", "id", F.round("sim", 6).alias("sim"))
+
+
+def q_farthest(spark, sf_dir):
+    r = vx.farthest(emb_vectors(spark, sf_dir), label_queries(spark, sf_dir))
+    return r.select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
+def q_analogy(spark, sf_dir):
+    r = vx.analogy(emb_vectors(spark, sf_dir), label_triples(spark, sf_dir), k=5)
+    return r.select("query_id", "rank", "id", F.round("sim", 6).alias("sim"))
+
+
+def q_vector_components(spark, sf_dir):
+    return vx.components(emb_vectors(spark, sf_dir), 5)
+
+
+def q_vector_mean_by_label(spark, sf_dir):
+    r = vx.vector_stats(embeddings(spark, sf_dir).withColumn("v", V.as_double("embedding")), "label", "v")
+    return r.select("label", "n", V.round_vec("vec_sum").alias("vec_sum"),
+                    V.round_vec("vec_mean").alias("vec_mean"))
+
+
+def q_average_replicas(spark, sf_dir):
+    """Base = each label's first vector; every row of the label is one replica's
+    delta; P = 8 replicas."""
+    base = label_queries(spark, sf_dir).select(F.col("query_id").alias("id"), F.col("qvec").alias("vec"))
+    deltas = embeddings(spark, sf_dir).select(F.col("label").alias("id"), V.as_double("embedding").alias("delta"))
+    r = vx.average(base, deltas, 8)
+    return r.select("id", V.round_vec("vec").alias("vec"))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "corpus_scan": lambda s, d: documents(s, d),
@@ -140,5 +220,13 @@ def queries() -> dict[str, Query]:
         "oov_rate": q_oov_rate,
         "skipgram_pairs": q_skipgram_pairs,
         "cooccurrence": q_cooccurrence,
+        "cosine_pairs": q_cosine_pairs,
+        "score_pairs": q_score_pairs,
+        "nearest": q_nearest,
+        "farthest": q_farthest,
+        "analogy": q_analogy,
+        "vector_components": q_vector_components,
+        "vector_mean_by_label": q_vector_mean_by_label,
+        "average_replicas": q_average_replicas,
     }
     return q

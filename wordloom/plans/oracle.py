@@ -188,4 +188,51 @@ def sql() -> dict[str, str]:
     SELECT doc_id, pos::BIGINT AS pos, context_pos::BIGINT AS context_pos, word, context FROM pairs"""
     q["cooccurrence"] = f"""WITH {v}, {_pairs_cte()}
     SELECT word, context, count(*)::BIGINT AS n FROM pairs GROUP BY word, context"""
+
+    e1, e2 = "CAST(e1.embedding AS DOUBLE[])", "CAST(e2.embedding AS DOUBLE[])"
+    q["cosine_pairs"] = f"""
+    SELECT e1.vec_id AS a, e2.vec_id AS b, round({_cos(e1, e2)}, 6) AS cos
+    FROM embeddings e1 JOIN embeddings e2 ON e2.vec_id = e1.vec_id + 1"""
+    d = _dot(e1, e2)
+    q["score_pairs"] = f"""
+    SELECT a, b, round(dot, 6) AS dot,
+           round(CASE WHEN 20.0 * dot <= -6 THEN 0.0 WHEN 20.0 * dot >= 6 THEN 1.0
+                      ELSE 1.0 / (1.0 + exp(-(20.0 * dot))) END, 6) AS score
+    FROM (SELECT e1.vec_id AS a, e2.vec_id AS b, {d} AS dot
+          FROM embeddings e1 JOIN embeddings e2 ON e2.vec_id = e1.vec_id + 1)"""
+    ev = "CAST(e.embedding AS DOUBLE[])"
+    q["nearest"] = f"""WITH {QUERY_VECTORS},
+    s AS (SELECT q.query_id, e.vec_id AS id, {_cos(ev, 'q.qvec')} AS sim FROM q, embeddings e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, id) AS rank FROM s)
+    SELECT query_id, rank::BIGINT AS rank, id, round(sim, 6) AS sim FROM r WHERE rank <= 10"""
+    q["farthest"] = f"""WITH {QUERY_VECTORS},
+    s AS (SELECT q.query_id, e.vec_id AS id, {_cos(ev, 'q.qvec')} AS sim FROM q, embeddings e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim, id) AS rk FROM s WHERE sim IS NOT NULL)
+    SELECT query_id, id, round(sim, 6) AS sim FROM r WHERE rk = 1"""
+    q["analogy"] = f"""WITH
+    r3 AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+    t AS (SELECT label AS query_id, max(vec_id) FILTER (WHERE r = 1) AS a, max(vec_id) FILTER (WHERE r = 2) AS b,
+                 max(vec_id) FILTER (WHERE r = 3) AS c FROM r3 WHERE r <= 3 GROUP BY label HAVING count(*) = 3),
+    tv AS (SELECT t.*, list_transform(list_zip(CAST(ea.embedding AS DOUBLE[]), CAST(eb.embedding AS DOUBLE[]),
+                                                CAST(ec.embedding AS DOUBLE[])),
+                                       lambda z: z[1] - z[2] + z[3]) AS qvec
+           FROM t JOIN embeddings ea ON ea.vec_id = t.a JOIN embeddings eb ON eb.vec_id = t.b
+                  JOIN embeddings ec ON ec.vec_id = t.c),
+    s AS (SELECT tv.query_id, e.vec_id AS id, {_cos(ev, 'tv.qvec')} AS sim
+          FROM tv, embeddings e WHERE e.vec_id NOT IN (tv.a, tv.b, tv.c)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, id) AS rank FROM s)
+    SELECT query_id, rank::BIGINT AS rank, id, round(sim, 6) AS sim FROM r WHERE rank <= 5"""
+    q["vector_components"] = """
+    SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:5] AS comps FROM embeddings"""
+    q["vector_mean_by_label"] = """
+    SELECT label, n, list(s ORDER BY i) AS vec_sum, list(m ORDER BY i) AS vec_mean FROM (
+      SELECT label, i, count(*)::BIGINT AS n, round(sum(x), 6) AS s, round(avg(x), 6) AS m
+      FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i
+            FROM embeddings) GROUP BY label, i) GROUP BY label, n"""
+    q["average_replicas"] = f"""WITH {QUERY_VECTORS},
+    s AS (SELECT label, i, sum(x) AS sx FROM (
+            SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i
+            FROM embeddings) GROUP BY label, i)
+    SELECT q.query_id AS id, list(round(q.qvec[s.i] + s.sx / 8, 6) ORDER BY s.i) AS vec
+    FROM q JOIN s ON s.label = q.query_id GROUP BY q.query_id"""
     return q
