@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.operators import huffman as hf
 from wordloom.operators import skipgram as sgo
 from wordloom.operators import tfidf as tfo
 from wordloom.operators import vectors as vx
@@ -188,6 +189,19 @@ def q_average_replicas(spark, sf_dir):
     return r.select("id", V.round_vec("vec").alias("vec"))
 
 
+def q_huffman_codes(spark, sf_dir):
+    return hf.huffman_codes(tree(spark, sf_dir))
+
+
+def q_huffman_paths(spark, sf_dir):
+    return hf.huffman_paths(hf.huffman_codes(tree(spark, sf_dir)))
+
+
+def q_huffman_summary(spark, sf_dir):
+    codes = hf.huffman_codes(tree(spark, sf_dir))
+    return hf.summary(codes, hf.huffman_paths(codes)).drop("max_len")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "corpus_scan": lambda s, d: documents(s, d),
@@ -228,5 +242,8 @@ def queries() -> dict[str, Query]:
         "vector_components": q_vector_components,
         "vector_mean_by_label": q_vector_mean_by_label,
         "average_replicas": q_average_replicas,
+        "huffman_codes": q_huffman_codes,
+        "huffman_paths": q_huffman_paths,
+        "huffman_summary": q_huffman_summary,
     }
     return q

