@@ -3,6 +3,11 @@
 These stay inside the JVM (no Python per row). Arrays of different lengths
 raise through ``assert_true`` instead of silently giving 0 as a plain loop
 would.
+
+Rule: a lambda never captures a computed column. Catalyst may inline the
+producing expression into the lambda body, which then re-evaluates it for
+every element (a dot product per component is O(dim^2) per row). Per-row
+scalars enter through ``zip_with`` with ``array_repeat`` instead.
 """
 
 from __future__ import annotations
@@ -60,8 +65,18 @@ def sub(a, b) -> Column:
 
 
 def scale(a, s) -> Column:
-    s = s if isinstance(s, Column) else F.lit(float(s))
-    return F.transform(_col(a), lambda x: x * s)
+    """Every component times ``s`` (a number or a per-row column)."""
+    a = _col(a)
+    if not isinstance(s, Column):
+        lit = F.lit(float(s))
+        return F.transform(a, lambda x: x * lit)
+    return F.zip_with(a, F.array_repeat(s.cast("double"), F.size(a)), lambda x, y: x * y)
+
+
+def divide(a, s) -> Column:
+    """Every component divided by the per-row column ``s``."""
+    a = _col(a)
+    return F.zip_with(a, F.array_repeat(s.cast("double"), F.size(a)), lambda x, y: x / y)
 
 
 def zeros(dim: int) -> Column:
@@ -69,7 +84,10 @@ def zeros(dim: int) -> Column:
 
 
 def clipped_logistic(x) -> Column:
-    """1 / (1 + e^-x), exactly 0 at x <= -6 and exactly 1 at x >= 6."""
+    """1 / (1 + e^-x), exactly 0 at x <= -6 and exactly 1 at x >= 6.
+
+    ``x`` is referenced three times: pass a column, not a costly expression.
+    """
     x = _col(x)
     return (F.when(x <= -LOGISTIC_CLIP, F.lit(0.0))
             .when(x >= LOGISTIC_CLIP, F.lit(1.0))

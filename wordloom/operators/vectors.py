@@ -34,8 +34,8 @@ def as_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def with_unit(vectors: DataFrame) -> DataFrame:
     """Adds ``unit``: the vector divided by its norm, null for a zero vector."""
-    n = V.norm("vec")
-    return vectors.withColumn("unit", F.when(n > 0, F.transform("vec", lambda x: x / n)))
+    with_n = vectors.withColumn("_n", V.norm("vec"))
+    return with_n.withColumn("unit", F.when(F.col("_n") > 0, V.divide("vec", F.col("_n")))).drop("_n")
 
 
 def cosine_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -50,10 +50,10 @@ def score_pairs(vectors: DataFrame, pairs: DataFrame, scale: float = 1.0) -> Dat
     """``(a, b, dot, score)``: clipped logistic of ``scale * dot``."""
     va = vectors.select(F.col("id").alias("a"), F.col("vec").alias("_va"))
     vb = vectors.select(F.col("id").alias("b"), F.col("vec").alias("_vb"))
-    d = V.dot("_va", "_vb")
-    return (pairs.select("a", "b").join(va, "a").join(vb, "b")
-            .select("a", "b", d.alias("dot"),
-                    V.clipped_logistic(d * F.lit(float(scale))).alias("score")))
+    d = (pairs.select("a", "b").join(va, "a").join(vb, "b")
+         .select("a", "b", V.dot("_va", "_vb").alias("dot")))
+    x = d.withColumn("_x", F.col("dot") * F.lit(float(scale)))
+    return x.select("a", "b", "dot", V.clipped_logistic(F.col("_x")).alias("score"))
 
 
 def _query_blocks(queries: DataFrame, dim_hint: int | None = None) -> list[DataFrame]:
@@ -136,7 +136,7 @@ def components(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("id", F.slice("vec", 1, k).alias("comps"))
 
 
-def vector_stats(df: DataFrame, key: str | list[str], vec_col: str) -> DataFrame:
+def vector_stats(df: DataFrame, key: str | list[str], vec_col: str, extra=None) -> DataFrame:
     """``(key..., n, vec_sum, vec_mean)`` element-wise over ``array<double>`` rows.
 
     Summarizer is a JVM aggregate with partial aggregation; sums are
@@ -144,9 +144,11 @@ def vector_stats(df: DataFrame, key: str | list[str], vec_col: str) -> DataFrame
     rounding.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    extra = list(extra or [])
     s = Summarizer.metrics("count", "sum", "mean").summary(array_to_vector(F.col(vec_col)))
-    return (df.groupBy(*keys).agg(s.alias("_s"))
-            .select(*keys, F.col("_s.count").cast("bigint").alias("n"),
+    names = [e._jc.toString().split(" AS ")[-1].strip("`") for e in extra]
+    return (df.groupBy(*keys).agg(s.alias("_s"), *extra)
+            .select(*keys, *names, F.col("_s.count").cast("bigint").alias("n"),
                     vector_to_array(F.col("_s.sum")).alias("vec_sum"),
                     vector_to_array(F.col("_s.mean")).alias("vec_mean")))
 

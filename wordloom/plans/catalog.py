@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wordloom.operators import huffman as hf
 from wordloom.operators import skipgram as sgo
 from wordloom.operators import tfidf as tfo
+from wordloom.operators import train as tr
 from wordloom.operators import vectors as vx
 from wordloom.operators import vocab as vo
 from wordloom.functions import vector as V
@@ -202,6 +203,83 @@ def q_huffman_summary(spark, sf_dir):
     return hf.summary(codes, hf.huffman_paths(codes)).drop("max_len")
 
 
+# Training queries run on the documents with the settings of the reference
+# (dimension 100, window 8, min count 8, max frequency 0.005) and a few
+# iterations, so the check stays short while every row of the corpus is used.
+TRAIN_ITERS = 2
+LOCAL_REPLICAS = 4
+
+
+def _prepared(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    vocab = vo.tree_vocabulary(docs)
+    codes = hf.huffman_codes(vocab)
+    paths = hf.huffman_paths(codes)
+    cooc = sgo.cooccurrence(sgo.skipgram_pairs(docs, vocab))
+    return docs, vocab, codes, paths, cooc
+
+
+def q_init_params(spark, sf_dir):
+    return tr.init_word_vectors(tree(spark, sf_dir).select("word"), tr.DIM, seed=0)
+
+
+def q_node_targets(spark, sf_dir):
+    _, _, _, paths, cooc = _prepared(spark, sf_dir)
+    return tr.node_targets(cooc, paths)
+
+
+def q_root_targets(spark, sf_dir):
+    return q_node_targets(spark, sf_dir).where(F.col("node") == 1).select("word", "n")
+
+
+def q_hs_gradient(spark, sf_dir):
+    _, vocab, _, paths, cooc = _prepared(spark, sf_dir)
+    params = tr.init_params(vocab.select("word"), paths, tr.DIM, seed=0)
+    return tr.hs_gradient(tr.node_targets(cooc, paths), params)
+
+
+def q_fit_sync(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    vocab = vo.tree_vocabulary(docs)
+    params, _ = tr.fit_sync(docs, vocab, iters=TRAIN_ITERS)
+    return tr.word_vectors(params, vocab)
+
+
+def q_fit_local(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    vocab = vo.tree_vocabulary(docs)
+    params = tr.fit_local(docs, vocab, iters=1, replicas=LOCAL_REPLICAS)
+    return tr.word_vectors(params, vocab)
+
+
+def q_minibatch_sizes(spark, sf_dir):
+    from wordloom.functions.text import tokenize
+    docs = tr.assign_batches(documents(spark, sf_dir), 4, seed=0)
+    return docs.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum(F.size(tokenize(F.col("text"), "C"))).cast("bigint").alias("n_tokens"))
+
+
+def q_word_vectors(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    vocab = vo.tree_vocabulary(docs)
+    codes = hf.huffman_codes(vocab)
+    params = tr.init_params(vocab.select("word"), hf.huffman_paths(codes), tr.DIM, seed=0)
+    return tr.word_vectors(params, vocab)
+
+
+def q_training_report(spark, sf_dir):
+    """Probe words: the three most frequent tree words; analogy over them."""
+    docs = documents(spark, sf_dir)
+    vocab = vo.tree_vocabulary(docs)
+    params, _ = tr.fit_sync(docs, vocab, iters=1)
+    top = vo.top_words(vocab, 3).select("word")
+    t = top.agg(F.sort_array(F.collect_list(F.struct(F.col("word")))).alias("_t"))
+    triples = t.select(F.lit("top3").alias("query_id"), F.col("_t")[0]["word"].alias("a"),
+                       F.col("_t")[1]["word"].alias("b"), F.col("_t")[2]["word"].alias("c"))
+    return tr.training_report(params, vocab, top, triples)
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "corpus_scan": lambda s, d: documents(s, d),
@@ -245,5 +323,14 @@ def queries() -> dict[str, Query]:
         "huffman_codes": q_huffman_codes,
         "huffman_paths": q_huffman_paths,
         "huffman_summary": q_huffman_summary,
+        "init_params": q_init_params,
+        "node_targets": q_node_targets,
+        "root_targets": q_root_targets,
+        "hs_gradient": q_hs_gradient,
+        "fit_sync": q_fit_sync,
+        "fit_local": q_fit_local,
+        "minibatch_sizes": q_minibatch_sizes,
+        "word_vectors": q_word_vectors,
+        "training_report": q_training_report,
     }
     return q

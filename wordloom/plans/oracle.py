@@ -205,6 +205,18 @@ def sql() -> dict[str, str]:
            max(cost)::BIGINT AS weighted_length
     FROM h"""
 
+    q["init_params"] = f"""WITH {v}
+    SELECT word, list_transform(range(100), lambda i:
+        (CAST(('0x' || substr(md5(word || ':' || CAST(i AS VARCHAR) || ':0'), 1, 8)) AS BIGINT)::DOUBLE
+         / 4294967296.0::DOUBLE - 0.5::DOUBLE) / 100.0::DOUBLE) AS vec
+    FROM tree"""
+    q["root_targets"] = f"""WITH {v}, {_pairs_cte()}
+    SELECT word, count(*)::BIGINT AS n FROM pairs GROUP BY word"""
+    q["minibatch_sizes"] = f"""
+    SELECT {_rand32("CAST(doc_id AS VARCHAR) || ':0'")} % 4 AS batch, count(*)::BIGINT AS n_docs,
+           sum(len({toks('C')}))::BIGINT AS n_tokens
+    FROM documents GROUP BY batch"""
+
     e1, e2 = "CAST(e1.embedding AS DOUBLE[])", "CAST(e2.embedding AS DOUBLE[])"
     q["cosine_pairs"] = f"""
     SELECT e1.vec_id AS a, e2.vec_id AS b, round({_cos(e1, e2)}, 6) AS cos
