@@ -56,10 +56,16 @@ def loop_pairs(toks, known, half=4):
                     yield w, t[j]
 
 
-def test_gradient_matches_loop(spark, setup):
+@pytest.mark.parametrize("way", ["targets_broadcast", "targets_dataframe", "cooc_broadcast"])
+def test_gradient_matches_loop(spark, setup, way):
+    """Every gradient path against a plain loop over the pairs."""
     docs, vocab, paths, params, wv, nv, path, toks = setup
     cooc = sg.cooccurrence(sg.skipgram_pairs(docs, vocab))
-    g = tr.hs_gradient(tr.node_targets(cooc, paths), params).collect()
+    if way == "cooc_broadcast":
+        g = [r for r in tr.cooc_gradient(cooc, paths, params, DIM).collect() if r["kind"] != "loss"]
+    else:
+        budget = None if way == "targets_broadcast" else 0
+        g = tr.hs_gradient(tr.node_targets(cooc, paths), params, max_model_bytes=budget).collect()
     gw = {w: np.zeros(DIM) for w in wv}
     gn = {n: np.zeros(DIM) for n in nv}
     steps = 0
@@ -112,6 +118,9 @@ def test_sync_loss_falls(spark):
     params, losses = tr.fit_sync(docs, vocab, iters=3, dim=16, lr=0.5, normalize=True)
     assert losses[0] == pytest.approx(math.log(2), abs=1e-9)   # zero nodes: sigma = 1/2
     assert losses[2] < losses[1] < losses[0]
+    # the DataFrame path (no broadcast) gives the same losses
+    _, losses_df = tr.fit_sync(docs, vocab, iters=3, dim=16, lr=0.5, normalize=True, max_model_bytes=0)
+    assert losses_df == pytest.approx(losses, rel=1e-9)
     vecs = params.words.collect()
     assert len(vecs) == 916 and all(all(math.isfinite(x) for x in r["vec"]) for r in vecs)
 

@@ -53,7 +53,7 @@ LEARNING_RATE = 0.025
 ITERATIONS = 30
 MIN_LR_FRACTION = 1e-4
 
-MAX_MODEL_BYTES = 1 << 30   # broadcast budget for local SGD replicas
+MAX_MODEL_BYTES = 1 << 29   # broadcast budget (bytes) for the model: 512 MiB
 
 
 @dataclass
@@ -109,13 +109,33 @@ def _scored(targets: DataFrame, params: Params) -> DataFrame:
                     (F.col("n1") - F.col("n") * F.col("sigma")).alias("err"))
 
 
-def hs_gradient(targets: DataFrame, params: Params) -> DataFrame:
+def hs_gradient(targets: DataFrame, params: Params, dim: int | None = None,
+                max_model_bytes: int | None = None) -> DataFrame:
     """Full-batch gradient at fixed parameters ``(kind, word, node, grad, n)``.
 
     For a node: sum over its (word) rows of err * word vector. For a word:
     sum over its (node) rows of err * node vector. ``n`` counts the pair-steps
     behind each row.
+
+    When the model fits the broadcast budget (checked from the row counts),
+    the dense arithmetic runs in numpy inside ``mapInPandas`` tasks over
+    Arrow batches of the targets, each task emitting one partial sum per
+    touched row; Spark then adds the partials by key with partial
+    aggregation. Otherwise the pure DataFrame path joins vectors to the
+    targets and sums with ``Summarizer``.
     """
+    budget = MAX_MODEL_BYTES if max_model_bytes is None else max_model_bytes
+    if dim is None:
+        dim = params.words.select(F.max(F.size("vec"))).collect()[0][0] or 0
+    n_rows = (params.words.agg(F.count(F.lit(1))).collect()[0][0]
+              + params.nodes.agg(F.count(F.lit(1))).collect()[0][0])
+    if n_rows * dim * 8 <= budget:
+        return _hs_gradient_broadcast(targets, params, dim)
+    return hs_gradient_dataframe(targets, params)
+
+
+def hs_gradient_dataframe(targets: DataFrame, params: Params) -> DataFrame:
+    """The gradient with vectors joined to every target row (no broadcast)."""
     sc = _scored(targets, params)
     g_node = (sc.select("node", "n", V.scale("wv", F.col("err")).alias("g"))
               .transform(lambda d: vx.vector_stats(d, "node", "g", [F.sum("n").alias("steps")]))
@@ -128,6 +148,155 @@ def hs_gradient(targets: DataFrame, params: Params) -> DataFrame:
     return g_node.unionByName(g_word)
 
 
+GRAD_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()),
+    T.StructField("word", T.StringType()),
+    T.StructField("node", T.LongType()),
+    T.StructField("grad", T.ArrayType(T.DoubleType())),
+    T.StructField("n", T.LongType()),
+])
+
+
+def _gradient_partition(model_bc, dim: int):
+    def run(batches):
+        m = model_bc.value
+        W, N = m["W"], m["N"]
+        wix = pd.Series(np.arange(len(m["words"])), index=pd.Index(m["words"]))
+        nix = pd.Series(np.arange(len(m["nodes"])), index=pd.Index(m["nodes"]))
+        gW, gN = np.zeros_like(W), np.zeros_like(N)
+        sW = np.zeros(len(W), dtype=np.int64)
+        sN = np.zeros(len(N), dtype=np.int64)
+        for pdf in batches:
+            wi = wix.reindex(pdf["word"]).to_numpy()
+            ni = nix.reindex(pdf["node"]).to_numpy()
+            ok = ~(np.isnan(wi.astype(float)) | np.isnan(ni.astype(float)))
+            if not ok.any():
+                continue
+            wi, ni = wi[ok].astype(np.int64), ni[ok].astype(np.int64)
+            n = pdf["n"].to_numpy()[ok].astype(np.float64)
+            n1 = pdf["n1"].to_numpy()[ok].astype(np.float64)
+            wv, nv = W[wi], N[ni]
+            x = np.einsum("ij,ij->i", wv, nv)
+            with np.errstate(over="ignore"):
+                s = np.where(x <= -6.0, 0.0, np.where(x >= 6.0, 1.0, 1.0 / (1.0 + np.exp(-x))))
+            err = (n1 - n * s)[:, None]
+            np.add.at(gN, ni, err * wv)
+            np.add.at(gW, wi, err * nv)
+            np.add.at(sN, ni, n.astype(np.int64))
+            np.add.at(sW, wi, n.astype(np.int64))
+        tw, tn = np.nonzero(sW)[0], np.nonzero(sN)[0]
+        if len(tw):
+            yield pd.DataFrame({"kind": "word", "word": [m["words"][i] for i in tw],
+                                "node": pd.array([None] * len(tw), dtype="Int64"),
+                                "grad": list(gW[tw]), "n": sW[tw]})
+        if len(tn):
+            yield pd.DataFrame({"kind": "node", "word": [None] * len(tn),
+                                "node": pd.array([int(m["nodes"][i]) for i in tn], dtype="Int64"),
+                                "grad": list(gN[tn]), "n": sN[tn]})
+    return run
+
+
+STEP_CHUNK = 32768   # path steps per numpy block inside a task
+
+
+def _cooc_gradient_partition(model_bc, dim: int):
+    """mapInPandas body: gradient and log-loss partials from co-occurrence rows.
+
+    Each (word, context, n) row is expanded to the context's path steps in
+    memory; sigma is evaluated per step, and the sums go to dense per-task
+    accumulators, of which only touched rows are emitted.
+    """
+    def run(batches):
+        m = model_bc.value
+        W, N = m["W"], m["N"]
+        plen, start = m["plen"], m["path_start"]
+        flat_rows, flat_labels = m["flat_rows"], m["flat_labels"]
+        wix = pd.Series(np.arange(len(m["words"])), index=pd.Index(m["words"]))
+        gW, gN = np.zeros_like(W), np.zeros_like(N)
+        sW = np.zeros(len(W), dtype=np.int64)
+        sN = np.zeros(len(N), dtype=np.int64)
+        loss = 0.0
+        for pdf in batches:
+            wi = wix.reindex(pdf["word"]).to_numpy(dtype=float)
+            ci = wix.reindex(pdf["context"]).to_numpy(dtype=float)
+            ok = ~(np.isnan(wi) | np.isnan(ci))
+            wi, ci = wi[ok].astype(np.int64), ci[ok].astype(np.int64)
+            cnt = pdf["n"].to_numpy()[ok].astype(np.int64)
+            L = plen[ci]
+            total = int(L.sum())
+            if total == 0:
+                continue
+            rw = np.repeat(wi, L)
+            rn = np.repeat(cnt, L)
+            first = np.repeat(np.cumsum(L) - L, L)
+            idx = np.repeat(start[ci], L) + (np.arange(total) - first)
+            ni, lab = flat_rows[idx], flat_labels[idx]
+            for a in range(0, total, STEP_CHUNK):
+                b = min(total, a + STEP_CHUNK)
+                w_, n_, l_, c_ = rw[a:b], ni[a:b], lab[a:b], rn[a:b].astype(np.float64)
+                wv, nv = W[w_], N[n_]
+                x = np.einsum("ij,ij->i", wv, nv)
+                with np.errstate(over="ignore"):
+                    sg_ = np.where(x <= -6.0, 0.0, np.where(x >= 6.0, 1.0, 1.0 / (1.0 + np.exp(-x))))
+                err = (c_ * (l_ - sg_))[:, None]
+                np.add.at(gN, n_, err * wv)
+                np.add.at(gW, w_, err * nv)
+                np.add.at(sN, n_, rn[a:b])
+                np.add.at(sW, w_, rn[a:b])
+                sc = np.clip(sg_, 1e-7, 1 - 1e-7)
+                loss -= float(np.sum(c_ * (l_ * np.log(sc) + (1 - l_) * np.log(1 - sc))))
+        tw, tn = np.nonzero(sW)[0], np.nonzero(sN)[0]
+        if len(tw):
+            yield pd.DataFrame({"kind": "word", "word": [m["words"][i] for i in tw],
+                                "node": pd.array([None] * len(tw), dtype="Int64"),
+                                "grad": list(gW[tw]), "n": sW[tw]})
+        if len(tn):
+            yield pd.DataFrame({"kind": "node", "word": [None] * len(tn),
+                                "node": pd.array([int(m["nodes"][i]) for i in tn], dtype="Int64"),
+                                "grad": list(gN[tn]), "n": sN[tn]})
+        yield pd.DataFrame({"kind": ["loss"], "word": [None], "node": pd.array([None], dtype="Int64"),
+                            "grad": [np.array([loss])], "n": [int(sW.sum())]})
+    return run
+
+
+def model_fits(params: Params, dim: int, max_model_bytes: int | None = None) -> bool:
+    """Size check before broadcasting the model: rows x dim doubles."""
+    budget = MAX_MODEL_BYTES if max_model_bytes is None else max_model_bytes
+    n_rows = (params.words.agg(F.count(F.lit(1))).collect()[0][0]
+              + params.nodes.agg(F.count(F.lit(1))).collect()[0][0])
+    return n_rows * dim * 8 <= budget
+
+
+def cooc_gradient(cooc: DataFrame, paths: DataFrame, params: Params, dim: int) -> DataFrame:
+    """Gradient and loss straight from co-occurrence counts ``(word, context, n)``.
+
+    Rows ``(kind, word, node, grad, n)``; ``kind = 'loss'`` carries the summed
+    negative log-likelihood in ``grad[0]`` and the pair-steps in ``n``. The
+    caller checks ``model_fits`` first: the model and the paths are broadcast.
+    """
+    spark = cooc.sparkSession
+    bc = spark.sparkContext.broadcast(_model(params, paths, dim))
+    partial = (cooc.select("word", "context", "n")
+               .mapInPandas(_cooc_gradient_partition(bc, dim), GRAD_SCHEMA))
+    summed = vx.vector_stats(partial, ["kind", "word", "node"], "grad", [F.sum("n").alias("steps")])
+    return summed.select("kind", "word", "node", F.col("vec_sum").alias("grad"),
+                         F.col("steps").cast("bigint").alias("n"))
+
+
+def _hs_gradient_broadcast(targets: DataFrame, params: Params, dim: int) -> DataFrame:
+    spark = targets.sparkSession
+    wp, npd = params.words.toPandas(), params.nodes.toPandas()
+    model = {"words": list(wp["word"]),
+             "W": np.array(wp["vec"].tolist(), dtype=np.float64).reshape(len(wp), dim),
+             "nodes": np.array(npd["node"], dtype=np.int64),
+             "N": np.array(npd["vec"].tolist(), dtype=np.float64).reshape(len(npd), dim)}
+    bc = spark.sparkContext.broadcast(model)
+    partial = targets.select("word", "node", "n", "n1").mapInPandas(_gradient_partition(bc, dim), GRAD_SCHEMA)
+    summed = vx.vector_stats(partial, ["kind", "word", "node"], "grad", [F.sum("n").alias("steps")])
+    return summed.select("kind", "word", "node", F.col("vec_sum").alias("grad"),
+                         F.col("steps").cast("bigint").alias("n"))
+
+
 def log_loss(targets: DataFrame, params: Params) -> DataFrame:
     """One row: mean negative log-likelihood per pair-step (sigma clipped to 1e-7)."""
     sc = _scored(targets, params)
@@ -151,32 +320,63 @@ def _materialize(spark: SparkSession, params: Params, tag: str) -> Params:
     return Params(spark.read.parquet(pw), spark.read.parquet(pn))
 
 
-def prepare(corpus: DataFrame, vocab: DataFrame, half: int = sg.HALF_WINDOW):
-    """Codes, paths and (word, node) targets, written once for all iterations."""
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write under the checkpoint folder and read back: cuts lineage, survives
+    executor loss, and gives Catalyst the real size of the table."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def prepare(corpus: DataFrame, vocab: DataFrame, half: int = sg.HALF_WINDOW, targets: bool = True):
+    """Vocabulary, paths, co-occurrence counts (and targets), each written once.
+
+    Returns ``(vocab, paths, cooc, targets or None)``.
+    """
+    vocab = written(vocab.select("word", "count"), "vocab")
+    paths = written(hf.huffman_paths(hf.huffman_codes(vocab)), "paths")
+    cooc = written(sg.cooccurrence(sg.skipgram_pairs(corpus, vocab, half)), "cooc")
+    tg = written(node_targets(cooc, paths), "targets") if targets else None
+    return vocab, paths, cooc, tg
+
+
+def corpus_gradient(corpus: DataFrame, vocab: DataFrame, dim: int = DIM, seed: int = 0,
+                    max_model_bytes: int | None = None) -> DataFrame:
+    """The full-batch gradient at the initial parameters, from the corpus."""
     spark = corpus.sparkSession
-    codes = hf.huffman_codes(vocab)
-    paths = hf.huffman_paths(codes)
-    cooc = sg.cooccurrence(sg.skipgram_pairs(corpus, vocab, half))
-    tp = scratch_path(spark, "targets")
-    node_targets(cooc, paths).write.mode("overwrite").parquet(tp)
-    pp = scratch_path(spark, "paths")
-    paths.write.mode("overwrite").parquet(pp)
-    return codes, spark.read.parquet(pp), spark.read.parquet(tp)
+    vocab, paths, cooc, _ = prepare(corpus, vocab, targets=False)
+    params = _materialize(spark, init_params(vocab.select("word"), paths, dim, seed), "params-0")
+    if model_fits(params, dim, max_model_bytes):
+        return cooc_gradient(cooc, paths, params, dim).where("kind <> 'loss'")
+    return hs_gradient_dataframe(written(node_targets(cooc, paths), "targets"), params)
 
 
 def fit_sync(corpus: DataFrame, vocab: DataFrame, iters: int = ITERATIONS, dim: int = DIM,
              lr: float = LEARNING_RATE, seed: int = 0, schedule: str = "constant",
-             normalize: bool = False, half: int = sg.HALF_WINDOW) -> tuple[Params, list[float]]:
-    """Synchronous full-batch training. Returns the parameters and the loss
-    before each step. ``normalize`` divides a gradient by its pair-steps."""
+             normalize: bool = False, half: int = sg.HALF_WINDOW,
+             max_model_bytes: int | None = None) -> tuple[Params, list[float]]:
+    """Synchronous full-batch training. Returns the parameters and the mean
+    log-loss before each step. ``normalize`` divides a gradient by its
+    pair-steps. The model is broadcast to the gradient tasks when it fits
+    the budget; otherwise every step is a pure DataFrame job over the
+    written (word, node) targets."""
     spark = corpus.sparkSession
-    _, paths, targets = prepare(corpus, vocab, half)
+    vocab, paths, cooc, _ = prepare(corpus, vocab, half, targets=False)
     params = _materialize(spark, init_params(vocab.select("word"), paths, dim, seed), "params-0")
+    broadcast_ok = model_fits(params, dim, max_model_bytes)
+    targets = None if broadcast_ok else written(node_targets(cooc, paths), "targets")
     losses = []
     for it in range(iters):
         rate = learning_rate(it, iters, lr, schedule)
-        losses.append(float(log_loss(targets, params).collect()[0]["loss"] or 0.0))
-        g = hs_gradient(targets, params)
+        if broadcast_ok:
+            g = written(cooc_gradient(cooc, paths, params, dim), f"grad-{it}")
+            lrow = g.where("kind = 'loss'").collect()
+            losses.append(float(lrow[0]["grad"][0] / lrow[0]["n"]) if lrow and lrow[0]["n"] else 0.0)
+            g = g.where("kind <> 'loss'")
+        else:
+            losses.append(float(log_loss(targets, params).collect()[0]["loss"] or 0.0))
+            g = hs_gradient_dataframe(targets, params)
         if normalize:
             g = g.withColumn("grad", V.divide("grad", F.col("n")))
         new = Params(_apply(params.words, "word", g.where("kind = 'word'"), rate),
@@ -267,8 +467,12 @@ def _model(params: Params, paths: DataFrame, dim: int):
         if r is not None:
             path_rows[r] = np.array([node_row[int(n)] for n in g["node"]], dtype=np.int64)
             path_labels[r] = np.array(g["label"], dtype=np.float64)
+    plen = np.array([len(r) for r in path_rows], dtype=np.int64)
     return {"words": words, "W": W, "nodes": nodes, "N": N,
-            "path_rows": path_rows, "path_labels": path_labels}
+            "path_rows": path_rows, "path_labels": path_labels, "plen": plen,
+            "flat_rows": np.concatenate(path_rows) if len(words) else np.zeros(0, dtype=np.int64),
+            "flat_labels": np.concatenate(path_labels) if len(words) else np.zeros(0),
+            "path_start": np.concatenate([[0], np.cumsum(plen)[:-1]]) if len(words) else plen}
 
 
 def assign_batches(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -307,10 +511,8 @@ def fit_local(corpus: DataFrame, vocab: DataFrame, iters: int = ITERATIONS, repl
     """The reference's scheme: per iteration and mini-batch, local SGD on every
     replica from the same parameters, then averaging over the P replicas."""
     spark = corpus.sparkSession
-    codes = hf.huffman_codes(vocab)
-    pp = scratch_path(spark, "paths")
-    hf.huffman_paths(codes).write.mode("overwrite").parquet(pp)
-    paths = spark.read.parquet(pp)
+    vocab = written(vocab.select("word", "count"), "vocab")
+    paths = written(hf.huffman_paths(hf.huffman_codes(vocab)), "paths")
     params = _materialize(spark, init_params(vocab.select("word"), paths, dim, seed), "local-0")
     docs = assign_batches(corpus, batches, seed)
     for it in range(iters):

@@ -224,8 +224,8 @@ def q_init_params(spark, sf_dir):
 
 
 def q_node_targets(spark, sf_dir):
-    _, _, _, paths, cooc = _prepared(spark, sf_dir)
-    return tr.node_targets(cooc, paths)
+    docs = documents(spark, sf_dir)
+    return tr.prepare(docs, vo.tree_vocabulary(docs), targets=True)[3]
 
 
 def q_root_targets(spark, sf_dir):
@@ -233,9 +233,8 @@ def q_root_targets(spark, sf_dir):
 
 
 def q_hs_gradient(spark, sf_dir):
-    _, vocab, _, paths, cooc = _prepared(spark, sf_dir)
-    params = tr.init_params(vocab.select("word"), paths, tr.DIM, seed=0)
-    return tr.hs_gradient(tr.node_targets(cooc, paths), params)
+    docs = documents(spark, sf_dir)
+    return tr.corpus_gradient(docs, vo.tree_vocabulary(docs), tr.DIM, seed=0)
 
 
 def q_fit_sync(spark, sf_dir):
