@@ -180,10 +180,10 @@ def _gradient_partition(model_bc, dim: int):
             with np.errstate(over="ignore"):
                 s = np.where(x <= -6.0, 0.0, np.where(x >= 6.0, 1.0, 1.0 / (1.0 + np.exp(-x))))
             err = (n1 - n * s)[:, None]
-            np.add.at(gN, ni, err * wv)
-            np.add.at(gW, wi, err * nv)
-            np.add.at(sN, ni, n.astype(np.int64))
-            np.add.at(sW, wi, n.astype(np.int64))
+            _scatter_add(gN, ni, err * wv)
+            _scatter_add(gW, wi, err * nv)
+            sN += np.bincount(ni, weights=n, minlength=len(sN)).astype(np.int64)
+            sW += np.bincount(wi, weights=n, minlength=len(sW)).astype(np.int64)
         tw, tn = np.nonzero(sW)[0], np.nonzero(sN)[0]
         if len(tw):
             yield pd.DataFrame({"kind": "word", "word": [m["words"][i] for i in tw],
@@ -196,7 +196,16 @@ def _gradient_partition(model_bc, dim: int):
     return run
 
 
-STEP_CHUNK = 32768   # path steps per numpy block inside a task
+STEP_CHUNK = 65536   # path steps per numpy block inside a task
+
+
+def _scatter_add(acc: np.ndarray, idx: np.ndarray, vals: np.ndarray) -> None:
+    """``acc[idx] += vals`` with repeated indices, by sorting and segment sums
+    (much faster than the unbuffered ``np.add.at`` on 2-D blocks)."""
+    order = np.argsort(idx, kind="stable")
+    si = idx[order]
+    starts = np.flatnonzero(np.r_[True, si[1:] != si[:-1]])
+    acc[si[starts]] += np.add.reduceat(vals[order], starts, axis=0)
 
 
 def _cooc_gradient_partition(model_bc, dim: int):
@@ -231,20 +240,27 @@ def _cooc_gradient_partition(model_bc, dim: int):
             first = np.repeat(np.cumsum(L) - L, L)
             idx = np.repeat(start[ci], L) + (np.arange(total) - first)
             ni, lab = flat_rows[idx], flat_labels[idx]
-            for a in range(0, total, STEP_CHUNK):
-                b = min(total, a + STEP_CHUNK)
-                w_, n_, l_, c_ = rw[a:b], ni[a:b], lab[a:b], rn[a:b].astype(np.float64)
+            # rows arrive sorted by word: collapse path steps to distinct
+            # (word, node) with their pair counts n and left-turn counts n1
+            key = rw * np.int64(len(N)) + ni
+            uk, inv = np.unique(key, return_inverse=True)
+            n_tot = np.bincount(inv, weights=rn.astype(np.float64))
+            n_one = np.bincount(inv, weights=rn * lab)
+            uw, un = uk // np.int64(len(N)), uk % np.int64(len(N))
+            for a in range(0, len(uk), STEP_CHUNK):
+                b = min(len(uk), a + STEP_CHUNK)
+                w_, n_, c_, c1 = uw[a:b], un[a:b], n_tot[a:b], n_one[a:b]
                 wv, nv = W[w_], N[n_]
                 x = np.einsum("ij,ij->i", wv, nv)
                 with np.errstate(over="ignore"):
                     sg_ = np.where(x <= -6.0, 0.0, np.where(x >= 6.0, 1.0, 1.0 / (1.0 + np.exp(-x))))
-                err = (c_ * (l_ - sg_))[:, None]
-                np.add.at(gN, n_, err * wv)
-                np.add.at(gW, w_, err * nv)
-                np.add.at(sN, n_, rn[a:b])
-                np.add.at(sW, w_, rn[a:b])
+                err = (c1 - c_ * sg_)[:, None]
+                _scatter_add(gN, n_, err * wv)
+                _scatter_add(gW, w_, err * nv)
+                sN += np.bincount(n_, weights=c_, minlength=len(sN)).astype(np.int64)
+                sW += np.bincount(w_, weights=c_, minlength=len(sW)).astype(np.int64)
                 sc = np.clip(sg_, 1e-7, 1 - 1e-7)
-                loss -= float(np.sum(c_ * (l_ * np.log(sc) + (1 - l_) * np.log(1 - sc))))
+                loss -= float(np.sum(c1 * np.log(sc) + (c_ - c1) * np.log(1 - sc)))
         tw, tn = np.nonzero(sW)[0], np.nonzero(sN)[0]
         if len(tw):
             yield pd.DataFrame({"kind": "word", "word": [m["words"][i] for i in tw],
@@ -276,7 +292,12 @@ def cooc_gradient(cooc: DataFrame, paths: DataFrame, params: Params, dim: int) -
     """
     spark = cooc.sparkSession
     bc = spark.sparkContext.broadcast(_model(params, paths, dim))
-    partial = (cooc.select("word", "context", "n")
+    # by word, sorted: a task sees all of a word's rows together (a word has at
+    # most V context rows), so path steps collapse per (word, node) in memory
+    parts = max(cooc.sparkSession.sparkContext.defaultParallelism * 2,
+                int(cooc.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partial = (cooc.select("word", "context", "n").repartition(parts, "word")
+               .sortWithinPartitions("word")
                .mapInPandas(_cooc_gradient_partition(bc, dim), GRAD_SCHEMA))
     summed = vx.vector_stats(partial, ["kind", "word", "node"], "grad", [F.sum("n").alias("steps")])
     return summed.select("kind", "word", "node", F.col("vec_sum").alias("grad"),
