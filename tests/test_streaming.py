@@ -1,0 +1,22 @@
+"""The streaming word counts agree with the batch operator."""
+
+import tempfile
+
+from wordloom.operators import vocab as vo
+from wordloom.streaming.corpus_stream import read_corpus_stream, running_word_counts, start_counts
+
+
+def test_stream_counts_match_batch(spark):
+    folder = "/root/testdata/sf0.001"
+    src = f"{folder}/documents.parquet"
+    ckpt = tempfile.mkdtemp(prefix="wordloom-stream-")
+    stream = read_corpus_stream(spark, folder, glob="documents.parquet")
+    q = start_counts(running_word_counts(stream), ckpt, query_name="wc_stream_test")
+    try:
+        q.processAllAvailable()
+        got = {r["word"]: r["count"] for r in spark.sql("SELECT * FROM wc_stream_test").collect()}
+    finally:
+        q.stop()
+    docs = spark.read.parquet(src).select("doc_id", "text")
+    want = {r["word"]: r["count"] for r in vo.word_counts(docs).collect()}
+    assert got == want
