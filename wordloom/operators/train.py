@@ -501,6 +501,11 @@ def assign_batches(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return corpus.withColumn("batch", F.pmod(hash32(keyed(F.col("doc_id"), seed)), F.lit(n)))
 
 
+def select_batch(corpus: DataFrame, m: int) -> DataFrame:
+    """Documents of mini-batch ``m`` (after ``assign_batches``); a pushed-down filter."""
+    return corpus.where(F.col("batch") == F.lit(m))
+
+
 def local_sgd(corpus: DataFrame, params: Params, paths: DataFrame, replicas: int,
               lr: float = LEARNING_RATE, dim: int = DIM, half: int = sg.HALF_WINDOW,
               preset: str = "C") -> DataFrame:
@@ -539,7 +544,7 @@ def fit_local(corpus: DataFrame, vocab: DataFrame, iters: int = ITERATIONS, repl
     for it in range(iters):
         rate = learning_rate(it, iters, lr, schedule)
         for b in range(batches):
-            part = docs.where(F.col("batch") == b).drop("batch")
+            part = select_batch(docs, b).drop("batch")
             deltas = local_sgd(part, params, paths, replicas, rate, dim, half)
             params = _materialize(spark, average_params(params, deltas, replicas), f"local-{it}-{b}")
     return params
@@ -551,16 +556,23 @@ def word_vectors(params: Params, vocab: DataFrame) -> DataFrame:
 
 
 def training_report(params: Params, vocab: DataFrame, probes: DataFrame, triples: DataFrame,
-                    k: int = 10) -> DataFrame:
-    """Nearest words of the probe words and analogy answers as one table
-    ``(kind, query, rank, word, sim)``."""
+                    k: int = 10, losses: list[float] | None = None) -> DataFrame:
+    """Nearest words of the probe words, analogy answers and the mean log-loss
+    per iteration as one table ``(kind, query, rank, word, sim)``."""
     vecs = params.words.select(F.col("word").alias("id"), "vec")
     q = probes.join(params.words, "word").select(F.col("word").alias("query_id"), F.col("vec").alias("qvec"))
     near = vx.nearest(vecs, q, k=k).select(F.lit("nearest").alias("kind"), F.col("query_id").alias("query"),
                                              "rank", F.col("id").alias("word"), "sim")
     an = vx.analogy(vecs, triples, k=1).select(F.lit("analogy").alias("kind"), F.col("query_id").alias("query"),
                                                  "rank", F.col("id").alias("word"), "sim")
-    return near.unionByName(an)
+    out = near.unionByName(an)
+    if losses:
+        spark = params.words.sparkSession
+        lo = spark.createDataFrame([("loss", f"iteration {i}", i + 1, None, float(v))
+                                    for i, v in enumerate(losses)],
+                                   "kind string, query string, rank bigint, word string, sim double")
+        out = out.unionByName(lo)
+    return out
 
 
 def clip_check(x: float) -> float:

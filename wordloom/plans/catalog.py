@@ -271,12 +271,12 @@ def q_training_report(spark, sf_dir):
     """Probe words: the three most frequent tree words; analogy over them."""
     docs = documents(spark, sf_dir)
     vocab = vo.tree_vocabulary(docs)
-    params, _ = tr.fit_sync(docs, vocab, iters=1)
+    params, losses = tr.fit_sync(docs, vocab, iters=2)
     top = vo.top_words(vocab, 3).select("word")
     t = top.agg(F.sort_array(F.collect_list(F.struct(F.col("word")))).alias("_t"))
     triples = t.select(F.lit("top3").alias("query_id"), F.col("_t")[0]["word"].alias("a"),
                        F.col("_t")[1]["word"].alias("b"), F.col("_t")[2]["word"].alias("c"))
-    return tr.training_report(params, vocab, top, triples)
+    return tr.training_report(params, vocab, top, triples, losses=losses)
 
 
 def queries() -> dict[str, Query]:
