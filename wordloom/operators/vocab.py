@@ -10,9 +10,9 @@ Semantics (fixed by the reference program):
   are left out of the code tree and so are out of vocabulary for training
 
 Word counts are one partially aggregated count by word: a stop word is
-combined map-side before the shuffle. The total token count and the upper
-bound are scalar subqueries over that same aggregate, so Spark reuses its
-exchange instead of scanning again.
+combined map-side before the shuffle. The upper bound is a scalar subquery
+computed once: from a corpus, the token total is the sum of the token-array
+sizes (no explode, no shuffle); from a count table, the sum of the counts.
 """
 
 from __future__ import annotations
@@ -41,15 +41,21 @@ def total_words(corpus: DataFrame, preset: str = "C") -> DataFrame:
                       .cast("bigint").alias("total_words"))
 
 
-def max_count(counts: DataFrame, max_freq: float = MAX_FREQ):
-    """Scalar column ``floor(total * max_freq)`` where total = sum of counts."""
-    total = counts.agg(F.sum("count").cast("bigint").alias("t")).scalar()
-    return F.floor(total.cast("double") * F.lit(float(max_freq))).cast("bigint")
+def max_count(counts: DataFrame, max_freq: float = MAX_FREQ, total: DataFrame | None = None):
+    """Scalar column ``floor(total * max_freq)``.
 
+    ``total`` is a one-row table of the token total; by default the sum of
+    the counts. From a corpus, ``total_words`` gives the same number from the
+    token-array sizes alone (no explode, no shuffle).
+    """
+    t = (counts.agg(F.sum("count").cast("bigint").alias("t")) if total is None else total).scalar()
+    return F.floor(t.cast("double") * F.lit(float(max_freq))).cast("bigint")
 
-def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT, max_freq: float = MAX_FREQ) -> DataFrame:
+
+def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT, max_freq: float = MAX_FREQ,
+               total: DataFrame | None = None) -> DataFrame:
     """Kept words ``(word, count)`` with ``min_count < count < max_count``."""
-    hi = max_count(counts, max_freq)
+    hi = max_count(counts, max_freq, total)
     return counts.where((F.col("count") > F.lit(min_count)) & (F.col("count") < hi))
 
 
@@ -72,7 +78,8 @@ def drop_long_integers(vocab: DataFrame, max_len: int = MAX_INT_LEN) -> DataFram
 def tree_vocabulary(corpus: DataFrame, preset: str = "C", min_count: int = MIN_COUNT,
                     max_freq: float = MAX_FREQ, max_int_len: int = MAX_INT_LEN) -> DataFrame:
     """Words that get a leaf in the code tree: ``(word, count)``."""
-    return drop_long_integers(vocabulary(word_counts(corpus, preset), min_count, max_freq), max_int_len)
+    kept = vocabulary(word_counts(corpus, preset), min_count, max_freq, total_words(corpus, preset))
+    return drop_long_integers(kept, max_int_len)
 
 
 def sorted_vocab(vocab: DataFrame) -> DataFrame:
