@@ -132,3 +132,14 @@ def test_plans_have_partial_aggregation(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "partial_count" in plan
         assert "Python" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_no_python_outside_training(spark):
+    """SURVEY §4: only the training operators may run Python in tasks."""
+    import __spark_entry__ as entry
+    training = {"hs_gradient", "fit_sync", "fit_local", "training_report"}
+    for name, q in entry.queries().items():
+        if name in training:
+            continue
+        plan = q(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "MapInPandas" not in plan, name
