@@ -92,6 +92,8 @@ def test_duplicate_ids_raise(spark):
     nulls = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id int, text string")
     with pytest.raises(ValueError):
         check_unique_ids(nulls)
+    with pytest.raises(ValueError, match="unique"):
+        tfo.tfidf(corpus)
 
 
 def test_chunks(spark):

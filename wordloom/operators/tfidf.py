@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import tokenize
+from wordloom.sources.corpus import check_unique_ids
 
 
 def tokenized(corpus: DataFrame, preset: str = "A") -> DataFrame:
@@ -112,7 +113,8 @@ def postings(corpus: DataFrame, preset: str = "A") -> DataFrame:
             .select("term", "doc_id", F.col("pos").cast("bigint").alias("pos")))
 
 
-def tfidf(corpus: DataFrame, preset: str = "A", persist: bool = False) -> DataFrame:
+def tfidf(corpus: DataFrame, preset: str = "A", persist: bool = False,
+          check_ids: bool = True) -> DataFrame:
     """Long-form TF-IDF ``(doc_id, term, cnt, total, tf, df, idf, tf_idf)``.
 
     Two scans of the documents: one counts (doc, term) rows, the other the
@@ -120,7 +122,13 @@ def tfidf(corpus: DataFrame, preset: str = "A", persist: bool = False) -> DataFr
     the term counts and reusing them. ``persist`` keeps the counts
     (memory, spilling to disk) for callers reusing them; a lost executor
     then only costs recomputation.
+
+    ``check_ids`` first verifies that document ids are unique and not null
+    (one partially aggregated count of the ids, run eagerly) and raises
+    otherwise: N and the per-document rows assume one row per document.
     """
+    if check_ids:
+        check_unique_ids(corpus)
     tc = term_counts(corpus, preset)
     if persist:
         tc = tc.persist(StorageLevel.MEMORY_AND_DISK)
