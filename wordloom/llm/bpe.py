@@ -31,7 +31,8 @@ import pyarrow.compute as pc
 
 from wordloom.llm.words import ragged, strings_at, utf8_bytes
 
-CACHE_ENTRIES = 400_000   # per generation; two generations are held
+CACHE_ENTRIES = 250_000   # per generation; two generations are held
+SLICE_BYTES = 8 << 20     # texts are cut and dealt out this many bytes at a time
 RUNS_PER_CALL = 200
 WIDE_SPACE = re.compile("[" + "".join(map(chr, (
     0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
@@ -151,8 +152,22 @@ def _cuts(b: np.ndarray, starts: np.ndarray, keeps_space: bool) -> tuple[np.ndar
 def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, offsets)``: the ids of all texts in order, and where each
     text's ids begin. Equal to encoding each whole text with the library.
-    ``texts``: a large_string array without nulls."""
+    ``texts``: a large_string array without nulls. Whole texts are taken up
+    to :data:`SLICE_BYTES` at a time (a longer one alone), which bounds the
+    arrays in between."""
     enc = encoder(path)
+    bounds = utf8_bytes(texts)[1]
+    ids, sizes, at = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)], 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1)
+        part, offsets = _encode_slice(enc, texts.slice(at, end - at))
+        ids.append(part)
+        sizes.append(np.diff(offsets))
+        at = end
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _encode_slice(enc: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     b, bounds = utf8_bytes(texts)
     if not len(b):
         return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
