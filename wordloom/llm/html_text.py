@@ -58,6 +58,11 @@ SCOPES = {"article", "main", "div", "section", "body", "html", "table", "ul", "o
           "header", "form"}
 
 
+def is_inline(tag: str) -> bool:
+    """Elements that start no line; unknown ones (with a hyphen) are inline."""
+    return tag in INLINE or "-" in tag
+
+
 def _names(attributes: dict[str, str]) -> set[str]:
     text = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
     whole = text.split()
@@ -110,7 +115,7 @@ def lines_of(html: str) -> tuple[list[Line], bool]:
             state["article"] -= article
             if dropped or article:
                 barrier()
-            elif tag not in INLINE:
+            elif not is_inline(tag):
                 start_line()
 
     def text(raw: str):
@@ -156,7 +161,7 @@ def lines_of(html: str) -> tuple[list[Line], bool]:
         if tag in VOID:
             if tag == "br":
                 text(" ")
-            elif tag not in INLINE:
+            elif not is_inline(tag):
                 start_line()
             continue
         body = m[3] if m[3] is not None else m[4]
@@ -180,7 +185,7 @@ def lines_of(html: str) -> tuple[list[Line], bool]:
         state["article"] += article
         if dropped or article:
             barrier()
-        elif tag not in INLINE:
+        elif not is_inline(tag):
             start_line()
     return lines, seen_article
 
