@@ -101,15 +101,15 @@ def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def correlated_parts(n: int, both: np.ndarray, m: int) -> list[list[int]]:
-    """Bits dealt into m parts of near equal size, each grown from the most
-    varied free bit by the free bits most correlated with it."""
+    """Bits dealt into m parts of near equal size, each grown from the free bit
+    most correlated with the other free bits, by those most correlated with it."""
     p = np.diag(both) / max(n, 1)
     var = p * (1 - p)
     corr = np.abs(both / max(n, 1) - np.outer(p, p)) / np.sqrt(np.maximum(np.outer(var, var), 1e-12))
     free, parts = set(range(64)), []
     for i in range(m):
         size = 64 // m + (i < 64 % m)
-        part = [max(sorted(free), key=lambda b: var[b])]
+        part = [max(sorted(free), key=lambda b: corr[b, sorted(free)].sum() - corr[b, b])]
         free.discard(part[0])
         while len(part) < size:
             nxt = max(sorted(free), key=lambda b: corr[b, part].sum())
