@@ -1,0 +1,163 @@
+import math
+import random
+from collections import Counter
+from fractions import Fraction
+
+import duckdb
+import pytest
+from edge import empty_documents, hard_documents
+from pyspark.sql import functions as F
+
+from wordloom.llm import quality_rules as qr
+from wordloom.llm import queries, url_filter
+
+SF = "/root/testdata/sf0.01"
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def check_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).df()
+    df = queries.queries()[name](spark, SF)
+    assert not any(x in plan_of(df) for x in ("Python", "Pandas", "Arrow"))
+    cols = sorted(df.columns)
+    assert cols == sorted(want.columns)
+    got = df.toPandas()[cols].astype(object).where(lambda x: x.notna(), None)
+    want = want[cols].astype(object).where(lambda x: x.notna(), None)
+    assert Counter(map(tuple, got.to_numpy())) == Counter(map(tuple, want.to_numpy()))
+
+
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op9_url_filter"])
+def test_queries_equal_their_sql(spark, name):
+    check_against_sql(spark, name)
+
+
+# ------------------------------------------------------------- quality rules
+
+def brute_measures(text):
+    text = text or ""
+    words = "".join(" " if c in WHITE else c for c in text).split(" ")
+    words = [w for w in words if w]
+    lines = [x for x in text.split("\n") if x.strip(WHITE)]
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i in range(len(words) - 2) for k in range(3) if windows[tuple(words[i:i + 3])] > 1}
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+
+
+def test_measures_of_hard_rows(spark):
+    extra = ["a b c a b c", "x x x x", "a b c d a b c\na b c d a b c", "one\none\n \none", "a a a", "a b c a b", "p q r s " * 30]
+    docs = hard_documents(spark).select("doc_id", "text", "lang", "n_chars").unionByName(spark.createDataFrame(
+        [(100 + i, t, "en", 1) for i, t in enumerate(extra)], "doc_id bigint, text string, lang string, n_chars bigint"))
+    got = qr.measures(docs).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert Counter((r.id, *(r[n] for n in names)) for r in got) == Counter(
+        (r.doc_id, *brute_measures(r.text)) for r in docs.collect())
+    assert qr.measures(empty_documents(spark)).count() == 0
+
+
+def test_binomial_tail_is_exact(spark):
+    cases = [(0, 1), (0, 100), (0, 5000), (3, 400), (10, 2000), (24, 2000), (30, 2000), (60, 5000), (1, 50), (900, 100000)]
+    p = 0.0125
+    df = spark.createDataFrame(cases, "k bigint, n bigint").withColumn("p", qr.binomial_tail(F.col("k"), F.col("n"), p))
+    for r in df.collect():
+        if r.k >= r.n * p:
+            assert r.p == 1.0
+        elif r.n <= 5000:
+            q = Fraction(1, 80)
+            exact = float(sum(math.comb(r.n, i) * q ** i * (1 - q) ** (r.n - i) for i in range(r.k + 1)))
+            assert r.p == pytest.approx(exact, rel=1e-9)
+        else:
+            assert 0 < r.p < 1e-3
+
+
+def test_cutoffs_keep_the_risk(spark):
+    """Good documents of one stratum have symbols; there the rule may not be strict."""
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(6000):
+        stratum, good = ("a", "b")[i % 2], int(i % 6 > 1)
+        ratio = rnd.choice((0.5, 3.5)) if not good else (rnd.random() if stratum == "a" else 0.0)
+        rows.append((i, stratum, 100, 500, int(100 * ratio), 0, 0, 10))
+        labels.append((i, good))
+    measured = spark.createDataFrame(rows, "id bigint, stratum string, n_words bigint, word_chars bigint, n_symbols bigint, "
+                                           "n_dup_lines bigint, n_repeat_words bigint, n_lines bigint")
+    labelled = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    chosen = {r.stratum: r for r in qr.cutoffs(measured, labelled).collect()}
+    assert chosen["a"].symbols == 3.0 and chosen["b"].symbols == 0.4
+    kept = qr.judged(measured, qr.cutoffs(measured, labelled)).join(labelled.withColumnRenamed("doc_id", "id"), "id")
+    rejected = kept.filter("quality = 1 and not kept").count()
+    assert rejected == 0
+
+
+def test_few_or_no_labels_reject_nothing_beyond_the_base_rules(spark):
+    measured = qr.measures(hard_documents(spark))
+    for rows in ([], [(1, 1), (2, 0)], [(None, 1), (1, None)]):
+        labels = spark.createDataFrame(rows, "doc_id bigint, quality int")
+        out = qr.judged(measured, qr.cutoffs(measured, labels)).collect()
+        assert len(out) == measured.count() and all(r.kept == (not r.base_failed) for r in out)
+
+
+# --------------------------------------------------------------------- URLs
+
+URLS = [None, "", "no scheme/x", "http://", "http://HOST.net", "http://host.net/", "https://a.Example.NET/en/1?q#f",
+        "https://example.net/en", "https://example.net/en/", "https://notexample.net/en/x", "http://x.example.com/de/1",
+        "http://example.com/DE/1", "ftp://fr.org/fr/", "http://org/fr/x", "http://a.org?/fr/", "http://bad.example.com/en/1",
+        "http://sub.bad.example.com#x", "http://badd.example.com/", "http://a..b/", "http://Ünï.org/fr/é", "x://y://z/w",
+        "http://com/", "http://net"]
+
+
+def brute_judge(url, listed):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    path = path[:min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+    best = None
+    for action, rule in url_filter.RULES:
+        d, s, t = rule.partition("/")
+        if (host == d or host.endswith("." + d)) and path.startswith(s + t) and (best is None or len(rule) > len(best[1])):
+            best = (action, rule)
+    parts = host.split(".")
+    hit = any(".".join(parts[i:]) in listed for i in range(len(parts))) if host else False
+    return host, path, best and best[1], best[0] if best else ("block" if hit else "allow")
+
+
+def test_urls_against_brute_force(spark):
+    listed = {"bad.example.com", "b", "missing.example"}
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(URLS + URLS[:4])],
+                                  "page_id bigint, url string, host string, id int")
+    names = spark.createDataFrame([(x,) for x in [*listed, "b", None]], "d string")
+    got = url_filter.judge(pages, names)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {
+        i: brute_judge(u, listed) for i, u in enumerate(URLS + URLS[:4])}
+    assert "Join" not in plan_of(got) and "Exchange" not in plan_of(got)
+    assert url_filter.judge(pages.limit(0), names).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, names.limit(0)).filter("rule is null").collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("max_bits, cascades", [(1 << 22, 40), (1 << 10, 40), (1 << 10, 1)])
+def test_cascade_is_exact_over_the_universe(spark, monkeypatch, max_bits, cascades):
+    """One cascade, several by key hash, and the semi join of very long lists."""
+    monkeypatch.setattr(url_filter, "MAX_BITS", max_bits)
+    monkeypatch.setattr(url_filter, "MAX_CASCADES", cascades)
+    hosts = spark.range(3000).select(F.concat(F.lit("h"), "id", F.lit(".t"), F.col("id") % 7).alias("host"))
+    listed = hosts.filter("hash(host) % 5 = 0").unionByName(spark.createDataFrame([("t3",), ("not.in.corpus",)], "host string"))
+    want = {r.host for r in listed.collect()}
+    for r in url_filter.blocked(hosts, "host", listed).collect():
+        assert r.listed == (r.host in want or r.host.split(".")[1] in want)
+
+
+def test_cascade_alternates_until_nothing_is_wrong(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "FIRST_RATE", 0.5)
+    keys = spark.range(2000).select(F.col("id").cast("string").alias("key"))
+    listed = keys.filter("key % 4 = 0")
+    levels = url_filter.build_cascade(listed, keys)
+    assert len(levels) > 2
+    wrong = keys.filter(url_filter.in_cascade(F.col("key"), levels) != (F.col("key") % 4 == 0)).count()
+    assert wrong == 0
