@@ -27,8 +27,9 @@ SEPARATORS = {
 UPPER = string.ascii_uppercase
 LOWER = string.ascii_lowercase
 
-# An integer token: optional sign, then one or more ASCII digits, nothing else.
-INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+# An integer token: optional sign, then one or more ASCII digits, nothing else
+# (``$`` would also match before a final carriage return, which a token may hold).
+INTEGER_PATTERN = r"\A[+-]?[0-9]+\z"
 
 
 def _col(c) -> Column:
@@ -42,11 +43,6 @@ def separators(preset: str) -> str:
         raise ValueError(f"unknown separator preset {preset!r}; use one of {sorted(SEPARATORS)}")
 
 
-def ascii_lower(c) -> Column:
-    """Lower-case A-Z only; every other character, accented ones included, is kept."""
-    return F.translate(_col(c), UPPER, LOWER)
-
-
 def tokenize(c, preset: str = "A") -> Column:
     """``array<string>`` of lower-cased tokens split on the preset's separators.
 
@@ -60,23 +56,6 @@ def tokenize(c, preset: str = "A") -> Column:
     return F.array_remove(F.split(mapped, " "), "")
 
 
-def separator_regex(preset: str) -> str:
-    """The preset as a regular-expression character class (used by the SQL oracle)."""
-    out = []
-    for ch in separators(preset):
-        if ch == "\t":
-            out.append("\\t")
-        elif ch == "\n":
-            out.append("\\n")
-        elif ch in "[]-\\^":
-            out.append("\\" + ch)
-        elif ch == "'":
-            out.append("''")  # SQL string quoting
-        else:
-            out.append(ch)
-    return "[" + "".join(out) + "]"
-
-
 def is_integer(c) -> Column:
     """True when the token is an optionally signed run of digits."""
     return _col(c).rlike(INTEGER_PATTERN)
