@@ -8,10 +8,16 @@ the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.session import ship_package
+
+FILE_CHUNKS = 100_000   # Fixed value: chunks of one text file in the reference program.
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -22,44 +28,58 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", id_col: st
     """Scan a document collection and project ``(doc_id, text)``.
 
     ``fmt`` is any Spark data source: parquet/orc/json/csv, ``text`` (one
-    document per line, ids from the file name and line offset are not stable,
-    so the line itself is keyed by a hash of the path and position), or an
-    external connector such as ``mongodb`` whose package is on the classpath.
+    document per line, see :func:`read_lines`), or an external connector such
+    as ``mongodb`` whose package is on the classpath.
     Missing text becomes the empty string; the document still counts.
     """
+    if fmt == "text":
+        return read_lines(spark, path, options)
     reader = spark.read.format(fmt)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
-    if fmt == "text":
-        df = reader.load(path)
-        df = df.select(
-            F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()).alias("doc_id"),
-            F.col("value").alias("text"))
-        return df
     df = reader.load(path)
     return df.select(F.col(id_col).alias("doc_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def corpus_from(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rename any (id, text) pair of columns to the corpus schema."""
-    return df.select(F.col(id_col).alias("doc_id"),
-                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def read_lines(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:
+    """Each line of text files as a document; ``doc_id`` is ``file:line``,
+    lines numbered from 0, the same however the files are split for reading.
 
+    Rows of one block of a file are numbered by their place in the scan; what
+    is added is the number of lines in earlier blocks of the file, a window
+    over one row per block.
+    """
+    lines = spark.read.options(**(options or {})).text(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    based = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(based, ["file", "block"]).select(
+        F.concat_ws(":", "file", F.col("place") + F.col("shift")).alias("doc_id"), "text")
 
-def check_unique_ids(corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Raise if any id is null or repeated; returns the corpus unchanged.
+
+def unique_ids(corpus: DataFrame, id_col: str = "doc_id") -> int:
+    """Number of documents; raises if any id is null or repeated.
 
     The check is one partially aggregated count per id: a hot id is combined
-    map-side before the shuffle. Runs eagerly (it is a validation).
+    map-side before the shuffle. Runs eagerly over the id column alone.
     """
-    bad = (corpus.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-           .where(F.col(id_col).isNull() | (F.col("n") > 1))
-           .agg(F.count(F.lit(1)).alias("ids"), F.sum(F.col("n")).alias("rows"))
+    got = (corpus.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+           .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                F.count(F.when(F.col(id_col).isNull() | (F.col("n") > 1), F.lit(1))).alias("bad"),
+                F.sum(F.when(F.col(id_col).isNull() | (F.col("n") > 1), F.col("n"))).alias("bad_rows"))
            .collect()[0])
-    if bad["ids"]:
-        raise ValueError(f"document ids must be unique and not null: {bad['ids']} ids "
-                         f"cover {bad['rows']} rows")
+    if got["bad"]:
+        raise ValueError(f"document ids must be unique and not null: {got['bad']} ids "
+                         f"cover {got['bad_rows']} rows")
+    return int(got["rows"])
+
+
+def check_unique_ids(corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Raise if any id is null or repeated; returns the corpus unchanged."""
+    unique_ids(corpus, id_col)
     return corpus
 
 
@@ -105,31 +125,80 @@ def chunk_documents(corpus: DataFrame, size: int, drop_tail: bool = False,
             .select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), "text"))
 
 
-def chunk_ids(chunks: DataFrame) -> DataFrame:
-    """Give chunks a single string key ``<doc_id>:<chunk>`` to use them as documents."""
-    return chunks.select(F.concat_ws(":", F.col("doc_id").cast("string"),
-                                     F.col("chunk").cast("string")).alias("doc_id"), "text")
+def file_size(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen())
 
 
-def write_result(df: DataFrame, path: str, cluster_by: str | None = None,
+def read_file_chunks(spark: SparkSession, path: str, chunks: int = FILE_CHUNKS) -> DataFrame:
+    """One large text file as ``chunks`` documents of equal length in bytes:
+    ``(doc_id, text)``, ``doc_id`` the chunk number (a shorter file gives one
+    chunk per byte at most, an empty file none).
+
+    Chunks are byte ranges read by the tasks that need them, so one file is
+    read in parallel and never passes through one task. A code point that
+    spans a boundary goes whole to the chunk in which it begins; other bytes
+    that are no UTF-8 become U+FFFD. Line ends are ordinary characters, so
+    windows cross lines. ``path`` is any URI known to Arrow (file, hdfs, s3).
+    """
+    ship_package(spark)
+    size = file_size(spark, path)
+    n = min(chunks, size)
+    spans = spark.range(n, numPartitions=max(1, min(n, spark.sparkContext.defaultParallelism * 4)))
+
+    def run(batches):
+        fs, name = file_system(path)
+        with fs.open_input_file(name) as f:
+            for b in batches:
+                ids = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([_chunk_text(f, i * size // n, (i + 1) * size // n, size) for i in ids], pa.string())],
+                    ["doc_id", "text"])
+    return spans.mapInArrow(run, "doc_id bigint, text string")
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a URI or plain local path, and the path in it."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    if "://" not in uri:
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _chunk_text(f, start: int, end: int, size: int) -> str:
+    """Bytes ``start`` to ``end`` as text, whole code points by their first byte."""
+    f.seek(start)
+    data = f.read(min(end + 3, size) - start)
+    def begins(at: int) -> int:
+        """The first position from ``at`` that does not continue a code point."""
+        k = at
+        while k < len(data) and k < at + 3 and data[k] & 0xC0 == 0x80:
+            k += 1
+        return k
+    first = begins(0) if start else 0
+    last = begins(end - start) if end < size else len(data)
+    return data[first:max(first, last)].decode("utf-8", "replace")
+
+
+def write_result(df: DataFrame, path: str, cluster_by: str | list[str] | None = None,
                  partition_by: list[str] | None = None, mode: str = "overwrite",
                  num_partitions: int | None = None) -> None:
     """Write a result table as parquet.
 
-    ``cluster_by`` range-partitions and sorts rows on that column so each
-    file holds a key range (term or doc_id): readers filtering on it skip
-    files by their min/max statistics. No coalesce to one file.
+    ``cluster_by`` range-partitions and sorts rows on those columns so each
+    file holds a key range: readers filtering on it skip files by their
+    min/max statistics. For postings and TF-IDF give ``["term", "doc_id"]``:
+    the second column lets a stop word's rows be split over files. No
+    coalesce to one file.
     """
     out = df
     if cluster_by:
-        out = (out.repartitionByRange(num_partitions, cluster_by) if num_partitions
-               else out.repartitionByRange(cluster_by))
-        out = out.sortWithinPartitions(cluster_by)
+        keys = [cluster_by] if isinstance(cluster_by, str) else list(cluster_by)
+        out = (out.repartitionByRange(num_partitions, *keys) if num_partitions
+               else out.repartitionByRange(*keys))
+        out = out.sortWithinPartitions(*keys)
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-
-
-def lit_col(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(v)
