@@ -8,25 +8,24 @@ Semantics (fixed by the reference program):
 - ``idf = ln(N / df)`` with no smoothing, narrowed to float as the reference
   sends it; ``tf_idf = tf * idf`` in double. ``idf = 0`` rows are kept.
 
-Plan shape. Tokens are exploded next to the document length and counted by
-``(doc_id, term)``; since one document's tokens sit in one input partition,
-the partial aggregate before the exchange combines them completely, so only
-distinct (document, term) rows cross the network. Document frequency is a
-partially aggregated count by term, so a hot term is combined map-side
-before its shuffle. The idf table is joined back on ``term``: AQE broadcasts
-it when its runtime size is under the threshold, otherwise it is a
-sort-merge join whose skewed (stop-word) partitions AQE splits. ``N`` is a
-scalar subquery (one row, computed once).
+Plan shape. A document is one row, so its terms are counted inside the row
+(sorted tokens, run boundaries) and (document, term) rows are never shuffled.
+Document frequency is a partially aggregated count by term, so a hot term is
+combined map-side before its shuffle. The idf table is joined back on
+``term``: AQE broadcasts it when its runtime size is under the threshold,
+otherwise it is a sort-merge join whose skewed (stop-word) partitions AQE
+splits. N comes from the check that document ids are unique, which reads the
+id column only, so the text is scanned twice in all.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.arrays import value_counts
 from wordloom.functions.text import tokenize
-from wordloom.sources.corpus import check_unique_ids
+from wordloom.sources.corpus import check_unique_ids, unique_ids
 
 
 def tokenized(corpus: DataFrame, preset: str = "A") -> DataFrame:
@@ -45,29 +44,27 @@ def doc_terms(corpus: DataFrame, preset: str = "A") -> DataFrame:
                          .alias("terms"))
 
 
-def term_counts(corpus: DataFrame, preset: str = "A") -> DataFrame:
+def term_counts(corpus: DataFrame, preset: str = "A", check_ids: bool = True) -> DataFrame:
     """``(doc_id, term, cnt, total)``, one row per distinct term of a document.
 
-    Tokens are exploded beside the document length and counted by
-    ``(doc_id, term)``. A document's tokens all sit in one input partition,
-    so the partial aggregate before the exchange already combines them
-    completely: only distinct (document, term) rows are shuffled.
+    Counted inside each row: no shuffle, and rows are never merged by id.
+    ``check_ids`` raises on null or repeated ids (D5).
     """
+    if check_ids:
+        check_unique_ids(corpus)
     w = tokenize(F.col("text"), preset)
-    # explode_outer: a plain explode makes Catalyst infer a size(tokens) > 0
+    # explode_outer: a plain explode makes Catalyst infer a size(..) > 0
     # filter that tokenizes every document a second time.
     return (corpus.select("doc_id", w.alias("_w"))
             .select("doc_id", F.size("_w").cast("bigint").alias("total"),
-                    F.explode_outer("_w").alias("term"))
-            .where(F.col("term").isNotNull())
-            .groupBy("doc_id", "term", "total")
-            .agg(F.count(F.lit(1)).alias("cnt"))
-            .select("doc_id", "term", "cnt", "total"))
+                    F.explode_outer(value_counts(F.col("_w"))).alias("_t"))
+            .where(F.col("_t").isNotNull())
+            .select("doc_id", F.col("_t.value").alias("term"), F.col("_t.cnt").alias("cnt"), "total"))
 
 
-def tf(corpus: DataFrame, preset: str = "A") -> DataFrame:
+def tf(corpus: DataFrame, preset: str = "A", check_ids: bool = True) -> DataFrame:
     """``(doc_id, term, cnt, total, tf)``."""
-    tc = term_counts(corpus, preset)
+    tc = term_counts(corpus, preset, check_ids)
     return tc.select("doc_id", "term", "cnt", "total",
                      (F.col("cnt") / F.col("total")).alias("tf"))
 
@@ -91,9 +88,10 @@ def corpus_document_frequency(corpus: DataFrame, preset: str = "A") -> DataFrame
             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
-def idf(corpus: DataFrame, preset: str = "A") -> DataFrame:
-    """``(term, df, idf)`` with ``idf = float(ln(N / df))``."""
-    n_docs = doc_count(corpus).scalar()
+def idf(corpus: DataFrame, preset: str = "A", n_docs: int | None = None) -> DataFrame:
+    """``(term, df, idf)`` with ``idf = float(ln(N / df))``; N is counted
+    unless it is given."""
+    n_docs = doc_count(corpus).scalar() if n_docs is None else F.lit(n_docs)
     return (corpus_document_frequency(corpus, preset)
             .select("term", "df",
                     F.ln(n_docs.cast("double") / F.col("df")).cast("float").alias("idf")))
@@ -113,27 +111,17 @@ def postings(corpus: DataFrame, preset: str = "A") -> DataFrame:
             .select("term", "doc_id", F.col("pos").cast("bigint").alias("pos")))
 
 
-def tfidf(corpus: DataFrame, preset: str = "A", persist: bool = False,
-          check_ids: bool = True) -> DataFrame:
+def tfidf(corpus: DataFrame, preset: str = "A") -> DataFrame:
     """Long-form TF-IDF ``(doc_id, term, cnt, total, tf, df, idf, tf_idf)``.
 
-    Two scans of the documents: one counts (doc, term) rows, the other the
-    per-document distinct terms by term; measured faster than persisting
-    the term counts and reusing them. ``persist`` keeps the counts
-    (memory, spilling to disk) for callers reusing them; a lost executor
-    then only costs recomputation.
-
-    ``check_ids`` first verifies that document ids are unique and not null
-    (one partially aggregated count of the ids, run eagerly) and raises
-    otherwise: N and the per-document rows assume one row per document.
+    First verifies that document ids are unique and not null and raises
+    otherwise (N and the per-document rows assume one row per document); that
+    check also counts N. Then two scans of the text: one for the (document,
+    term) rows, the other for the document frequencies.
     """
-    if check_ids:
-        check_unique_ids(corpus)
-    tc = term_counts(corpus, preset)
-    if persist:
-        tc = tc.persist(StorageLevel.MEMORY_AND_DISK)
-    idf_t = idf(corpus, preset)
-    return (tc.join(idf_t, "term")
+    n_docs = unique_ids(corpus)
+    tc = term_counts(corpus, preset, check_ids=False)
+    return (tc.join(idf(corpus, preset, n_docs), "term")
             .select("doc_id", "term", "cnt", "total",
                     (F.col("cnt") / F.col("total")).alias("tf"),
                     "df", "idf",
@@ -143,18 +131,23 @@ def tfidf(corpus: DataFrame, preset: str = "A", persist: bool = False,
 def tfidf_vectors(corpus: DataFrame, preset: str = "A") -> DataFrame:
     """Per document, aligned arrays sorted by term: ``(doc_id, terms, tf, tf_idf)``.
 
-    The long form is regrouped by document (a document's terms were one row
-    to begin with, so a group is bounded by a row). Documents without terms
-    keep empty arrays through a right join on the document ids.
+    The term rows, with one row of null term for a document without any, are
+    joined to the idf table and regrouped by document (a document's terms were
+    one row to begin with, so a group is bounded by a row).
     """
-    long = tfidf(corpus, preset)
-    per_doc = (long.groupBy("doc_id")
-               .agg(F.sort_array(F.collect_list(F.struct("term", "tf", "tf_idf"))).alias("_v")))
-    return (per_doc.join(corpus.select("doc_id"), "doc_id", "right")
-            .select("doc_id",
-                    F.coalesce(F.col("_v.term"), F.array().cast("array<string>")).alias("terms"),
-                    F.coalesce(F.col("_v.tf"), F.array().cast("array<double>")).alias("tf"),
-                    F.coalesce(F.col("_v.tf_idf"), F.array().cast("array<double>")).alias("tf_idf")))
+    n_docs = unique_ids(corpus)
+    w = tokenize(F.col("text"), preset)
+    rows = (corpus.select("doc_id", w.alias("_w"))
+            .select("doc_id", F.size("_w").alias("total"), F.explode_outer(value_counts(F.col("_w"))).alias("_t"))
+            # a null term would send all empty documents to one task
+            .select("doc_id", F.coalesce(F.col("_t.value"), F.concat(F.lit("\n"), F.col("doc_id").cast("string"))).alias("term"),
+                    (F.col("_t.cnt") / F.col("total")).alias("tf")))
+    got = rows.join(idf(corpus, preset, n_docs).select("term", "idf"), "term", "left").select(
+        "doc_id", F.when(F.col("tf").isNotNull(), F.struct("term", "tf", (
+            F.col("tf") * F.col("idf").cast("double")).alias("tf_idf"))).alias("_v"))
+    return (got.groupBy("doc_id").agg(F.sort_array(F.collect_list("_v")).alias("_v"))
+            .select("doc_id", F.col("_v.term").alias("terms"), F.col("_v.tf").alias("tf"),
+                    F.col("_v.tf_idf").alias("tf_idf")))
 
 
 def empty_documents(corpus: DataFrame, preset: str = "A") -> DataFrame:
