@@ -64,6 +64,14 @@ def overfrequent(counts: DataFrame, max_freq: float = MAX_FREQ) -> DataFrame:
     return counts.where(F.col("count") > max_count(counts, max_freq))
 
 
+def frequent_words(counts: DataFrame, max_freq: float = MAX_FREQ) -> DataFrame:
+    """Words with more than ``max_freq`` of all tokens. Fewer than ``1 /
+    max_freq`` words can be (their shares add up to at most one): 200 by
+    default, which bounds the broadcasts of this table below."""
+    t = counts.agg(F.sum("count").cast("double")).scalar()
+    return counts.where(F.col("count") > t * F.lit(float(max_freq))).select("word")
+
+
 def integer_words(vocab: DataFrame, max_len: int = MAX_INT_LEN) -> DataFrame:
     """Integer words of the vocabulary with ``dropped`` = longer than ``max_len`` bytes."""
     return (vocab.where(is_integer("word"))
@@ -75,6 +83,12 @@ def drop_long_integers(vocab: DataFrame, max_len: int = MAX_INT_LEN) -> DataFram
     return vocab.where(~is_long_integer("word", max_len))
 
 
+def tree_words(counts: DataFrame, min_count: int = MIN_COUNT, max_freq: float = MAX_FREQ,
+               max_int_len: int = MAX_INT_LEN) -> DataFrame:
+    """Words of a count table that get a leaf in the code tree: ``(word, count)``."""
+    return drop_long_integers(vocabulary(counts, min_count, max_freq), max_int_len)
+
+
 def tree_vocabulary(corpus: DataFrame, preset: str = "C", min_count: int = MIN_COUNT,
                     max_freq: float = MAX_FREQ, max_int_len: int = MAX_INT_LEN) -> DataFrame:
     """Words that get a leaf in the code tree: ``(word, count)``."""
@@ -103,21 +117,35 @@ def lookup(vocab: DataFrame, words: DataFrame, word_col: str = "word") -> DataFr
     return w.join(vocab.select("word", "count"), "word", "left")
 
 
-def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Tokens ``(doc_id, pos, word)`` with ``known``; positions of unknown words kept."""
-    v = vocab.select("word", F.lit(True).alias("_k"))
-    return (tokens.join(v, "word", "left")
+def encode(tokens: DataFrame, vocab: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+    """Tokens ``(doc_id, pos, word)`` with ``known``; positions of unknown words kept.
+
+    ``frequent`` (see :func:`frequent_words`) are words too common to be in
+    the vocabulary. Their tokens join on a key of their own row instead of the
+    word, so that no stop word gathers in one task.
+    """
+    v = vocab.select(F.col("word").alias("_key"), F.lit(True).alias("_k"))
+    key = F.col("word")
+    if frequent is not None:
+        tokens = tokens.join(F.broadcast(frequent.select("word", F.lit(True).alias("_hot"))), "word", "left")
+        # no token holds a line end
+        key = F.when(F.col("_hot"), F.concat_ws("\n", F.lit(""), F.col("doc_id"), F.col("pos"))).otherwise(F.col("word"))
+    return (tokens.withColumn("_key", key).join(v, "_key", "left")
             .select("doc_id", "pos", "word", F.coalesce("_k", F.lit(False)).alias("known")))
 
 
-def known_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Tokens whose word is in the vocabulary (left semi join)."""
+def known_tokens(tokens: DataFrame, vocab: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+    """Tokens whose word is in the vocabulary. ``frequent`` words, which cannot
+    be, leave before the tokens are shuffled; any other word has at most
+    ``max_freq`` of the tokens."""
+    if frequent is not None:
+        tokens = tokens.join(F.broadcast(frequent), "word", "left_anti")
     return tokens.join(vocab.select("word"), "word", "left_semi").select("doc_id", "pos", "word")
 
 
-def oov_rate(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+def oov_rate(tokens: DataFrame, vocab: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """One row: tokens, known tokens, unknown tokens."""
-    e = encode(tokens, vocab)
+    e = encode(tokens, vocab, frequent)
     return e.agg(F.count(F.lit(1)).alias("n_tokens"),
                  F.count(F.when(F.col("known"), F.lit(1))).alias("n_known"),
                  F.count(F.when(~F.col("known"), F.lit(1))).alias("n_oov"))
