@@ -2,13 +2,12 @@
 
 A vector table is ``(id, vec array<double>)``; ids may be words or numbers.
 
-Exact nearest neighbours need one similarity per (query, vector): the query
-side is broadcast only after its size is checked (rows x dimension), and
-beyond the limit the queries are split into blocks that each fit. The vector
-side is streamed and never collected. Top-k per query uses ``row_number``
-over the query, which Spark turns into a per-partition top-k
-(``WindowGroupLimit``) before the shuffle, so each query moves at most k
-rows per partition.
+Exact nearest neighbours compare every vector with a stated set of queries.
+The queries are read once, in blocks of at most ``MAX_QUERY_BYTES``; a block
+is broadcast as one matrix, and each task multiplies it with its Arrow batches
+of vectors and keeps the k best rows of each query. So a task's memory and
+what it sends on are bounded by the block and k, vectors are scanned once per
+block and never collected, and the last step ranks k rows per task and query.
 
 Element-wise sums use MLlib's ``Summarizer`` aggregate, which runs in the
 JVM with partial aggregation: a hot key (the root node, a common word) is
@@ -17,14 +16,19 @@ combined map-side before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import vector as V
+from wordloom.session import ship_package
 
-# Broadcast budget for query vectors (bytes of doubles).
+# Broadcast budget for one block of query vectors (bytes of doubles).
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 
 
@@ -32,10 +36,10 @@ def as_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), V.as_double(vec_col).alias("vec"))
 
 
-def with_unit(vectors: DataFrame) -> DataFrame:
-    """Adds ``unit``: the vector divided by its norm, null for a zero vector."""
-    with_n = vectors.withColumn("_n", V.norm("vec"))
-    return with_n.withColumn("unit", F.when(F.col("_n") > 0, V.divide("vec", F.col("_n")))).drop("_n")
+def lookup_vectors(vectors: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """``(id, vec)`` of the given ids, each once; unknown ids keep a null vector."""
+    wanted = ids.select(F.col(id_col).alias("id")).distinct()
+    return wanted.join(vectors.select("id", "vec"), "id", "left")
 
 
 def cosine_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -56,64 +60,109 @@ def score_pairs(vectors: DataFrame, pairs: DataFrame, scale: float = 1.0) -> Dat
     return x.select("a", "b", "dot", V.clipped_logistic(F.col("_x")).alias("score"))
 
 
-def _query_blocks(queries: DataFrame, dim_hint: int | None = None) -> list[DataFrame]:
-    """Split the query table so each broadcast piece stays under the budget."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"),
-                        F.max(F.size("qvec")).alias("d")).collect()[0]
-    n, d = int(stats["n"] or 0), int(stats["d"] or dim_hint or 1)
-    per_row = 8 * max(d, 1) * 2 + 64
-    blocks = max(1, -(-n * per_row // MAX_QUERY_BYTES))
-    if blocks == 1:
-        return [queries]
-    b = F.pmod(F.xxhash64(F.col("query_id")), F.lit(blocks))
-    tagged = queries.withColumn("_blk", b)
-    return [tagged.where(F.col("_blk") == i).drop("_blk") for i in range(blocks)]
-
-
-def _similarities(vectors: DataFrame, queries: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """``(query_id, id, sim)`` for every vector and (broadcast) query."""
-    u = with_unit(vectors).select("id", "unit")
-    parts = []
-    for blk in _query_blocks(queries):
-        q = with_unit(blk.select("query_id", F.col("qvec").alias("vec"))).select(
-            "query_id", F.col("unit").alias("qunit"))
-        s = (u.join(F.broadcast(q), how="inner")
-             .select("query_id", "id",
-                     F.when(F.col("unit").isNotNull() & F.col("qunit").isNotNull(),
-                            V.dot("unit", "qunit")).alias("sim")))
-        parts.append(s)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if exclude is not None:
-        out = out.join(F.broadcast(exclude.select("query_id", "id")), ["query_id", "id"], "left_anti")
-    return out
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, include_self: bool = True,
-            self_ids: DataFrame | None = None) -> DataFrame:
+def _query_blocks(queries: DataFrame) -> Iterator[list]:
+    """Rows ``(query_id, qvec, exclude)`` in blocks that fit the budget; the
+    query table is evaluated once and streamed to the driver."""
+    block, size = [], 0
+    for row in queries.toLocalIterator():
+        block.append(row)
+        size += 8 * len(row["qvec"] or ()) + 64
+        if size >= MAX_QUERY_BYTES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    """A list column as a matrix; differing lengths raise."""
+    lengths = np.diff(np.asarray(col.offsets))
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors differ in length")
+    return np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), -1)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows divided by their norm; NaN for a zero row."""
+    n = np.sqrt((m * m).sum(axis=1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.where(n > 0, n, np.nan)[:, None]
+
+
+def _best(vectors: DataFrame, block: list, k: int, sign: float) -> DataFrame:
+    """Per task, the ``k`` rows of each query with the greatest ``sign *
+    similarity`` (ties by id, similarities with a zero vector last)."""
+    spark = vectors.sparkSession
+    unit = _unit(np.array([r["qvec"] for r in block], dtype=np.float64).reshape(len(block), -1))
+    skip = [set(r["exclude"] or ()) for r in block]
+    bc = spark.sparkContext.broadcast((unit, skip))
+    id_type = vectors.schema["id"].dataType
+
+    def run(batches):
+        q, excluded = bc.value
+        best: list[list[tuple]] = [[] for _ in q]      # (is null, -sign * sim, id)
+        ids_type = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids_type = b.column(0).type
+            ids = b.column(0).to_pylist()
+            m = _matrix(b.column(1))
+            if m.shape[1] != q.shape[1]:
+                raise ValueError("vectors differ in length")
+            sims = sign * (_unit(m) @ q.T)
+            order = np.where(np.isnan(sims), -np.inf, sims)
+            for i in range(len(q)):
+                # all rows not below the k-th best once excluded ones are gone
+                keep = min(len(ids), k + len(excluded[i]))
+                least = np.partition(order[:, i], len(ids) - keep)[len(ids) - keep]
+                for r in np.flatnonzero(order[:, i] >= least):
+                    if ids[r] not in excluded[i]:
+                        s = sims[r, i]
+                        best[i].append((bool(np.isnan(s)), 0.0 if np.isnan(s) else -s, ids[r]))
+                best[i] = sorted(best[i])[:k]
+        rows = [(i, *row) for i, rows in enumerate(best) for row in rows]
+        if rows:
+            sim = [None if null else -sign * s for _, null, s, _ in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[3] for r in rows], ids_type),
+                 pa.array(sim, pa.float64())], ["q", "id", "sim"])
+
+    ship_package(spark)
+    got = vectors.select("id", "vec").mapInArrow(run, f"q int, id {id_type.simpleString()}, sim double")
+    w = Window.partitionBy("q").orderBy((F.col("sim") * sign).desc_nulls_last(), F.col("id").asc())
+    names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(block)], ["q", "query_id"])
+    ranked = got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.join(names.withColumn("q", F.col("q").cast("int")), "q")
+
+
+def _ranked(vectors: DataFrame, queries: DataFrame, k: int, sign: float = 1.0) -> DataFrame:
+    if "exclude" not in queries.columns:
+        queries = queries.withColumn("exclude", F.lit(None))
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    out = None
+    for block in _query_blocks(queries.select("query_id", "qvec", "exclude")):
+        part = _best(vectors, block, k, sign)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.select("id", F.lit(None).alias("query_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("sim")).limit(0)
+    return out.select(F.col("query_id").cast(query_type), F.col("rank").cast("bigint").alias("rank"), "id", "sim")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Top-k most similar vectors per query: ``(query_id, rank, id, sim)``.
 
-    ``queries`` is ``(query_id, qvec)``. Ties by id; null similarities
-    (zero vectors) sort last. ``include_self=False`` drops the rows listed in
-    ``self_ids`` ``(query_id, id)``.
+    ``queries`` is ``(query_id, qvec)`` with, optionally, ``exclude``, an
+    array of ids that are no answers. Ties by id; null similarities (zero
+    vectors) sort last.
     """
-    sims = _similarities(vectors, queries, None if include_self else self_ids)
-    w = Window.partitionBy("query_id").orderBy(F.col("sim").desc_nulls_last(), F.col("id").asc())
-    return (sims.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "sim"))
+    return _ranked(vectors, queries, k)
 
 
 def farthest(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Least similar vector per query ``(query_id, id, sim)``; ties by smallest id.
-
-    A min-by aggregate with partial aggregation: no sort of all similarities.
-    """
-    sims = _similarities(vectors, queries).where(F.col("sim").isNotNull())
-    best = F.min_by(F.struct("sim", "id"), F.struct("sim", "id"))
-    return (sims.groupBy("query_id").agg(best.alias("_b"))
-            .select("query_id", F.col("_b.id").alias("id"), F.col("_b.sim").alias("sim")))
+    """Least similar vector per query ``(query_id, id, sim)``; ties by smallest
+    id, zero vectors are no answers."""
+    return _ranked(vectors, queries, 1, -1.0).where(F.col("sim").isNotNull()).select("query_id", "id", "sim")
 
 
 def analogy(vectors: DataFrame, triples: DataFrame, k: int = 1) -> DataFrame:
@@ -126,9 +175,8 @@ def analogy(vectors: DataFrame, triples: DataFrame, k: int = 1) -> DataFrame:
     t = (triples.join(vec.select(F.col("id").alias("a"), F.col("vec").alias("_a")), "a")
          .join(vec.select(F.col("id").alias("b"), F.col("vec").alias("_b")), "b")
          .join(vec.select(F.col("id").alias("c"), F.col("vec").alias("_c")), "c"))
-    q = t.select("query_id", V.add(V.sub("_a", "_b"), "_c").alias("qvec"))
-    excl = triples.select("query_id", F.explode(F.array("a", "b", "c")).alias("id"))
-    return nearest(vec, q, k=k, include_self=False, self_ids=excl)
+    q = t.select("query_id", V.add(V.sub("_a", "_b"), "_c").alias("qvec"), F.array("a", "b", "c").alias("exclude"))
+    return nearest(vec, q, k=k)
 
 
 def components(vectors: DataFrame, k: int) -> DataFrame:
@@ -136,19 +184,18 @@ def components(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("id", F.slice("vec", 1, k).alias("comps"))
 
 
-def vector_stats(df: DataFrame, key: str | list[str], vec_col: str, extra=None) -> DataFrame:
+def vector_stats(df: DataFrame, key: str | list[str], vec_col: str, extra: dict | None = None) -> DataFrame:
     """``(key..., n, vec_sum, vec_mean)`` element-wise over ``array<double>`` rows.
 
     Summarizer is a JVM aggregate with partial aggregation; sums are
     ``mean * n`` as Summarizer keeps them, equal to a plain sum up to
-    rounding.
+    rounding. ``extra``: further aggregates by the name they get.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    extra = list(extra or [])
+    extra = extra or {}
     s = Summarizer.metrics("count", "sum", "mean").summary(array_to_vector(F.col(vec_col)))
-    names = [e._jc.toString().split(" AS ")[-1].strip("`") for e in extra]
-    return (df.groupBy(*keys).agg(s.alias("_s"), *extra)
-            .select(*keys, *names, F.col("_s.count").cast("bigint").alias("n"),
+    return (df.groupBy(*keys).agg(s.alias("_s"), *[e.alias(n) for n, e in extra.items()])
+            .select(*keys, *extra, F.col("_s.count").cast("bigint").alias("n"),
                     vector_to_array(F.col("_s.sum")).alias("vec_sum"),
                     vector_to_array(F.col("_s.mean")).alias("vec_mean")))
 
