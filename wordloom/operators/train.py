@@ -1,26 +1,32 @@
-"""Skip-gram word vectors with hierarchical softmax, trained as DataFrame jobs.
-
-Parameters are two tables: ``words(word, vec)`` (input vectors, one per
-leaf) and ``nodes(node, vec)`` (one per internal node, heap-numbered as in
-``huffman``). Two trainers:
-
-- **synchronous** (``hs_gradient`` + ``fit_sync``): the full-batch gradient
-  at fixed parameters depends on a pair only through (word, node, label), so
-  co-occurrence counts are joined to the paths and aggregated *before* any
-  vector is touched; gradients are then element-wise vector sums by key
-  (JVM ``Summarizer`` with partial aggregation, so the root node - on every
-  path - is combined map-side). Pure DataFrame: scales past one machine.
-- **local SGD with parameter averaging** (``local_sgd`` + ``average``), the
-  reference's scheme: each of P replicas (a hash partition of documents)
-  runs sequential SGD over its own documents from the same parameters in a
-  ``mapInPandas`` task and emits the change of every row it touched; the
-  new parameters are ``base + sum(delta) / P``. The model is broadcast to the
-  replicas, so its size is checked first (``MAX_MODEL_BYTES``); above it use
-  the synchronous trainer.
-
-Each iteration writes the parameters as parquet under the shared checkpoint
-folder and reads them back: the lineage stays one iteration long and a
-restarted job resumes from the last written iteration.
+"""Skip-gram word vectors with hierarchical softmax, trained as Spark jobs.
+
+Parameters are one table ``(kind, id, vec)``: kind ``word`` (one row per leaf,
+``id`` its place by descending count) and kind ``node`` (one per internal
+node, heap-numbered as in ``huffman``).
+
+Both trainers repeat one kind of job, :func:`_round`. Work is dealt to groups;
+a written table says which parameters each group needs. Every iteration joins
+the needs with the current parameters, brings them to the group's task beside
+its work, and a numpy kernel sends back what changed; Spark adds the changes
+by key with partial aggregation and writes the new parameters. No task holds
+more of the model than its group needs, nothing is collected or broadcast by
+hint, and the same plan runs at every model size.
+
+- **Synchronous** (:func:`fit_sync`): the full-batch gradient at fixed
+  parameters depends on a pair only through (word, node, label), so
+  co-occurrences are joined to the paths and added up once, before training.
+  A group is a cell of a grid, one block of words by one block of nodes; its
+  work are the cell's ``(word, node, n, n1)``. The step is per coordinate:
+  ``lr * g / sqrt(sum of g^2 so far)`` (AdaGrad), so no coordinate moves more
+  than ``lr`` an iteration whatever the corpus size.
+- **Local SGD with parameter averaging** (:func:`fit_local`), the reference's
+  scheme: a group is a replica, its work are its documents; it takes one SGD
+  step per (centre, context) pair, in order of documents and positions, from
+  the same parameters, and the new parameters are ``base + sum(changes) /
+  replicas``. Replicas share nothing, so a task runs many of them in lockstep:
+  the next pair of each is one numpy operation over all of them.
+
+Tables of an iteration are removed when the next one is written.
 
 The logistic is clipped at +-6 (exactly 0 or 1), and the update is still
 applied there, as in the reference. The reference's learning-rate decay used
@@ -31,21 +37,23 @@ the start rate.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wordloom.functions import vector as V
 from wordloom.functions.hashing import TWO_32, hash32, keyed
 from wordloom.operators import huffman as hf
 from wordloom.operators import skipgram as sg
 from wordloom.operators import vectors as vx
-from wordloom.session import scratch_path
+from wordloom.operators import vocab as vo
+from wordloom.operators.tfidf import token_positions
+from wordloom.session import remove_written, ship_package, written
+from wordloom.sources.corpus import check_unique_ids
 
 # Training settings of the reference program.
 DIM = 100
@@ -53,13 +61,11 @@ LEARNING_RATE = 0.025
 ITERATIONS = 30
 MIN_LR_FRACTION = 1e-4
 
-MAX_MODEL_BYTES = 1 << 29   # broadcast budget (bytes) for the model: 512 MiB
-
-
-@dataclass
-class Params:
-    words: DataFrame   # (word string, vec array<double>)
-    nodes: DataFrame   # (node bigint, vec array<double>)
+BLOCK_ROWS = 4096        # words, and nodes, in a block of the gradient's grid
+CELL_ENTRIES = 100_000   # (word, node) entries in one row of a cell's work
+REPLICAS = 64
+LOCKSTEP = 32            # replicas of a task that step together
+LOSS_FLOOR = 1e-7        # sigma is kept this far from 0 and 1 in the reported loss
 
 
 def learning_rate(it: int, iters: int, start: float = LEARNING_RATE, schedule: str = "constant") -> float:
@@ -70,430 +76,445 @@ def learning_rate(it: int, iters: int, start: float = LEARNING_RATE, schedule: s
     raise ValueError(f"unknown schedule {schedule!r}")
 
 
-def init_word_vectors(vocab: DataFrame, dim: int = DIM, seed: int = 0) -> DataFrame:
-    """``(word, vec)`` with components ``(u(word:i:seed) - 0.5) / dim``, u uniform in [0, 1)."""
+# ----------------------------------------------------------------- preparation
+
+@dataclass
+class Prepared:
+    """What training reads, each table written once.
+
+    ``words (word, count, id, len, code)``; ``paths (id, depth, node,
+    label)``; ``docs (doc_id, pos array<bigint>, ids array<bigint>)``, the
+    known tokens of a document in order of position.
+    """
+    words: DataFrame
+    paths: DataFrame
+    docs: DataFrame
+
+
+def prepare(corpus: DataFrame, preset: str = "C", min_count: int = vo.MIN_COUNT,
+            max_freq: float = vo.MAX_FREQ) -> Prepared:
+    """Vocabulary, codes and encoded documents; two scans of the text. Null or
+    repeated document ids raise (D5)."""
+    check_unique_ids(corpus)
+    counts = written(vo.word_counts(corpus, preset), "counts")
+    codes = hf.huffman_codes(vo.tree_words(counts, min_count, max_freq))
+    words = written(codes.withColumnRenamed("place", "id"), "words")
+    tokens = token_positions(corpus, preset).join(F.broadcast(vo.frequent_words(counts, max_freq)), "word", "left_anti") \
+        .join(words.select("word", "id"), "word")
+    docs = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("t")) \
+        .select("doc_id", F.col("t.pos").alias("pos"), F.col("t.id").alias("ids"))
+    return Prepared(words, written(hf.huffman_paths(words, "id"), "paths"), written(docs, "docs"))
+
+
+def uniform_vector(key: Column, dim: int, seed: int) -> Column:
+    """Components ``u(key:i:seed) - 0.5``, u uniform in [0, 1) from md5."""
     idx = F.sequence(F.lit(0), F.lit(dim - 1))
-    vec = F.transform(idx, lambda i: (hash32(keyed(F.col("word"), i, seed)) / F.lit(TWO_32) - F.lit(0.5))
-                      / F.lit(float(dim)))
-    return vocab.select("word", vec.alias("vec"))
+    return F.transform(idx, lambda i: hash32(keyed(key, i, seed)) / F.lit(TWO_32) - F.lit(0.5))
+
+
+def _initial(word: Column, dim: int, seed: int) -> Column:
+    return F.transform(uniform_vector(word, dim, seed), lambda x: x / F.lit(float(dim)))
+
+
+def init_word_vectors(vocab: DataFrame, dim: int = DIM, seed: int = 0) -> DataFrame:
+    """``(word, vec)`` with components ``(u(word:i:seed) - 0.5) / dim``."""
+    return vocab.select("word", _initial(F.col("word"), dim, seed).alias("vec"))
+
+
+def init_params(prep: Prepared, dim: int = DIM, seed: int = 0) -> DataFrame:
+    """Leaves random in (-0.5, 0.5) / dim, internal nodes zero, and a row of
+    kind ``loss`` that takes the (loss, steps) of each iteration."""
+    nodes = prep.paths.select("node").distinct()
+    loss = prep.words.sparkSession.createDataFrame([("loss", 0, [0.0, 0.0])], "kind string, id bigint, vec array<double>")
+    return prep.words.select(F.lit("word").alias("kind"), "id", _initial(F.col("word"), dim, seed).alias("vec")).unionByName(
+        nodes.select(F.lit("node").alias("kind"), F.col("node").alias("id"), V.zeros(dim).alias("vec"))).unionByName(loss)
+
+
+def random_params(prep: Prepared, dim: int = DIM, seed: int = 0) -> DataFrame:
+    """Leaves and nodes random in (-0.5, 0.5): a point at which no gradient
+    vanishes. A node's key is ``node <id>``."""
+    nodes = prep.paths.select("node").distinct()
+    return prep.words.select(F.lit("word").alias("kind"), "id", uniform_vector(F.col("word"), dim, seed).alias("vec")) \
+        .unionByName(nodes.select(F.lit("node").alias("kind"), F.col("node").alias("id"),
+                                  uniform_vector(F.concat(F.lit("node "), F.col("node")), dim, seed).alias("vec")))
+
 
+# ------------------------------------------------------------ targets and cells
 
-def init_params(vocab: DataFrame, paths: DataFrame, dim: int = DIM, seed: int = 0) -> Params:
-    """Leaves random in (-0.5, 0.5) / dim, internal nodes zero."""
-    nodes = paths.select("node").distinct().select("node", V.zeros(dim).alias("vec"))
-    return Params(init_word_vectors(vocab, dim, seed), nodes)
+def cooccurrence(prep: Prepared, half: int = sg.HALF_WINDOW) -> DataFrame:
+    """``(id, context, n)`` from the encoded documents: pairs within ``half``
+    positions, both ways, partially aggregated before the shuffle."""
+    a = prep.docs.select(F.arrays_zip("pos", "ids").alias("a"))
+    near = a.select(F.explode(sg.neighbours(F.col("a"), half)).alias("z")).where(F.col("z.y.pos") - F.col("z.x.pos") <= half)
+    one = near.groupBy(F.col("z.x.ids").alias("x"), F.col("z.y.ids").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    both = one.select(F.col("x").alias("id"), F.col("y").alias("context"), "n").unionByName(
+        one.select(F.col("y").alias("id"), F.col("x").alias("context"), "n"))
+    return both.groupBy("id", "context").agg(F.sum("n").alias("n"))
 
 
 def node_targets(cooc: DataFrame, paths: DataFrame) -> DataFrame:
-    """``(word, node, n, n1)``: pairs of ``word`` whose context path passes ``node``,
-    and how many of them go left there (label 1).
+    """``(id, node, n, n1)``: pairs of word ``id`` whose context's path passes
+    ``node``, and how many of them go left there (label 1).
 
     Co-occurrence counts are joined to the context's path (one to many) and
     summed by (word, node); partial aggregation absorbs the root node, which
     every pair passes.
     """
-    p = paths.select(F.col("word").alias("context"), "node", "label")
-    return (cooc.join(p, "context")
-            .groupBy("word", "node")
+    p = paths.select(F.col("id").alias("context"), "node", "label")
+    return (cooc.join(p, "context").groupBy("id", "node")
             .agg(F.sum("n").cast("bigint").alias("n"),
                  F.sum(F.col("n") * F.col("label")).cast("bigint").alias("n1")))
 
 
-def _scored(targets: DataFrame, params: Params) -> DataFrame:
-    w = params.words.select("word", F.col("vec").alias("wv"))
-    v = params.nodes.select("node", F.col("vec").alias("nv"))
-    t = targets.join(w, "word").join(v, "node").withColumn("_x", V.dot("wv", "nv"))
-    t = t.withColumn("sigma", V.clipped_logistic(F.col("_x")))
-    # err = sum over the pairs of (label - sigma)
-    return t.select("word", "node", "n", "n1", "wv", "nv", "sigma",
-                    (F.col("n1") - F.col("n") * F.col("sigma")).alias("err"))
-
-
-def hs_gradient(targets: DataFrame, params: Params, dim: int | None = None,
-                max_model_bytes: int | None = None) -> DataFrame:
-    """Full-batch gradient at fixed parameters ``(kind, word, node, grad, n)``.
+@dataclass
+class Work:
+    """Work dealt to groups: ``need (grp, kind, id)`` and ``rows (grp, part,
+    id, a, b, c, d)``, four arrays per row whose meaning is the kernel's."""
+    need: DataFrame
+    rows: DataFrame
 
-    For a node: sum over its (word) rows of err * word vector. For a word:
-    sum over its (node) rows of err * node vector. ``n`` counts the pair-steps
-    behind each row.
 
-    When the model fits the broadcast budget (checked from the row counts),
-    the dense arithmetic runs in numpy inside ``mapInPandas`` tasks over
-    Arrow batches of the targets, each task emitting one partial sum per
-    touched row; Spark then adds the partials by key with partial
-    aggregation. Otherwise the pure DataFrame path joins vectors to the
-    targets and sums with ``Summarizer``.
-    """
-    budget = MAX_MODEL_BYTES if max_model_bytes is None else max_model_bytes
-    if dim is None:
-        dim = params.words.select(F.max(F.size("vec"))).collect()[0][0] or 0
-    n_rows = (params.words.agg(F.count(F.lit(1))).collect()[0][0]
-              + params.nodes.agg(F.count(F.lit(1))).collect()[0][0])
-    if n_rows * dim * 8 <= budget:
-        return _hs_gradient_broadcast(targets, params, dim)
-    return hs_gradient_dataframe(targets, params)
-
-
-def hs_gradient_dataframe(targets: DataFrame, params: Params) -> DataFrame:
-    """The gradient with vectors joined to every target row (no broadcast)."""
-    sc = _scored(targets, params)
-    g_node = (sc.select("node", "n", V.scale("wv", F.col("err")).alias("g"))
-              .transform(lambda d: vx.vector_stats(d, "node", "g", [F.sum("n").alias("steps")]))
-              .select(F.lit("node").alias("kind"), F.lit(None).cast("string").alias("word"),
-                      "node", F.col("vec_sum").alias("grad"), F.col("steps").cast("bigint").alias("n")))
-    g_word = (sc.select("word", "n", V.scale("nv", F.col("err")).alias("g"))
-              .transform(lambda d: vx.vector_stats(d, "word", "g", [F.sum("n").alias("steps")]))
-              .select(F.lit("word").alias("kind"), "word", F.lit(None).cast("bigint").alias("node"),
-                      F.col("vec_sum").alias("grad"), F.col("steps").cast("bigint").alias("n")))
-    return g_node.unionByName(g_word)
-
-
-GRAD_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType()),
-    T.StructField("word", T.StringType()),
-    T.StructField("node", T.LongType()),
-    T.StructField("grad", T.ArrayType(T.DoubleType())),
-    T.StructField("n", T.LongType()),
-])
-
-
-def _gradient_partition(model_bc, dim: int):
-    def run(batches):
-        m = model_bc.value
-        W, N = m["W"], m["N"]
-        wix = pd.Series(np.arange(len(m["words"])), index=pd.Index(m["words"]))
-        nix = pd.Series(np.arange(len(m["nodes"])), index=pd.Index(m["nodes"]))
-        gW, gN = np.zeros_like(W), np.zeros_like(N)
-        sW = np.zeros(len(W), dtype=np.int64)
-        sN = np.zeros(len(N), dtype=np.int64)
-        for pdf in batches:
-            wi = wix.reindex(pdf["word"]).to_numpy()
-            ni = nix.reindex(pdf["node"]).to_numpy()
-            ok = ~(np.isnan(wi.astype(float)) | np.isnan(ni.astype(float)))
-            if not ok.any():
-                continue
-            wi, ni = wi[ok].astype(np.int64), ni[ok].astype(np.int64)
-            n = pdf["n"].to_numpy()[ok].astype(np.float64)
-            n1 = pdf["n1"].to_numpy()[ok].astype(np.float64)
-            wv, nv = W[wi], N[ni]
-            x = np.einsum("ij,ij->i", wv, nv)
-            with np.errstate(over="ignore"):
-                s = np.where(x <= -6.0, 0.0, np.where(x >= 6.0, 1.0, 1.0 / (1.0 + np.exp(-x))))
-            err = (n1 - n * s)[:, None]
-            _scatter_add(gN, ni, err * wv)
-            _scatter_add(gW, wi, err * nv)
-            sN += np.bincount(ni, weights=n, minlength=len(sN)).astype(np.int64)
-            sW += np.bincount(wi, weights=n, minlength=len(sW)).astype(np.int64)
-        tw, tn = np.nonzero(sW)[0], np.nonzero(sN)[0]
-        if len(tw):
-            yield pd.DataFrame({"kind": "word", "word": [m["words"][i] for i in tw],
-                                "node": pd.array([None] * len(tw), dtype="Int64"),
-                                "grad": list(gW[tw]), "n": sW[tw]})
-        if len(tn):
-            yield pd.DataFrame({"kind": "node", "word": [None] * len(tn),
-                                "node": pd.array([int(m["nodes"][i]) for i in tn], dtype="Int64"),
-                                "grad": list(gN[tn]), "n": sN[tn]})
-    return run
-
-
-STEP_CHUNK = 65536   # path steps per numpy block inside a task
-
-
-def _scatter_add(acc: np.ndarray, idx: np.ndarray, vals: np.ndarray) -> None:
-    """``acc[idx] += vals`` with repeated indices, by sorting and segment sums
-    (much faster than the unbuffered ``np.add.at`` on 2-D blocks)."""
+def cells(targets: DataFrame, n_words: int, block_rows: int = BLOCK_ROWS, entries: int = CELL_ENTRIES) -> Work:
+    """The targets as a grid of word blocks by node blocks. A cell needs at
+    most ``block_rows`` words and nodes on average; its entries are packed
+    into rows of about ``entries``."""
+    spark = targets.sparkSession
+    blocks = max(1, -(-n_words // block_rows))
+    rows_of_grid = max(blocks, spark.sparkContext.defaultParallelism)
+    cell = F.pmod(F.xxhash64("id"), F.lit(rows_of_grid)) * blocks + F.pmod(F.xxhash64("node"), F.lit(blocks))
+    t = targets.withColumn("grp", cell.cast("bigint"))
+    total = targets.count()
+    chunks = max(1, -(-total // (rows_of_grid * blocks * entries)))
+    rows = t.groupBy("grp", F.pmod(F.xxhash64("node", "id"), F.lit(chunks)).alias("id0")).agg(
+        F.sort_array(F.collect_list(F.struct("id", "node", "n", "n1"))).alias("e")).select(
+        "grp", F.lit(1).alias("part"), F.col("id0").cast("bigint").alias("id"), F.col("e.id").alias("a"),
+        F.col("e.node").alias("b"), F.col("e.n").alias("c"), F.col("e.n1").alias("d"))
+    rows = written(rows, "cells")
+    need = rows.select("grp", F.lit("word").alias("kind"), F.explode("a").alias("id")).distinct().unionByName(
+        rows.select("grp", F.lit("node").alias("kind"), F.explode("b").alias("id")).distinct())
+    return Work(written(need, "needs"), rows)
+
+
+def replicas_of(docs: DataFrame, paths: DataFrame, replicas: int) -> Work:
+    """Documents dealt to replicas by a hash of their id. A replica needs its
+    words, the nodes on their paths, and the paths themselves."""
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(replicas)).cast("bigint").alias("grp"), "doc_id", "pos", "ids")
+    none = F.array().cast("array<bigint>")
+    # documents in order of their id: the id itself may be a string
+    docs_rows = dealt.select("grp", F.lit(2).alias("part"), F.xxhash64("doc_id").alias("id"), F.col("pos").alias("a"),
+                             F.col("ids").alias("b"), none.alias("c"), none.alias("d"))
+    words = dealt.select("grp", F.explode("ids").alias("id")).distinct()
+    path = paths.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "label"))).alias("p")) \
+        .select("id", F.col("p.node").alias("a"), F.col("p.label").cast("array<bigint>").alias("b"))
+    path_rows = words.join(path, "id").select("grp", F.lit(1).alias("part"), "id", "a", "b", none.alias("c"), none.alias("d"))
+    rows = written(path_rows.unionByName(docs_rows), "replicas")
+    need = rows.filter("part = 1").select("grp", F.lit("node").alias("kind"), F.explode("a").alias("id")).distinct() \
+        .unionByName(words.select("grp", F.lit("word").alias("kind"), "id"))
+    return Work(written(need, "needs"), rows)
+
+
+# --------------------------------------------------------------------- kernels
+
+def sigma(x: np.ndarray) -> np.ndarray:
+    """The clipped logistic."""
+    with np.errstate(over="ignore"):
+        return np.where(x <= -V.LOGISTIC_CLIP, 0.0, np.where(x >= V.LOGISTIC_CLIP, 1.0, 1.0 / (1.0 + np.exp(-x))))
+
+
+def loss_of(s: np.ndarray, n: np.ndarray, n1: np.ndarray) -> float:
+    s = np.clip(s, LOSS_FLOOR, 1 - LOSS_FLOOR)
+    return -float(np.sum(n1 * np.log(s) + (n - n1) * np.log(1 - s)))
+
+
+def add_rows(acc: np.ndarray, idx: np.ndarray, vals: np.ndarray) -> None:
+    """``acc[idx] += vals`` with repeated indices, by sorting and segment sums."""
     order = np.argsort(idx, kind="stable")
     si = idx[order]
     starts = np.flatnonzero(np.r_[True, si[1:] != si[:-1]])
     acc[si[starts]] += np.add.reduceat(vals[order], starts, axis=0)
 
 
-def _cooc_gradient_partition(model_bc, dim: int):
-    """mapInPandas body: gradient and log-loss partials from co-occurrence rows.
+@dataclass
+class Group:
+    """The parameters of one group, rows by ascending id, and what its work
+    has changed so far."""
+    number: int
+    ids: dict = field(default_factory=lambda: {"word": [], "node": []})
+    parts: dict = field(default_factory=lambda: {"word": [], "node": []})
+    rows: dict = field(default_factory=dict)
+    steps: dict = field(default_factory=dict)
+    change: dict = field(default_factory=dict)
+    loss: float = 0.0
+    total: int = 0
+    paths: dict = field(default_factory=dict)
+    docs: list = field(default_factory=list)
+
+    def ready(self) -> Group:
+        """Called before work: all parameter rows have come."""
+        if not self.rows:
+            for kind in ("word", "node"):
+                ids = np.concatenate(self.ids[kind]) if self.ids[kind] else np.zeros(0, np.int64)
+                vec = np.vstack(self.parts[kind]) if self.parts[kind] else np.zeros((0, 0))
+                order = np.argsort(ids, kind="stable")
+                self.ids[kind], self.rows[kind] = ids[order], vec[order]
+                self.steps[kind] = np.zeros(len(ids), dtype=np.int64)
+                self.change[kind] = np.zeros_like(self.rows[kind])
+        return self
+
+    def at(self, kind: str, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids[kind], ids)
+
+    def changes(self) -> pa.RecordBatch:
+        """The changed rows and one row with the loss."""
+        kinds, ids, vecs, n = ["loss"], [np.array([0])], [np.array([[self.loss]])], [np.array([self.total])]
+        for kind in ("word", "node"):
+            hit = np.flatnonzero(self.steps[kind])
+            kinds += [kind] * len(hit)
+            ids.append(self.ids[kind][hit])
+            vecs.append(self.change[kind][hit])
+            n.append(self.steps[kind][hit])
+        flat = np.concatenate([v.ravel() for v in vecs])
+        length = np.concatenate([np.full(len(v), v.shape[1] if v.ndim > 1 else 0) for v in vecs])
+        offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kinds), pa.array(np.concatenate(ids).astype(np.int64)),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.concatenate(n).astype(np.int64))],
+            ["kind", "id", "change", "n"])
+
+
+def gradient_kernel(group: Group, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+    """Adds the gradient of entries ``(word a, node b, pairs c, of them left d)``."""
+    w, v = group.at("word", a), group.at("node", b)
+    wv, nv = group.rows["word"][w], group.rows["node"][v]
+    s = sigma(np.einsum("ij,ij->i", wv, nv))
+    err = (d - c * s)[:, None]
+    add_rows(group.change["word"], w, err * nv)
+    add_rows(group.change["node"], v, err * wv)
+    group.steps["word"] += np.bincount(w, c, minlength=len(group.steps["word"])).astype(np.int64)
+    group.steps["node"] += np.bincount(v, c, minlength=len(group.steps["node"])).astype(np.int64)
+    group.loss += loss_of(s, c, d)
+    group.total += int(c.sum())
+
+
+def pairs_of(docs: list[tuple[np.ndarray, np.ndarray]], half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all (centre, context) pairs, documents in order, by centre
+    position and then context position."""
+    centres, contexts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for pos, ids in docs:
+        lo, hi = np.searchsorted(pos, pos - half), np.searchsorted(pos, pos + half, side="right")
+        n = hi - lo
+        c = np.repeat(np.arange(len(ids)), n)
+        j = np.arange(len(c)) - np.repeat(np.cumsum(n) - n - lo, n)
+        centres.append(ids[c[j != c]])
+        contexts.append(ids[j[j != c]])
+    return np.concatenate(centres), np.concatenate(contexts)
+
+
+def sgd_lockstep(groups: list[Group], lr: float, half: int) -> None:
+    """Sequential SGD, pair by pair, in each group; the t-th pairs of all
+    groups are one operation. Paths are padded with a row of their own at the
+    end of the nodes, on which no step is taken."""
+    pairs = [pairs_of(g.docs, half) for g in groups]
+    order = sorted(range(len(groups)), key=lambda i: -len(pairs[i][0]))
+    groups, pairs = [groups[i] for i in order], [pairs[i] for i in order]
+    words = np.vstack([g.rows["word"] for g in groups])
+    nodes = np.vstack([g.rows["node"] for g in groups] + [np.zeros((1, words.shape[1]))])
+    pad, depth = len(nodes) - 1, max((len(p[0]) for g in groups for p in g.paths.values()), default=0)
+    longest = len(pairs[0][0])
+    path = np.full((len(words), max(1, depth)), pad)
+    label = np.zeros(path.shape)
+    centre, context = (np.zeros((longest, len(groups)), dtype=np.int64) for _ in (0, 1))
+    at_word = at_node = 0
+    for k, (g, (c, x)) in enumerate(zip(groups, pairs)):
+        for i, w in enumerate(g.ids["word"].tolist()):
+            if w in g.paths:
+                node_ids, labels = g.paths[w]
+                path[at_word + i, :len(node_ids)] = at_node + g.at("node", node_ids)
+                label[at_word + i, :len(node_ids)] = labels
+        centre[:len(c), k] = at_word + g.at("word", c)
+        context[:len(c), k] = at_word + g.at("word", x)
+        at_word, at_node = at_word + len(g.rows["word"]), at_node + len(g.rows["node"])
+    real = (path != pad).astype(float)
+    active = np.searchsorted(-np.array([len(c) for c, _ in pairs]), -np.arange(longest), side="left")
+    losses = np.zeros(len(groups))
+    for t in range(longest):
+        n = active[t]
+        w, x = centre[t, :n], context[t, :n]
+        rows, lab, mask = path[x], label[x], real[x]
+        wv, nv = words[w], nodes[rows]
+        s = sigma((nv @ wv[:, :, None])[:, :, 0])
+        g = lr * (lab - s) * mask
+        nodes[rows] = nv + g[:, :, None] * wv[:, None, :]
+        words[w] = wv + (g[:, None, :] @ nv)[:, 0]
+        losses[:n] -= (np.log(np.maximum(np.abs(1 - lab - s), LOSS_FLOOR)) * mask).sum(axis=1)
+    at_word = at_node = 0
+    length = real.sum(axis=1).astype(np.int64)
+    for k, (g, (c, x)) in enumerate(zip(groups, pairs)):
+        m, n = len(g.rows["word"]), len(g.rows["node"])
+        g.change = {"word": words[at_word:at_word + m] - g.rows["word"], "node": nodes[at_node:at_node + n] - g.rows["node"]}
+        used = context[:len(c), k]
+        g.steps["word"] += np.bincount(centre[:len(c), k] - at_word, length[used], minlength=m).astype(np.int64)
+        times = np.bincount(used, minlength=at_word + m)[at_word:at_word + m]
+        steps = np.repeat(times[:, None], path.shape[1], axis=1)[path[at_word:at_word + m] != pad]
+        touched = path[at_word:at_word + m][path[at_word:at_word + m] != pad] - at_node
+        g.steps["node"] += np.bincount(touched, steps, minlength=n).astype(np.int64)
+        g.loss, g.total = float(losses[k]), int(length[used].sum())
+        at_word, at_node = at_word + m, at_node + n
+
+
+CHANGES = "kind string, id bigint, change array<double>, n bigint"
+
+
+def _round(work: Work, params: DataFrame, on_row: Callable, finish: Callable, at_once: int = 1) -> DataFrame:
+    """One iteration of a trainer: ``(kind, id, change, n)``, changes added up
+    over groups; kind ``loss`` holds the summed loss and its number of steps.
+
+    ``on_row(group, part, id, a, b, c, d)`` for each row of work, in order of
+    part and id; ``finish(groups)`` when up to ``at_once`` groups are complete."""
+    spark = params.sparkSession
+    ship_package(spark)
+    none = F.lit(None).cast("array<bigint>")
+    vectors = work.need.join(params.select("kind", "id", "vec"), ["kind", "id"]).select(
+        "grp", F.lit(0).alias("part"), "id", none.alias("a"), none.alias("b"), none.alias("c"), none.alias("d"), "kind", "vec")
+    rows = work.rows.select("grp", "part", "id", "a", "b", "c", "d", F.lit(None).cast("string").alias("kind"),
+                            F.lit(None).cast("array<double>").alias("vec"))
 
-    Each (word, context, n) row is expanded to the context's path steps in
-    memory; sigma is evaluated per step, and the sums go to dense per-task
-    accumulators, of which only touched rows are emitted.
-    """
     def run(batches):
-        m = model_bc.value
-        W, N = m["W"], m["N"]
-        plen, start = m["plen"], m["path_start"]
-        flat_rows, flat_labels = m["flat_rows"], m["flat_labels"]
-        wix = pd.Series(np.arange(len(m["words"])), index=pd.Index(m["words"]))
-        gW, gN = np.zeros_like(W), np.zeros_like(N)
-        sW = np.zeros(len(W), dtype=np.int64)
-        sN = np.zeros(len(N), dtype=np.int64)
-        loss = 0.0
-        for pdf in batches:
-            wi = wix.reindex(pdf["word"]).to_numpy(dtype=float)
-            ci = wix.reindex(pdf["context"]).to_numpy(dtype=float)
-            ok = ~(np.isnan(wi) | np.isnan(ci))
-            wi, ci = wi[ok].astype(np.int64), ci[ok].astype(np.int64)
-            cnt = pdf["n"].to_numpy()[ok].astype(np.int64)
-            L = plen[ci]
-            total = int(L.sum())
-            if total == 0:
-                continue
-            rw = np.repeat(wi, L)
-            rn = np.repeat(cnt, L)
-            first = np.repeat(np.cumsum(L) - L, L)
-            idx = np.repeat(start[ci], L) + (np.arange(total) - first)
-            ni, lab = flat_rows[idx], flat_labels[idx]
-            # rows arrive sorted by word: collapse path steps to distinct
-            # (word, node) with their pair counts n and left-turn counts n1
-            key = rw * np.int64(len(N)) + ni
-            uk, inv = np.unique(key, return_inverse=True)
-            n_tot = np.bincount(inv, weights=rn.astype(np.float64))
-            n_one = np.bincount(inv, weights=rn * lab)
-            uw, un = uk // np.int64(len(N)), uk % np.int64(len(N))
-            for a in range(0, len(uk), STEP_CHUNK):
-                b = min(len(uk), a + STEP_CHUNK)
-                w_, n_, c_, c1 = uw[a:b], un[a:b], n_tot[a:b], n_one[a:b]
-                wv, nv = W[w_], N[n_]
-                x = np.einsum("ij,ij->i", wv, nv)
-                with np.errstate(over="ignore"):
-                    sg_ = np.where(x <= -6.0, 0.0, np.where(x >= 6.0, 1.0, 1.0 / (1.0 + np.exp(-x))))
-                err = (c1 - c_ * sg_)[:, None]
-                _scatter_add(gN, n_, err * wv)
-                _scatter_add(gW, w_, err * nv)
-                sN += np.bincount(n_, weights=c_, minlength=len(sN)).astype(np.int64)
-                sW += np.bincount(w_, weights=c_, minlength=len(sW)).astype(np.int64)
-                sc = np.clip(sg_, 1e-7, 1 - 1e-7)
-                loss -= float(np.sum(c1 * np.log(sc) + (c_ - c1) * np.log(1 - sc)))
-        tw, tn = np.nonzero(sW)[0], np.nonzero(sN)[0]
-        if len(tw):
-            yield pd.DataFrame({"kind": "word", "word": [m["words"][i] for i in tw],
-                                "node": pd.array([None] * len(tw), dtype="Int64"),
-                                "grad": list(gW[tw]), "n": sW[tw]})
-        if len(tn):
-            yield pd.DataFrame({"kind": "node", "word": [None] * len(tn),
-                                "node": pd.array([int(m["nodes"][i]) for i in tn], dtype="Int64"),
-                                "grad": list(gN[tn]), "n": sN[tn]})
-        yield pd.DataFrame({"kind": ["loss"], "word": [None], "node": pd.array([None], dtype="Int64"),
-                            "grad": [np.array([loss])], "n": [int(sW.sum())]})
-    return run
-
-
-def model_fits(params: Params, dim: int, max_model_bytes: int | None = None) -> bool:
-    """Size check before broadcasting the model: rows x dim doubles."""
-    budget = MAX_MODEL_BYTES if max_model_bytes is None else max_model_bytes
-    n_rows = (params.words.agg(F.count(F.lit(1))).collect()[0][0]
-              + params.nodes.agg(F.count(F.lit(1))).collect()[0][0])
-    return n_rows * dim * 8 <= budget
-
-
-def cooc_gradient(cooc: DataFrame, paths: DataFrame, params: Params, dim: int) -> DataFrame:
-    """Gradient and loss straight from co-occurrence counts ``(word, context, n)``.
-
-    Rows ``(kind, word, node, grad, n)``; ``kind = 'loss'`` carries the summed
-    negative log-likelihood in ``grad[0]`` and the pair-steps in ``n``. The
-    caller checks ``model_fits`` first: the model and the paths are broadcast.
-    """
-    spark = cooc.sparkSession
-    bc = spark.sparkContext.broadcast(_model(params, paths, dim))
-    # by word, sorted: a task sees all of a word's rows together (a word has at
-    # most V context rows), so path steps collapse per (word, node) in memory
-    parts = max(cooc.sparkSession.sparkContext.defaultParallelism * 2,
-                int(cooc.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    partial = (cooc.select("word", "context", "n").repartition(parts, "word")
-               .sortWithinPartitions("word")
-               .mapInPandas(_cooc_gradient_partition(bc, dim), GRAD_SCHEMA))
-    summed = vx.vector_stats(partial, ["kind", "word", "node"], "grad", [F.sum("n").alias("steps")])
-    return summed.select("kind", "word", "node", F.col("vec_sum").alias("grad"),
-                         F.col("steps").cast("bigint").alias("n"))
-
-
-def _hs_gradient_broadcast(targets: DataFrame, params: Params, dim: int) -> DataFrame:
-    spark = targets.sparkSession
-    wp, npd = params.words.toPandas(), params.nodes.toPandas()
-    model = {"words": list(wp["word"]),
-             "W": np.array(wp["vec"].tolist(), dtype=np.float64).reshape(len(wp), dim),
-             "nodes": np.array(npd["node"], dtype=np.int64),
-             "N": np.array(npd["vec"].tolist(), dtype=np.float64).reshape(len(npd), dim)}
-    bc = spark.sparkContext.broadcast(model)
-    partial = targets.select("word", "node", "n", "n1").mapInPandas(_gradient_partition(bc, dim), GRAD_SCHEMA)
-    summed = vx.vector_stats(partial, ["kind", "word", "node"], "grad", [F.sum("n").alias("steps")])
-    return summed.select("kind", "word", "node", F.col("vec_sum").alias("grad"),
-                         F.col("steps").cast("bigint").alias("n"))
-
-
-def log_loss(targets: DataFrame, params: Params) -> DataFrame:
-    """One row: mean negative log-likelihood per pair-step (sigma clipped to 1e-7)."""
-    sc = _scored(targets, params)
-    s = F.least(F.greatest(F.col("sigma"), F.lit(1e-7)), F.lit(1 - 1e-7))
-    ll = F.col("n1") * F.log(s) + (F.col("n") - F.col("n1")) * F.log(F.lit(1.0) - s)
-    return sc.agg((-F.sum(ll) / F.sum("n")).alias("loss"), F.sum("n").cast("bigint").alias("steps"))
-
-
-def _apply(base: DataFrame, key: str, grads: DataFrame, lr: float) -> DataFrame:
-    g = grads.select(key, "grad")
-    return (base.join(g, key, "left")
-            .select(key, F.when(F.col("grad").isNull(), F.col("vec"))
-                    .otherwise(V.add("vec", V.scale("grad", lr))).alias("vec")))
-
-
-def _materialize(spark: SparkSession, params: Params, tag: str) -> Params:
-    """Write both tables under the checkpoint folder and read them back."""
-    pw, pn = scratch_path(spark, f"{tag}-words"), scratch_path(spark, f"{tag}-nodes")
-    params.words.write.mode("overwrite").parquet(pw)
-    params.nodes.write.mode("overwrite").parquet(pn)
-    return Params(spark.read.parquet(pw), spark.read.parquet(pn))
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write under the checkpoint folder and read back: cuts lineage, survives
-    executor loss, and gives Catalyst the real size of the table."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def prepare(corpus: DataFrame, vocab: DataFrame, half: int = sg.HALF_WINDOW, targets: bool = True):
-    """Vocabulary, paths, co-occurrence counts (and targets), each written once.
-
-    Returns ``(vocab, paths, cooc, targets or None)``.
-    """
-    vocab = written(vocab.select("word", "count"), "vocab")
-    paths = written(hf.huffman_paths(hf.huffman_codes(vocab)), "paths")
-    cooc = written(sg.cooccurrence(sg.skipgram_pairs(corpus, vocab, half)), "cooc")
-    tg = written(node_targets(cooc, paths), "targets") if targets else None
-    return vocab, paths, cooc, tg
-
-
-def corpus_gradient(corpus: DataFrame, vocab: DataFrame, dim: int = DIM, seed: int = 0,
-                    max_model_bytes: int | None = None) -> DataFrame:
-    """The full-batch gradient at the initial parameters, from the corpus."""
-    spark = corpus.sparkSession
-    vocab, paths, cooc, _ = prepare(corpus, vocab, targets=False)
-    params = _materialize(spark, init_params(vocab.select("word"), paths, dim, seed), "params-0")
-    if model_fits(params, dim, max_model_bytes):
-        return cooc_gradient(cooc, paths, params, dim).where("kind <> 'loss'")
-    return hs_gradient_dataframe(written(node_targets(cooc, paths), "targets"), params)
-
-
-def fit_sync(corpus: DataFrame, vocab: DataFrame, iters: int = ITERATIONS, dim: int = DIM,
-             lr: float = LEARNING_RATE, seed: int = 0, schedule: str = "constant",
-             normalize: bool = False, half: int = sg.HALF_WINDOW,
-             max_model_bytes: int | None = None) -> tuple[Params, list[float]]:
-    """Synchronous full-batch training. Returns the parameters and the mean
-    log-loss before each step. ``normalize`` divides a gradient by its
-    pair-steps. The model is broadcast to the gradient tasks when it fits
-    the budget; otherwise every step is a pure DataFrame job over the
-    written (word, node) targets."""
-    spark = corpus.sparkSession
-    vocab, paths, cooc, _ = prepare(corpus, vocab, half, targets=False)
-    params = _materialize(spark, init_params(vocab.select("word"), paths, dim, seed), "params-0")
-    broadcast_ok = model_fits(params, dim, max_model_bytes)
-    targets = None if broadcast_ok else written(node_targets(cooc, paths), "targets")
-    losses = []
-    for it in range(iters):
-        rate = learning_rate(it, iters, lr, schedule)
-        if broadcast_ok:
-            g = written(cooc_gradient(cooc, paths, params, dim), f"grad-{it}")
-            lrow = g.where("kind = 'loss'").collect()
-            losses.append(float(lrow[0]["grad"][0] / lrow[0]["n"]) if lrow and lrow[0]["n"] else 0.0)
-            g = g.where("kind <> 'loss'")
+        groups: list[Group] = []
+
+        def done():
+            complete = [g.ready() for g in groups]
+            finish(complete)
+            groups.clear()
+            return [g.changes() for g in complete]
+
+        for batch in batches:
+            grp, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids = batch.column(2).to_numpy()
+            cut = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])]) if len(grp) else []
+            for x, y in zip(cut, [*cut[1:], len(grp)]):
+                if not groups or groups[-1].number != grp[x]:
+                    if len(groups) == at_once:
+                        yield from done()
+                    groups.append(Group(int(grp[x])))
+                group, piece = groups[-1], batch.slice(x, y - x)
+                if part[x] == 0:
+                    vec = np.asarray(piece.column(8).flatten(), dtype=np.float64).reshape(y - x, -1)
+                    kind = np.asarray(piece.column(7).to_pylist())
+                    for k in ("word", "node"):
+                        mine = kind == k
+                        group.ids[k].append(ids[x:y][mine])
+                        group.parts[k].append(vec[mine])
+                    continue
+                group.ready()
+                lists = [piece.column(i) for i in range(3, 7)]
+                for r in range(y - x):
+                    on_row(group, int(part[x]), int(ids[x + r]), *(np.asarray(c[r].values) for c in lists))
+        if groups:
+            yield from done()
+
+    dealt = vectors.unionByName(rows).repartition("grp").sortWithinPartitions("grp", "part", "id")
+    sums = vx.vector_stats(dealt.mapInArrow(run, CHANGES).withColumnRenamed("n", "m"), ["kind", "id"], "change",
+                           {"steps": F.sum("m")})
+    return sums.select("kind", "id", F.col("vec_sum").alias("change"), F.col("steps").cast("bigint").alias("n"))
+
+
+def gradient(work: Work, params: DataFrame) -> DataFrame:
+    """The full-batch gradient at ``params``: ``(kind, id, change, n)``, ``n``
+    the pair-steps behind a row, with a row of kind ``loss``."""
+    def on_row(group, part, row_id, a, b, c, d):
+        gradient_kernel(group, a, b, c, d)
+    return _round(work, params, on_row, lambda groups: None)
+
+
+def hs_gradient(targets: DataFrame, params: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(kind, id, grad, n)``: for a node the sum over its words of (n1 - n
+    sigma) times the word's vector, for a word the same with the nodes'."""
+    n_words = params.where("kind = 'word'").count()
+    g = gradient(cells(targets, n_words, block_rows), params)
+    return g.where("kind <> 'loss'").withColumnRenamed("change", "grad")
+
+
+def local_sgd(work: Work, params: DataFrame, lr: float = LEARNING_RATE, half: int = sg.HALF_WINDOW) -> DataFrame:
+    """One round of SGD on every replica from the same parameters: ``(kind,
+    id, change, n)`` summed over replicas, with a row of kind ``loss``. A task
+    holds the documents of ``LOCKSTEP`` replicas, so their number should grow
+    with the corpus."""
+    def on_row(group, part, row_id, a, b, c, d):
+        if part == 1:
+            group.paths[row_id] = (a, b)
         else:
-            losses.append(float(log_loss(targets, params).collect()[0]["loss"] or 0.0))
-            g = hs_gradient_dataframe(targets, params)
-        if normalize:
-            g = g.withColumn("grad", V.divide("grad", F.col("n")))
-        new = Params(_apply(params.words, "word", g.where("kind = 'word'"), rate),
-                     _apply(params.nodes, "node", g.where("kind = 'node'"), rate))
-        params = _materialize(spark, new, f"params-{it + 1}")
-    return params, losses
-
+            group.docs.append((a, b))
+    return _round(work, params, on_row, lambda groups: sgd_lockstep(groups, lr, half), LOCKSTEP)
 
-# ---------------------------------------------------------------- local SGD
 
-def _sgd_partition(model_bc, dim: int, half: int, lr: float):
-    """mapInPandas body: sequential SGD over one replica's documents."""
+# -------------------------------------------------------------------- trainers
 
-    def run(batches):
-        m = model_bc.value
-        words, W0 = m["words"], m["W"]
-        nodes, N0 = m["nodes"], m["N"]
-        path_rows, path_labels = m["path_rows"], m["path_labels"]
-        index = {w: i for i, w in enumerate(words)}
-        W, N = W0.copy(), N0.copy()
-        tw = np.zeros(len(words), dtype=bool)
-        tn = np.zeros(len(nodes), dtype=bool)
-        for pdf in batches:
-            for toks in pdf["words"]:
-                ids = [index.get(t, -1) for t in toks]
-                n = len(ids)
-                for i, wi in enumerate(ids):
-                    if wi < 0:
-                        continue
-                    for j in range(max(0, i - half), min(n - 1, i + half) + 1):
-                        cj = ids[j] if j != i else -1
-                        if cj < 0:
-                            continue
-                        rows = path_rows[cj]
-                        if len(rows) == 0:
-                            continue
-                        wv = W[wi]
-                        nv = N[rows]
-                        x = nv @ wv
-                        s = np.where(x <= -6.0, 0.0, np.where(x >= 6.0, 1.0, 1.0 / (1.0 + np.exp(-x))))
-                        g = lr * (path_labels[cj] - s)
-                        upd = g @ nv
-                        N[rows] += np.outer(g, wv)
-                        W[wi] = wv + upd
-                        tw[wi] = True
-                        tn[rows] = True
-        out_w = np.nonzero(tw)[0]
-        out_n = np.nonzero(tn)[0]
-        if len(out_w):
-            yield pd.DataFrame({"kind": "word", "word": [words[i] for i in out_w],
-                                "node": pd.array([None] * len(out_w), dtype="Int64"),
-                                "delta": list(W[out_w] - W0[out_w])})
-        if len(out_n):
-            yield pd.DataFrame({"kind": "node", "word": [None] * len(out_n),
-                                "node": pd.array([int(nodes[i]) for i in out_n], dtype="Int64"),
-                                "delta": list(N[out_n] - N0[out_n])})
-    return run
-
-
-DELTA_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType()),
-    T.StructField("word", T.StringType()),
-    T.StructField("node", T.LongType()),
-    T.StructField("delta", T.ArrayType(T.DoubleType())),
-])
-
-
-def _model(params: Params, paths: DataFrame, dim: int):
-    """Collect the model for broadcast after checking its size."""
-    counts = (params.words.agg(F.count(F.lit(1))).collect()[0][0],
-              params.nodes.agg(F.count(F.lit(1))).collect()[0][0])
-    size = (counts[0] + counts[1]) * dim * 8
-    if size > MAX_MODEL_BYTES:
-        raise ValueError(f"model of {size} bytes exceeds the broadcast budget; use fit_sync")
-    wp = params.words.toPandas()
-    npd = params.nodes.toPandas()
-    words = list(wp["word"])
-    nodes = np.array(npd["node"], dtype=np.int64)
-    W = np.array(wp["vec"].tolist(), dtype=np.float64).reshape(len(words), dim)
-    N = np.array(npd["vec"].tolist(), dtype=np.float64).reshape(len(nodes), dim)
-    node_row = {int(n): i for i, n in enumerate(nodes)}
-    word_row = {w: i for i, w in enumerate(words)}
-    pp = paths.select("word", "depth", "node", "label").toPandas().sort_values(["word", "depth"])
-    path_rows = [np.zeros(0, dtype=np.int64)] * len(words)
-    path_labels = [np.zeros(0)] * len(words)
-    for w, g in pp.groupby("word", sort=False):
-        r = word_row.get(w)
-        if r is not None:
-            path_rows[r] = np.array([node_row[int(n)] for n in g["node"]], dtype=np.int64)
-            path_labels[r] = np.array(g["label"], dtype=np.float64)
-    plen = np.array([len(r) for r in path_rows], dtype=np.int64)
-    return {"words": words, "W": W, "nodes": nodes, "N": N,
-            "path_rows": path_rows, "path_labels": path_labels, "plen": plen,
-            "flat_rows": np.concatenate(path_rows) if len(words) else np.zeros(0, dtype=np.int64),
-            "flat_labels": np.concatenate(path_labels) if len(words) else np.zeros(0),
-            "path_start": np.concatenate([[0], np.cumsum(plen)[:-1]]) if len(words) else plen}
+@dataclass
+class Fit:
+    """A trained model: parameters, the words they belong to, the mean loss of
+    each iteration's pair-steps (each before its step), and report rows."""
+    params: DataFrame
+    words: DataFrame
+    losses: list[float]
+    report: list[tuple]
+
+
+def _stepped(params: DataFrame, changes: DataFrame, vec: Column, *cols) -> DataFrame:
+    """``params`` with ``vec`` where a row has a ``change``, the ``loss`` row
+    with what the iteration measured, and other rows as they are."""
+    now = params.join(changes.select("kind", "id", "change", "n"), ["kind", "id"], "left")
+    measured = F.array(F.col("change")[0], F.col("n").cast("double"))
+    return now.select("kind", "id", F.when(F.col("change").isNull(), F.col("vec"))
+                      .when(F.col("kind") == "loss", measured).otherwise(vec).alias("vec"), *cols)
+
+
+def adagrad(params: DataFrame, grads: DataFrame, lr: float) -> DataFrame:
+    """``(kind, id, vec, acc)`` after one step: each component moves by ``lr *
+    g / sqrt(acc)``, ``acc`` being the sum of its squared gradients so far."""
+    squares = F.zip_with("acc", "change", lambda a, x: a + x * x)
+    acc = F.when(F.col("change").isNull() | (F.col("kind") == "loss"), F.col("acc")).otherwise(squares)
+    step = F.zip_with("change", squares, lambda x, a: F.when(x == 0, F.lit(0.0)).otherwise(x / F.sqrt(a)) * F.lit(float(lr)))
+    return _stepped(params, grads, V.add("vec", step), acc.alias("acc"))
+
+
+def averaged(params: DataFrame, changes: DataFrame, replicas: int) -> DataFrame:
+    """``base + sum of changes / replicas``; untouched rows stay."""
+    return _stepped(params, changes, V.add("vec", V.scale("change", 1.0 / replicas)))
+
+
+def _next(fit: Fit, new: DataFrame) -> float:
+    """Writes the next parameters, removes the last ones, and returns the mean
+    loss of the iteration. One job computes and writes; the loss row is read
+    from what was written."""
+    old, fit.params = fit.params, written(new, "params")
+    remove_written(old)
+    loss, steps = fit.params.where("kind = 'loss'").first()["vec"]
+    return loss / steps if steps else 0.0
+
+
+def sync_step(params: DataFrame, work: Work, lr: float) -> DataFrame:
+    """One synchronous step from parameters without history (no ``acc``)."""
+    start = params.withColumn("acc", F.transform("vec", lambda x: F.lit(0.0)))
+    return adagrad(start, gradient(work, params), lr).where("kind <> 'loss'").select("kind", "id", "vec")
+
+
+def fit_sync(corpus: DataFrame, iters: int = ITERATIONS, dim: int = DIM, lr: float = LEARNING_RATE,
+             seed: int = 0, schedule: str = "constant", half: int = sg.HALF_WINDOW,
+             block_rows: int = BLOCK_ROWS, probes: Probes | None = None, prep: Prepared | None = None) -> Fit:
+    """Synchronous full-batch training. ``probes``: report on them after every
+    iteration."""
+    prep = prep or prepare(corpus)
+    work = cells(node_targets(cooccurrence(prep, half), prep.paths), prep.words.count(), block_rows)
+    zero = F.transform("vec", lambda x: F.lit(0.0))
+    params = written(init_params(prep, dim, seed).withColumn("acc", zero), "params")
+    fit = Fit(params, prep.words, [], [])
+    for it in range(iters):
+        rate = learning_rate(it, iters, lr, schedule)
+        fit.losses.append(_next(fit, adagrad(fit.params, gradient(work, fit.params), rate)))
+        if probes:
+            fit.report += probes.rows(it + 1, fit)
+    return fit
 
 
 def assign_batches(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -502,78 +523,72 @@ def assign_batches(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def select_batch(corpus: DataFrame, m: int) -> DataFrame:
-    """Documents of mini-batch ``m`` (after ``assign_batches``); a pushed-down filter."""
-    return corpus.where(F.col("batch") == F.lit(m))
+    """Documents of mini-batch ``m`` (after ``assign_batches``)."""
+    return corpus.where(F.col("batch") == F.lit(m)).drop("batch")
 
 
-def local_sgd(corpus: DataFrame, params: Params, paths: DataFrame, replicas: int,
-              lr: float = LEARNING_RATE, dim: int = DIM, half: int = sg.HALF_WINDOW,
-              preset: str = "C") -> DataFrame:
-    """One round of local SGD on P replicas: ``(kind, word, node, delta)`` of touched rows.
+def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int = REPLICAS, dim: int = DIM,
+              lr: float = LEARNING_RATE, seed: int = 0, schedule: str = "constant", batches: int = 1,
+              half: int = sg.HALF_WINDOW, probes: Probes | None = None, prep: Prepared | None = None) -> Fit:
+    """The reference's scheme: per iteration and mini-batch, local SGD on every
+    replica from the same parameters, then averaging over the replicas."""
+    prep = prep or prepare(corpus)
+    docs = assign_batches(prep.docs, batches, seed)
+    works = [replicas_of(select_batch(docs, b), prep.paths, replicas) for b in range(batches)]
+    fit = Fit(written(init_params(prep, dim, seed), "params"), prep.words, [], [])
+    for it in range(iters):
+        rate = learning_rate(it, iters, lr, schedule)
+        losses = []
+        for work in works:
+            losses.append(_next(fit, averaged(fit.params, local_sgd(work, fit.params, rate, half), replicas)))
+        fit.losses.append(sum(losses) / len(losses))
+        if probes:
+            fit.report += probes.rows(it + 1, fit)
+    return fit
 
-    Documents are hash-partitioned into exactly P partitions by ``doc_id``
-    and visited in ``doc_id`` order, so a rerun with the same P repeats
-    exactly. Only touched rows leave a replica.
-    """
-    from wordloom.functions.text import tokenize
-    spark = corpus.sparkSession
-    model = spark.sparkContext.broadcast(_model(params, paths, dim))
-    docs = (corpus.select("doc_id", tokenize(F.col("text"), preset).alias("words"))
-            .repartition(replicas, "doc_id").sortWithinPartitions("doc_id"))
-    return docs.mapInPandas(_sgd_partition(model, dim, half, lr), DELTA_SCHEMA)
 
+# ---------------------------------------------------------- export and report
 
-def average_params(params: Params, deltas: DataFrame, replicas: int) -> Params:
-    w = vx.average(params.words.select(F.col("word").alias("id"), "vec"),
-                   deltas.where("kind = 'word'").select(F.col("word").alias("id"), "delta"), replicas)
-    n = vx.average(params.nodes.select(F.col("node").alias("id"), "vec"),
-                   deltas.where("kind = 'node'").select(F.col("node").alias("id"), "delta"), replicas)
-    return Params(w.withColumnRenamed("id", "word"), n.withColumnRenamed("id", "node"))
+def vectors_of(fit: Fit) -> DataFrame:
+    """``(word, count, vec)`` of the trained words."""
+    return fit.words.select("word", "count", "id").join(fit.params.where("kind = 'word'").select("id", "vec"), "id") \
+        .select("word", "count", "vec")
+
+
+REPORT = "iteration int, kind string, query string, rank bigint, word string, value double"
+
+
+@dataclass
+class Probes:
+    """Words whose neighbours, and triples ``(a, b, c)`` whose analogies, are
+    reported after every iteration. Both are short lists given by the caller;
+    what is collected is k rows for each."""
+    words: list[str]
+    triples: list[tuple[str, str, str]]
+    k: int = 10
+
+    def rows(self, iteration: int, fit: Fit) -> list[tuple]:
+        spark: SparkSession = fit.params.sparkSession
+        vec = vectors_of(fit).select(F.col("word").alias("id"), "vec")
+        wanted = {*self.words, *(w for t in self.triples for w in t)}
+        known = {r["id"]: r["vec"] for r in vec.where(F.col("id").isin(*wanted)).collect()}
+        queries = [("nearest", w, known[w], []) for w in self.words if w in known]
+        queries += [("analogy", " ".join(t), [x - y + z for x, y, z in zip(*(known[w] for w in t))], list(t))
+                    for t in self.triples if all(w in known for w in t)]
+        out = [(iteration, "loss", None, None, None, fit.losses[-1])]
+        if queries:
+            asked = spark.createDataFrame([(i, q[2], q[3]) for i, q in enumerate(queries)],
+                                          "query_id int, qvec array<double>, exclude array<string>")
+            for r in vx.nearest(vec, asked, self.k).collect():
+                kind, name = queries[r["query_id"]][:2]
+                if kind == "nearest" or r["rank"] == 1:
+                    out.append((iteration, kind, name, r["rank"], r["id"], r["sim"]))
+        return out
+
+
+def training_report(fit: Fit) -> DataFrame:
+    """``(iteration, kind, query, rank, word, value)``: the mean loss, nearest
+    words and analogy answers of every iteration."""
+    return fit.params.sparkSession.createDataFrame(fit.report, REPORT)
 
 
-def fit_local(corpus: DataFrame, vocab: DataFrame, iters: int = ITERATIONS, replicas: int = 8,
-              dim: int = DIM, lr: float = LEARNING_RATE, seed: int = 0, schedule: str = "constant",
-              batches: int = 1, half: int = sg.HALF_WINDOW) -> Params:
-    """The reference's scheme: per iteration and mini-batch, local SGD on every
-    replica from the same parameters, then averaging over the P replicas."""
-    spark = corpus.sparkSession
-    vocab = written(vocab.select("word", "count"), "vocab")
-    paths = written(hf.huffman_paths(hf.huffman_codes(vocab)), "paths")
-    params = _materialize(spark, init_params(vocab.select("word"), paths, dim, seed), "local-0")
-    docs = assign_batches(corpus, batches, seed)
-    for it in range(iters):
-        rate = learning_rate(it, iters, lr, schedule)
-        for b in range(batches):
-            part = select_batch(docs, b).drop("batch")
-            deltas = local_sgd(part, params, paths, replicas, rate, dim, half)
-            params = _materialize(spark, average_params(params, deltas, replicas), f"local-{it}-{b}")
-    return params
-
-
-def word_vectors(params: Params, vocab: DataFrame) -> DataFrame:
-    """Export ``(word, count, vec)``."""
-    return vocab.select("word", "count").join(params.words, "word")
-
-
-def training_report(params: Params, vocab: DataFrame, probes: DataFrame, triples: DataFrame,
-                    k: int = 10, losses: list[float] | None = None) -> DataFrame:
-    """Nearest words of the probe words, analogy answers and the mean log-loss
-    per iteration as one table ``(kind, query, rank, word, sim)``."""
-    vecs = params.words.select(F.col("word").alias("id"), "vec")
-    q = probes.join(params.words, "word").select(F.col("word").alias("query_id"), F.col("vec").alias("qvec"))
-    near = vx.nearest(vecs, q, k=k).select(F.lit("nearest").alias("kind"), F.col("query_id").alias("query"),
-                                             "rank", F.col("id").alias("word"), "sim")
-    an = vx.analogy(vecs, triples, k=1).select(F.lit("analogy").alias("kind"), F.col("query_id").alias("query"),
-                                                 "rank", F.col("id").alias("word"), "sim")
-    out = near.unionByName(an)
-    if losses:
-        spark = params.words.sparkSession
-        lo = spark.createDataFrame([("loss", f"iteration {i}", i + 1, None, float(v))
-                                    for i, v in enumerate(losses)],
-                                   "kind string, query string, rank bigint, word string, sim double")
-        out = out.unionByName(lo)
-    return out
-
-
-def clip_check(x: float) -> float:
-    return 0.0 if x <= -6 else 1.0 if x >= 6 else 1.0 / (1.0 + math.exp(-x))
