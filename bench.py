@@ -4,7 +4,8 @@ Prints one JSON line. Each query is fully materialised with the ``noop``
 sink (every row computed, nothing collected). ``value`` is the sum of the
 headline queries; ``context`` holds MLlib's TF-IDF and Word2Vec on the same
 documents, whose semantics differ (smoothed idf, hashed terms; a sentence
-model that drops unknown words first), reported only for scale.
+model that drops unknown words first), reported only for scale. Both trainers
+run one iteration over tables prepared before (``prepare_training``).
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from wordloom.functions.text import separator_regex, tokenize  # noqa: E402
-from wordloom.operators import skipgram as sg  # noqa: E402
+from wordloom.functions.text import tokenize  # noqa: E402
 from wordloom.operators import tfidf as tfo  # noqa: E402
 from wordloom.operators import train as tr  # noqa: E402
 from wordloom.operators import vocab as vo  # noqa: E402
@@ -47,7 +47,7 @@ def main():
         return vo.tree_vocabulary(docs)
 
     def q_cooccurrence():
-        return sg.cooccurrence(sg.skipgram_pairs(docs, vo.tree_vocabulary(docs)))
+        return catalog.q_cooccurrence(spark, sf_dir)
 
     def q_hs_gradient():
         return catalog.q_hs_gradient(spark, sf_dir)
@@ -58,8 +58,21 @@ def main():
     def q_analogy():
         return catalog.q_analogy(spark, sf_dir)
 
+    prepared = []
+
+    def q_prepare():
+        prepared.append(tr.prepare(docs))
+        return prepared[0].words
+
+    def q_sync_iteration():
+        return tr.vectors_of(tr.fit_sync(docs, iters=1, prep=prepared[0]))
+
+    def q_local_iteration():
+        return tr.vectors_of(tr.fit_local(docs, iters=1, prep=prepared[0]))
+
     headline = {"tfidf": q_tfidf, "vocabulary": q_vocabulary, "cooccurrence": q_cooccurrence,
-                "hs_gradient": q_hs_gradient, "nearest": q_nearest, "analogy": q_analogy}
+                "hs_gradient": q_hs_gradient, "prepare_training": q_prepare, "sync_iteration": q_sync_iteration,
+                "local_sgd_iteration": q_local_iteration, "nearest": q_nearest, "analogy": q_analogy}
 
     # warm the JVM once so the first query does not pay for class loading
     tfo.doc_count(docs).collect()
@@ -71,7 +84,7 @@ def main():
 
         def mllib_tfidf():
             tok = RegexTokenizer(inputCol="text", outputCol="words", gaps=True,
-                                 pattern=separator_regex("A").replace("''", "'"), toLowercase=False)
+                                 pattern=r"""[ \t\n.,()'":;!?<>]""", toLowercase=False)
             words = tok.transform(docs.select("doc_id", F.translate(
                 "text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text")))
             tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 20).transform(words)

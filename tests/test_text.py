@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import SEPARATORS, tokenize
 from wordloom.operators import tfidf as tfo
-from wordloom.sources.corpus import (check_unique_ids, chunk_documents, parse_json_corpus,
-                                     write_result)
+from wordloom.sources.corpus import (check_unique_ids, chunk_documents, parse_json_corpus, read_corpus,
+                                     read_file_chunks, write_result)
 
 HAND = [
     (1, "Über ÉCOLE, don't"),
@@ -92,8 +92,9 @@ def test_duplicate_ids_raise(spark):
     nulls = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id int, text string")
     with pytest.raises(ValueError):
         check_unique_ids(nulls)
-    with pytest.raises(ValueError, match="unique"):
-        tfo.tfidf(corpus)
+    for job in (tfo.tfidf, tfo.tf, tfo.term_counts, tfo.tfidf_vectors):
+        with pytest.raises(ValueError, match="unique"):
+            job(corpus)
 
 
 def test_chunks(spark):
@@ -127,6 +128,53 @@ def test_write_result(spark, tmp_path):
     write_result(tfo.tfidf(docs), out, cluster_by="term", num_partitions=2)
     back = spark.read.parquet(out)
     assert back.count() == 3 and set(back.columns) >= {"doc_id", "term", "tf_idf"}
+    # a stop word's postings are split over files
+    stop = spark.createDataFrame([(i, "the") for i in range(400)], "doc_id int, text string")
+    out = str(tmp_path / "postings")
+    write_result(tfo.postings(stop), out, cluster_by=["term", "doc_id"], num_partitions=4)
+    files = spark.read.parquet(out).groupBy(F.col("_metadata.file_path")).count().collect()
+    assert len(files) == 4 and sum(r["count"] for r in files) == 400
+
+
+def test_line_ids_do_not_depend_on_the_splits(spark, tmp_path):
+    for name, n in (("a.txt", 3000), ("b.txt", 7)):
+        (tmp_path / name).write_text("".join(f"line {i} of {name} é\n" for i in range(n)), encoding="utf-8")
+    want = {f"line {i} of {name} é": i for name, n in (("a.txt", 3000), ("b.txt", 7)) for i in range(n)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1k", "20k", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_corpus(spark, str(tmp_path), fmt="text").collect()
+            assert len(rows) == len(want)
+            for r in rows:
+                file, _, line = r["doc_id"].rpartition(":")
+                assert file.endswith(r["text"].split()[3]) and int(line) == want[r["text"]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_other_formats(spark, tmp_path):
+    docs = spark.createDataFrame([("x", "hello, world"), ("y", None)], "title string, content string")
+    for fmt in ("json", "csv"):
+        docs.write.format(fmt).option("header", "true").save(str(tmp_path / fmt))
+        got = read_corpus(spark, str(tmp_path / fmt), fmt=fmt, id_col="title", text_col="content", options={"header": "true"})
+        assert {(r["doc_id"], r["text"]) for r in got.collect()} == {("x", "hello, world"), ("y", "")}
+
+
+def test_one_file_in_chunks(spark, tmp_path):
+    text = "né 日本 text\nwith lines, " * 50
+    path = tmp_path / "one.txt"
+    path.write_text(text, encoding="utf-8")
+    size = len(text.encode())
+    for n in (1, 7, 100, size, 10 * size):
+        rows = sorted(read_file_chunks(spark, str(path), n).collect())
+        assert [r["doc_id"] for r in rows] == list(range(min(n, size)))
+        assert "".join(r["text"] for r in rows) == text
+        if n == 7:
+            assert all(abs(len(r["text"].encode()) - size / 7) <= 4 for r in rows)
+    assert read_file_chunks(spark, f"file:{path}", 3).count() == 3
+    (tmp_path / "none.txt").write_text("")
+    assert read_file_chunks(spark, str(tmp_path / "none.txt")).count() == 0
 
 
 def test_same_answer_under_repartitioning(spark):

@@ -1,4 +1,4 @@
-"""Training arithmetic against plain-Python loops on a three-document corpus."""
+"""Training arithmetic against plain-Python loops, and learning on real text."""
 
 import math
 import random
@@ -8,128 +8,195 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import tokenize
-from wordloom.operators import huffman as hf
 from wordloom.operators import skipgram as sg
 from wordloom.operators import train as tr
 from wordloom.operators import vocab as vo
 
+SF001 = "/root/testdata/sf0.001"
 DOCS = [
     (1, "the cat sat on the mat with hat"),
     (2, "a dog sat on a log with cat"),
     (3, "the dog and the cat on mat now"),
+    (4, ""),
 ]
 DIM = 3
 
 
-def sigma(x):
-    return 0.0 if x <= -6 else 1.0 if x >= 6 else 1.0 / (1.0 + math.exp(-x))
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(DOCS, "doc_id int, text string")
 
 
 @pytest.fixture(scope="module")
-def setup(spark):
-    docs = spark.createDataFrame(DOCS, "doc_id int, text string")
-    vocab = vo.word_counts(docs)            # every word, no bounds, for the small case
-    codes = hf.huffman_codes(vocab)
-    paths = hf.huffman_paths(codes)
+def small(spark, docs):
+    """Every word kept; random parameters large enough to reach the clip."""
+    prep = tr.prepare(docs, min_count=0, max_freq=2.0)
     rnd = random.Random(7)
-    words = [r["word"] for r in vocab.collect()]
-    nodes = sorted({r["node"] for r in paths.collect()})
-    wv = {w: [rnd.uniform(-3, 3) for _ in range(DIM)] for w in words}
-    nv = {n: [rnd.uniform(-3, 3) for _ in range(DIM)] for n in nodes}
-    params = tr.Params(spark.createDataFrame(list(wv.items()), "word string, vec array<double>"),
-                       spark.createDataFrame(list(nv.items()), "node bigint, vec array<double>"))
+    ids = {r["word"]: r["id"] for r in prep.words.collect()}
     path = {}
-    for r in paths.orderBy("word", "depth").collect():
-        path.setdefault(r["word"], []).append((r["node"], r["label"]))
-    toks = {r["doc_id"]: r["w"] for r in docs.select("doc_id", tokenize(F.col("text"), "C").alias("w")).collect()}
-    return docs, vocab, paths, params, wv, nv, path, toks
-
-
-def loop_pairs(toks, known, half=4):
-    for d in sorted(toks):
-        t = toks[d]
-        for i, w in enumerate(t):
-            if w not in known:
-                continue
-            for j in range(max(0, i - half), min(len(t) - 1, i + half) + 1):
-                if j != i and t[j] in known:
-                    yield w, t[j]
-
-
-@pytest.mark.parametrize("way", ["targets_broadcast", "targets_dataframe", "cooc_broadcast"])
-def test_gradient_matches_loop(spark, setup, way):
-    """Every gradient path against a plain loop over the pairs."""
-    docs, vocab, paths, params, wv, nv, path, toks = setup
-    cooc = sg.cooccurrence(sg.skipgram_pairs(docs, vocab))
-    if way == "cooc_broadcast":
-        g = [r for r in tr.cooc_gradient(cooc, paths, params, DIM).collect() if r["kind"] != "loss"]
-    else:
-        budget = None if way == "targets_broadcast" else 0
-        g = tr.hs_gradient(tr.node_targets(cooc, paths), params, max_model_bytes=budget).collect()
-    gw = {w: np.zeros(DIM) for w in wv}
-    gn = {n: np.zeros(DIM) for n in nv}
+    for r in prep.paths.orderBy("id", "depth").collect():
+        path.setdefault(r["id"], []).append((r["node"], r["label"]))
+    wv = {i: [rnd.uniform(-3, 3) for _ in range(DIM)] for i in ids.values()}
+    nv = {n: [rnd.uniform(-3, 3) for _ in range(DIM)] for n in {n for p in path.values() for n, _ in p}}
+    params = spark.createDataFrame([("word", i, v) for i, v in wv.items()] + [("node", i, v) for i, v in nv.items()],
+                                   "kind string, id bigint, vec array<double>")
+    toks = {r["doc_id"]: [ids[w] for w in r["w"]] for r in docs.select(
+        "doc_id", tokenize(F.col("text"), "C").alias("w")).collect()}
+    return prep, params, wv, nv, path, toks
+
+
+def sigma(x):
+    return 0.0 if x <= -6 else 1.0 if x >= 6 else 1.0 / (1.0 + math.exp(-x))
+
+
+def loop_pairs(tokens, half=4):
+    for i, w in enumerate(tokens):
+        for j in range(max(0, i - half), min(len(tokens) - 1, i + half) + 1):
+            if j != i:
+                yield w, tokens[j]
+
+
+def test_prepared_tables(spark, docs, small):
+    prep, *_ , toks = small
+    words = prep.words.orderBy("id").collect()
+    assert [r["id"] for r in words] == list(range(len(words)))
+    assert words == sorted(words, key=lambda r: (-r["count"], r["word"]))
+    got = {r["doc_id"]: (r["pos"], r["ids"]) for r in prep.docs.collect()}
+    assert got == {d: (list(range(len(t))), t) for d, t in toks.items() if t}
+    cooc = {(r["id"], r["context"]): r["n"] for r in tr.cooccurrence(prep).collect()}
+    want = {}
+    for t in toks.values():
+        for p in loop_pairs(t):
+            want[p] = want.get(p, 0) + 1
+    assert cooc == want
+
+
+@pytest.mark.parametrize("block_rows", [1000, 3, 1])
+def test_gradient_matches_loop_at_any_block_size(spark, small, block_rows):
+    prep, params, wv, nv, path, toks = small
+    g = tr.hs_gradient(tr.node_targets(tr.cooccurrence(prep), prep.paths), params, block_rows).collect()
+    want = {("word", i): np.zeros(DIM) for i in wv} | {("node", n): np.zeros(DIM) for n in nv}
     steps = 0
-    for w, c in loop_pairs(toks, set(wv)):
-        for node, label in path.get(c, []):
-            e = label - sigma(float(np.dot(wv[w], nv[node])))
-            gn[node] += e * np.array(wv[w])
-            gw[w] += e * np.array(nv[node])
-            steps += 1
-    assert sum(r["n"] for r in g if r["kind"] == "word") == steps
+    for t in toks.values():
+        for w, c in loop_pairs(t):
+            for node, label in path[c]:
+                e = label - sigma(float(np.dot(wv[w], nv[node])))
+                want["node", node] += e * np.array(wv[w])
+                want["word", w] += e * np.array(nv[node])
+                steps += 1
+    assert sum(r["n"] for r in g if r["kind"] == "word") == sum(r["n"] for r in g if r["kind"] == "node") == steps
+    assert {(r["kind"], r["id"]) for r in g} == set(want)
     for r in g:
-        ref = gw[r["word"]] if r["kind"] == "word" else gn[r["node"]]
-        assert np.allclose(r["grad"], ref, atol=1e-9), r
+        assert np.allclose(r["grad"], want[r["kind"], r["id"]], atol=1e-9), r
 
 
-def test_local_sgd_one_replica_matches_loop(spark, setup):
-    docs, vocab, paths, params, wv, nv, path, toks = setup
+@pytest.mark.parametrize("replicas, lockstep", [(1, 1), (3, 2), (3, 32)])
+def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, lockstep):
+    """Pair by pair in each replica, whatever else runs in lockstep."""
+    monkeypatch.setattr(tr, "LOCKSTEP", lockstep)
+    prep, params, wv, nv, path, toks = small
     lr = 0.05
-    deltas = tr.local_sgd(docs, params, paths, replicas=1, lr=lr, dim=DIM).collect()
-    W = {w: np.array(v) for w, v in wv.items()}
-    N = {n: np.array(v) for n, v in nv.items()}
-    for w, c in loop_pairs(toks, set(wv)):
-        upd = np.zeros(DIM)
-        for node, label in path.get(c, []):
-            g = lr * (label - sigma(float(W[w] @ N[node])))
-            upd += g * N[node]
-            N[node] = N[node] + g * W[w]
-        W[w] = W[w] + upd
-    for r in deltas:
-        if r["kind"] == "word":
-            assert np.allclose(np.array(wv[r["word"]]) + r["delta"], W[r["word"]], atol=1e-9)
-        else:
-            assert np.allclose(np.array(nv[r["node"]]) + r["delta"], N[r["node"]], atol=1e-9)
-    again = tr.local_sgd(docs, params, paths, replicas=1, lr=lr, dim=DIM).collect()
-    assert sorted(map(str, again)) == sorted(map(str, deltas))   # repeats exactly
-
-
-def test_root_targets_equal_pairs(spark, setup):
-    docs, vocab, paths, *_ = setup
-    pairs = sg.skipgram_pairs(docs, vocab)
-    t = tr.node_targets(sg.cooccurrence(pairs), paths).where("node = 1")
-    a = {r["word"]: r["n"] for r in t.collect()}
-    b = {r["word"]: r["count"] for r in pairs.groupBy("word").count().collect()}
-    assert a == b
-
-
-def test_sync_loss_falls(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    vocab = vo.tree_vocabulary(docs)
-    params, losses = tr.fit_sync(docs, vocab, iters=3, dim=16, lr=0.5, normalize=True)
-    assert losses[0] == pytest.approx(math.log(2), abs=1e-9)   # zero nodes: sigma = 1/2
-    assert losses[2] < losses[1] < losses[0]
-    # the DataFrame path (no broadcast) gives the same losses
-    _, losses_df = tr.fit_sync(docs, vocab, iters=3, dim=16, lr=0.5, normalize=True, max_model_bytes=0)
-    assert losses_df == pytest.approx(losses, rel=1e-9)
-    vecs = params.words.collect()
-    assert len(vecs) == 916 and all(all(math.isfinite(x) for x in r["vec"]) for r in vecs)
-
-
-def test_init_ranges_and_batches(spark, setup):
-    docs, vocab, *_ = setup
-    w = tr.init_word_vectors(vocab, dim=100, seed=3).collect()
+    work = tr.replicas_of(prep.docs, prep.paths, replicas)
+    got = {(r["kind"], r["id"]): r for r in tr.local_sgd(work, params, lr).collect()}
+    dealt = {}
+    for r in work.rows.where("part = 2").orderBy("id").collect():
+        dealt.setdefault(r["grp"], []).append(r["b"])
+    change, steps, loss = {}, 0, 0.0
+    for texts in dealt.values():
+        W, N = ({k: np.array(v) for k, v in d.items()} for d in (wv, nv))
+        for t in texts:
+            for w, c in loop_pairs(t):
+                upd = np.zeros(DIM)
+                for node, label in path[c]:
+                    s = sigma(float(W[w] @ N[node]))
+                    g = lr * (label - s)
+                    loss -= math.log(max(s if label else 1 - s, tr.LOSS_FLOOR))
+                    upd += g * N[node]
+                    N[node] = N[node] + g * W[w]
+                    steps += 1
+                W[w] = W[w] + upd
+        for kind, now, base in (("word", W, wv), ("node", N, nv)):
+            for k, v in now.items():
+                change[kind, k] = change.get((kind, k), 0) + v - np.array(base[k])
+    for key, r in got.items():
+        if key[0] != "loss":
+            assert np.allclose(r["change"], change[key], atol=1e-9), key
+    assert all(k in got for k, v in change.items() if np.abs(v).max() > 0)
+    assert got["loss", 0]["n"] == steps and got["loss", 0]["change"][0] == pytest.approx(loss)
+    # averaging divides by the configured replicas and keeps untouched rows
+    after = {(r["kind"], r["id"]): r["vec"] for r in tr.averaged(params, tr.local_sgd(work, params, lr), replicas).collect()}
+    base = {("word", k): v for k, v in wv.items()} | {("node", k): v for k, v in nv.items()}
+    assert all(np.allclose(after[k], np.array(v) + change.get(k, 0) / replicas, atol=1e-9) for k, v in base.items())
+
+
+def test_repeated_ids_raise(spark):
+    twice = spark.createDataFrame([(1, "a b c"), (1, "d e f")], "doc_id int, text string")
+    for job in (lambda: tr.prepare(twice), lambda: tr.fit_sync(twice), lambda: tr.fit_local(twice),
+                lambda: sg.skipgram_pairs(twice, vo.word_counts(twice))):
+        with pytest.raises(ValueError, match="unique"):
+            job()
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    return docs, tr.prepare(docs)
+
+
+def test_root_targets_equal_pairs(spark, real):
+    docs, prep = real
+    t = tr.node_targets(tr.cooccurrence(prep), prep.paths).where("node = 1").join(prep.words, "id")
+    counts = vo.word_counts(docs)
+    pairs = sg.skipgram_pairs(docs, vo.tree_words(counts), frequent=vo.frequent_words(counts))
+    assert {r["word"]: r["n"] for r in t.collect()} == {r["word"]: r["count"] for r in pairs.groupBy("word").count().collect()}
+
+
+def test_synchronous_training_learns_with_its_defaults(spark, real):
+    """The loss never rises and falls well below ln 2; no component can leave
+    the start by more than rate x iterations."""
+    docs, prep = real
+    iters = 8
+    fit = tr.fit_sync(docs, iters=iters, prep=prep)
+    assert fit.losses[0] == pytest.approx(math.log(2), abs=1e-9)      # zero nodes: sigma = 1/2
+    assert all(b <= a for a, b in zip(fit.losses, fit.losses[1:]))
+    assert fit.losses[-1] < 0.61
+    top = max(abs(x) for r in fit.params.where("kind <> 'loss'").collect() for x in r["vec"])
+    assert top <= 0.005 + iters * tr.LEARNING_RATE
+    vecs = tr.vectors_of(fit).collect()
+    assert len(vecs) == 916
+    start = {r["word"]: r["vec"] for r in tr.init_word_vectors(prep.words).collect()}
+    assert all(r["vec"] != start[r["word"]] for r in vecs)
+
+
+def test_local_training_learns_and_reports_every_iteration(spark, real):
+    docs, prep = real
+    top = [r["word"] for r in prep.words.orderBy("id").limit(3).collect()]
+    fit = tr.fit_local(docs, iters=3, replicas=8, prep=prep, probes=tr.Probes(top, [tuple(top), ("no", "such", "words")], k=4))
+    assert math.log(2) > fit.losses[0] > fit.losses[1] > fit.losses[2]
+    rows = tr.training_report(fit).collect()
+    for it in (1, 2, 3):
+        now = [r for r in rows if r["iteration"] == it]
+        assert [r["value"] for r in now if r["kind"] == "loss"] == [fit.losses[it - 1]]
+        near = [r for r in now if r["kind"] == "nearest"]
+        assert len(near) == 12 and {r["word"] for r in near if r["rank"] == 1} == set(top)
+        answer = [r for r in now if r["kind"] == "analogy"]
+        assert len(answer) == 1 and answer[0]["word"] not in top
+
+
+def test_mini_batches_take_turns(spark, real):
+    docs, prep = real
+    fit = tr.fit_local(docs, iters=2, replicas=16, batches=2, schedule="linear", prep=prep)
+    assert len(fit.losses) == 2 and all(0 < x < math.log(2) for x in fit.losses)
+    start = {r["word"]: r["vec"] for r in tr.init_word_vectors(prep.words).collect()}
+    assert all(r["vec"] != start[r["word"]] for r in tr.vectors_of(fit).collect())
+
+
+def test_init_ranges_batches_and_schedule(spark, docs):
+    w = tr.init_word_vectors(vo.word_counts(docs), dim=100, seed=3).collect()
     assert all(-0.005 <= x < 0.005 for r in w for x in r["vec"])
-    b = tr.assign_batches(docs, 2, seed=1).collect()
-    assert {r["batch"] for r in b} <= {0, 1}
+    b = tr.assign_batches(docs, 2, seed=1)
+    assert {r["batch"] for r in b.collect()} <= {0, 1}
+    assert tr.select_batch(b, 0).count() + tr.select_batch(b, 1).count() == docs.count()
     assert tr.learning_rate(29, 30, schedule="constant") == 0.025
     assert tr.learning_rate(29, 30, schedule="linear") == pytest.approx(0.025 / 30)
+    assert tr.learning_rate(30, 30, schedule="linear") == pytest.approx(0.025e-4)

@@ -27,10 +27,12 @@ def test_bounds_are_strict(spark):
 def test_long_integers_dropped(spark):
     # the byte length counts the sign: "+1234567" is 8 bytes and is dropped
     v = spark.createDataFrame([("+123456", 9), ("+1234567", 9), ("1234567", 9), ("12345678", 9),
-                               ("007", 9), ("-", 9), ("1e5", 9)], "word string, count bigint")
+                               ("007", 9), ("-", 9), ("1e5", 9), ("12345678\r", 9), ("12345678\u2028", 9)],
+                              "word string, count bigint")
     ints = {r["word"]: r["dropped"] for r in vo.integer_words(v).collect()}
     assert ints == {"+123456": False, "+1234567": True, "1234567": False, "12345678": True, "007": False}
-    assert {r["word"] for r in vo.drop_long_integers(v).collect()} == {"+123456", "1234567", "007", "-", "1e5"}
+    assert {r["word"] for r in vo.drop_long_integers(v).collect()} == {"+123456", "1234567", "007", "-", "1e5",
+                                                                      "12345678\r", "12345678\u2028"}
 
 
 def test_fixture_counts(spark):
@@ -66,13 +68,15 @@ def test_huffman_invariants(spark):
     assert all(a["len"] <= b["len"] for a, b in zip(by_count, by_count[1:]))
 
 
-def test_huffman_bucketed_ranks(spark):
-    # a small bucket target splits every count group into hash buckets
+def test_codes_are_the_same_for_any_ranges(spark):
     v = spark.createDataFrame([(f"w{i}", 9 + i % 3) for i in range(60)], "word string, count bigint")
-    a = {r["word"]: (r["len"], r["code"]) for r in hf.huffman_codes(v).collect()}
-    b = {r["word"]: (r["len"], r["code"]) for r in hf.huffman_codes(v, bucket_target=4).collect()}
-    assert len(set(b.values())) == 60
-    assert sorted(x[0] for x in a.values()) == sorted(x[0] for x in b.values())
+    one = {r["word"]: (r["place"], r["len"], r["code"]) for r in hf.huffman_codes(v, ranges=1).collect()}
+    assert len(set(one.values())) == 60 and sorted(p for p, _, _ in one.values()) == list(range(60))
+    # ties by word: places and codes follow (count descending, word)
+    order = sorted(one, key=lambda w: (-(9 + int(w[1:]) % 3), w))
+    assert [one[w][0] for w in order] == list(range(60))
+    for ranges in (2, 7, 40):
+        assert {r["word"]: (r["place"], r["len"], r["code"]) for r in hf.huffman_codes(v, ranges=ranges).collect()} == one
 
 
 def test_single_word_has_no_path(spark):
@@ -80,6 +84,7 @@ def test_single_word_has_no_path(spark):
     codes = hf.huffman_codes(v)
     assert [(r["len"], r["code"]) for r in codes.collect()] == [(0, 0)]
     assert hf.huffman_paths(codes).count() == 0
+    assert hf.huffman_codes(v.limit(0)).count() == 0
 
 
 def test_pairs_keep_oov_positions(spark):
@@ -90,6 +95,23 @@ def test_pairs_keep_oov_positions(spark):
     assert got == [(0, 2), (2, 0)]
 
 
+def test_frequent_words_change_no_result(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    counts = vo.word_counts(docs)
+    tree, hot = vo.tree_words(counts), vo.frequent_words(counts)
+    assert 0 < hot.count() < 1 / vo.MAX_FREQ
+    tokens = tfo.token_positions(docs, "C")
+    for a, b in ((vo.encode(tokens, tree), vo.encode(tokens, tree, hot)),
+                 (vo.known_tokens(tokens, tree), vo.known_tokens(tokens, tree, hot))):
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_vector_lookup(spark):
+    v = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, vec array<double>")
+    ids = spark.createDataFrame([("b",), ("x",), ("b",)], "id string")
+    assert {r["id"]: r["vec"] for r in vx.lookup_vectors(v, ids).collect()} == {"b": [2.0], "x": None}
+
+
 VECS = [("z", [0.0, 0.0]), ("p", [1.0, 0.0]), ("q", [1.0, 0.0]), ("n", [-1.0, 0.0]), ("d", [0.6, 0.8])]
 
 
@@ -104,11 +126,37 @@ def test_nearest_ties_zero_and_opposite(spark):
     assert vx.nearest(v, q.where("query_id = 'none'"), k=3).count() == 0
 
 
+def test_query_blocks_and_ties_against_sorting(spark, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "id bigint, vec array<double>").repartition(5)
+    q = spark.createDataFrame([(f"q{i}", rows[i][1], [i, i + 1]) for i in range(9)],
+                              "query_id string, qvec array<double>, exclude array<bigint>")
+
+    def cos(a, b):
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / n, 9) if n else None
+    for budget in (1 << 20, 100):
+        monkeypatch.setattr(vx, "MAX_QUERY_BYTES", budget)
+        got = {}
+        for r in vx.nearest(v, q, k=7).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["sim"])
+        for i in range(9):
+            sims = [(cos(rows[i][1], x), j) for j, x in rows if j not in (i, i + 1)]
+            want = sorted(sims, key=lambda s: (s[0] is None, -(s[0] or 0), s[1]))[:7]
+            have = [got[f"q{i}"][k] for k in range(1, 8)]
+            assert [s for _, s in have] == [pytest.approx(s) for s, _ in want]
+
+
 def test_differing_lengths_raise(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0])], "id string, vec array<double>")
     pairs = spark.createDataFrame([("a", "b")], "a string, b string")
     with pytest.raises(Exception, match="differ in length"):
         vx.cosine_pairs(v, pairs).collect()
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, qvec array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        vx.nearest(v, q).collect()
 
 
 def test_average_counts_untouched_rows(spark):
@@ -126,20 +174,34 @@ def test_analogy_excludes_inputs(spark):
     assert [x["id"] for x in r] == ["t"]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plans_have_partial_aggregation(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
-    for df in (tfo.term_counts(docs), vo.word_counts(docs), tfo.corpus_document_frequency(docs)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "partial_count" in plan
-        assert "Python" not in plan and "ArrowEvalPython" not in plan
-
-
-def test_no_python_outside_training(spark):
-    """SURVEY §4: only the training operators may run Python in tasks."""
-    import __spark_entry__ as entry
-    training = {"hs_gradient", "fit_sync", "fit_local", "training_report"}
-    for name, q in entry.queries().items():
-        if name in training:
-            continue
-        plan = q(spark, SF001)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "MapInPandas" not in plan, name
+    for df in (vo.word_counts(docs), tfo.corpus_document_frequency(docs)):
+        assert "partial_count" in plan(df) and "Python" not in plan(df)
+
+
+def test_scans_and_exchanges(spark):
+    """Terms are counted without a shuffle; TF-IDF scans the text twice."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    assert "Exchange" not in plan(tfo.term_counts(docs))
+    p = plan(tfo.tfidf(docs))
+    assert p.count("Scan parquet") == 2 and "doc_id" not in "".join(x for x in p.split("\n") if "Exchange hash" in x)
+    counts = vo.word_counts(docs)
+    from wordloom.session import written
+    codes = hf.huffman_codes(vo.tree_words(written(counts, "counts")))
+    assert "documents.parquet" not in plan(codes)
+
+
+def test_python_only_in_training_and_vector_queries(spark):
+    """Only the trainers' kernels and the similarity matrices run Python in tasks."""
+    from wordloom.plans import catalog
+    python = {"hs_gradient", "sync_step", "fit_sync", "fit_local", "word_vectors", "training_report",
+              "nearest", "farthest", "analogy"}
+    for name, q in catalog.queries().items():
+        if name not in python:
+            p = plan(q(spark, SF001))
+            assert "Python" not in p and "MapInArrow" not in p, name

@@ -9,7 +9,6 @@ it scales with the cluster. Sub-packages:
 - ``operators``  TF-IDF, vocabulary, skip-gram, Huffman codes, training,
                  vector queries
 - ``plans``      the query catalogue used by the entry point and the bench
-- ``streaming``  incremental word counts over a growing corpus
 """
 
 from wordloom.session import build_session, checkpoint_dir

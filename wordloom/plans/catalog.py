@@ -1,7 +1,7 @@
 """The query catalogue: one callable ``(spark, sf_dir) -> DataFrame`` per key.
 
 Every query reads the given tables (or data Spark derives from them) in
-full. Keys match ``wordloom.plans.oracle.sql()`` where an exact SQL oracle
+full and runs with the operators' own settings. Keys match ``wordloom.plans.oracle.sql()`` where an exact SQL oracle
 exists; the others are checked by invariants in the tests.
 """
 
@@ -19,6 +19,8 @@ from wordloom.operators import train as tr
 from wordloom.operators import vectors as vx
 from wordloom.operators import vocab as vo
 from wordloom.functions import vector as V
+from wordloom.functions.text import tokenize
+from wordloom.session import written
 from wordloom.sources.corpus import chunk_documents, parse_json_corpus, read_corpus, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,13 @@ def q_json_corpus(spark, sf_dir):
     return parse_json_corpus(ev, "props", id_field="k", text_field="content", keep=["event_id"])
 
 
+def q_json_documents(spark, sf_dir):
+    """The documents as JSON records with fields ``title`` and ``content``."""
+    record = F.to_json(F.struct(F.col("doc_id").alias("title"), F.col("text").alias("content")))
+    records = documents(spark, sf_dir).select(record.alias("record"))
+    return parse_json_corpus(records, "record", id_field="title", text_field="content")
+
+
 def q_chunk_documents(spark, sf_dir):
     return chunk_documents(documents(spark, sf_dir), 1000)
 
@@ -57,8 +66,13 @@ def q_document_frequency(spark, sf_dir):
     return tfo.corpus_document_frequency(documents(spark, sf_dir), "A")
 
 
+def counted(spark, sf_dir, preset: str = "C") -> DataFrame:
+    """Word counts, written: bounds, tree and frequent words all read them."""
+    return written(vo.word_counts(documents(spark, sf_dir), preset), "counts")
+
+
 def tree(spark, sf_dir) -> DataFrame:
-    return vo.tree_vocabulary(documents(spark, sf_dir))
+    return vo.tree_words(counted(spark, sf_dir))
 
 
 def q_word_counts(spark, sf_dir):
@@ -77,6 +91,19 @@ def q_overfrequent(spark, sf_dir):
     return vo.overfrequent(vo.word_counts(documents(spark, sf_dir)))
 
 
+def q_vocabulary_b(spark, sf_dir):
+    """The vocabulary of a document collection (separator preset B)."""
+    return vo.vocabulary(counted(spark, sf_dir, "B"))
+
+
+def q_overfrequent_b(spark, sf_dir):
+    return vo.overfrequent(counted(spark, sf_dir, "B"))
+
+
+def q_frequent_words(spark, sf_dir):
+    return vo.frequent_words(counted(spark, sf_dir))
+
+
 def q_vocab_lookup(spark, sf_dir):
     """Words of the ``benchmark`` passages looked up in the corpus vocabulary."""
     bench = read_corpus(spark, f"{sf_dir.rstrip('/')}/benchmark.parquet", id_col="item_id")
@@ -93,23 +120,22 @@ def q_count_histogram(spark, sf_dir):
 
 
 def q_encode_tokens(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return vo.encode(tfo.token_positions(docs, "C"), vo.tree_vocabulary(docs))
+    counts = counted(spark, sf_dir)
+    return vo.encode(tfo.token_positions(documents(spark, sf_dir), "C"), vo.tree_words(counts), vo.frequent_words(counts))
 
 
 def q_oov_rate(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return vo.oov_rate(tfo.token_positions(docs, "C"), vo.tree_vocabulary(docs))
+    counts = counted(spark, sf_dir)
+    return vo.oov_rate(tfo.token_positions(documents(spark, sf_dir), "C"), vo.tree_words(counts), vo.frequent_words(counts))
 
 
 def q_skipgram_pairs(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return sgo.skipgram_pairs(docs, vo.tree_vocabulary(docs))
+    counts = counted(spark, sf_dir)
+    return sgo.skipgram_pairs(documents(spark, sf_dir), vo.tree_words(counts), frequent=vo.frequent_words(counts))
 
 
 def q_cooccurrence(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return sgo.cooccurrence(sgo.skipgram_pairs(docs, vo.tree_vocabulary(docs)))
+    return sgo.cooccurrence(q_skipgram_pairs(spark, sf_dir))
 
 
 def embeddings(spark, sf_dir) -> DataFrame:
@@ -171,6 +197,13 @@ def q_analogy(spark, sf_dir):
     return r.select("query_id", "rank", "id", F.round("sim", 6).alias("sim"))
 
 
+def q_vector_lookup(spark, sf_dir):
+    """Vectors of given ids: every label value, looked up as an id, and one id beyond all."""
+    e = embeddings(spark, sf_dir)
+    ids = e.select(F.col("label").cast("bigint").alias("id")).unionByName(e.select((F.max("vec_id") + 1).alias("id")))
+    return vx.lookup_vectors(emb_vectors(spark, sf_dir), ids)
+
+
 def q_vector_components(spark, sf_dir):
     return vx.components(emb_vectors(spark, sf_dir), 5)
 
@@ -199,90 +232,103 @@ def q_huffman_paths(spark, sf_dir):
 
 
 def q_huffman_summary(spark, sf_dir):
-    codes = hf.huffman_codes(tree(spark, sf_dir))
+    codes = written(hf.huffman_codes(tree(spark, sf_dir)), "codes")
     return hf.summary(codes, hf.huffman_paths(codes)).drop("max_len")
 
 
-# Training queries run on the documents with the settings of the reference
-# (dimension 100, window 8, min count 8, max frequency 0.005) and a few
-# iterations, so the check stays short while every row of the corpus is used.
-TRAIN_ITERS = 2
-LOCAL_REPLICAS = 4
-
-
-def _prepared(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    vocab = vo.tree_vocabulary(docs)
-    codes = hf.huffman_codes(vocab)
-    paths = hf.huffman_paths(codes)
-    cooc = sgo.cooccurrence(sgo.skipgram_pairs(docs, vocab))
-    return docs, vocab, codes, paths, cooc
-
+# Training runs with the settings of the reference: dimension 100, window 8,
+# min count 8, max frequency 0.005, rate 0.025, 30 iterations. Replicas stand
+# for the reference's workers, whose number is a matter of the cluster.
 
 def q_init_params(spark, sf_dir):
     return tr.init_word_vectors(tree(spark, sf_dir).select("word"), tr.DIM, seed=0)
 
 
+def _targets(prep) -> DataFrame:
+    return tr.node_targets(tr.cooccurrence(prep), prep.paths)
+
+
 def q_node_targets(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return tr.prepare(docs, vo.tree_vocabulary(docs), targets=True)[3]
+    prep = tr.prepare(documents(spark, sf_dir))
+    return _targets(prep).join(prep.words.select("id", "word"), "id").select("word", "node", "n", "n1")
 
 
 def q_root_targets(spark, sf_dir):
     return q_node_targets(spark, sf_dir).where(F.col("node") == 1).select("word", "n")
 
 
+def _named(rows: DataFrame, words: DataFrame, *cols) -> DataFrame:
+    """Rows ``(kind, id, ..)`` with the word or the node their id stands for."""
+    is_word = F.col("kind") == "word"
+    names = words.select(F.col("id").alias("_id"), "word")
+    return rows.join(names, is_word & (F.col("id") == F.col("_id")), "left").select(
+        "kind", "word", F.when(~is_word, F.col("id")).alias("node"), *cols)
+
+
 def q_hs_gradient(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return tr.corpus_gradient(docs, vo.tree_vocabulary(docs), tr.DIM, seed=0)
+    """The gradient at random word and node vectors, rounded to 4 digits."""
+    prep = tr.prepare(documents(spark, sf_dir))
+    params = written(tr.random_params(prep), "params")
+    g = tr.hs_gradient(_targets(prep), params)
+    return _named(g, prep.words, V.round_vec("grad", 4).alias("grad"), "n")
+
+
+def q_sync_step(spark, sf_dir):
+    """Random word and node vectors after one synchronous step."""
+    prep = tr.prepare(documents(spark, sf_dir))
+    params = written(tr.random_params(prep), "params")
+    work = tr.cells(_targets(prep), prep.words.count())
+    after = tr.sync_step(params, work, tr.LEARNING_RATE)
+    return _named(after, prep.words, V.round_vec("vec", 6).alias("vec"))
+
+
+def top3(prep) -> tr.Probes:
+    """The three most frequent tree words and the analogy over them."""
+    words = [r["word"] for r in prep.words.where("id < 3").orderBy("id").collect()]
+    return tr.Probes(words, [tuple(words)] if len(words) == 3 else [])
 
 
 def q_fit_sync(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    vocab = vo.tree_vocabulary(docs)
-    params, _ = tr.fit_sync(docs, vocab, iters=TRAIN_ITERS)
-    return tr.word_vectors(params, vocab)
+    return tr.vectors_of(tr.fit_sync(documents(spark, sf_dir)))
 
 
-def q_fit_local(spark, sf_dir):
+def q_training_report(spark, sf_dir):
+    """Synchronous training, reported after every iteration."""
     docs = documents(spark, sf_dir)
-    vocab = vo.tree_vocabulary(docs)
-    params = tr.fit_local(docs, vocab, iters=1, replicas=LOCAL_REPLICAS)
-    return tr.word_vectors(params, vocab)
+    prep = tr.prepare(docs)
+    return tr.training_report(tr.fit_sync(docs, prep=prep, probes=top3(prep)))
 
 
-def q_minibatch_sizes(spark, sf_dir):
-    from wordloom.functions.text import tokenize
-    docs = tr.assign_batches(documents(spark, sf_dir), 4, seed=0)
-    return docs.groupBy("batch").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.sum(F.size(tokenize(F.col("text"), "C"))).cast("bigint").alias("n_tokens"))
+def q_word_vectors(spark, sf_dir):
+    """Word vectors trained by local SGD with parameter averaging."""
+    return tr.vectors_of(tr.fit_local(documents(spark, sf_dir)))
 
 
-def q_word_vectors(spark, sf_dir):
+def q_fit_local(spark, sf_dir):
+    """Local SGD over two mini-batches an iteration with the linear schedule,
+    reported after every iteration."""
     docs = documents(spark, sf_dir)
-    vocab = vo.tree_vocabulary(docs)
-    codes = hf.huffman_codes(vocab)
-    params = tr.init_params(vocab.select("word"), hf.huffman_paths(codes), tr.DIM, seed=0)
-    return tr.word_vectors(params, vocab)
+    prep = tr.prepare(docs)
+    return tr.training_report(tr.fit_local(docs, batches=2, schedule="linear", prep=prep, probes=top3(prep)))
 
 
-def q_training_report(spark, sf_dir):
-    """Probe words: the three most frequent tree words; analogy over them."""
-    docs = documents(spark, sf_dir)
-    vocab = vo.tree_vocabulary(docs)
-    params, losses = tr.fit_sync(docs, vocab, iters=2)
-    top = vo.top_words(vocab, 3).select("word")
-    t = top.agg(F.sort_array(F.collect_list(F.struct(F.col("word")))).alias("_t"))
-    triples = t.select(F.lit("top3").alias("query_id"), F.col("_t")[0]["word"].alias("a"),
-                       F.col("_t")[1]["word"].alias("b"), F.col("_t")[2]["word"].alias("c"))
-    return tr.training_report(params, vocab, top, triples, losses=losses)
+def q_minibatch_sizes(spark, sf_dir):
+    """Four mini-batches, each selected and counted on its own."""
+    docs = tr.assign_batches(documents(spark, sf_dir), 4, seed=0)
+    parts = [tr.select_batch(docs, m).agg(
+        F.lit(m).cast("bigint").alias("batch"), F.count(F.lit(1)).alias("n_docs"),
+        F.sum(F.size(tokenize(F.col("text"), "C"))).cast("bigint").alias("n_tokens")) for m in range(4)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("n_docs > 0")
 
 
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "corpus_scan": lambda s, d: documents(s, d),
         "json_corpus": q_json_corpus,
+        "json_documents": q_json_documents,
         "chunk_documents": q_chunk_documents,
         "tokenize_a": _tokenize("A"),
         "tokenize_b": _tokenize("B"),
@@ -304,6 +350,9 @@ def queries() -> dict[str, Query]:
         "vocabulary": q_vocabulary,
         "integer_tokens": q_integer_tokens,
         "overfrequent_words": q_overfrequent,
+        "vocabulary_b": q_vocabulary_b,
+        "overfrequent_words_b": q_overfrequent_b,
+        "frequent_words": q_frequent_words,
         "vocab_lookup": q_vocab_lookup,
         "top_words": q_top_words,
         "count_histogram": q_count_histogram,
@@ -316,6 +365,7 @@ def queries() -> dict[str, Query]:
         "nearest": q_nearest,
         "farthest": q_farthest,
         "analogy": q_analogy,
+        "vector_lookup": q_vector_lookup,
         "vector_components": q_vector_components,
         "vector_mean_by_label": q_vector_mean_by_label,
         "average_replicas": q_average_replicas,
@@ -326,6 +376,7 @@ def queries() -> dict[str, Query]:
         "node_targets": q_node_targets,
         "root_targets": q_root_targets,
         "hs_gradient": q_hs_gradient,
+        "sync_step": q_sync_step,
         "fit_sync": q_fit_sync,
         "fit_local": q_fit_local,
         "minibatch_sizes": q_minibatch_sizes,

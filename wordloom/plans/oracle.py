@@ -2,7 +2,8 @@
 
 Written from the semantics, not from the Spark code: tokens come from a
 regular-expression split over the separator class (Spark uses translate and
-a literal split), counts from GROUP BY, windows from range self-joins.
+a literal split), counts from GROUP BY, windows from equi joins on shifted
+positions, Huffman trees from two queues in a recursive query.
 Tables are the pre-registered views named after the parquet files.
 """
 
@@ -10,7 +11,12 @@ from __future__ import annotations
 
 import string
 
-from wordloom.functions.text import separator_regex
+# The three separator sets as regular-expression classes.
+SEPARATOR_CLASS = {
+    "A": r"""[ \t\n.,()'":;!?<>]""",
+    "B": r"""[ \t\n.,()'":;!?<>\[\]\-]""",
+    "C": r"""[ \t\n.,()'":;!?<>\[\]\-=|]""",
+}
 
 UP = string.ascii_uppercase
 LO = string.ascii_lowercase
@@ -18,8 +24,9 @@ LO = string.ascii_lowercase
 
 def toks(preset: str, text: str = "text") -> str:
     """SQL list of tokens of ``text`` for a separator preset."""
+    seps = SEPARATOR_CLASS[preset].replace("'", "''")
     return (f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{UP}', '{LO}'), "
-            f"'{separator_regex(preset)}'), lambda x: x <> '')")
+            f"'{seps}'), lambda x: x <> '')")
 
 
 def _rand32(key_sql: str) -> str:
@@ -53,9 +60,77 @@ def _pairs_cte(half: int = 4) -> str:
     return f"""
     tp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM tw),
     kt AS (SELECT doc_id, pos, word FROM tp SEMI JOIN tree USING (word)),
-    pairs AS (SELECT a.doc_id, a.pos, b.pos AS context_pos, a.word, b.word AS context
-              FROM kt a JOIN kt b ON a.doc_id = b.doc_id
-               AND b.pos BETWEEN a.pos - {half} AND a.pos + {half} AND b.pos <> a.pos)"""
+    sh AS (SELECT doc_id, pos, word, pos + unnest({[d for d in range(-half, half + 1) if d]}) AS at FROM kt),
+    pairs AS (SELECT sh.doc_id, sh.pos, kt.pos AS context_pos, sh.word, kt.word AS context
+              FROM sh JOIN kt ON sh.doc_id = kt.doc_id AND sh.at = kt.pos)"""
+
+
+def _huffman_ctes() -> str:
+    """CTEs: codes(word, count, place, len, code), paths(word, depth, node, label).
+
+    Two queues: leaves by ascending count, inner nodes as they are made; the
+    smaller front is taken, a leaf if equal. Leaf i is node i, the inner node
+    of step k is node n + k.
+    """
+    return """
+    lv AS MATERIALIZED (SELECT list(count ORDER BY count) AS w, count(*)::INT AS n FROM tree),
+    mg(step, i, j, made, a, b) AS (
+      SELECT 0, 1, 1, []::BIGINT[], 0, 0
+      UNION ALL
+      SELECT step + 1, i2, j2, list_append(made, wa + wb), a2, b2 FROM (
+        SELECT step, made, n, wa, a2,
+               CASE WHEN leaf_b THEN i1 + 1 ELSE i1 END AS i2, CASE WHEN leaf_b THEN j1 ELSE j1 + 1 END AS j2,
+               CASE WHEN leaf_b THEN w[i1] ELSE made[j1] END AS wb, CASE WHEN leaf_b THEN i1 ELSE n + j1 END AS b2
+        FROM (SELECT *, i1 <= n AND (j1 > len(made) OR w[i1] <= made[j1]) AS leaf_b FROM (
+          SELECT step, made, n, w, CASE WHEN leaf_a THEN w[i] ELSE made[j] END AS wa,
+                 CASE WHEN leaf_a THEN i ELSE n + j END AS a2,
+                 CASE WHEN leaf_a THEN i + 1 ELSE i END AS i1, CASE WHEN leaf_a THEN j ELSE j + 1 END AS j1
+          FROM (SELECT mg.*, lv.w, lv.n, i <= n AND (j > len(made) OR w[i] <= made[j]) AS leaf_a
+                FROM mg, lv WHERE step < n - 1))))),
+    edge AS (SELECT (SELECT n FROM lv) + step AS parent, unnest([a, b]) AS child FROM mg WHERE step > 0),
+    dp(node, depth) AS (
+      SELECT 2 * n - 1, 0 FROM lv
+      UNION ALL
+      SELECT edge.child, depth + 1 FROM dp JOIN edge ON edge.parent = dp.node),
+    ls AS (SELECT depth AS len, row_number() OVER (ORDER BY depth) - 1 AS place FROM dp, lv WHERE node <= n),
+    lc AS (SELECT len, count(*) AS c, min(place) AS first_place FROM ls GROUP BY len),
+    fc AS (SELECT x.len, x.first_place, coalesce(sum(y.c * (1::BIGINT << (x.len - y.len))), 0) AS first_code
+           FROM lc x LEFT JOIN lc y ON y.len < x.len GROUP BY x.len, x.first_place),
+    codes AS (SELECT word, count, t.place::BIGINT AS place, ls.len::INT AS len,
+                     (first_code + t.place - first_place)::BIGINT AS code
+              FROM (SELECT word, count, row_number() OVER (ORDER BY count DESC, word) - 1 AS place FROM tree) t
+              JOIN ls ON ls.place = t.place JOIN fc ON fc.len = ls.len),
+    paths AS (SELECT word, k::INT AS depth, ((1::BIGINT << k) + (code >> (len - k)))::BIGINT AS node,
+                     (1 - ((code >> (len - 1 - k)) & 1))::INT AS label
+              FROM (SELECT *, unnest(range(0, len)) AS k FROM codes))"""
+
+
+def _targets_cte() -> str:
+    """CTE: targets(word, node, n, n1); after the pairs and Huffman CTEs."""
+    return """
+    co AS (SELECT word, context, count(*) AS n FROM pairs GROUP BY word, context),
+    targets AS (SELECT co.word, node, sum(n)::BIGINT AS n, sum(n * label)::BIGINT AS n1
+                FROM co JOIN paths ON paths.word = co.context GROUP BY co.word, node)"""
+
+
+def _random_vector(key_sql: str, dim: int = 100) -> str:
+    key = f"{key_sql} || ':' || CAST(i AS VARCHAR) || ':0'"
+    return f"list_transform(range({dim}), lambda i: {_rand32(key)}::DOUBLE / 4294967296.0::DOUBLE - 0.5::DOUBLE)"
+
+
+def _gradient_ctes() -> str:
+    """CTEs: wp(word, vec), np(node, vec), gw(word, i, g, n), gn(node, i, g, n)."""
+    return f"""
+    wp AS MATERIALIZED (SELECT word, {_random_vector('word')} AS vec FROM tree),
+    np AS MATERIALIZED (SELECT node, {_random_vector("'node ' || CAST(node AS VARCHAR)")} AS vec FROM (SELECT DISTINCT node FROM paths)),
+    er AS MATERIALIZED (SELECT word, node, n, wp.vec AS wv, np.vec AS nv,
+             n1 - n * (CASE WHEN x <= -6 THEN 0.0 WHEN x >= 6 THEN 1.0 ELSE 1.0 / (1.0 + exp(-x)) END) AS err
+           FROM (SELECT word, node, n, n1, list_dot_product(wp.vec, np.vec) AS x
+                 FROM targets JOIN wp USING (word) JOIN np USING (node)) JOIN wp USING (word) JOIN np USING (node)),
+    gw AS (SELECT word, i, sum(err * v) AS g, sum(n)::BIGINT AS n
+           FROM (SELECT word, err, n, unnest(nv) AS v, generate_subscripts(nv, 1) AS i FROM er) GROUP BY word, i),
+    gn AS (SELECT node, i, sum(err * v) AS g, sum(n)::BIGINT AS n
+           FROM (SELECT node, err, n, unnest(wv) AS v, generate_subscripts(wv, 1) AS i FROM er) GROUP BY node, i)"""
 
 
 def _emb(alias: str = "e") -> str:
@@ -90,6 +165,10 @@ def sql() -> dict[str, str]:
            CAST(NULL AS VARCHAR) AS corrupt
     FROM events"""
 
+    q["json_documents"] = """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, CAST(NULL AS VARCHAR) AS corrupt
+    FROM documents"""
+
     q["chunk_documents"] = """
     SELECT doc_id, i::BIGINT AS chunk, substr(text, i * 1000 + 1, 1000) AS text
     FROM (SELECT doc_id, coalesce(text, '') AS text,
@@ -127,10 +206,6 @@ def sql() -> dict[str, str]:
     FROM (SELECT term, count(*)::BIGINT AS df FROM ({tc_a}) GROUP BY term),
          (SELECT count(*) AS n_docs FROM documents) n"""
 
-    q["postings"] = f"""
-    SELECT term, doc_id, (generate_subscripts(t, 1) - 1)::BIGINT AS pos, unnest(t) AS term_
-    FROM (SELECT doc_id, list_sort(list_distinct({toks('A')})) AS t FROM documents)"""
-    # keep the column set identical to the Spark query
     q["postings"] = f"""
     SELECT term, doc_id, pos FROM (
       SELECT doc_id, (generate_subscripts(t, 1) - 1)::BIGINT AS pos, unnest(t) AS term
@@ -168,6 +243,11 @@ def sql() -> dict[str, str]:
     FROM vocab WHERE regexp_full_match(word, '[+-]?[0-9]+')"""
     q["overfrequent_words"] = f"""WITH {v}
     SELECT word, count FROM wc, tot WHERE count > floor(total * 0.005)"""
+    vb = _vocab_ctes(preset="B")
+    q["vocabulary_b"] = f"WITH {vb} SELECT word, count FROM vocab"
+    q["overfrequent_words_b"] = f"""WITH {vb}
+    SELECT word, count FROM wc, tot WHERE count > floor(total * 0.005)"""
+    q["frequent_words"] = f"WITH {v} SELECT word FROM wc, tot WHERE count > total * 0.005"
     q["vocab_lookup"] = f"""WITH {v},
     bw AS (SELECT DISTINCT unnest({toks('C')}) AS word FROM benchmark)
     SELECT bw.word, tree.count FROM bw LEFT JOIN tree USING (word)"""
@@ -210,6 +290,21 @@ def sql() -> dict[str, str]:
         (CAST(('0x' || substr(md5(word || ':' || CAST(i AS VARCHAR) || ':0'), 1, 8)) AS BIGINT)::DOUBLE
          / 4294967296.0::DOUBLE - 0.5::DOUBLE) / 100.0::DOUBLE) AS vec
     FROM tree"""
+    hc = _huffman_ctes()
+    q["huffman_codes"] = f"WITH RECURSIVE {v}, {hc} SELECT word, count, place, len, code FROM codes"
+    q["huffman_paths"] = f"WITH RECURSIVE {v}, {hc} SELECT word, depth, node, label FROM paths"
+    tg = f"WITH RECURSIVE {v}, {_pairs_cte()}, {hc}, {_targets_cte()}"
+    q["node_targets"] = f"{tg} SELECT word, node, n, n1 FROM targets"
+    q["hs_gradient"] = f"""{tg}, {_gradient_ctes()}
+    SELECT 'word' AS kind, word, CAST(NULL AS BIGINT) AS node, list(round(g, 4) ORDER BY i) AS grad, max(n) AS n FROM gw GROUP BY word
+    UNION ALL
+    SELECT 'node', NULL, node, list(round(g, 4) ORDER BY i), max(n) FROM gn GROUP BY node"""
+    # the first step of AdaGrad: the sign of each component times the rate
+    q["sync_step"] = f"""{tg}, {_gradient_ctes()}
+    SELECT 'word' AS kind, word, CAST(NULL AS BIGINT) AS node, list(round(wp.vec[i] + 0.025 * g / sqrt(g * g), 6) ORDER BY i) AS vec
+    FROM gw JOIN wp USING (word) GROUP BY word
+    UNION ALL
+    SELECT 'node', NULL, node, list(round(np.vec[i] + 0.025 * g / sqrt(g * g), 6) ORDER BY i) FROM gn JOIN np USING (node) GROUP BY node"""
     q["root_targets"] = f"""WITH {v}, {_pairs_cte()}
     SELECT word, count(*)::BIGINT AS n FROM pairs GROUP BY word"""
     q["minibatch_sizes"] = f"""
@@ -250,6 +345,9 @@ def sql() -> dict[str, str]:
           FROM tv, embeddings e WHERE e.vec_id NOT IN (tv.a, tv.b, tv.c)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, id) AS rank FROM s)
     SELECT query_id, rank::BIGINT AS rank, id, round(sim, 6) AS sim FROM r WHERE rank <= 5"""
+    q["vector_lookup"] = """
+    WITH ids AS (SELECT DISTINCT label::BIGINT AS id FROM embeddings UNION SELECT max(vec_id) + 1 FROM embeddings)
+    SELECT ids.id, CAST(embedding AS DOUBLE[]) AS vec FROM ids LEFT JOIN embeddings ON vec_id = ids.id"""
     q["vector_components"] = """
     SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:5] AS comps FROM embeddings"""
     q["vector_mean_by_label"] = """
