@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 
 from wordloom.llm.words import ragged, strings_at, utf8_bytes
 
-CACHE_ENTRIES = 250_000   # per generation; two generations are held
-SLICE_BYTES = 8 << 20     # texts are cut and dealt out this many bytes at a time
+CACHE_ENTRIES = 100_000   # per generation; two generations are held
+SLICE_BYTES = 4 << 20     # texts are cut and dealt out this many bytes at a time
 RUNS_PER_CALL = 200
 WIDE_SPACE = re.compile("[" + "".join(map(chr, (
     0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")

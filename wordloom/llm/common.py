@@ -33,12 +33,26 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 Batches = Iterator[pa.RecordBatch]
 
 
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package sent to the workers. Spark bounds a
-    batch by rows and by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``,
-    64 MB)."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with this package sent to the workers. Batches hold up to
+    :data:`BATCH_BYTES` (a longer row alone) instead of Spark's 64 MB, unless
+    the session says otherwise: a batch of texts is held several times over by
+    the JVM, by Arrow and by the worker."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_BATCH_CONF) == f"{64 << 20}b":
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def run(batches: Batches) -> Batches:
+        for out in fn(batches):
+            yield out
+            pa.default_memory_pool().release_unused()    # else a worker keeps its largest batches
+
+    return df.mapInArrow(run, schema)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
