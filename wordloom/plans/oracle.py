@@ -296,15 +296,15 @@ def sql() -> dict[str, str]:
     tg = f"WITH RECURSIVE {v}, {_pairs_cte()}, {hc}, {_targets_cte()}"
     q["node_targets"] = f"{tg} SELECT word, node, n, n1 FROM targets"
     q["hs_gradient"] = f"""{tg}, {_gradient_ctes()}
-    SELECT 'word' AS kind, word, CAST(NULL AS BIGINT) AS node, list(round(g, 4) ORDER BY i) AS grad, max(n) AS n FROM gw GROUP BY word
+    SELECT 'word' AS kind, word, CAST(NULL AS BIGINT) AS node, list(round(g, 4) + 0.0 ORDER BY i) AS grad, max(n) AS n FROM gw GROUP BY word
     UNION ALL
-    SELECT 'node', NULL, node, list(round(g, 4) ORDER BY i), max(n) FROM gn GROUP BY node"""
+    SELECT 'node', NULL, node, list(round(g, 4) + 0.0 ORDER BY i), max(n) FROM gn GROUP BY node"""
     # the first step of AdaGrad: the sign of each component times the rate
     q["sync_step"] = f"""{tg}, {_gradient_ctes()}
-    SELECT 'word' AS kind, word, CAST(NULL AS BIGINT) AS node, list(round(wp.vec[i] + 0.025 * g / sqrt(g * g), 6) ORDER BY i) AS vec
+    SELECT 'word' AS kind, word, CAST(NULL AS BIGINT) AS node, list(round(wp.vec[i] + 0.025 * g / sqrt(g * g), 6) + 0.0 ORDER BY i) AS vec
     FROM gw JOIN wp USING (word) GROUP BY word
     UNION ALL
-    SELECT 'node', NULL, node, list(round(np.vec[i] + 0.025 * g / sqrt(g * g), 6) ORDER BY i) FROM gn JOIN np USING (node) GROUP BY node"""
+    SELECT 'node', NULL, node, list(round(np.vec[i] + 0.025 * g / sqrt(g * g), 6) + 0.0 ORDER BY i) FROM gn JOIN np USING (node) GROUP BY node"""
     q["root_targets"] = f"""WITH {v}, {_pairs_cte()}
     SELECT word, count(*)::BIGINT AS n FROM pairs GROUP BY word"""
     q["minibatch_sizes"] = f"""
