@@ -16,7 +16,7 @@ from wordloom.llm.common import table, written
 from wordloom.llm.queries import BYTE_BPE, END_ID, SIMHASH_BITS, SIMHASH_WORDS
 
 #: language ID rejects ``und`` and languages less likely than this
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.35
 
 #: no SQL expresses trained models, XXH64 fingerprints or a tokenizer; tested against brute force
 ORACLE_SQL = None

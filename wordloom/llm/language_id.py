@@ -28,7 +28,7 @@ from wordloom.llm.words import texts_of
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
-PER_LANGUAGE = 400
+PER_LANGUAGE = 300
 MAX_SAMPLE = 4_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.002
@@ -176,9 +176,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     vectors = []
     for i in range(len(got)):
         a = at[i].values.to_numpy()
-        vectors.append((a, model.vector(a, counts[i].values.to_numpy())))
+        vectors.append((a.copy(), model.vector(a, counts[i].values.to_numpy()).astype(np.float32)))
     y = np.array([languages.index(v) for v in got["lang"].to_pylist()], dtype=np.int64)
     apart = got["k"].to_numpy() % 5 == 0
+    del got, at, counts
     fit = np.flatnonzero(~apart)
     model.weights, model.bias = fit_ftrl([vectors[i] for i in fit], y[fit], len(languages))
     test = np.flatnonzero(apart)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import in_arrow, map_batches
 
-LABELLED_ROWS = 6_000
-POOL_ROWS = 6_000
+LABELLED_ROWS = 4_000
+POOL_ROWS = 4_000
 ROUNDS = 4
 PER_ROUND = 300
 SURE = 0.98
@@ -94,14 +94,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     """Newton steps on the weighted, ridge-penalised log loss."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-6, scale, 1.0)
-    a = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]).astype(np.float64)
+    a = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
+    np.divide(x - mean, scale, out=a[:, :-1], casting="same_kind")
     w = np.zeros(a.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a @ w.astype(np.float32), -30, 30).astype(np.float64)))
         grad = a.T @ (weight * (p - y)) + penalty * w
-        h = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.diag(penalty)
+        root = np.sqrt(weight * np.maximum(p * (1 - p), 1e-6)).astype(np.float32)
+        b = a * root[:, None]
+        h = (b.T @ b).astype(np.float64) + np.diag(penalty)
         step = np.linalg.solve(h, grad)
         w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -214,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_co
     good = np.array([-1 if g is None else g for g in got["good"].to_pylist()], dtype=np.int64)
     view = [np.asarray(got[c].combine_chunks().values, dtype=np.float32).reshape(len(good), -1) if len(good) else
             np.zeros((0, n), np.float32) for c, n in (("t", TEXT_SIZE), ("m", META_SIZE))]
+    del got
     known = good >= 0
     y = good[known].astype(float)
     if not len(y):
