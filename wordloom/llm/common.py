@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wordloom.session import scratch_path, ship_package
 
@@ -33,6 +34,13 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 Batches = Iterator[pa.RecordBatch]
 
 
+def hash_share(hashed: Column) -> Column:
+    """A 64-bit hash as a number in [0, 1). Keeping the rows below ``n / total``
+    leaves about ``n`` of them, so that what is then ranked in one task is
+    bounded by the sample and not by the group."""
+    return F.pmod(hashed, F.lit(1 << 32)) / F.lit(float(1 << 32))
+
+
 BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 

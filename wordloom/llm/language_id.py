@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import in_arrow, map_batches
+from wordloom.llm.common import hash_share, in_arrow, map_batches
 from wordloom.llm.words import texts_of
 
 UNKNOWN = "und"
@@ -152,13 +152,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     held-out third."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")) \
         .filter(~is_held_out(F.col("id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_SAMPLE).collect())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_SAMPLE).collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(BUCKETS), 1.0)
     df, n = document_frequency(rows.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
     each = max(1, min(PER_LANGUAGE, MAX_SAMPLE // len(languages)))
+    shares = docs.sparkSession.createDataFrame([(g, 1.3 * each / n) for g, n in sizes.items()], "l string, share double")
     hashed = rows.select("id", "lang", F.xxhash64("id", F.lit("lid")).alias("h")) \
+        .join(F.broadcast(shares), F.col("lang") == F.col("l")).filter(hash_share(F.col("h")) < F.col("share")) \
         .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= each)
     # MAX_SAMPLE rows at most
     chosen = F.broadcast(hashed.select(F.col("id").alias("i"), F.col("lang").alias("l"), "k").distinct())

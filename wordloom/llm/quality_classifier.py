@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import in_arrow, map_batches
+from wordloom.llm.common import hash_share, in_arrow, map_batches
 
 LABELLED_ROWS = 4_000
 POOL_ROWS = 4_000
@@ -200,9 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_co
     ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
     marked = ids.join(label, "id", "left").withColumn("h", F.xxhash64("id", F.lit("quality")))
     totals = {r["good"]: r["count"] for r in marked.groupBy("good").count().collect()}     # 0, 1 and null
+    limits = {None: POOL_ROWS, 0: LABELLED_ROWS // 2, 1: LABELLED_ROWS // 2}
+    share = {g: 1.3 * n / totals[g] for g, n in limits.items() if totals.get(g)}
+    below = F.when(F.col("good").isNull(), share.get(None, 0.0)).when(F.col("good") == 1, share.get(1, 0.0)) \
+        .otherwise(share.get(0, 0.0))
     limit = F.when(F.col("good").isNull(), POOL_ROWS).otherwise(LABELLED_ROWS // 2)
-    chosen = marked.withColumn("k", F.row_number().over(Window.partitionBy("good").orderBy("h", "id"))) \
-        .filter(F.col("k") <= max(POOL_ROWS, LABELLED_ROWS // 2)).filter(F.col("k") <= limit)
+    chosen = marked.filter(hash_share(F.col("h")) < below) \
+        .withColumn("k", F.row_number().over(Window.partitionBy("good").orderBy("h", "id"))).filter(F.col("k") <= limit)
     # LABELLED_ROWS + POOL_ROWS rows at most
     small = F.broadcast(chosen.select(F.col("id").alias("i"), "good", "h").dropDuplicates(["i"]))
     rows = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]) \
