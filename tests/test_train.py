@@ -11,6 +11,7 @@ from wordloom.functions.text import tokenize
 from wordloom.operators import skipgram as sg
 from wordloom.operators import train as tr
 from wordloom.operators import vocab as vo
+from wordloom.plans import catalog
 
 SF001 = "/root/testdata/sf0.001"
 DOCS = [
@@ -191,6 +192,21 @@ def test_mini_batches_take_turns(spark, real):
     assert all(r["vec"] != start[r["word"]] for r in tr.vectors_of(fit).collect())
 
 
+@pytest.mark.parametrize("query", ["word_vectors", "fit_local"])
+def test_registered_local_training_runs_every_iteration(spark, monkeypatch, query):
+    """The queries run the reference's 30 iterations."""
+    asked = {}
+
+    def stop(corpus, **settings):
+        asked.update(settings)
+        raise InterruptedError
+
+    monkeypatch.setattr(tr, "fit_local", stop)
+    with pytest.raises(InterruptedError):
+        catalog.queries()[query](spark, SF001)
+    assert tr.ITERATIONS == 30 and asked.get("iters", tr.ITERATIONS) == 30
+
+
 def test_init_ranges_batches_and_schedule(spark, docs):
     w = tr.init_word_vectors(vo.word_counts(docs), dim=100, seed=3).collect()
     assert all(-0.005 <= x < 0.005 for r in w for x in r["vec"])

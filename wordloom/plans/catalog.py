@@ -237,12 +237,8 @@ def q_huffman_summary(spark, sf_dir):
 
 
 # Training runs with the settings of the reference: dimension 100, window 8,
-# min count 8, max frequency 0.005, rate 0.025. The synchronous trainer runs
-# the reference's 30 iterations. Local SGD runs fewer here: a round over the
-# whole corpus takes seconds at sf0.01 (README), and each of them is complete.
+# min count 8, max frequency 0.005, rate 0.025, 30 iterations in both trainers.
 # Replicas stand for the reference's workers, a matter of the cluster.
-LOCAL_ITERATIONS = 5
-BATCHED_ITERATIONS = 3
 
 def q_init_params(spark, sf_dir):
     return tr.init_word_vectors(tree(spark, sf_dir).select("word"), tr.DIM, seed=0)
@@ -305,7 +301,7 @@ def q_training_report(spark, sf_dir):
 
 def q_word_vectors(spark, sf_dir):
     """Word vectors trained by local SGD with parameter averaging."""
-    return tr.vectors_of(tr.fit_local(documents(spark, sf_dir), iters=LOCAL_ITERATIONS))
+    return tr.vectors_of(tr.fit_local(documents(spark, sf_dir), iters=tr.ITERATIONS))
 
 
 def q_fit_local(spark, sf_dir):
@@ -313,7 +309,7 @@ def q_fit_local(spark, sf_dir):
     reported after every iteration."""
     docs = documents(spark, sf_dir)
     prep = tr.prepare(docs)
-    return tr.training_report(tr.fit_local(docs, iters=BATCHED_ITERATIONS, batches=2, schedule="linear",
+    return tr.training_report(tr.fit_local(docs, iters=tr.ITERATIONS, batches=2, schedule="linear",
                                            prep=prep, probes=top3(prep)))
 
 
