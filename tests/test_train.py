@@ -130,6 +130,43 @@ def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, lockstep):
     assert all(np.allclose(after[k], np.array(v) + change.get(k, 0) / replicas, atol=1e-9) for k, v in base.items())
 
 
+@pytest.mark.parametrize("size", [1, 5, 8, 1000])
+def test_pairs_come_in_slices(small, size):
+    *_, toks = small
+    docs = [(np.arange(len(t)), np.array(t, dtype=np.int64)) for t in toks.values()]
+    got = list(tr.pair_slices(docs, 4, size))
+    assert all(len(c) == len(x) == size for c, x in got[:-1]) and len(got[-1][0]) <= size
+    assert [p for c, x in got for p in zip(c.tolist(), x.tolist())] == [p for t in toks.values() for p in loop_pairs(t)]
+    assert tr.pair_count(docs, 4) == sum(len(c) for c, _ in got)
+
+
+def test_lockstep_sets_are_bounded_and_change_nothing(small, monkeypatch):
+    """Small slices and sets closed by rows or tokens give the same round."""
+    prep, params, *_ = small
+    work = tr.replicas_of(prep.docs, prep.paths, 3)
+    want = {(r["kind"], r["id"]): r for r in tr.local_sgd(work, params, 0.05).collect()}
+    for name, value in (("SLICE_PAIRS", 7), ("LOCKSTEP_ROWS", 1), ("REPLICA_TOKENS", 0)):
+        monkeypatch.setattr(tr, name, value)
+        got = {(r["kind"], r["id"]): r for r in tr.local_sgd(work, params, 0.05).collect()}
+        assert got.keys() == want.keys()
+        assert all(r["n"] == want[k]["n"] and np.allclose(r["change"], want[k]["change"], atol=1e-12) for k, r in got.items())
+
+
+def test_replicas_grow_with_the_tokens(spark, small, monkeypatch):
+    prep, *_, toks = small
+    docs = tr.assign_batches(prep.docs, 1)
+    assert tr.replicas_for(docs) == tr.REPLICAS
+    monkeypatch.setattr(tr, "REPLICAS", 1)
+    monkeypatch.setattr(tr, "REPLICA_TOKENS", 3)
+    want = -(-sum(map(len, toks.values())) // 3)
+    assert tr.replicas_for(docs) == want > 1
+    assert tr.replicas_for(docs.limit(0)) == 1
+    dealt = []
+    monkeypatch.setattr(tr, "replicas_of", lambda docs, paths, replicas: dealt.append(replicas))
+    tr.fit_local(None, iters=0, dim=2, prep=prep)
+    assert dealt == [want]
+
+
 def test_repeated_ids_raise(spark):
     twice = spark.createDataFrame([(1, "a b c"), (1, "d e f")], "doc_id int, text string")
     for job in (lambda: tr.prepare(twice), lambda: tr.fit_sync(twice), lambda: tr.fit_local(twice),

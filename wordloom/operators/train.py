@@ -37,7 +37,7 @@ the start rate.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -63,8 +63,11 @@ MIN_LR_FRACTION = 1e-4
 
 BLOCK_ROWS = 4096        # words, and nodes, in a block of the gradient's grid
 CELL_ENTRIES = 100_000   # (word, node) entries in one row of a cell's work
-REPLICAS = 64
-LOCKSTEP = 32            # replicas of a task that step together
+REPLICAS = 64            # replicas at least
+REPLICA_TOKENS = 50_000  # known tokens expected in one replica, at most
+LOCKSTEP = 32            # replicas of a task that step together, at most
+LOCKSTEP_ROWS = 100_000  # parameter rows of a lockstep set that no further replica joins
+SLICE_PAIRS = 32_768     # pairs of a replica that are laid out at once
 LOSS_FLOOR = 1e-7        # sigma is kept this far from 0 and 1 in the reported loss
 
 
@@ -256,7 +259,7 @@ class Group:
                 ids = np.concatenate(self.ids[kind]) if self.ids[kind] else np.zeros(0, np.int64)
                 vec = np.vstack(self.parts[kind]) if self.parts[kind] else np.zeros((0, 0))
                 order = np.argsort(ids, kind="stable")
-                self.ids[kind], self.rows[kind] = ids[order], vec[order]
+                self.ids[kind], self.rows[kind], self.parts[kind] = ids[order], vec[order], []
                 self.steps[kind] = np.zeros(len(ids), dtype=np.int64)
                 self.change[kind] = np.zeros_like(self.rows[kind])
         return self
@@ -296,81 +299,102 @@ def gradient_kernel(group: Group, a: np.ndarray, b: np.ndarray, c: np.ndarray, d
     group.total += int(c.sum())
 
 
-def pairs_of(docs: list[tuple[np.ndarray, np.ndarray]], half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all (centre, context) pairs, documents in order, by centre
-    position and then context position."""
-    centres, contexts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for pos, ids in docs:
-        lo, hi = np.searchsorted(pos, pos - half), np.searchsorted(pos, pos + half, side="right")
-        n = hi - lo
-        c = np.repeat(np.arange(len(ids)), n)
-        j = np.arange(len(c)) - np.repeat(np.cumsum(n) - n - lo, n)
-        centres.append(ids[c[j != c]])
-        contexts.append(ids[j[j != c]])
-    return np.concatenate(centres), np.concatenate(contexts)
+def pair_count(docs: list[tuple[np.ndarray, np.ndarray]], half: int) -> int:
+    return sum(int((np.searchsorted(pos, pos + half, side="right") - np.searchsorted(pos, pos - half) - 1).sum()) for pos, _ in docs)
 
 
-def sgd_lockstep(groups: list[Group], lr: float, half: int) -> None:
+def pair_slices(docs: list[tuple[np.ndarray, np.ndarray]], half: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of all (centre, context) pairs, documents in order, by centre
+    position and then context position, ``size`` at a time and the last ones
+    fewer. About twice as many are held, however long a document is."""
+    centres, contexts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run = max(1, size // max(1, 2 * half))
+    for pos, ids in docs:
+        for at in range(0, len(ids), run):
+            here = pos[at:at + run]
+            lo, hi = np.searchsorted(pos, here - half), np.searchsorted(pos, here + half, side="right")
+            n = hi - lo
+            c = np.repeat(np.arange(at, at + len(here)), n)
+            j = np.arange(len(c)) - np.repeat(np.cumsum(n) - n - lo, n)
+            centres = np.concatenate([centres, ids[c[j != c]]])
+            contexts = np.concatenate([contexts, ids[j[j != c]]])
+            while len(centres) >= size:
+                yield centres[:size], contexts[:size]
+                centres, contexts = centres[size:], contexts[size:]
+    if len(centres):
+        yield centres, contexts
+
+
+def sgd_lockstep(groups: list[Group], lr: float, half: int, size: int = SLICE_PAIRS) -> None:
     """Sequential SGD, pair by pair, in each group; the t-th pairs of all
-    groups are one operation. Paths are padded with a row of their own at the
-    end of the nodes, on which no step is taken."""
-    pairs = [pairs_of(g.docs, half) for g in groups]
-    order = sorted(range(len(groups)), key=lambda i: -len(pairs[i][0]))
-    groups, pairs = [groups[i] for i in order], [pairs[i] for i in order]
+    groups are one operation. ``size`` pairs of each group are laid out at
+    once. Paths are padded with a row of their own at the end of the nodes,
+    on which no step is taken."""
+    total = [pair_count(g.docs, half) for g in groups]
+    order = sorted(range(len(groups)), key=lambda i: -total[i])
+    groups, total = [groups[i] for i in order], np.array([total[i] for i in order])
     words = np.vstack([g.rows["word"] for g in groups])
     nodes = np.vstack([g.rows["node"] for g in groups] + [np.zeros((1, words.shape[1]))])
     pad, depth = len(nodes) - 1, max((len(p[0]) for g in groups for p in g.paths.values()), default=0)
-    longest = len(pairs[0][0])
     path = np.full((len(words), max(1, depth)), pad)
     label = np.zeros(path.shape)
-    centre, context = (np.zeros((longest, len(groups)), dtype=np.int64) for _ in (0, 1))
-    at_word = at_node = 0
-    for k, (g, (c, x)) in enumerate(zip(groups, pairs)):
+    starts = np.cumsum([0] + [len(g.rows["word"]) for g in groups])
+    at_node = 0
+    for g, at_word in zip(groups, starts):
         for i, w in enumerate(g.ids["word"].tolist()):
             if w in g.paths:
                 node_ids, labels = g.paths[w]
                 path[at_word + i, :len(node_ids)] = at_node + g.at("node", node_ids)
                 label[at_word + i, :len(node_ids)] = labels
-        centre[:len(c), k] = at_word + g.at("word", c)
-        context[:len(c), k] = at_word + g.at("word", x)
-        at_word, at_node = at_word + len(g.rows["word"]), at_node + len(g.rows["node"])
+        at_node += len(g.rows["node"])
     real = (path != pad).astype(float)
-    active = np.searchsorted(-np.array([len(c) for c, _ in pairs]), -np.arange(longest), side="left")
-    losses = np.zeros(len(groups))
-    for t in range(longest):
-        n = active[t]
-        w, x = centre[t, :n], context[t, :n]
-        rows, lab, mask = path[x], label[x], real[x]
-        wv, nv = words[w], nodes[rows]
-        s = sigma((nv @ wv[:, :, None])[:, :, 0])
-        g = lr * (lab - s) * mask
-        nodes[rows] = nv + g[:, :, None] * wv[:, None, :]
-        words[w] = wv + (g[:, None, :] @ nv)[:, 0]
-        losses[:n] -= (np.log(np.maximum(np.abs(1 - lab - s), LOSS_FLOOR)) * mask).sum(axis=1)
-    at_word = at_node = 0
     length = real.sum(axis=1).astype(np.int64)
-    for k, (g, (c, x)) in enumerate(zip(groups, pairs)):
+    times = np.zeros(len(words), dtype=np.int64)      # pairs with the word as context
+    losses = np.zeros(len(groups))
+    slices = [pair_slices(g.docs, half, size) for g in groups]
+    for done in range(0, int(total[0]), size):
+        left = np.clip(total - done, 0, size)
+        longest, going = left[0], np.count_nonzero(left)
+        centre, context = (np.zeros((longest, going), dtype=np.int64) for _ in (0, 1))
+        for k, (g, at_word) in enumerate(zip(groups[:going], starts)):
+            c, x = (g.at("word", ids) for ids in next(slices[k]))
+            centre[:len(c), k], context[:len(c), k] = at_word + c, at_word + x
+            m = len(g.rows["word"])
+            g.steps["word"] += np.bincount(c, length[at_word + x], minlength=m).astype(np.int64)
+            times[at_word:at_word + m] += np.bincount(x, minlength=m)
+        active = np.searchsorted(-left, -np.arange(longest), side="left")
+        for t in range(longest):
+            n = active[t]
+            w, x = centre[t, :n], context[t, :n]
+            rows, lab, mask = path[x], label[x], real[x]
+            wv, nv = words[w], nodes[rows]
+            s = sigma((nv @ wv[:, :, None])[:, :, 0])
+            g = lr * (lab - s) * mask
+            nodes[rows] = nv + g[:, :, None] * wv[:, None, :]
+            words[w] = wv + (g[:, None, :] @ nv)[:, 0]
+            losses[:n] -= (np.log(np.maximum(np.abs(1 - lab - s), LOSS_FLOOR)) * mask).sum(axis=1)
+    at_node = 0
+    for k, (g, at_word) in enumerate(zip(groups, starts)):
         m, n = len(g.rows["word"]), len(g.rows["node"])
         g.change = {"word": words[at_word:at_word + m] - g.rows["word"], "node": nodes[at_node:at_node + n] - g.rows["node"]}
-        used = context[:len(c), k]
-        g.steps["word"] += np.bincount(centre[:len(c), k] - at_word, length[used], minlength=m).astype(np.int64)
-        times = np.bincount(used, minlength=at_word + m)[at_word:at_word + m]
-        steps = np.repeat(times[:, None], path.shape[1], axis=1)[path[at_word:at_word + m] != pad]
-        touched = path[at_word:at_word + m][path[at_word:at_word + m] != pad] - at_node
-        g.steps["node"] += np.bincount(touched, steps, minlength=n).astype(np.int64)
-        g.loss, g.total = float(losses[k]), int(length[used].sum())
-        at_word, at_node = at_word + m, at_node + n
+        mine = path[at_word:at_word + m]
+        steps = np.repeat(times[at_word:at_word + m, None], path.shape[1], axis=1)[mine != pad]
+        g.steps["node"] += np.bincount(mine[mine != pad] - at_node, steps, minlength=n).astype(np.int64)
+        g.loss, g.total = float(losses[k]), int((times * length)[at_word:at_word + m].sum())
+        at_node += n
 
 
 CHANGES = "kind string, id bigint, change array<double>, n bigint"
 
 
-def _round(work: Work, params: DataFrame, on_row: Callable, finish: Callable, at_once: int = 1) -> DataFrame:
+def _round(work: Work, params: DataFrame, on_row: Callable, finish: Callable,
+           full: Callable = lambda groups: True) -> DataFrame:
     """One iteration of a trainer: ``(kind, id, change, n)``, changes added up
     over groups; kind ``loss`` holds the summed loss and its number of steps.
 
     ``on_row(group, part, id, a, b, c, d)`` for each row of work, in order of
-    part and id; ``finish(groups)`` when up to ``at_once`` groups are complete."""
+    part and id; ``finish(groups)`` on complete groups, as soon as
+    ``full(groups)`` says that no other is to join them."""
     spark = params.sparkSession
     ship_package(spark)
     none = F.lit(None).cast("array<bigint>")
@@ -394,7 +418,7 @@ def _round(work: Work, params: DataFrame, on_row: Callable, finish: Callable, at
             cut = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])]) if len(grp) else []
             for x, y in zip(cut, [*cut[1:], len(grp)]):
                 if not groups or groups[-1].number != grp[x]:
-                    if len(groups) == at_once:
+                    if groups and full(groups):
                         yield from done()
                     groups.append(Group(int(grp[x])))
                 group, piece = groups[-1], batch.slice(x, y - x)
@@ -437,15 +461,27 @@ def hs_gradient(targets: DataFrame, params: DataFrame, block_rows: int = BLOCK_R
 
 def local_sgd(work: Work, params: DataFrame, lr: float = LEARNING_RATE, half: int = sg.HALF_WINDOW) -> DataFrame:
     """One round of SGD on every replica from the same parameters: ``(kind,
-    id, change, n)`` summed over replicas, with a row of kind ``loss``. A task
-    holds the documents of ``LOCKSTEP`` replicas, so their number should grow
-    with the corpus."""
+    id, change, n)`` summed over replicas, with a row of kind ``loss``.
+
+    A task works off one lockstep set after the other. A set is complete with
+    ``LOCKSTEP`` replicas, ``LOCKSTEP_ROWS`` parameter rows or ``LOCKSTEP *
+    REPLICA_TOKENS`` tokens, so it exceeds these by one replica at most; with
+    the replicas of :func:`replicas_for` that is ``REPLICA_TOKENS`` expected
+    tokens or one document. Of its pairs, ``SLICE_PAIRS`` a replica are laid out."""
+    most, most_rows, most_tokens, size = LOCKSTEP, LOCKSTEP_ROWS, LOCKSTEP * REPLICA_TOKENS, SLICE_PAIRS
+
     def on_row(group, part, row_id, a, b, c, d):
+        # copies: a view would keep its whole batch
         if part == 1:
-            group.paths[row_id] = (a, b)
+            group.paths[row_id] = (a.copy(), b.copy())
         else:
-            group.docs.append((a, b))
-    return _round(work, params, on_row, lambda groups: sgd_lockstep(groups, lr, half), LOCKSTEP)
+            group.docs.append((a.copy(), b.copy()))
+
+    def full(groups):
+        rows = sum(len(r) for g in groups for r in g.ready().rows.values())
+        tokens = sum(len(ids) for g in groups for _, ids in g.docs)
+        return len(groups) >= most or rows >= most_rows or tokens >= most_tokens
+    return _round(work, params, on_row, lambda groups: sgd_lockstep(groups, lr, half, size), full)
 
 
 # -------------------------------------------------------------------- trainers
@@ -527,13 +563,22 @@ def select_batch(corpus: DataFrame, m: int) -> DataFrame:
     return corpus.where(F.col("batch") == F.lit(m)).drop("batch")
 
 
-def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int = REPLICAS, dim: int = DIM,
+def replicas_for(docs: DataFrame) -> int:
+    """As many replicas as leave the largest mini-batch of ``docs`` (with
+    ``batch``) at most ``REPLICA_TOKENS`` tokens expected in each."""
+    of_batch = docs.groupBy("batch").agg(F.sum(F.size("ids")).alias("n"))
+    return max(REPLICAS, -(-(of_batch.agg(F.max("n")).first()[0] or 0) // REPLICA_TOKENS))
+
+
+def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int | None = None, dim: int = DIM,
               lr: float = LEARNING_RATE, seed: int = 0, schedule: str = "constant", batches: int = 1,
               half: int = sg.HALF_WINDOW, probes: Probes | None = None, prep: Prepared | None = None) -> Fit:
     """The reference's scheme: per iteration and mini-batch, local SGD on every
-    replica from the same parameters, then averaging over the replicas."""
+    replica from the same parameters, then averaging over the replicas. Their
+    number follows the corpus (:func:`replicas_for`) unless given."""
     prep = prep or prepare(corpus)
     docs = assign_batches(prep.docs, batches, seed)
+    replicas = replicas or replicas_for(docs)
     works = [replicas_of(select_batch(docs, b), prep.paths, replicas) for b in range(batches)]
     fit = Fit(written(init_params(prep, dim, seed), "params"), prep.words, [], [])
     for it in range(iters):
