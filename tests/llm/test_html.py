@@ -26,6 +26,22 @@ def test_page_without_marked_article():
     assert main(page) == want
 
 
+def test_surges_decide_on_pages_with_article_elements():
+    """The article element is a hint: it holds its regions together, but what
+    is main text is decided by the curve."""
+    long = [f"{'word ' * 40}{i}" for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    text = "\n\n".join(long)
+    teaser = "<article><h2>Teaser</h2><p>Read on.</p></article>"
+    assert main(f"<body>{teaser}<div>{body}</div>{teaser}</body>") == text
+    assert main(f"<body>{teaser}<article>{body}</article>{teaser}</body>") == text
+    # two halves of the text in elements of their own
+    assert main(f"<main>{body}</main><p>by line</p><aside>x</aside><div>{body}</div>") == f"{text}\n\n{text}"
+    # short lines between dropped elements of the article stay, those outside it go
+    page = f"<p>by line</p><article>{body}<div class=ad>Buy.</div><nav>n</nav><p>Last.</p></article><p>Posted in x.</p>"
+    assert main(page) == f"{text}\n\nLast."
+
+
 def test_odd_pages():
     assert main("") == "" and main("<p>") == "" and main("<article></article>") == ""
     assert main("<article>a &lt; b &am &#233; &nbsp; x") == "a < b &am é x"

@@ -10,9 +10,10 @@ surge to its dive are one region, short lines included. :data:`WINDOW` empty
 lines stand at the edges of every dropped element and of the article element,
 so a region never spans them.
 
-Where the page marks its article (``article``, ``main`` or their roles), lines
-outside count nothing and every region inside is text. Elsewhere regions are
-kept whose peak is at least :data:`PEAK_SHARE` of the highest window.
+Regions are kept whose peak is at least :data:`PEAK_SHARE` of the highest
+window of the page. Article elements (``article``, ``main`` or their roles) are
+a hint only: the regions of one are kept or left together, by the highest of
+their peaks, and its lines count however much of them is linked.
 """
 
 from __future__ import annotations
@@ -84,26 +85,29 @@ def is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
 
 
 class Line:
-    __slots__ = ("parts", "linked", "counts", "marked")
+    __slots__ = ("parts", "linked", "counts", "article")
 
-    def __init__(self, counts: bool, marked: bool):
-        self.parts, self.linked, self.counts, self.marked = [], 0, counts, marked
+    def __init__(self, counts: bool, article: int):
+        self.parts, self.linked, self.counts, self.article = [], 0, counts, article
 
 
-def lines_of(html: str) -> tuple[list[Line], bool]:
-    """The page's lines in order, and whether it marks an article."""
+def lines_of(html: str) -> list[Line]:
+    """The page's lines in order, with the number of the outermost article
+    element around each, 0 outside."""
     lines: list[Line] = []
     # (tag, is dropped, is article) of the open elements
     stack: list[tuple[str, bool, bool]] = []
-    state = {"dropped": 0, "article": 0, "links": 0}
-    seen_article = False
+    state = {"dropped": 0, "article": 0, "links": 0, "number": 0}
+
+    def number() -> int:
+        return state["number"] if state["article"] else 0
 
     def start_line():
-        lines.append(Line(state["dropped"] == 0, state["article"] > 0))
+        lines.append(Line(state["dropped"] == 0, number()))
 
     def barrier():
         for _ in range(WINDOW):
-            lines.append(Line(False, state["article"] > 0))
+            lines.append(Line(False, number()))
         start_line()
 
     def close(n: int):
@@ -178,7 +182,7 @@ def lines_of(html: str) -> tuple[list[Line], bool]:
             continue
         article = not dropped and (tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
                                    or attributes.get("itemprop", "") == "articleBody")
-        seen_article |= article and state["dropped"] == 0
+        state["number"] += article and state["article"] == 0
         stack.append((tag, dropped, article))
         state["links"] += tag == "a"
         state["dropped"] += dropped
@@ -187,19 +191,17 @@ def lines_of(html: str) -> tuple[list[Line], bool]:
             barrier()
         elif not is_inline(tag):
             start_line()
-    return lines, seen_article
+    return lines
 
 
 def main_text(html: str) -> str:
     """The article's blocks, joined by an empty line."""
-    lines, marked = lines_of(html)
+    lines = lines_of(html)
     blocks, lengths = [], []
     for line in lines:
         block = SPACE.sub(" ", unescape("".join(line.parts))).strip() if line.counts else ""
         letters = len(block.replace(" ", ""))
-        if marked and not line.marked:
-            letters = 0
-        elif not marked and letters and line.linked >= LINK_SHARE * letters:
+        if not line.article and letters and line.linked >= LINK_SHARE * letters:
             letters = 0
         blocks.append(block if letters else "")
         lengths.append(letters)
@@ -215,8 +217,15 @@ def main_text(html: str) -> str:
         while i < n and curve[i] > 0:
             i += 1
         regions.append((surge, i))
-    top = max((max(curve[a:b]) for a, b in regions), default=0)
-    kept = [(a, b) for a, b in regions if marked or max(curve[a:b]) >= PEAK_SHARE * top]
+    # the peak of a region, for those of one article the highest of them
+    article_of = [max(line.article for line in lines[a:b]) for a, b in regions]
+    peaks = [max(curve[a:b]) for a, b in regions]
+    together: dict[int, int] = {}
+    for article, peak in zip(article_of, peaks):
+        together[article] = max(peak, together.get(article, 0))
+    top = max(peaks, default=0)
+    kept = [region for region, article, peak in zip(regions, article_of, peaks)
+            if (together[article] if article else peak) >= PEAK_SHARE * top]
     return "\n\n".join(block for a, b in kept for block in blocks[a:b] if block)
 
 
