@@ -95,6 +95,17 @@ def test_quality_on_labels_not_fitted(docs, labels):
     assert model.passed[0] > 0                    # the sure view teaches the other
 
 
+def test_toxic_documents_not_fitted_are_rejected(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    part = F.crc32(F.col("doc_id").cast("string")) % 2
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    model = qc.train(docs, labels.filter(part == 0))
+    got = qc.score(docs, model, toxicity=True).join(labels.filter(part == 1), "doc_id").toPandas()
+    good = got[got.quality == 1]
+    assert (~good[good.toxic == 1].kept).mean() > 0.5
+    assert good[good.toxic == 0].kept.mean() > 0.98
+
+
 def test_a_view_without_information_passes_nothing_wrong_on():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 900).astype(float)

@@ -12,6 +12,13 @@ view. A view whose calibrated probabilities never get sure passes nothing on.
 In the end both views are calibrated and combined by a logistic regression on
 the rows kept apart, and the combination scores all documents.
 
+Toxicity is a label of its own and seen by its words: of the hashed words of
+the labelled documents' whole texts, those that stand in toxic ones more often
+than chance allows (exact binomial tail, Bonferroni over all words) enter a
+ridge logistic regression. A document is good where it is of quality and not
+toxic: its score is the lesser of both probabilities. Labels that bear out no
+word leave toxicity out.
+
 Fitting uses a bounded sample: :data:`LABELLED_ROWS` labelled rows, half of
 them of each class where there are as many, and :data:`POOL_ROWS` unlabelled
 ones, all by id hash. Rows are weighted back to the class counts of all labels.
@@ -19,7 +26,9 @@ ones, all by id hash. Rows are weighted back to the class counts of all labels.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from math import lgamma
 from zlib import crc32
 
 import numpy as np
@@ -41,6 +50,10 @@ DENSE = 12
 TEXT_SIZE = CLASSES ** 3 + DENSE
 SOURCES, LANGUAGES, SIZES = 64, 32, 24
 META_SIZE = SOURCES + LANGUAGES + SIZES
+WORD = re.compile(r"\w+")
+WORD_HASHES = 1 << 24       # whole numbers that single precision holds
+WORD_RISK = 0.01            # of taking any word for toxic by chance
+MAX_WORDS = 1_000
 
 _CLASS = np.full(0x250, 8, dtype=np.uint8)
 for _c in range(0x250):
@@ -49,8 +62,20 @@ for _c in range(0x250):
                   3 if _s.isspace() else 5 if _s in ".,;:'\"()-" else 6 if _s in "!?" else 7 if _s in "#*$%&|<>@^~_=+\\/{}[]" else 8)
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the distinct words of one whole text, ascending."""
+    found = {crc32(w.encode("utf-8", "surrogatepass")) % WORD_HASHES for w in set(WORD.findall((text or "").lower()))}
+    return np.array(sorted(found), dtype=np.int32)
+
+
 def text_features(text: str | None) -> np.ndarray:
-    """Features of one whole text; null counts as empty."""
+    """All that is seen of one text: ``TEXT_SIZE`` measures, then its word
+    hashes."""
+    return np.concatenate([text_measures(text), word_hashes(text).astype(np.float32)])
+
+
+def text_measures(text: str | None) -> np.ndarray:
+    """Measures of one whole text; null counts as empty."""
     text = text or ""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     cls = _CLASS[np.minimum(code, 0x24F)].astype(np.int64)
@@ -116,10 +141,54 @@ def probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def binomial_tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """P(X >= k) of a binomial distribution, exact."""
+    def one(k: int, n: int) -> float:
+        i = np.arange(k, n + 1)
+        logs = [lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) for j in i.tolist()]
+        return float(np.exp(np.array(logs) + i * np.log(p) + (n - i) * np.log1p(-p)).sum())
+    known: dict[tuple[int, int], float] = {}
+    return np.array([known[c] if c in known else known.setdefault(c, one(*c)) for c in zip(k.tolist(), n.tolist())])
+
+
+@dataclass
+class Toxicity:
+    """Word hashes, ascending, and the logistic regression on which of them a
+    text holds."""
+    words: np.ndarray
+    fit: Logistic
+
+    def held(self, texts: list[np.ndarray]) -> np.ndarray:
+        """One row per text, one column per word."""
+        return np.array([np.isin(self.words, t) for t in texts], dtype=np.float32).reshape(len(texts), len(self.words))
+
+    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+        return probability(self.fit.logit(self.held(texts)))
+
+
+def fit_toxicity(texts: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> Toxicity | None:
+    """``texts``: the word hashes of labelled rows."""
+    if not 0 < toxic.sum() < len(toxic):
+        return None
+    words, at = np.unique(np.concatenate(texts), return_inverse=True)
+    of = np.repeat(toxic, [len(t) for t in texts])
+    n, k = np.bincount(at, minlength=len(words)), np.bincount(at[of == 1], minlength=len(words))
+    share = toxic.mean()
+    able = np.flatnonzero((k > share * n) & (k > 1))
+    tail = binomial_tail(k[able], n[able], share)
+    borne_out = np.flatnonzero(tail * max(1, len(words)) <= WORD_RISK)
+    chosen = able[borne_out[np.argsort(tail[borne_out], kind="stable")][:MAX_WORDS]]
+    if not len(chosen):
+        return None
+    model = Toxicity(np.sort(words[chosen]), None)
+    model.fit = fit_logistic(model.held(texts), toxic.astype(float), weight)
+    return model
+
+
 @dataclass
 class Model:
     """The fitted views, their calibrations and the combination; ``constant``
-    is the score of every row where labels do not hold both classes."""
+    is the quality of every row where labels do not hold both classes."""
     constant: float | None
     text: Logistic | None = None
     meta: Logistic | None = None
@@ -128,9 +197,20 @@ class Model:
     both: Logistic | None = None
     passed: tuple[int, int] = (0, 0)    # pseudo-labels given by the text and by the metadata view
 
-    def score(self, x_text: np.ndarray, x_meta: np.ndarray) -> np.ndarray:
+    toxic: Toxicity | None = None
+
+    def score(self, x_text: np.ndarray, x_meta: np.ndarray, words: list[np.ndarray] | None = None) -> np.ndarray:
+        """The lesser probability of quality and of no toxicity. ``words``: the word hashes,
+        where they do not follow the measures in ``x_text``."""
+        quality = self.quality(x_text, x_meta)
+        return quality if self.toxic is None else np.minimum(quality, 1 - self.toxic.score(
+            list(x_text[:, TEXT_SIZE:]) if words is None else words))
+
+    def quality(self, x_text: np.ndarray, x_meta: np.ndarray) -> np.ndarray:
+        """Probability of quality alone."""
         if self.constant is not None:
             return np.full(len(x_text), self.constant)
+        x_text = x_text[:, :len(self.text.mean)]
         views = np.column_stack([self.text_scale.logit(self.text.logit(x_text)[:, None]),
                                  self.meta_scale.logit(self.meta.logit(x_meta)[:, None])])
         return probability(self.both.logit(views))
@@ -183,20 +263,28 @@ def co_train(x: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pool: list[
 
 def _views(b: pa.RecordBatch, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
     text, source, lang, size = (b.column(i).to_pylist() for i in at)
-    return (np.array([text_features(t) for t in text], dtype=np.float32).reshape(b.num_rows, TEXT_SIZE),
+    return (np.array([text_measures(t) for t in text], dtype=np.float32).reshape(b.num_rows, TEXT_SIZE),
             np.array([meta_features(*m) for m in zip(source, lang, size)], dtype=np.float32).reshape(b.num_rows, META_SIZE))
 
 
+def _good(model: Model, b: pa.RecordBatch, at: list[int]) -> np.ndarray:
+    words = None if model.toxic is None else [word_hashes(t) for t in b.column(at[0]).to_pylist()]
+    return model.score(*_views(b, at), words)
+
+
 VIEW_COLUMNS = ("text", "source", "lang", "n_chars")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality",
-          columns: tuple[str, str, str, str] = VIEW_COLUMNS) -> Model:
+          columns: tuple[str, str, str, str] = VIEW_COLUMNS, toxic_col: str = "toxic") -> Model:
     """Fits on documents with a label (the mean of repeated ones, 0.5 or more
-    is good; labels other than 0 and 1 are not used). Without labels of both
-    classes every score is the share of good labels, or 1 without any."""
-    label = labels.select(F.col(id_col).alias("id"), F.col(quality_col).alias("q")).filter("q in (0, 1)") \
-        .groupBy("id").agg((F.avg("q") >= 0.5).cast("int").alias("good"))
+    is good, or toxic; labels other than 0 and 1 are not used). Without labels
+    of both classes every row's quality is the share of good labels, or 1
+    without any. Labels may lack the column ``toxic_col``."""
+    toxic = F.col(toxic_col) if toxic_col in labels.columns else F.lit(None).cast("int")
+    label = labels.select(F.col(id_col).alias("id"), F.col(quality_col).alias("q"), toxic.alias("x")).filter("q in (0, 1)") \
+        .groupBy("id").agg((F.avg("q") >= 0.5).cast("int").alias("good"),
+                           (F.avg(F.when(F.col("x").isin(0, 1), F.col("x"))) >= 0.5).cast("int").alias("toxic"))
     ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
     marked = ids.join(label, "id", "left").withColumn("h", F.xxhash64("id", F.lit("quality")))
     totals = {r["good"]: r["count"] for r in marked.groupBy("good").count().collect()}     # 0, 1 and null
@@ -208,19 +296,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_co
     chosen = marked.filter(hash_share(F.col("h")) < below) \
         .withColumn("k", F.row_number().over(Window.partitionBy("good").orderBy("h", "id"))).filter(F.col("k") <= limit)
     # LABELLED_ROWS + POOL_ROWS rows at most
-    small = F.broadcast(chosen.select(F.col("id").alias("i"), "good", "h").dropDuplicates(["i"]))
+    small = F.broadcast(chosen.select(F.col("id").alias("i"), "good", "toxic", "h").dropDuplicates(["i"]))
     rows = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]) \
-        .join(small, F.col("id") == F.col("i")).select("good", "h", *[f"v{i}" for i in range(4)])
+        .join(small, F.col("id") == F.col("i")).select("good", "h", *[f"v{i}" for i in range(4)], "toxic")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         xt, xm = _views(b, [2, 3, 4, 5])
+        words = [None if x is None else word_hashes(t) for t, x in zip(b.column(2).to_pylist(), b.column(6).to_pylist())]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(xt), pa.list_(pa.float32())),
-                                           pa.array(list(xm), pa.list_(pa.float32()))], ["good", "h", "t", "m"])
+                                           pa.array(list(xm), pa.list_(pa.float32())), b.column(6),
+                                           pa.array(words, pa.list_(pa.int32()))], ["good", "h", "t", "m", "toxic", "w"])
 
-    got = map_batches(rows, run, "good int, h bigint, t array<float>, m array<float>").orderBy("h").toArrow()
+    kinds = "good int, h bigint, t array<float>, m array<float>, toxic int, w array<int>"
+    got = map_batches(rows, run, kinds).orderBy("h").toArrow()
     good = np.array([-1 if g is None else g for g in got["good"].to_pylist()], dtype=np.int64)
     view = [np.asarray(got[c].combine_chunks().values, dtype=np.float32).reshape(len(good), -1) if len(good) else
             np.zeros((0, n), np.float32) for c, n in (("t", TEXT_SIZE), ("m", META_SIZE))]
+    marks = np.array([-1 if x is None else x for x in got["toxic"].to_pylist()], dtype=np.int64)
+    told = np.flatnonzero(marks >= 0)
+    texts = [got["w"][i].values.to_numpy(zero_copy_only=False).copy() for i in told.tolist()]
     del got
     known = good >= 0
     y = good[known].astype(float)
@@ -229,17 +323,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_co
     in_sample = {g: max(1, int((y == g).sum())) for g in (0, 1)}
     weight = np.array([totals.get(int(g), 0) / in_sample[int(g)] for g in y])
     weight = weight / weight.mean()
-    return co_train([v[known] for v in view], y, weight, [v[~known] for v in view])
+    model = co_train([v[known] for v in view], y, weight, [v[~known] for v in view])
+    of_row = np.zeros(len(good))
+    of_row[known] = weight
+    model.toxic = fit_toxicity(texts, marks[told], of_row[told])
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
-          columns: tuple[str, str, str, str] = VIEW_COLUMNS, keep: float = KEEP) -> DataFrame:
-    """``(id, quality_score, kept)`` for every row; nulls in any column are
-    values like others. No shuffle."""
+          columns: tuple[str, str, str, str] = VIEW_COLUMNS, keep: float = KEEP, toxicity: bool = False) -> DataFrame:
+    """``(id, quality_score, kept)`` for every row, by quality alone or, with
+    ``toxicity``, by quality without toxicity; nulls in any column are values
+    like others. No shuffle."""
     bc = docs.sparkSession.sparkContext.broadcast(model)     # some thousand numbers
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = bc.value.score(*_views(b, [1, 2, 3, 4]))
+        s = _good(bc.value, b, [1, 2, 3, 4]) if toxicity else bc.value.quality(*_views(b, [1, 2, 3, 4]))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(s >= keep)],
                                           ["id", "quality_score", "kept"])
 
@@ -250,12 +349,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
 
 def keep_good(docs: DataFrame, model: Model, columns: tuple[str, str, str, str] = VIEW_COLUMNS,
               keep: float = KEEP) -> DataFrame:
-    """``docs`` without the rows that score below ``keep``; no shuffle."""
+    """``docs`` without the rows that score below ``keep`` by quality without
+    toxicity; no shuffle."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
     at = [docs.columns.index(c) for c in columns]
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(bc.value.score(*_views(b, at)) >= keep)) if b.num_rows else b
+            yield b.filter(pa.array(_good(bc.value, b, at) >= keep)) if b.num_rows else b
 
     return in_arrow(docs, run, docs.schema)

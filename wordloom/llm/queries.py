@@ -55,7 +55,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")), toxicity=True)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
