@@ -205,3 +205,15 @@ def test_python_only_in_training_and_vector_queries(spark):
         if name not in python:
             p = plan(q(spark, SF001))
             assert "Python" not in p and "MapInArrow" not in p, name
+
+
+def test_searches_over_every_twentieth_vector(spark):
+    import duckdb
+    from wordloom.plans import catalog, oracle
+    duckdb.sql("CREATE OR REPLACE VIEW embeddings AS FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    for name in ("nearest_twentieth", "farthest_twentieth"):
+        got = sorted(map(tuple, catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+        want = sorted(duckdb.sql(oracle.sql()[name]).fetchall())
+        assert len({r[0] for r in got}) == 25 and len(got) == len(want)
+        for x, y in zip(got, want):
+            assert x[:-1] == y[:-1] and abs(x[-1] - y[-1]) < 1e-5

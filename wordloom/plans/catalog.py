@@ -192,6 +192,22 @@ def q_farthest(spark, sf_dir):
     return r.select("query_id", "id", F.round("sim", 6).alias("sim"))
 
 
+def twentieth_queries(spark, sf_dir) -> DataFrame:
+    """Every vector whose id is divisible by 20."""
+    return embeddings(spark, sf_dir).where(F.col("vec_id") % 20 == 0).select(
+        F.col("vec_id").alias("query_id"), V.as_double("embedding").alias("qvec"))
+
+
+def q_nearest_twentieth(spark, sf_dir):
+    r = vx.nearest(emb_vectors(spark, sf_dir), twentieth_queries(spark, sf_dir), k=10)
+    return r.select("query_id", "rank", "id", F.round("sim", 6).alias("sim"))
+
+
+def q_farthest_twentieth(spark, sf_dir):
+    r = vx.farthest(emb_vectors(spark, sf_dir), twentieth_queries(spark, sf_dir))
+    return r.select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
 def q_analogy(spark, sf_dir):
     r = vx.analogy(emb_vectors(spark, sf_dir), label_triples(spark, sf_dir), k=5)
     return r.select("query_id", "rank", "id", F.round("sim", 6).alias("sim"))
@@ -365,6 +381,8 @@ def queries() -> dict[str, Query]:
         "score_pairs": q_score_pairs,
         "nearest": q_nearest,
         "farthest": q_farthest,
+        "nearest_twentieth": q_nearest_twentieth,
+        "farthest_twentieth": q_farthest_twentieth,
         "analogy": q_analogy,
         "vector_lookup": q_vector_lookup,
         "vector_components": q_vector_components,

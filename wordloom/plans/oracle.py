@@ -332,6 +332,9 @@ def sql() -> dict[str, str]:
     s AS (SELECT q.query_id, e.vec_id AS id, {_cos(ev, 'q.qvec')} AS sim FROM q, embeddings e),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim, id) AS rk FROM s WHERE sim IS NOT NULL)
     SELECT query_id, id, round(sim, 6) AS sim FROM r WHERE rk = 1"""
+    twentieth = "q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qvec FROM embeddings WHERE vec_id % 20 = 0)"
+    for name in ("nearest", "farthest"):
+        q[f"{name}_twentieth"] = q[name].replace(QUERY_VECTORS, twentieth)
     q["analogy"] = f"""WITH
     r3 AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
     t AS (SELECT label AS query_id, max(vec_id) FILTER (WHERE r = 1) AS a, max(vec_id) FILTER (WHERE r = 2) AS b,
