@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import (decontaminate, html_text, language_id, packing, quality_classifier, quality_rules, simhash,
-                          token_counts, token_files, url_filter)
+from wordloom.llm import (alignment, decontaminate, html_text, language_id, license_scan, packing, quality_classifier,
+                          quality_rules, simhash, token_counts, token_files, url_filter, vector_codes)
 from wordloom.llm.common import table, written
 from wordloom.session import scratch_path
 
@@ -77,10 +77,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
+                                       public_tokenizers.path(PIECES))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                        F.sha2(F.lit(books.text() if books else ""), 256).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_simhash, op3_quality_rules, op4_token_counts, op5_html_text, op6_quality_classifier,
-        op7_token_files, op8_decontamination, op9_url_filter, op10_packing)}
+        op7_token_files, op8_decontamination, op9_url_filter, op10_packing, op11_alignment, op12_license_scan,
+        op13_vector_codes)}
 
 
 def _rules_sql() -> str:
@@ -144,7 +161,70 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} WHEN {listed} THEN 'block'
 """
 
 
+def _licenses_sql() -> str:
+    """op12 in SQL: phrases by shifted words, overlaps of all blocks and templates counted."""
+    rows = license_scan.template_rows(license_scan.TEMPLATES)
+    templates = ", ".join(f"({n}, '{label}', {size}, {need}, {span}, '{w}')" for n, label, size, need, span, ws in rows for w in ws)
+    spans = ", ".join(f"({s})" for s in sorted({r[4] for r in rows}))
+    fits = {label: " AND ".join(f"{c} = '{w}'" for c, w in zip(("w1", "w2", "w3"), phrase.split(" ")))
+            for phrase, label in license_scan.PHRASES}
+    places = "CASE " + " ".join(f"WHEN {f} THEN '{label}'" for label, f in fits.items()) + " END"
+    return rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w1 FROM d),
+n AS (SELECT *, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, i, {places} AS label FROM n WHERE {places} IS NOT NULL),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM b GROUP BY doc_id),
+t(template, label, size, need, span, word) AS (VALUES {templates}),
+spans(span) AS (VALUES {spans}),
+k AS (SELECT doc_id, span, i // span - back AS block, w1 AS word FROM p, spans, (VALUES (0), (1)) AS s(back)
+      WHERE i // span - back >= 0 AND w1 IN (SELECT word FROM t)),
+c AS (SELECT doc_id, label, size, need, count(DISTINCT word) AS common FROM k JOIN t USING (span, word)
+      GROUP BY doc_id, block, template, label, size, need),
+hit AS (SELECT doc_id, list(DISTINCT label) AS labels, max(common / size) AS share FROM c WHERE common >= need GROUP BY doc_id)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word,
+  last_word::bigint AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(hit.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::double ELSE coalesce(share, 0)::double END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN hit USING (doc_id)
+"""
+
+
+def _codes_sql() -> str:
+    """op13 in SQL: every distance to every entry."""
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+
+    def assigned(n: int) -> str:
+        return f"""
+a{n} AS (SELECT vec_id, part, arg_min(k, d * {entries} + k) AS k, min(d) AS d FROM (
+        SELECT vec_id, p.part, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS d
+        FROM p JOIN c{n} ON p.part = c{n}.part) GROUP BY vec_id, part)"""
+
+    def moved(n: int) -> str:
+        return f"""
+c{n + 1} AS (SELECT c{n}.part, c{n}.k, coalesce(m.c, c{n}.c) AS c FROM c{n} LEFT JOIN (
+        SELECT part, k, list(floor(s / n)::bigint ORDER BY i) AS c FROM (
+          SELECT part, k, i, sum(x[i]) AS s, count(*) AS n FROM a{n} JOIN p USING (vec_id, part), (SELECT unnest(range(1, len(x) + 1)) AS i
+            FROM (SELECT x FROM p LIMIT 1)) GROUP BY part, k, i) GROUP BY part, k) AS m ON m.part = c{n}.part AND m.k = c{n}.k)"""
+    last = vector_codes.ROUNDS
+    rounds = ",".join(assigned(n) + "," + moved(n) for n in range(last))
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::double)::bigint) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, list_slice(e, part * (len(e) // {parts}) + 1, (part + 1) * (len(e) // {parts})) AS x
+        FROM v, (SELECT unnest(range({parts})) AS part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x AS c FROM p
+        WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})),{rounds},{assigned(last)},
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM c{last}),
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', k), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM a{last} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256
+FROM r JOIN v USING (vec_id), s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can express; the others are tested against
     brute force, the tokenizer libraries, round trips and held-out accuracy."""
-    return {"op3_quality_rules": _rules_sql(), "op9_url_filter": _urls_sql()}
+    return {"op3_quality_rules": _rules_sql(), "op9_url_filter": _urls_sql(),
+            "op12_license_scan": _licenses_sql(), "op13_vector_codes": _codes_sql()}
