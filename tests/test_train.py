@@ -72,10 +72,10 @@ def test_prepared_tables(spark, docs, small):
     assert cooc == want
 
 
-@pytest.mark.parametrize("block_rows", [1000, 3, 1])
-def test_gradient_matches_loop_at_any_block_size(spark, small, block_rows):
+@pytest.mark.parametrize("cell_words", [1000, 5, 3])
+def test_gradient_matches_loop_at_any_cell_size(spark, small, cell_words):
     prep, params, wv, nv, path, toks = small
-    g = tr.hs_gradient(tr.node_targets(tr.cooccurrence(prep), prep.paths), params, block_rows).collect()
+    g = tr.hs_gradient(tr.word_targets(tr.cooccurrence(prep), prep.words), params, cell_words).collect()
     want = {("word", i): np.zeros(DIM) for i in wv} | {("node", n): np.zeros(DIM) for n in nv}
     steps = 0
     for t in toks.values():
@@ -91,17 +91,32 @@ def test_gradient_matches_loop_at_any_block_size(spark, small, block_rows):
         assert np.allclose(r["grad"], want[r["kind"], r["id"]], atol=1e-9), r
 
 
-@pytest.mark.parametrize("replicas, lockstep", [(1, 1), (3, 2), (3, 32)])
-def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, lockstep):
-    """Pair by pair in each replica, whatever else runs in lockstep."""
-    monkeypatch.setattr(tr, "LOCKSTEP", lockstep)
+def changed(found):
+    """Changes of shards added up by key; the loss and steps of all."""
+    out, loss = {}, np.zeros(2)
+    for r in found.collect():
+        if r["block"] == tr.LOSS_BLOCK:
+            loss += r["change"]
+            continue
+        flat = np.array(r["change"]).reshape(len(r["keys"]), -1)
+        for k, v in zip(r["keys"], flat):
+            out[k] = out.get(k, 0) + v
+    return {("node", -k) if k < 0 else ("word", k): v for k, v in out.items()}, loss
+
+
+@pytest.mark.parametrize("replicas, shards, size", [(1, 1, 1000), (3, 2, 7), (3, 3, 1), (5, 5, 1000)])
+def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, shards, size):
+    """Pair by pair in each replica, from the same vectors, whatever shares a shard."""
+    monkeypatch.setattr(tr, "SLICE_PAIRS", size)
     prep, params, wv, nv, path, toks = small
     lr = 0.05
-    work = tr.replicas_of(prep.docs, prep.paths, replicas)
-    got = {(r["kind"], r["id"]): r for r in tr.local_sgd(work, params, lr).collect()}
+    work = tr.replicas_of(prep.docs, prep.words, replicas, len(wv), shards)
+    blocks = tr.packed(params, work.n_blocks)
+    got, (got_loss, got_steps) = changed(tr.local_sgd(work, blocks, lr))
     dealt = {}
-    for r in work.rows.where("part = 2").orderBy("id").collect():
-        dealt.setdefault(r["grp"], []).append(r["b"])
+    for r in work.rows.where("part > 0").orderBy("id").collect():
+        dealt.setdefault(r["part"], []).append(r["b"])
+    assert sorted(t for texts in dealt.values() for t in texts) == sorted(t for t in toks.values() if t)
     change, steps, loss = {}, 0, 0.0
     for texts in dealt.values():
         W, N = ({k: np.array(v) for k, v in d.items()} for d in (wv, nv))
@@ -119,15 +134,94 @@ def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, lockstep):
         for kind, now, base in (("word", W, wv), ("node", N, nv)):
             for k, v in now.items():
                 change[kind, k] = change.get((kind, k), 0) + v - np.array(base[k])
-    for key, r in got.items():
-        if key[0] != "loss":
-            assert np.allclose(r["change"], change[key], atol=1e-9), key
+    for key, v in got.items():
+        assert np.allclose(v, change[key], atol=1e-9), key
     assert all(k in got for k, v in change.items() if np.abs(v).max() > 0)
-    assert got["loss", 0]["n"] == steps and got["loss", 0]["change"][0] == pytest.approx(loss)
+    assert got_steps == steps and got_loss == pytest.approx(loss, abs=1e-5)
     # averaging divides by the configured replicas and keeps untouched rows
-    after = {(r["kind"], r["id"]): r["vec"] for r in tr.averaged(params, tr.local_sgd(work, params, lr), replicas).collect()}
+    new = tr.unpacked(tr.stepped(blocks, tr.local_sgd(work, blocks, lr), tr.averaging(replicas)))
+    after = {(r["kind"], r["id"]): r["vec"] for r in new.collect()}
     base = {("word", k): v for k, v in wv.items()} | {("node", k): v for k, v in nv.items()}
+    assert after.keys() == base.keys()
     assert all(np.allclose(after[k], np.array(v) + change.get(k, 0) / replicas, atol=1e-9) for k, v in base.items())
+    work.drop()
+
+
+def test_blocks_hold_all_rows(small):
+    prep, params, wv, nv, *_ = small
+    for n in (1, 4, 100):
+        blocks = tr.packed(params, n)
+        assert {(r["kind"], r["id"]): r["vec"] for r in tr.unpacked(blocks).collect()} == {
+            (r["kind"], r["id"]): r["vec"] for r in params.collect()}
+    assert sorted(r["node"] for r in tr.tree_nodes(prep.words).collect()) == sorted(nv)
+
+
+def test_folding_equals_paths(small):
+    prep, *_ = small
+    codes = {r["id"]: (r["code"], r["len"]) for r in prep.words.collect()}
+    rnd = random.Random(3)
+    for _ in range(50):
+        some = rnd.sample(sorted(codes), rnd.randrange(0, len(codes)))
+        n = {i: rnd.randrange(1, 9) for i in some}
+        code, size = (np.array([codes[i][k] for i in some], dtype=np.int64) for k in (0, 1))
+        got = tr.fold(code, size, np.array([n[i] for i in some], dtype=np.int64))
+        want = {}
+        for i in some:
+            c, length = codes[i]
+            for d in range(length):
+                node, bit = (1 << d) + (c >> (length - d)), (c >> (length - d - 1)) & 1
+                a, b = want.get(node, (0, 0))
+                want[node] = (a + n[i], b + n[i] * (1 - bit))
+        assert {int(v): (int(a), int(b)) for v, a, b in zip(*got)} == want
+
+
+def exchanges_above(plan, table):
+    """Exchanges between the root of a plan and the scan of a table."""
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "Scan" in line and table in line)
+    depth, out = lines[at].index("Scan"), 0
+    for line in reversed(lines[:at]):
+        indent = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if indent < depth:
+            depth = indent
+            out += "Exchange" in line.split("[")[0].split("(")[0] + line[indent:indent + 20]
+    return out
+
+
+def test_work_stays_where_it_lies(spark, small):
+    """In an iteration only vectors move: no exchange above the scan of the work."""
+    prep, params, wv, *_ = small
+    for work, job in ((tr.replicas_of(prep.docs, prep.words, 3, len(wv), 3), tr.local_sgd),
+                      (tr.cells(tr.word_targets(tr.cooccurrence(prep), prep.words), len(wv)), tr.gradient)):
+        blocks = tr.written(tr.packed(params, work.n_blocks), "params")
+        plan = tr.stepped(blocks, job(work, blocks), tr.averaging(3))._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan
+        # the only exchange above the work is that of the changes it makes
+        assert exchanges_above(plan, work.rows._wordloom_table) == 1
+        found = job(work, blocks)._jdf.queryExecution().executedPlan().toString()
+        assert exchanges_above(found, work.rows._wordloom_table) == 0
+        assert exchanges_above(found, "params") >= 1
+        work.drop()
+
+
+def test_local_fits_are_equal_bit_for_bit(spark, real):
+    """The shards, like any other partitioning, change nothing."""
+    docs, prep = real
+    fits = [{(r["kind"], r["id"]): r["vec"] for r in tr.fit_local(docs, iters=1, replicas=16, dim=8, prep=prep, shards=n).rows().collect()}
+            for n in (1, 5, 16)]
+    assert fits[0] == fits[1] == fits[2]
+
+
+def test_twice_the_corpus_moves_a_word_as_far(spark, real):
+    """Replicas are a setting: the same documents again do not halve a step."""
+    docs, prep = real
+    twice = tr.written(prep.docs.unionByName(prep.docs.withColumn("doc_id", F.col("doc_id") + 1_000_000)), "twice")
+
+    def moved(d):
+        fit = tr.fit_local(None, iters=1, dim=8, prep=tr.Prepared(prep.words, d))
+        start = {r["id"]: np.array(r["vec"]) for r in tr.unpacked(tr.packed(tr.init_params(prep, 8), 4)).where("kind = 'node'").collect()}
+        return sum(float(np.abs(np.array(r["vec"]) - start[r["id"]]).sum()) for r in fit.rows().where("kind = 'node'").collect())
+    assert moved(twice) > 1.5 * moved(prep.docs)
 
 
 @pytest.mark.parametrize("size", [1, 5, 8, 1000])
@@ -137,34 +231,6 @@ def test_pairs_come_in_slices(small, size):
     got = list(tr.pair_slices(docs, 4, size))
     assert all(len(c) == len(x) == size for c, x in got[:-1]) and len(got[-1][0]) <= size
     assert [p for c, x in got for p in zip(c.tolist(), x.tolist())] == [p for t in toks.values() for p in loop_pairs(t)]
-    assert tr.pair_count(docs, 4) == sum(len(c) for c, _ in got)
-
-
-def test_lockstep_sets_are_bounded_and_change_nothing(small, monkeypatch):
-    """Small slices and sets closed by rows or tokens give the same round."""
-    prep, params, *_ = small
-    work = tr.replicas_of(prep.docs, prep.paths, 3)
-    want = {(r["kind"], r["id"]): r for r in tr.local_sgd(work, params, 0.05).collect()}
-    for name, value in (("SLICE_PAIRS", 7), ("LOCKSTEP_ROWS", 1), ("REPLICA_TOKENS", 0)):
-        monkeypatch.setattr(tr, name, value)
-        got = {(r["kind"], r["id"]): r for r in tr.local_sgd(work, params, 0.05).collect()}
-        assert got.keys() == want.keys()
-        assert all(r["n"] == want[k]["n"] and np.allclose(r["change"], want[k]["change"], atol=1e-12) for k, r in got.items())
-
-
-def test_replicas_grow_with_the_tokens(spark, small, monkeypatch):
-    prep, *_, toks = small
-    docs = tr.assign_batches(prep.docs, 1)
-    assert tr.replicas_for(docs) == tr.REPLICAS
-    monkeypatch.setattr(tr, "REPLICAS", 1)
-    monkeypatch.setattr(tr, "REPLICA_TOKENS", 3)
-    want = -(-sum(map(len, toks.values())) // 3)
-    assert tr.replicas_for(docs) == want > 1
-    assert tr.replicas_for(docs.limit(0)) == 1
-    dealt = []
-    monkeypatch.setattr(tr, "replicas_of", lambda docs, paths, replicas: dealt.append(replicas))
-    tr.fit_local(None, iters=0, dim=2, prep=prep)
-    assert dealt == [want]
 
 
 def test_repeated_ids_raise(spark):
@@ -183,7 +249,7 @@ def real(spark):
 
 def test_root_targets_equal_pairs(spark, real):
     docs, prep = real
-    t = tr.node_targets(tr.cooccurrence(prep), prep.paths).where("node = 1").join(prep.words, "id")
+    t = tr.node_targets(tr.word_targets(tr.cooccurrence(prep), prep.words)).where("node = 1").join(prep.words, "id")
     counts = vo.word_counts(docs)
     pairs = sg.skipgram_pairs(docs, vo.tree_words(counts), frequent=vo.frequent_words(counts))
     assert {r["word"]: r["n"] for r in t.collect()} == {r["word"]: r["count"] for r in pairs.groupBy("word").count().collect()}
@@ -198,7 +264,7 @@ def test_synchronous_training_learns_with_its_defaults(spark, real):
     assert fit.losses[0] == pytest.approx(math.log(2), abs=1e-9)      # zero nodes: sigma = 1/2
     assert all(b <= a for a, b in zip(fit.losses, fit.losses[1:]))
     assert fit.losses[-1] < 0.61
-    top = max(abs(x) for r in fit.params.where("kind <> 'loss'").collect() for x in r["vec"])
+    top = max(abs(x) for r in fit.rows().collect() for x in r["vec"])
     assert top <= 0.005 + iters * tr.LEARNING_RATE
     vecs = tr.vectors_of(fit).collect()
     assert len(vecs) == 916

@@ -1,44 +1,51 @@
 """Skip-gram word vectors with hierarchical softmax, trained as Spark jobs.
 
-Parameters are one table ``(kind, id, vec)``: kind ``word`` (one row per leaf,
-``id`` its place by descending count) and kind ``node`` (one per internal
-node, heap-numbered as in ``huffman``).
-
-Both trainers repeat one kind of job, :func:`_round`. Work is dealt to groups;
-a written table says which parameters each group needs. Every iteration joins
-the needs with the current parameters, brings them to the group's task beside
-its work, and a numpy kernel sends back what changed; Spark adds the changes
-by key with partial aggregation and writes the new parameters. No task holds
-more of the model than its group needs, nothing is collected or broadcast by
-hint, and the same plan runs at every model size.
+Parameters are rows ``(block, keys, vecs, acc)``: the vectors of a block of
+keys, one after the other. A word's key is its place by descending count, the
+key of an internal node its heap number (see ``huffman``) with a minus sign.
+Block -1 holds the loss and the number of steps of the last iteration.
+
+Both trainers repeat one kind of job, :func:`changes`. Work is dealt to shards
+and written once, bucketed by shard, with a list of the keys each shard needs,
+bucketed by block. An iteration hands every shard the vectors it needs and
+runs a numpy kernel on the shard's work, which is read where it lies
+(co-grouped with the vectors, no exchange of work); what changed is added up
+by block and the next parameters are written. Only vectors move. Nothing is
+broadcast or collected, and the same plan runs at every model size: a task
+holds one shard's work and vectors.
 
 - **Synchronous** (:func:`fit_sync`): the full-batch gradient at fixed
   parameters depends on a pair only through (word, node, label), so
-  co-occurrences are joined to the paths and added up once, before training.
-  A group is a cell of a grid, one block of words by one block of nodes; its
-  work are the cell's ``(word, node, n, n1)``. The step is per coordinate:
-  ``lr * g / sqrt(sum of g^2 so far)`` (AdaGrad), so no coordinate moves more
-  than ``lr`` an iteration whatever the corpus size.
+  co-occurrences are folded up the code tree once, before training. A shard is
+  a cell of a grid, some of the words by some of the nodes; its work is one
+  row a word with arrays of nodes and counts. The kernel takes one matrix
+  product a word for the scores and the word's gradient, and one a node for
+  the node's. The step is per coordinate: ``lr * g / sqrt(sum of g^2 so far)``
+  (AdaGrad), so no coordinate moves more than ``lr`` an iteration whatever the
+  corpus size.
 - **Local SGD with parameter averaging** (:func:`fit_local`), the reference's
-  scheme: a group is a replica, its work are its documents; it takes one SGD
-  step per (centre, context) pair, in order of documents and positions, from
-  the same parameters, and the new parameters are ``base + sum(changes) /
-  replicas``. Replicas share nothing, so a task runs many of them in lockstep:
-  the next pair of each is one numpy operation over all of them.
+  scheme: documents are dealt to a fixed number of replicas; each takes one
+  SGD step per (centre, context) pair, in order of documents and positions,
+  from the same parameters, and the new parameters are ``base + sum(changes) /
+  replicas``. A shard holds some replicas and works them off one after the
+  other on one copy of its vectors, put back in between. A replica's changes
+  are rounded to multiples of 2^-40, whose sums are exact: a fit is the same
+  bit for bit under any number of shards and any order.
 
-Tables of an iteration are removed when the next one is written.
+Tables of an iteration are removed when the next one is written, work when the
+fit is done.
 
 The logistic is clipped at +-6 (exactly 0 or 1), and the update is still
 applied there, as in the reference. The reference's learning-rate decay used
-integer division and so never decayed: ``schedule="constant"`` (default)
-reproduces that, ``"linear"`` is the intended decay with a floor of 1e-4 of
-the start rate.
+an integer division and so never decayed: ``constant`` is what it does and the
+default, ``linear`` what it intends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +56,9 @@ from wordloom.functions import vector as V
 from wordloom.functions.hashing import TWO_32, hash32, keyed
 from wordloom.operators import huffman as hf
 from wordloom.operators import skipgram as sg
-from wordloom.operators import vectors as vx
 from wordloom.operators import vocab as vo
 from wordloom.operators.tfidf import token_positions
-from wordloom.session import remove_written, ship_package, written
+from wordloom.session import bucketed, drop_bucketed, remove_written, ship_package, written
 from wordloom.sources.corpus import check_unique_ids
 
 # Training settings of the reference program.
@@ -60,15 +66,17 @@ DIM = 100
 LEARNING_RATE = 0.025
 ITERATIONS = 30
 MIN_LR_FRACTION = 1e-4
+REPLICAS = 320
 
-BLOCK_ROWS = 4096        # words, and nodes, in a block of the gradient's grid
-CELL_ENTRIES = 100_000   # (word, node) entries in one row of a cell's work
-REPLICAS = 64            # replicas at least
-REPLICA_TOKENS = 50_000  # known tokens expected in one replica, at most
-LOCKSTEP = 32            # replicas of a task that step together, at most
-LOCKSTEP_ROWS = 100_000  # parameter rows of a lockstep set that no further replica joins
+BLOCK_KEYS = 512         # keys in a block of parameters
+CELL_WORDS = 32_768      # words, and nodes, in a cell of the gradient's grid, at most
+SHARD_TOKENS = 4_000_000  # known tokens in a shard of replicas, at most as expected
+SHARDS_PER_CORE = 2
 SLICE_PAIRS = 32_768     # pairs of a replica that are laid out at once
 LOSS_FLOOR = 1e-7        # sigma is kept this far from 0 and 1 in the reported loss
+QUANTUM = 2.0 ** -40     # a replica's changes are multiples of it
+LOSS_QUANTUM = 2.0 ** -20
+LOSS_BLOCK = -1
 
 
 def learning_rate(it: int, iters: int, start: float = LEARNING_RATE, schedule: str = "constant") -> float:
@@ -83,16 +91,17 @@ def learning_rate(it: int, iters: int, start: float = LEARNING_RATE, schedule: s
 
 @dataclass
 class Prepared:
-    """What training reads, each table written once.
-
-    ``words (word, count, id, len, code)``; ``paths (id, depth, node,
-    label)``; ``docs (doc_id, pos array<bigint>, ids array<bigint>)``, the
-    known tokens of a document in order of position.
-    """
+    """What training reads: ``words (word, count, id, len, code)`` and ``docs
+    (doc_id, pos array<bigint>, ids array<bigint>)``, the known tokens of a
+    document in order of position, each written once; ``paths (id, depth,
+    node, label)`` follows from the codes."""
     words: DataFrame
-    paths: DataFrame
     docs: DataFrame
 
+    @property
+    def paths(self) -> DataFrame:
+        return hf.huffman_paths(self.words, "id")
+
 
 def prepare(corpus: DataFrame, preset: str = "C", min_count: int = vo.MIN_COUNT,
             max_freq: float = vo.MAX_FREQ) -> Prepared:
@@ -106,7 +115,7 @@ def prepare(corpus: DataFrame, preset: str = "C", min_count: int = vo.MIN_COUNT,
         .join(words.select("word", "id"), "word")
     docs = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("t")) \
         .select("doc_id", F.col("t.pos").alias("pos"), F.col("t.id").alias("ids"))
-    return Prepared(words, written(hf.huffman_paths(words, "id"), "paths"), written(docs, "docs"))
+    return Prepared(words, written(docs, "docs"))
 
 
 def uniform_vector(key: Column, dim: int, seed: int) -> Column:
@@ -124,25 +133,60 @@ def init_word_vectors(vocab: DataFrame, dim: int = DIM, seed: int = 0) -> DataFr
     return vocab.select("word", _initial(F.col("word"), dim, seed).alias("vec"))
 
 
+def tree_nodes(words: DataFrame) -> DataFrame:
+    """``(node)``, the internal nodes. A code other than all ones has a last
+    zero; the bits before it name the node whose left subtree ends with the
+    word, and every internal node is named so once."""
+    ones = F.bit_count(F.col("code").bitwiseXOR(F.col("code") + 1)) - 1
+    node = F.expr("shiftleft(CAST(1 AS BIGINT), len - ones - 1) + shiftright(code, ones + 1)")
+    return words.select("len", "code", ones.alias("ones")).where("ones < len").select(node.alias("node"))
+
+
 def init_params(prep: Prepared, dim: int = DIM, seed: int = 0) -> DataFrame:
-    """Leaves random in (-0.5, 0.5) / dim, internal nodes zero, and a row of
-    kind ``loss`` that takes the (loss, steps) of each iteration."""
-    nodes = prep.paths.select("node").distinct()
-    loss = prep.words.sparkSession.createDataFrame([("loss", 0, [0.0, 0.0])], "kind string, id bigint, vec array<double>")
+    """``(kind, id, vec)``: leaves random in (-0.5, 0.5) / dim, internal nodes zero."""
     return prep.words.select(F.lit("word").alias("kind"), "id", _initial(F.col("word"), dim, seed).alias("vec")).unionByName(
-        nodes.select(F.lit("node").alias("kind"), F.col("node").alias("id"), V.zeros(dim).alias("vec"))).unionByName(loss)
+        tree_nodes(prep.words).select(F.lit("node").alias("kind"), F.col("node").alias("id"), V.zeros(dim).alias("vec")))
 
 
 def random_params(prep: Prepared, dim: int = DIM, seed: int = 0) -> DataFrame:
     """Leaves and nodes random in (-0.5, 0.5): a point at which no gradient
     vanishes. A node's key is ``node <id>``."""
-    nodes = prep.paths.select("node").distinct()
     return prep.words.select(F.lit("word").alias("kind"), "id", uniform_vector(F.col("word"), dim, seed).alias("vec")) \
-        .unionByName(nodes.select(F.lit("node").alias("kind"), F.col("node").alias("id"),
-                                  uniform_vector(F.concat(F.lit("node "), F.col("node")), dim, seed).alias("vec")))
+        .unionByName(tree_nodes(prep.words).select(
+            F.lit("node").alias("kind"), F.col("node").alias("id"),
+            uniform_vector(F.concat(F.lit("node "), F.col("node")), dim, seed).alias("vec")))
+
+
+# --------------------------------------------------------- blocks of parameters
+
+PARAMS = "block bigint, keys array<bigint>, vecs array<double>, acc array<double>"
 
 
-# ------------------------------------------------------------ targets and cells
+def blocks_for(n_words: int, spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-2 * n_words // BLOCK_KEYS))
+
+
+def packed(params: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows ``(kind, id, vec)`` as blocks, with no history (``acc``) and no loss."""
+    key = F.when(F.col("kind") == "node", -F.col("id")).otherwise(F.col("id"))
+    rows = params.select(F.pmod(key, F.lit(n_blocks)).cast("bigint").alias("block"), F.struct(key.alias("key"), "vec").alias("r"))
+    none = F.array().cast("array<double>")
+    blocks = rows.groupBy("block").agg(F.sort_array(F.collect_list("r")).alias("r")).select(
+        "block", F.col("r.key").alias("keys"), F.flatten("r.vec").alias("vecs"), none.alias("acc"))
+    loss = params.sparkSession.createDataFrame([(LOSS_BLOCK, [], [0.0, 0.0], [])], PARAMS)
+    return blocks.unionByName(loss)
+
+
+def unpacked(params: DataFrame) -> DataFrame:
+    """``(kind, id, vec)`` of blocks ``(block, keys, vecs)``."""
+    n = F.size("keys")
+    dim = (F.size("vecs") / n).cast("int")
+    cut = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.slice("vecs", i * dim + 1, dim).alias("vec")))
+    rows = params.where(n > 0).select(F.explode(cut).alias("r")).select("r.key", "r.vec")
+    return rows.select(F.when(F.col("key") < 0, "node").otherwise("word").alias("kind"), F.abs("key").alias("id"), "vec")
+
+
+# ------------------------------------------------------------ targets and work
 
 def cooccurrence(prep: Prepared, half: int = sg.HALF_WINDOW) -> DataFrame:
     """``(id, context, n)`` from the encoded documents: pairs within ``half``
@@ -155,65 +199,168 @@ def cooccurrence(prep: Prepared, half: int = sg.HALF_WINDOW) -> DataFrame:
     return both.groupBy("id", "context").agg(F.sum("n").alias("n"))
 
 
-def node_targets(cooc: DataFrame, paths: DataFrame) -> DataFrame:
-    """``(id, node, n, n1)``: pairs of word ``id`` whose context's path passes
-    ``node``, and how many of them go left there (label 1).
+def fold(code: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(nodes, n, n1)`` of one word's contexts with the given codes, code
+    lengths and counts: at each level the counts of the codes under a node, and
+    of those that go left there. Contexts are put in order of their codes, in
+    which a node's leaves are neighbours, so a level is a difference of prefix
+    sums at the places where the code's first bits change."""
+    deepest = int(size.max()) if len(size) else 0
+    order = np.argsort(code << (deepest - size), kind="stable")
+    code, size, n = code[order], size[order], n[order]
+    out = [[], [], []]
+    for k in range(deepest):
+        below = size > k
+        c, left = code[below], size[below] - k
+        node = (np.int64(1) << k) + (c >> left)
+        goes_left = 1 - ((c >> (left - 1)) & 1)
+        cut = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        out[0].append(node[cut])
+        for o, counts in zip(out[1:], (n[below], n[below] * goes_left)):
+            total = np.concatenate([[0], np.cumsum(counts)])
+            o.append(np.diff(total[np.append(cut, len(counts))]))
+    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+
+
+def _ints(col) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column of integers."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    off = np.asarray(col.offsets, dtype=np.int64)
+    return np.asarray(col.flatten(), dtype=np.int64), off - off[0]
+
+
+def _lists(flat: np.ndarray, offsets) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)), pa.array(flat))
+
+
+def word_targets(cooc: DataFrame, words: DataFrame) -> DataFrame:
+    """``(id, nodes, n, n1)``: per word the nodes its contexts' paths pass, how
+    often, and how often they go left there. A word's contexts, at most the
+    vocabulary, are one row, folded up the levels in place: no row per context
+    and node is made."""
+    ship_package(cooc.sparkSession)
+    context = words.select(F.col("id").alias("context"), "code", "len")
+    rows = cooc.join(context, "context").groupBy("id").agg(F.collect_list(F.struct("code", "len", "n")).alias("c")).select(
+        "id", F.col("c.code").alias("code"), F.col("c.len").cast("array<bigint>").alias("len"), F.col("c.n").alias("n"))
 
-    Co-occurrence counts are joined to the context's path (one to many) and
-    summed by (word, node); partial aggregation absorbs the root node, which
-    every pair passes.
-    """
-    p = paths.select(F.col("id").alias("context"), "node", "label")
-    return (cooc.join(p, "context").groupBy("id", "node")
-            .agg(F.sum("n").cast("bigint").alias("n"),
-                 F.sum(F.col("n") * F.col("label")).cast("bigint").alias("n1")))
+    def run(batches):
+        for b in batches:
+            (code, off), (size, _), (n, _) = (_ints(b.column(i)) for i in (1, 2, 3))
+            got = [fold(code[x:y], size[x:y], n[x:y]) for x, y in zip(off[:-1], off[1:])]
+            ends = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
+            flat = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[_lists(f, ends) for f in flat]], ["id", "nodes", "n", "n1"])
+    return rows.mapInArrow(run, "id bigint, nodes array<bigint>, n array<bigint>, n1 array<bigint>")
+
+
+def node_targets(targets: DataFrame) -> DataFrame:
+    """The rows of :func:`word_targets` one by one: ``(id, node, n, n1)``."""
+    return targets.select("id", F.explode(F.arrays_zip("nodes", "n", "n1")).alias("t")).select(
+        "id", F.col("t.nodes").alias("node"), "t.n", "t.n1")
+
+
+WORK = "shard bigint, part bigint, id bigint, a array<bigint>, b array<bigint>, c array<bigint>"
 
 
 @dataclass
 class Work:
-    """Work dealt to groups: ``need (grp, kind, id)`` and ``rows (grp, part,
-    id, a, b, c, d)``, four arrays per row whose meaning is the kernel's."""
-    need: DataFrame
+    """``rows``, bucketed by shard, and ``need (block, shard, keys)``, bucketed by block."""
     rows: DataFrame
+    need: DataFrame
+    n_blocks: int
+
+    def drop(self) -> None:
+        for table in (self.rows, self.need):
+            drop_bucketed(table)
 
 
-def cells(targets: DataFrame, n_words: int, block_rows: int = BLOCK_ROWS, entries: int = CELL_ENTRIES) -> Work:
-    """The targets as a grid of word blocks by node blocks. A cell needs at
-    most ``block_rows`` words and nodes on average; its entries are packed
-    into rows of about ``entries``."""
+def _work(rows: DataFrame, n_shards: int, n_blocks: int, keys_of: Callable[[pa.Table], np.ndarray]) -> Work:
+    """Writes the rows ``WORK`` and what each shard needs. Shard numbers are
+    replaced by as many others of which each falls into a bucket of its own."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    # about ln n candidates a bucket are needed until each has one
+    place = F.pmod(F.hash(F.col("id")), F.lit(n_shards))
+    label = {r["b"]: r["id"] for r in spark.range(40 * n_shards + 100).groupBy(place.alias("b")).agg(F.min("id").alias("id")).collect()}
+    named = F.element_at(F.array(*[F.lit(int(label[i])) for i in range(n_shards)]), (F.col("shard") + 1).cast("int")) \
+        if n_shards <= 4096 and len(label) == n_shards else F.col("shard")
+    held = bucketed(rows.withColumn("shard", named.cast("bigint")), "shard", n_shards, "work")
+
+    def need(shard, table):
+        keys = np.unique(keys_of(table))
+        block = np.mod(keys, n_blocks)
+        order = np.argsort(block, kind="stable")
+        blocks, first = np.unique(block[order], return_index=True)
+        return pa.table({"block": pa.array(blocks), "shard": pa.array(np.full(len(blocks), shard[0].as_py())),
+                         "keys": _lists(keys[order], np.append(first, len(keys)))})
+    keys = held.groupBy("shard").applyInArrow(need, "block bigint, shard bigint, keys array<bigint>")
+    return Work(held, bucketed(keys, "block", min(n_blocks, 2 * n_shards), "needs"), n_blocks)
+
+
+def shards_for(spark: SparkSession, least: int = 1) -> int:
+    return max(SHARDS_PER_CORE * spark.sparkContext.defaultParallelism, least)
+
+
+def cells(targets: DataFrame, n_words: int, cell_words: int | None = None) -> Work:
+    """Targets ``(id, nodes, n, n1)`` as a grid: words and nodes are dealt by
+    their numbers, and a shard is a part of the words by a part of the nodes,
+    at most ``cell_words`` of each. Its rows are ``id``, ``a`` nodes, ``b`` n,
+    ``c`` n1, by word."""
     spark = targets.sparkSession
-    blocks = max(1, -(-n_words // block_rows))
-    rows_of_grid = max(blocks, spark.sparkContext.defaultParallelism)
-    cell = F.pmod(F.xxhash64("id"), F.lit(rows_of_grid)) * blocks + F.pmod(F.xxhash64("node"), F.lit(blocks))
-    t = targets.withColumn("grp", cell.cast("bigint"))
-    total = targets.count()
-    chunks = max(1, -(-total // (rows_of_grid * blocks * entries)))
-    rows = t.groupBy("grp", F.pmod(F.xxhash64("node", "id"), F.lit(chunks)).alias("id0")).agg(
-        F.sort_array(F.collect_list(F.struct("id", "node", "n", "n1"))).alias("e")).select(
-        "grp", F.lit(1).alias("part"), F.col("id0").cast("bigint").alias("id"), F.col("e.id").alias("a"),
-        F.col("e.node").alias("b"), F.col("e.n").alias("c"), F.col("e.n1").alias("d"))
-    rows = written(rows, "cells")
-    need = rows.select("grp", F.lit("word").alias("kind"), F.explode("a").alias("id")).distinct().unionByName(
-        rows.select("grp", F.lit("node").alias("kind"), F.explode("b").alias("id")).distinct())
-    return Work(written(need, "needs"), rows)
-
-
-def replicas_of(docs: DataFrame, paths: DataFrame, replicas: int) -> Work:
-    """Documents dealt to replicas by a hash of their id. A replica needs its
-    words, the nodes on their paths, and the paths themselves."""
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(replicas)).cast("bigint").alias("grp"), "doc_id", "pos", "ids")
+    ship_package(spark)
+    side = max(-(-n_words // (cell_words or CELL_WORDS)), int(np.ceil(np.sqrt(shards_for(spark)))))
+
+    def run(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            (nodes, off), (n, _), (n1, _) = (_ints(batch.column(i)) for i in (1, 2, 3))
+            row = np.repeat(np.arange(len(ids)), np.diff(off))
+            for part in range(side):
+                mine = np.flatnonzero(nodes % side == part)
+                here, first = np.unique(row[mine], return_index=True)
+                ends = np.append(first, len(mine))
+                word = ids[here]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((word % side) * side + part), pa.array(np.ones(len(here), np.int64)), pa.array(word),
+                     *[_lists(x[mine], ends) for x in (nodes, n, n1)]], ["shard", "part", "id", "a", "b", "c"])
+
+    def keys_of(table):
+        return np.concatenate([np.asarray(table.column("id")), -_ints(table.column("a"))[0]])
+    return _work(targets.mapInArrow(run, WORK), side * side, blocks_for(n_words, spark), keys_of)
+
+
+def paths_of(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and labels of the paths to the given codes, and where each begins."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    depth = np.arange(off[-1]) - np.repeat(off[:-1], size)
+    c, left = np.repeat(code, size), np.repeat(size, size) - depth
+    return (np.int64(1) << depth) + (c >> left), 1 - ((c >> (left - 1)) & 1), off
+
+
+def replicas_of(docs: DataFrame, words: DataFrame, replicas: int, n_words: int, shards: int | None = None) -> Work:
+    """Documents dealt to replicas by a hash of their id, replicas to shards.
+    Rows of part 0 hold words ``a``, codes ``b`` and code lengths ``c``, rows
+    of part ``1 + replica`` a document's positions ``a`` and words ``b``, ``id``
+    being its order. The number of shards follows the cluster and the corpus
+    and changes no result."""
+    spark = docs.sparkSession
+    if shards is None:
+        tokens = docs.agg(F.sum(F.size("ids"))).first()[0] or 0
+        shards = min(replicas, shards_for(spark, -(-tokens // SHARD_TOKENS)))
+    replica = F.pmod(F.xxhash64("doc_id"), F.lit(replicas)).cast("bigint")
+    dealt = docs.select(F.pmod(replica, F.lit(shards)).cast("bigint").alias("shard"), (replica + 1).alias("part"),
+                        F.xxhash64("doc_id").alias("id"), F.col("pos").alias("a"), F.col("ids").alias("b"))
     none = F.array().cast("array<bigint>")
-    # documents in order of their id: the id itself may be a string
-    docs_rows = dealt.select("grp", F.lit(2).alias("part"), F.xxhash64("doc_id").alias("id"), F.col("pos").alias("a"),
-                             F.col("ids").alias("b"), none.alias("c"), none.alias("d"))
-    words = dealt.select("grp", F.explode("ids").alias("id")).distinct()
-    path = paths.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "label"))).alias("p")) \
-        .select("id", F.col("p.node").alias("a"), F.col("p.label").cast("array<bigint>").alias("b"))
-    path_rows = words.join(path, "id").select("grp", F.lit(1).alias("part"), "id", "a", "b", none.alias("c"), none.alias("d"))
-    rows = written(path_rows.unionByName(docs_rows), "replicas")
-    need = rows.filter("part = 1").select("grp", F.lit("node").alias("kind"), F.explode("a").alias("id")).distinct() \
-        .unionByName(words.select("grp", F.lit("word").alias("kind"), "id"))
-    return Work(written(need, "needs"), rows)
+    used = dealt.select("shard", F.explode("b").alias("id")).distinct().join(words.select("id", "code", "len"), "id")
+    paths = used.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("id", "code", "len"))).alias("w")).select(
+        "shard", F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("id"), F.col("w.id").alias("a"),
+        F.col("w.code").alias("b"), F.col("w.len").cast("array<bigint>").alias("c"))
+
+    def keys_of(table):
+        head = table.filter(pa.array(np.asarray(table.column("part")) == 0))
+        ids, code, size = (_ints(head.column(c))[0] for c in ("a", "b", "c"))
+        return np.concatenate([ids, -paths_of(code, size)[0]])
+    return _work(paths.unionByName(dealt.withColumn("c", none)), shards, blocks_for(n_words, spark), keys_of)
 
 
 # --------------------------------------------------------------------- kernels
@@ -229,84 +376,55 @@ def loss_of(s: np.ndarray, n: np.ndarray, n1: np.ndarray) -> float:
     return -float(np.sum(n1 * np.log(s) + (n - n1) * np.log(1 - s)))
 
 
-def add_rows(acc: np.ndarray, idx: np.ndarray, vals: np.ndarray) -> None:
-    """``acc[idx] += vals`` with repeated indices, by sorting and segment sums."""
-    order = np.argsort(idx, kind="stable")
-    si = idx[order]
-    starts = np.flatnonzero(np.r_[True, si[1:] != si[:-1]])
-    acc[si[starts]] += np.add.reduceat(vals[order], starts, axis=0)
-
-
 @dataclass
-class Group:
-    """The parameters of one group, rows by ascending id, and what its work
-    has changed so far."""
-    number: int
-    ids: dict = field(default_factory=lambda: {"word": [], "node": []})
-    parts: dict = field(default_factory=lambda: {"word": [], "node": []})
-    rows: dict = field(default_factory=dict)
-    steps: dict = field(default_factory=dict)
-    change: dict = field(default_factory=dict)
-    loss: float = 0.0
-    total: int = 0
-    paths: dict = field(default_factory=dict)
-    docs: list = field(default_factory=list)
-
-    def ready(self) -> Group:
-        """Called before work: all parameter rows have come."""
-        if not self.rows:
-            for kind in ("word", "node"):
-                ids = np.concatenate(self.ids[kind]) if self.ids[kind] else np.zeros(0, np.int64)
-                vec = np.vstack(self.parts[kind]) if self.parts[kind] else np.zeros((0, 0))
-                order = np.argsort(ids, kind="stable")
-                self.ids[kind], self.rows[kind], self.parts[kind] = ids[order], vec[order], []
-                self.steps[kind] = np.zeros(len(ids), dtype=np.int64)
-                self.change[kind] = np.zeros_like(self.rows[kind])
-        return self
-
-    def at(self, kind: str, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ids[kind], ids)
-
-    def changes(self) -> pa.RecordBatch:
-        """The changed rows and one row with the loss."""
-        kinds, ids, vecs, n = ["loss"], [np.array([0])], [np.array([[self.loss]])], [np.array([self.total])]
-        for kind in ("word", "node"):
-            hit = np.flatnonzero(self.steps[kind])
-            kinds += [kind] * len(hit)
-            ids.append(self.ids[kind][hit])
-            vecs.append(self.change[kind][hit])
-            n.append(self.steps[kind][hit])
-        flat = np.concatenate([v.ravel() for v in vecs])
-        length = np.concatenate([np.full(len(v), v.shape[1] if v.ndim > 1 else 0) for v in vecs])
-        offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kinds), pa.array(np.concatenate(ids).astype(np.int64)),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.concatenate(n).astype(np.int64))],
-            ["kind", "id", "change", "n"])
-
-
-def gradient_kernel(group: Group, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
-    """Adds the gradient of entries ``(word a, node b, pairs c, of them left d)``."""
-    w, v = group.at("word", a), group.at("node", b)
-    wv, nv = group.rows["word"][w], group.rows["node"][v]
-    s = sigma(np.einsum("ij,ij->i", wv, nv))
-    err = (d - c * s)[:, None]
-    add_rows(group.change["word"], w, err * nv)
-    add_rows(group.change["node"], v, err * wv)
-    group.steps["word"] += np.bincount(w, c, minlength=len(group.steps["word"])).astype(np.int64)
-    group.steps["node"] += np.bincount(v, c, minlength=len(group.steps["node"])).astype(np.int64)
-    group.loss += loss_of(s, c, d)
-    group.total += int(c.sum())
-
-
-def pair_count(docs: list[tuple[np.ndarray, np.ndarray]], half: int) -> int:
-    return sum(int((np.searchsorted(pos, pos + half, side="right") - np.searchsorted(pos, pos - half) - 1).sum()) for pos, _ in docs)
-
-
-def pair_slices(docs: list[tuple[np.ndarray, np.ndarray]], half: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of all (centre, context) pairs, documents in order, by centre
-    position and then context position, ``size`` at a time and the last ones
-    fewer. About twice as many are held, however long a document is."""
+class Shard:
+    """The vectors of one shard, rows by ascending key, and what its work has
+    changed: ``change`` and pair-steps ``n`` per row."""
+    keys: np.ndarray
+    base: np.ndarray
+
+    def __post_init__(self):
+        self.change = np.zeros_like(self.base)
+        self.n = np.zeros(len(self.keys), dtype=np.int64)
+        self.loss, self.steps = 0.0, 0
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys)
+
+
+def gradient_kernel(shard: Shard, work: pa.Table) -> None:
+    """Adds the gradient of rows ``(word id, nodes a, pairs b, of them left
+    c)``: per word the scores and its gradient as two products with its nodes'
+    vectors, then per node a product with its words' vectors."""
+    order = np.argsort(np.asarray(work.column("id")), kind="stable")
+    work = work.take(pa.array(order))
+    word = shard.at(np.asarray(work.column("id")))
+    (node, off), (n, _), (n1, _) = (_ints(work.column(c)) for c in "abc")
+    node = shard.at(-node)
+    score = np.empty(len(node))
+    error = np.empty(len(node))
+    bounds = list(zip(word.tolist(), off[:-1].tolist(), off[1:].tolist()))
+    for w, x, y in bounds:
+        nv = shard.base[node[x:y]]
+        s = score[x:y] = sigma(nv @ shard.base[w])
+        e = error[x:y] = n1[x:y] - n[x:y] * s
+        shard.change[w] += e @ nv
+    by_node = np.argsort(node, kind="stable")
+    rows, error = np.repeat(word, np.diff(off))[by_node], error[by_node]
+    cut = np.flatnonzero(np.diff(node[by_node], prepend=-1))
+    for v, x, y in zip(node[by_node][cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(rows)]):
+        shard.change[v] += error[x:y] @ shard.base[rows[x:y]]
+    size = len(shard.keys)
+    shard.n += np.bincount(np.repeat(word, np.diff(off)), n, minlength=size).astype(np.int64)
+    shard.n += np.bincount(node, n, minlength=size).astype(np.int64)
+    shard.loss += loss_of(score, n, n1)
+    shard.steps += int(n.sum())
+
+
+def pair_slices(docs, half: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of all (centre, context) pairs, documents ``(pos, ids)`` in order,
+    by centre position and then context position, ``size`` at a time and the
+    last ones fewer. About twice as many are held, however long a document is."""
     centres, contexts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     run = max(1, size // max(1, 2 * half))
     for pos, ids in docs:
@@ -325,198 +443,208 @@ def pair_slices(docs: list[tuple[np.ndarray, np.ndarray]], half: int, size: int)
         yield centres, contexts
 
 
-def sgd_lockstep(groups: list[Group], lr: float, half: int, size: int = SLICE_PAIRS) -> None:
-    """Sequential SGD, pair by pair, in each group; the t-th pairs of all
-    groups are one operation. ``size`` pairs of each group are laid out at
-    once. Paths are padded with a row of their own at the end of the nodes,
-    on which no step is taken."""
-    total = [pair_count(g.docs, half) for g in groups]
-    order = sorted(range(len(groups)), key=lambda i: -total[i])
-    groups, total = [groups[i] for i in order], np.array([total[i] for i in order])
-    words = np.vstack([g.rows["word"] for g in groups])
-    nodes = np.vstack([g.rows["node"] for g in groups] + [np.zeros((1, words.shape[1]))])
-    pad, depth = len(nodes) - 1, max((len(p[0]) for g in groups for p in g.paths.values()), default=0)
-    path = np.full((len(words), max(1, depth)), pad)
-    label = np.zeros(path.shape)
-    starts = np.cumsum([0] + [len(g.rows["word"]) for g in groups])
-    at_node = 0
-    for g, at_word in zip(groups, starts):
-        for i, w in enumerate(g.ids["word"].tolist()):
-            if w in g.paths:
-                node_ids, labels = g.paths[w]
-                path[at_word + i, :len(node_ids)] = at_node + g.at("node", node_ids)
-                label[at_word + i, :len(node_ids)] = labels
-        at_node += len(g.rows["node"])
-    real = (path != pad).astype(float)
-    length = real.sum(axis=1).astype(np.int64)
-    times = np.zeros(len(words), dtype=np.int64)      # pairs with the word as context
-    losses = np.zeros(len(groups))
-    slices = [pair_slices(g.docs, half, size) for g in groups]
-    for done in range(0, int(total[0]), size):
-        left = np.clip(total - done, 0, size)
-        longest, going = left[0], np.count_nonzero(left)
-        centre, context = (np.zeros((longest, going), dtype=np.int64) for _ in (0, 1))
-        for k, (g, at_word) in enumerate(zip(groups[:going], starts)):
-            c, x = (g.at("word", ids) for ids in next(slices[k]))
-            centre[:len(c), k], context[:len(c), k] = at_word + c, at_word + x
-            m = len(g.rows["word"])
-            g.steps["word"] += np.bincount(c, length[at_word + x], minlength=m).astype(np.int64)
-            times[at_word:at_word + m] += np.bincount(x, minlength=m)
-        active = np.searchsorted(-left, -np.arange(longest), side="left")
-        for t in range(longest):
-            n = active[t]
-            w, x = centre[t, :n], context[t, :n]
-            rows, lab, mask = path[x], label[x], real[x]
-            wv, nv = words[w], nodes[rows]
-            s = sigma((nv @ wv[:, :, None])[:, :, 0])
-            g = lr * (lab - s) * mask
-            nodes[rows] = nv + g[:, :, None] * wv[:, None, :]
-            words[w] = wv + (g[:, None, :] @ nv)[:, 0]
-            losses[:n] -= (np.log(np.maximum(np.abs(1 - lab - s), LOSS_FLOOR)) * mask).sum(axis=1)
-    at_node = 0
-    for k, (g, at_word) in enumerate(zip(groups, starts)):
-        m, n = len(g.rows["word"]), len(g.rows["node"])
-        g.change = {"word": words[at_word:at_word + m] - g.rows["word"], "node": nodes[at_node:at_node + n] - g.rows["node"]}
-        mine = path[at_word:at_word + m]
-        steps = np.repeat(times[at_word:at_word + m, None], path.shape[1], axis=1)[mine != pad]
-        g.steps["node"] += np.bincount(mine[mine != pad] - at_node, steps, minlength=n).astype(np.int64)
-        g.loss, g.total = float(losses[k]), int((times * length)[at_word:at_word + m].sum())
-        at_node += n
-
-
-CHANGES = "kind string, id bigint, change array<double>, n bigint"
-
-
-def _round(work: Work, params: DataFrame, on_row: Callable, finish: Callable,
-           full: Callable = lambda groups: True) -> DataFrame:
-    """One iteration of a trainer: ``(kind, id, change, n)``, changes added up
-    over groups; kind ``loss`` holds the summed loss and its number of steps.
-
-    ``on_row(group, part, id, a, b, c, d)`` for each row of work, in order of
-    part and id; ``finish(groups)`` on complete groups, as soon as
-    ``full(groups)`` says that no other is to join them."""
-    spark = params.sparkSession
-    ship_package(spark)
-    none = F.lit(None).cast("array<bigint>")
-    vectors = work.need.join(params.select("kind", "id", "vec"), ["kind", "id"]).select(
-        "grp", F.lit(0).alias("part"), "id", none.alias("a"), none.alias("b"), none.alias("c"), none.alias("d"), "kind", "vec")
-    rows = work.rows.select("grp", "part", "id", "a", "b", "c", "d", F.lit(None).cast("string").alias("kind"),
-                            F.lit(None).cast("array<double>").alias("vec"))
+def sgd(vecs: np.ndarray, centres: list[int], contexts: list[int], path: list[np.ndarray], label: list[list[float]],
+        lr: float) -> list[np.ndarray]:
+    """One step per pair on ``vecs``, in order; the scores before each. A
+    pair's nodes are distinct, so the whole path is one product."""
+    clip, scores = V.LOGISTIC_CLIP, []
+    for c, x in zip(centres, contexts):
+        at, w = path[x], vecs[c]
+        nv = vecs.take(at, axis=0)
+        s = nv @ w
+        scores.append(s)
+        g = np.array([lr * (t - (1.0 / (1.0 + exp(-z)) if -clip < z < clip else z > 0)) for t, z in zip(label[x], s.tolist())])
+        vecs[at] = nv + g[:, None] * w
+        w += g @ nv
+    return scores
+
+
+def replica_kernel(shard: Shard, work: pa.Table, lr: float, half: int, size: int) -> None:
+    """SGD pair by pair in each replica of the shard, from the same vectors."""
+    part = np.asarray(work.column("part"))
+    order = np.lexsort([np.asarray(work.column("id")), part])
+    (a, a_off), (b, b_off), (c, _) = (_ints(work.column(x)) for x in "abc")
+    heads = order[part[order] == 0]
+    words, code, length = (np.concatenate([x[o[i]:o[i + 1]] for i in heads] or [np.zeros(0, np.int64)])
+                           for x, o in ((a, a_off), (b, b_off), (c, _ints(work.column("c"))[1])))
+    nodes, labels, off = paths_of(code, length)
+    nodes = shard.at(-nodes)
+    row = shard.at(words)
+    path = [nodes[x:y] for x, y in zip(off[:-1], off[1:])]
+    label = [labels[x:y].astype(float).tolist() for x, y in zip(off[:-1], off[1:])]
+    vecs = shard.base.copy()
+    docs = order[part[order] > 0]
+    cut = np.flatnonzero(np.diff(part[docs], prepend=-1))
+    for x, y in zip(cut, [*cut[1:], len(docs)]):
+        texts = ((a[a_off[i]:a_off[i + 1]], np.searchsorted(words, b[b_off[i]:b_off[i + 1]])) for i in docs[x:y])
+        as_centre, as_context, loss = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0.0
+        for centre, context in pair_slices(texts, half, size):
+            scores = sgd(vecs, row[centre].tolist(), context.tolist(), path, label, lr)
+            s = sigma(np.concatenate(scores))
+            taken = np.concatenate([labels[off[i]:off[i + 1]] for i in context.tolist()])
+            loss += loss_of(s, np.ones(len(s)), taken)
+            as_centre += np.bincount(centre, length[context], minlength=len(words)).astype(np.int64)
+            as_context += np.bincount(context, minlength=len(words))
+        used = np.flatnonzero(as_context)
+        touched = np.unique(np.concatenate([row[as_centre > 0], *[path[i] for i in used.tolist()]]))
+        shard.change[touched] += np.rint((vecs[touched] - shard.base[touched]) / QUANTUM) * QUANTUM
+        vecs[touched] = shard.base[touched]
+        shard.n[row] += as_centre
+        np.add.at(shard.n, nodes, np.repeat(as_context, length))
+        shard.loss += round(loss / LOSS_QUANTUM) * LOSS_QUANTUM
+        shard.steps += int(as_centre.sum())
+
+
+# ------------------------------------------------------------------ iterations
+
+CHANGES = "block bigint, shard bigint, keys array<bigint>, change array<double>, n array<bigint>"
+
+
+def delivered(work: Work, params: DataFrame) -> DataFrame:
+    """``(shard, block, keys, vecs)``: to every shard the vectors it needs."""
+    def pick(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"shard": pa.array([], pa.int64()), "block": pa.array([], pa.int64()),
+                             "keys": pa.array([], pa.list_(pa.int64())), "vecs": pa.array([], pa.list_(pa.float64()))})
+        have = _ints(left.column("keys"))[0]
+        vecs = np.asarray(left.column("vecs").combine_chunks().flatten()).reshape(len(have), -1)
+        keys, off = _ints(right.column("keys"))
+        return pa.table({"shard": right.column("shard"), "block": right.column("block"), "keys": right.column("keys"),
+                         "vecs": _lists(vecs[np.searchsorted(have, keys)].ravel(), off * vecs.shape[1])})
+    return params.select("block", "keys", "vecs").groupBy("block").cogroup(work.need.groupBy("block")).applyInArrow(
+        pick, "shard bigint, block bigint, keys array<bigint>, vecs array<double>")
+
+
+def changes(work: Work, params: DataFrame, kernel: Callable[[Shard, pa.Table], None]) -> DataFrame:
+    """What the kernel changes at ``params``, a row per block and shard, and
+    per shard a row of block -1 with the loss and the number of steps."""
+    ship_package(params.sparkSession)
+
+    def run(key, rows, vectors):
+        keys, off = _ints(vectors.column("keys"))
+        flat = np.asarray(vectors.column("vecs").combine_chunks().flatten())
+        order = np.argsort(keys, kind="stable")
+        shard = Shard(keys[order], flat.reshape(len(keys), -1)[order] if len(keys) else np.zeros((0, 1)))
+        kernel(shard, rows)
+        change, n = np.empty_like(shard.change), np.empty_like(shard.n)
+        change[order], n[order] = shard.change, shard.n     # in the order they came: by block
+        hit = n > 0
+        ends = np.concatenate([[0], np.cumsum(hit)])[off]
+        dim = change.shape[1]
+        blocks = [*vectors.column("block").to_pylist(), LOSS_BLOCK]
+        return pa.table({
+            "block": pa.array(blocks, pa.int64()), "shard": pa.array([key[0].as_py()] * len(blocks), pa.int64()),
+            "keys": _lists(keys[hit], [*ends, ends[-1]]),
+            "change": _lists(np.concatenate([change[hit].ravel(), [shard.loss, shard.steps]]), [*(ends * dim), ends[-1] * dim + 2]),
+            "n": _lists(n[hit], [*ends, ends[-1]])})
+    return work.rows.groupBy("shard").cogroup(delivered(work, params).groupBy("shard")).applyInArrow(run, CHANGES)
 
-    def run(batches):
-        groups: list[Group] = []
 
-        def done():
-            complete = [g.ready() for g in groups]
-            finish(complete)
-            groups.clear()
-            return [g.changes() for g in complete]
+def gradient(work: Work, params: DataFrame) -> DataFrame:
+    """The full-batch gradient at ``params``, as :func:`changes`."""
+    return changes(work, params, gradient_kernel)
 
-        for batch in batches:
-            grp, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ids = batch.column(2).to_numpy()
-            cut = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])]) if len(grp) else []
-            for x, y in zip(cut, [*cut[1:], len(grp)]):
-                if not groups or groups[-1].number != grp[x]:
-                    if groups and full(groups):
-                        yield from done()
-                    groups.append(Group(int(grp[x])))
-                group, piece = groups[-1], batch.slice(x, y - x)
-                if part[x] == 0:
-                    vec = np.asarray(piece.column(8).flatten(), dtype=np.float64).reshape(y - x, -1)
-                    kind = np.asarray(piece.column(7).to_pylist())
-                    for k in ("word", "node"):
-                        mine = kind == k
-                        group.ids[k].append(ids[x:y][mine])
-                        group.parts[k].append(vec[mine])
-                    continue
-                group.ready()
-                lists = [piece.column(i) for i in range(3, 7)]
-                for r in range(y - x):
-                    on_row(group, int(part[x]), int(ids[x + r]), *(np.asarray(c[r].values) for c in lists))
-        if groups:
-            yield from done()
-
-    dealt = vectors.unionByName(rows).repartition("grp").sortWithinPartitions("grp", "part", "id")
-    sums = vx.vector_stats(dealt.mapInArrow(run, CHANGES).withColumnRenamed("n", "m"), ["kind", "id"], "change",
-                           {"steps": F.sum("m")})
-    return sums.select("kind", "id", F.col("vec_sum").alias("change"), F.col("steps").cast("bigint").alias("n"))
 
+def local_sgd(work: Work, params: DataFrame, lr: float = LEARNING_RATE, half: int = sg.HALF_WINDOW) -> DataFrame:
+    """One round of SGD on every replica from the same parameters, as
+    :func:`changes`. A task holds its shard's vectors and tokens; of the pairs,
+    ``SLICE_PAIRS`` are laid out at once."""
+    size = SLICE_PAIRS
+    return changes(work, params, lambda shard, rows: replica_kernel(shard, rows, lr, half, size))
+
+
+def _summed(found: pa.Table, keys: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Changes and steps of a block added up, shard by shard."""
+    total, n = np.zeros((len(keys), dim)), np.zeros(len(keys), dtype=np.int64)
+    found = found.take(pa.array(np.argsort(np.asarray(found.column("shard")), kind="stable")))
+    change = np.asarray(found.column("change").combine_chunks().flatten()) if found.num_rows else np.zeros(0)
+    (touched, off), (steps, _) = (_ints(found.column(c)) if found.num_rows else (np.zeros(0, np.int64),) * 2 for c in ("keys", "n"))
+    change = change.reshape(len(touched), -1)
+    for x, y in zip(off[:-1], off[1:]):
+        at = np.searchsorted(keys, touched[x:y])
+        total[at] += change[x:y]
+        n[at] += steps[x:y]
+    return total, n
+
+
+def stepped(params: DataFrame, found: DataFrame, step: Callable) -> DataFrame:
+    """The next parameters: ``step(vecs, acc, change)`` gives a block's vectors
+    and history after the summed changes. Block -1 takes the loss and steps."""
+    ship_package(params.sparkSession)
+
+    def run(key, left, right):
+        if key[0].as_py() == LOSS_BLOCK:
+            right = right.take(pa.array(np.argsort(np.asarray(right.column("shard")), kind="stable"))) if right.num_rows else right
+            rows = np.asarray(right.column("change").combine_chunks().flatten()).reshape(-1, 2) if right.num_rows else np.zeros((0, 2))
+            return pa.table({"block": left.column("block"), "keys": left.column("keys"),
+                             "vecs": pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64())), "acc": left.column("acc")})
+        keys = _ints(left.column("keys"))[0]
+        vecs, acc = (np.asarray(left.column(c).combine_chunks().flatten()).reshape(len(keys), -1) for c in ("vecs", "acc"))
+        total, _ = _summed(right, keys, vecs.shape[1])
+        vecs, acc = step(vecs, acc if acc.size else np.zeros_like(vecs), total)
+        return pa.table({"block": left.column("block"), "keys": left.column("keys"),
+                         "vecs": _lists(vecs.ravel(), [0, vecs.size]), "acc": _lists(acc.ravel(), [0, acc.size])})
+    return params.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, PARAMS)
+
+
+def adagrad(lr: float) -> Callable:
+    """Each component moves by ``lr * g / sqrt(acc)``, ``acc`` being the sum of
+    its squared gradients so far."""
+    def step(vecs, acc, grad):
+        acc = acc + grad * grad
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return vecs + np.where(grad == 0, 0.0, lr * grad / np.sqrt(acc)), acc
+    return step
+
+
+def averaging(replicas: int) -> Callable:
+    """``base + sum of changes / replicas``; untouched rows stay."""
+    if replicas <= 0:
+        raise ValueError("replica count must be positive")
 
-def gradient(work: Work, params: DataFrame) -> DataFrame:
-    """The full-batch gradient at ``params``: ``(kind, id, change, n)``, ``n``
-    the pair-steps behind a row, with a row of kind ``loss``."""
-    def on_row(group, part, row_id, a, b, c, d):
-        gradient_kernel(group, a, b, c, d)
-    return _round(work, params, on_row, lambda groups: None)
+    def step(vecs, acc, change):
+        return vecs + change / replicas, np.zeros((0, 0))
+    return step
 
 
-def hs_gradient(targets: DataFrame, params: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(kind, id, grad, n)``: for a node the sum over its words of (n1 - n
-    sigma) times the word's vector, for a word the same with the nodes'."""
+def hs_gradient(targets: DataFrame, params: DataFrame, cell_words: int | None = None) -> DataFrame:
+    """``(kind, id, grad, n)`` for rows ``(kind, id, vec)``: for a node the sum
+    over its words of (n1 - n sigma) times the word's vector, for a word the
+    same with the nodes', ``n`` the pair-steps behind it. Targets as
+    :func:`word_targets` gives them."""
     n_words = params.where("kind = 'word'").count()
-    g = gradient(cells(targets, n_words, block_rows), params)
-    return g.where("kind <> 'loss'").withColumnRenamed("change", "grad")
-
-
-def local_sgd(work: Work, params: DataFrame, lr: float = LEARNING_RATE, half: int = sg.HALF_WINDOW) -> DataFrame:
-    """One round of SGD on every replica from the same parameters: ``(kind,
-    id, change, n)`` summed over replicas, with a row of kind ``loss``.
-
-    A task works off one lockstep set after the other. A set is complete with
-    ``LOCKSTEP`` replicas, ``LOCKSTEP_ROWS`` parameter rows or ``LOCKSTEP *
-    REPLICA_TOKENS`` tokens, so it exceeds these by one replica at most; with
-    the replicas of :func:`replicas_for` that is ``REPLICA_TOKENS`` expected
-    tokens or one document. Of its pairs, ``SLICE_PAIRS`` a replica are laid out."""
-    most, most_rows, most_tokens, size = LOCKSTEP, LOCKSTEP_ROWS, LOCKSTEP * REPLICA_TOKENS, SLICE_PAIRS
-
-    def on_row(group, part, row_id, a, b, c, d):
-        # copies: a view would keep its whole batch
-        if part == 1:
-            group.paths[row_id] = (a.copy(), b.copy())
-        else:
-            group.docs.append((a.copy(), b.copy()))
-
-    def full(groups):
-        rows = sum(len(r) for g in groups for r in g.ready().rows.values())
-        tokens = sum(len(ids) for g in groups for _, ids in g.docs)
-        return len(groups) >= most or rows >= most_rows or tokens >= most_tokens
-    return _round(work, params, on_row, lambda groups: sgd_lockstep(groups, lr, half, size), full)
+    work = cells(targets, n_words, cell_words)
+    params = written(packed(params, work.n_blocks), "params")
+    found = gradient(work, params)
+
+    def run(left, right):
+        keys = _ints(left.column("keys"))[0]
+        dim = len(left.column("vecs").combine_chunks().flatten()) // max(1, len(keys))
+        total, n = _summed(right, keys, dim)
+        hit = n > 0
+        kind = np.where(keys[hit] < 0, "node", "word")
+        return pa.table({"kind": pa.array(kind.tolist(), pa.string()), "id": pa.array(np.abs(keys[hit])),
+                         "grad": _lists(total[hit].ravel(), np.arange(hit.sum() + 1) * dim), "n": pa.array(n[hit])})
+    real = F.col("block") != LOSS_BLOCK
+    return params.where(real).groupBy("block").cogroup(found.where(real).groupBy("block")).applyInArrow(
+        run, "kind string, id bigint, grad array<double>, n bigint")
 
 
 # -------------------------------------------------------------------- trainers
 
 @dataclass
 class Fit:
-    """A trained model: parameters, the words they belong to, the mean loss of
-    each iteration's pair-steps (each before its step), and report rows."""
+    """A trained model: blocks of parameters, the words they belong to, the
+    mean loss of each iteration's pair-steps (each before its step), and report
+    rows, whose words are keys."""
     params: DataFrame
     words: DataFrame
     losses: list[float]
     report: list[tuple]
 
-
-def _stepped(params: DataFrame, changes: DataFrame, vec: Column, *cols) -> DataFrame:
-    """``params`` with ``vec`` where a row has a ``change``, the ``loss`` row
-    with what the iteration measured, and other rows as they are."""
-    now = params.join(changes.select("kind", "id", "change", "n"), ["kind", "id"], "left")
-    measured = F.array(F.col("change")[0], F.col("n").cast("double"))
-    return now.select("kind", "id", F.when(F.col("change").isNull(), F.col("vec"))
-                      .when(F.col("kind") == "loss", measured).otherwise(vec).alias("vec"), *cols)
-
-
-def adagrad(params: DataFrame, grads: DataFrame, lr: float) -> DataFrame:
-    """``(kind, id, vec, acc)`` after one step: each component moves by ``lr *
-    g / sqrt(acc)``, ``acc`` being the sum of its squared gradients so far."""
-    squares = F.zip_with("acc", "change", lambda a, x: a + x * x)
-    acc = F.when(F.col("change").isNull() | (F.col("kind") == "loss"), F.col("acc")).otherwise(squares)
-    step = F.zip_with("change", squares, lambda x, a: F.when(x == 0, F.lit(0.0)).otherwise(x / F.sqrt(a)) * F.lit(float(lr)))
-    return _stepped(params, grads, V.add("vec", step), acc.alias("acc"))
-
-
-def averaged(params: DataFrame, changes: DataFrame, replicas: int) -> DataFrame:
-    """``base + sum of changes / replicas``; untouched rows stay."""
-    return _stepped(params, changes, V.add("vec", V.scale("change", 1.0 / replicas)))
+    def rows(self) -> DataFrame:
+        """``(kind, id, vec)``."""
+        return unpacked(self.params)
 
 
 def _next(fit: Fit, new: DataFrame) -> float:
@@ -525,31 +653,30 @@ def _next(fit: Fit, new: DataFrame) -> float:
     from what was written."""
     old, fit.params = fit.params, written(new, "params")
     remove_written(old)
-    loss, steps = fit.params.where("kind = 'loss'").first()["vec"]
+    loss, steps = fit.params.where(F.col("block") == LOSS_BLOCK).first()["vecs"]
     return loss / steps if steps else 0.0
 
 
 def sync_step(params: DataFrame, work: Work, lr: float) -> DataFrame:
-    """One synchronous step from parameters without history (no ``acc``)."""
-    start = params.withColumn("acc", F.transform("vec", lambda x: F.lit(0.0)))
-    return adagrad(start, gradient(work, params), lr).where("kind <> 'loss'").select("kind", "id", "vec")
+    """Rows ``(kind, id, vec)`` after one synchronous step without history."""
+    start = written(packed(params, work.n_blocks), "params")
+    return unpacked(stepped(start, gradient(work, start), adagrad(lr)))
 
 
 def fit_sync(corpus: DataFrame, iters: int = ITERATIONS, dim: int = DIM, lr: float = LEARNING_RATE,
              seed: int = 0, schedule: str = "constant", half: int = sg.HALF_WINDOW,
-             block_rows: int = BLOCK_ROWS, probes: Probes | None = None, prep: Prepared | None = None) -> Fit:
+             cell_words: int | None = None, probes: Probes | None = None, prep: Prepared | None = None) -> Fit:
     """Synchronous full-batch training. ``probes``: report on them after every
     iteration."""
     prep = prep or prepare(corpus)
-    work = cells(node_targets(cooccurrence(prep, half), prep.paths), prep.words.count(), block_rows)
-    zero = F.transform("vec", lambda x: F.lit(0.0))
-    params = written(init_params(prep, dim, seed).withColumn("acc", zero), "params")
-    fit = Fit(params, prep.words, [], [])
+    work = cells(word_targets(cooccurrence(prep, half), prep.words), prep.words.count(), cell_words)
+    fit = Fit(written(packed(init_params(prep, dim, seed), work.n_blocks), "params"), prep.words, [], [])
     for it in range(iters):
         rate = learning_rate(it, iters, lr, schedule)
-        fit.losses.append(_next(fit, adagrad(fit.params, gradient(work, fit.params), rate)))
+        fit.losses.append(_next(fit, stepped(fit.params, gradient(work, fit.params), adagrad(rate))))
         if probes:
             fit.report += probes.rows(it + 1, fit)
+    work.drop()
     return fit
 
 
@@ -563,32 +690,27 @@ def select_batch(corpus: DataFrame, m: int) -> DataFrame:
     return corpus.where(F.col("batch") == F.lit(m)).drop("batch")
 
 
-def replicas_for(docs: DataFrame) -> int:
-    """As many replicas as leave the largest mini-batch of ``docs`` (with
-    ``batch``) at most ``REPLICA_TOKENS`` tokens expected in each."""
-    of_batch = docs.groupBy("batch").agg(F.sum(F.size("ids")).alias("n"))
-    return max(REPLICAS, -(-(of_batch.agg(F.max("n")).first()[0] or 0) // REPLICA_TOKENS))
-
-
-def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int | None = None, dim: int = DIM,
+def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int = REPLICAS, dim: int = DIM,
               lr: float = LEARNING_RATE, seed: int = 0, schedule: str = "constant", batches: int = 1,
-              half: int = sg.HALF_WINDOW, probes: Probes | None = None, prep: Prepared | None = None) -> Fit:
+              half: int = sg.HALF_WINDOW, probes: Probes | None = None, prep: Prepared | None = None,
+              shards: int | None = None) -> Fit:
     """The reference's scheme: per iteration and mini-batch, local SGD on every
-    replica from the same parameters, then averaging over the replicas. Their
-    number follows the corpus (:func:`replicas_for`) unless given."""
+    replica from the same parameters, then averaging over the replicas, a
+    setting that does not depend on the corpus."""
     prep = prep or prepare(corpus)
+    n_words = prep.words.count()
     docs = assign_batches(prep.docs, batches, seed)
-    replicas = replicas or replicas_for(docs)
-    works = [replicas_of(select_batch(docs, b), prep.paths, replicas) for b in range(batches)]
-    fit = Fit(written(init_params(prep, dim, seed), "params"), prep.words, [], [])
+    works = [replicas_of(select_batch(docs, b), prep.words, replicas, n_words, shards) for b in range(batches)]
+    n_blocks = blocks_for(n_words, prep.words.sparkSession)
+    fit = Fit(written(packed(init_params(prep, dim, seed), n_blocks), "params"), prep.words, [], [])
     for it in range(iters):
         rate = learning_rate(it, iters, lr, schedule)
-        losses = []
-        for work in works:
-            losses.append(_next(fit, averaged(fit.params, local_sgd(work, fit.params, rate, half), replicas)))
+        losses = [_next(fit, stepped(fit.params, local_sgd(work, fit.params, rate, half), averaging(replicas))) for work in works]
         fit.losses.append(sum(losses) / len(losses))
         if probes:
             fit.report += probes.rows(it + 1, fit)
+    for work in works:
+        work.drop()
     return fit
 
 
@@ -596,44 +718,73 @@ def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int | None =
 
 def vectors_of(fit: Fit) -> DataFrame:
     """``(word, count, vec)`` of the trained words."""
-    return fit.words.select("word", "count", "id").join(fit.params.where("kind = 'word'").select("id", "vec"), "id") \
+    return fit.words.select("word", "count", "id").join(fit.rows().where("kind = 'word'").select("id", "vec"), "id") \
         .select("word", "count", "vec")
 
 
-REPORT = "iteration int, kind string, query string, rank bigint, word string, value double"
-
-
 @dataclass
 class Probes:
     """Words whose neighbours, and triples ``(a, b, c)`` whose analogies, are
     reported after every iteration. Both are short lists given by the caller;
-    what is collected is k rows for each."""
+    a task sends back k keys for each, and words are looked up in the end."""
     words: list[str]
     triples: list[tuple[str, str, str]]
     k: int = 10
 
     def rows(self, iteration: int, fit: Fit) -> list[tuple]:
-        spark: SparkSession = fit.params.sparkSession
-        vec = vectors_of(fit).select(F.col("word").alias("id"), "vec")
-        wanted = {*self.words, *(w for t in self.triples for w in t)}
-        known = {r["id"]: r["vec"] for r in vec.where(F.col("id").isin(*wanted)).collect()}
-        queries = [("nearest", w, known[w], []) for w in self.words if w in known]
-        queries += [("analogy", " ".join(t), [x - y + z for x, y, z in zip(*(known[w] for w in t))], list(t))
-                    for t in self.triples if all(w in known for w in t)]
+        """``(iteration, kind, query, rank, key, value)`` after an iteration."""
         out = [(iteration, "loss", None, None, None, fit.losses[-1])]
-        if queries:
-            asked = spark.createDataFrame([(i, q[2], q[3]) for i, q in enumerate(queries)],
-                                          "query_id int, qvec array<double>, exclude array<string>")
-            for r in vx.nearest(vec, asked, self.k).collect():
-                kind, name = queries[r["query_id"]][:2]
-                if kind == "nearest" or r["rank"] == 1:
-                    out.append((iteration, kind, name, r["rank"], r["id"], r["sim"]))
+        wanted = {*self.words, *(w for t in self.triples for w in t)}
+        if not hasattr(self, "keys"):
+            self.keys = {r["word"]: r["id"] for r in fit.words.where(F.col("word").isin(*wanted)).collect()} if wanted else {}
+        if not self.keys:
+            return out
+        key = F.explode(F.array(*[F.lit(k).cast("bigint") for k in self.keys.values()])).alias("key")
+        held = fit.params.where(F.col("block") != LOSS_BLOCK).select(key, "keys", "vecs") \
+            .where(F.array_contains("keys", F.col("key")))
+        dim = (F.size("vecs") / F.size("keys")).cast("int")
+        place = F.array_position("keys", F.col("key")).cast("int") - 1
+        vec = {r["key"]: np.array(r["vec"]) for r in held.select("key", F.slice("vecs", place * dim + 1, dim).alias("vec")).collect()}
+        known = {w: vec[k] for w, k in self.keys.items()}
+        asked = [("nearest", w, known[w], set()) for w in self.words if w in known]
+        asked += [("analogy", " ".join(t), known[t[0]] - known[t[1]] + known[t[2]], {self.keys[w] for w in t})
+                  for t in self.triples if all(w in known for w in t)]
+        if not asked:
+            return out
+        found = self._nearest(fit.params, np.stack([q[2] for q in asked]), max(self.k, 1) + 3)
+        for i, (kind, name, _, skip) in enumerate(asked):
+            best = sorted((-s, k) for q, k, s in found if q == i and k not in skip)[:self.k if kind == "nearest" else 1]
+            out += [(iteration, kind, name, rank, k, -s) for rank, (s, k) in enumerate(best, 1)]
         return out
 
+    @staticmethod
+    def _nearest(params: DataFrame, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """Per task and query the k words with the greatest cosine; zero vectors are no answers."""
+        unit = queries / np.maximum(np.sqrt((queries * queries).sum(axis=1)), 1e-300)[:, None]
+
+        def run(batches):
+            keys, sims = np.zeros(0, np.int64), np.zeros((0, len(unit)))
+            for b in batches:
+                here, off = _ints(b.column(0))
+                vecs = np.asarray(b.column(1).flatten()).reshape(len(here), -1) if len(here) else np.zeros((0, unit.shape[1]))
+                size = np.sqrt((vecs * vecs).sum(axis=1))
+                word = np.flatnonzero((here >= 0) & (size > 0))
+                keys = np.concatenate([keys, here[word]])
+                sims = np.concatenate([sims, vecs[word] @ unit.T / size[word, None]])
+                best = np.unique(np.concatenate([np.lexsort([keys, -sims[:, q]])[:k] for q in range(len(unit))] or [[]])).astype(int)
+                keys, sims = keys[best], sims[best]
+            q, i = np.meshgrid(np.arange(len(unit)), np.arange(len(keys)), indexing="ij")
+            yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(keys[i.ravel()]), pa.array(sims[i.ravel(), q.ravel()])],
+                                             ["q", "key", "sim"])
+        ship_package(params.sparkSession)
+        rows = params.where(F.col("block") != LOSS_BLOCK).select("keys", "vecs").mapInArrow(run, "q bigint, key bigint, sim double")
+        return [(r["q"], r["key"], r["sim"]) for r in rows.collect()]
+
 
 def training_report(fit: Fit) -> DataFrame:
     """``(iteration, kind, query, rank, word, value)``: the mean loss, nearest
     words and analogy answers of every iteration."""
-    return fit.params.sparkSession.createDataFrame(fit.report, REPORT)
-
-
+    rows = fit.params.sparkSession.createDataFrame(
+        fit.report, "iteration int, kind string, query string, rank bigint, key bigint, value double")
+    names = fit.words.select(F.col("id").alias("key"), "word")
+    return rows.join(names, "key", "left").select("iteration", "kind", "query", "rank", "word", "value")

@@ -261,12 +261,12 @@ def q_init_params(spark, sf_dir):
 
 
 def _targets(prep) -> DataFrame:
-    return tr.node_targets(tr.cooccurrence(prep), prep.paths)
+    return tr.word_targets(tr.cooccurrence(prep), prep.words)
 
 
 def q_node_targets(spark, sf_dir):
     prep = tr.prepare(documents(spark, sf_dir))
-    return _targets(prep).join(prep.words.select("id", "word"), "id").select("word", "node", "n", "n1")
+    return tr.node_targets(_targets(prep)).join(prep.words.select("id", "word"), "id").select("word", "node", "n", "n1")
 
 
 def q_root_targets(spark, sf_dir):

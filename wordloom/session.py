@@ -97,6 +97,24 @@ def remove_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``df`` written like :func:`written`, as a table bucketed by ``key``, a
+    file a bucket: what groups or joins by the key reads it without an exchange."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option(
+        "path", scratch_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out._wordloom_table = table
+    return out
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Deletes a table made by :func:`bucketed`, with its files."""
+    remove_written(df)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._wordloom_table}")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once a session.
 
