@@ -2,12 +2,12 @@
 
 A vector table is ``(id, vec array<double>)``; ids may be words or numbers.
 
-Exact nearest neighbours compare every vector with a stated set of queries.
-The queries are read once, in blocks of at most ``MAX_QUERY_BYTES``; a block
-is broadcast as one matrix, and each task multiplies it with its Arrow batches
-of vectors and keeps the k best rows of each query. So a task's memory and
-what it sends on are bounded by the block and k, vectors are scanned once per
-block and never collected, and the last step ranks k rows per task and query.
+Exact nearest neighbours: a short list of queries, up to ``MAX_QUERY_BYTES``,
+is broadcast as one matrix; each task multiplies it with its Arrow batches of
+vectors and keeps the k best rows of each query, so vectors are scanned once
+and never collected. A longer list stays a distributed table and meets only
+the blocks of vectors that pivots cannot exclude (``search``). Both are exact
+and give the same rows.
 
 Element-wise sums use MLlib's ``Summarizer`` aggregate, which runs in the
 JVM with partial aggregation: a hot key (the root node, a common word) is
@@ -16,8 +16,6 @@ combined map-side before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -26,9 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import vector as V
-from wordloom.session import ship_package
+from wordloom.operators import search
+from wordloom.operators.search import TILE, best, by_id, cosines, matrix, unit
+from wordloom.session import ship_package, written
 
-# Broadcast budget for one block of query vectors (bytes of doubles).
+# Broadcast budget for query vectors (bytes of doubles).
 MAX_QUERY_BYTES = 64 * 1024 * 1024
 
 
@@ -60,93 +60,74 @@ def score_pairs(vectors: DataFrame, pairs: DataFrame, scale: float = 1.0) -> Dat
     return x.select("a", "b", "dot", V.clipped_logistic(F.col("_x")).alias("score"))
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    """Rows ``(query_id, qvec, exclude)`` in blocks that fit the budget; the
-    query table is evaluated once and streamed to the driver."""
-    block, size = [], 0
-    for row in queries.toLocalIterator():
-        block.append(row)
-        size += 8 * len(row["qvec"] or ()) + 64
-        if size >= MAX_QUERY_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def _matrix(col: pa.Array) -> np.ndarray:
-    """A list column as a matrix; differing lengths raise."""
-    lengths = np.diff(np.asarray(col.offsets))
-    if len(lengths) and (lengths != lengths[0]).any():
-        raise ValueError("vectors differ in length")
-    return np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), -1)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    """Rows divided by their norm; NaN for a zero row."""
-    n = np.sqrt((m * m).sum(axis=1))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / np.where(n > 0, n, np.nan)[:, None]
-
-
 def _best(vectors: DataFrame, block: list, k: int, sign: float) -> DataFrame:
-    """Per task, the ``k`` rows of each query with the greatest ``sign *
-    similarity`` (ties by id, similarities with a zero vector last)."""
+    """``(query_id, id, sim)``: per task, the ``k`` rows of each query with the
+    greatest ``sign * similarity`` (ties by id, zero vectors last)."""
     spark = vectors.sparkSession
-    unit = _unit(np.array([r["qvec"] for r in block], dtype=np.float64).reshape(len(block), -1))
-    skip = [set(r["exclude"] or ()) for r in block]
-    bc = spark.sparkContext.broadcast((unit, skip))
-    id_type = vectors.schema["id"].dataType
+    bc = spark.sparkContext.broadcast(sign * unit(matrix(pa.array([r["qvec"] for r in block], pa.list_(pa.float64())))))
 
     def run(batches):
-        q, excluded = bc.value
-        best: list[list[tuple]] = [[] for _ in q]      # (is null, -sign * sim, id)
-        ids_type = None
+        q, kept = bc.value, None
         for b in batches:
-            if not b.num_rows:
+            if not b.num_rows or not len(q):
                 continue
-            ids_type = b.column(0).type
-            ids = b.column(0).to_pylist()
-            m = _matrix(b.column(1))
-            if m.shape[1] != q.shape[1]:
-                raise ValueError("vectors differ in length")
-            sims = sign * (_unit(m) @ q.T)
-            order = np.where(np.isnan(sims), -np.inf, sims)
-            for i in range(len(q)):
-                # all rows not below the k-th best once excluded ones are gone
-                keep = min(len(ids), k + len(excluded[i]))
-                least = np.partition(order[:, i], len(ids) - keep)[len(ids) - keep]
-                for r in np.flatnonzero(order[:, i] >= least):
-                    if ids[r] not in excluded[i]:
-                        s = sims[r, i]
-                        best[i].append((bool(np.isnan(s)), 0.0 if np.isnan(s) else -s, ids[r]))
-                best[i] = sorted(best[i])[:k]
-        rows = [(i, *row) for i, rows in enumerate(best) for row in rows]
-        if rows:
-            sim = [None if null else -sign * s for _, null, s, _ in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[3] for r in rows], ids_type),
-                 pa.array(sim, pa.float64())], ["q", "id", "sim"])
+            vecs = unit(matrix(b.column(1)))
+            for at in range(0, len(q), TILE):
+                sims = cosines(vecs, q[at:at + TILE])
+                order = by_id(b.column(0))
+                r, c = best(sims[order], k)
+                r = order[r]
+                here = pa.table({"q": pa.array(at + c), "id": b.column(0).take(pa.array(r)), "sim": pa.array(sims[r, c], from_pandas=True)})
+                kept = here if kept is None else pa.concat_tables([kept, here])
+            if kept.num_rows > 4 * k * len(q):
+                kept = _least(kept, k)
+        if kept is not None:
+            yield from _least(kept, k).combine_chunks().to_batches()
 
     ship_package(spark)
-    got = vectors.select("id", "vec").mapInArrow(run, f"q int, id {id_type.simpleString()}, sim double")
-    w = Window.partitionBy("q").orderBy((F.col("sim") * sign).desc_nulls_last(), F.col("id").asc())
-    names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(block)], ["q", "query_id"])
-    ranked = got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.join(names.withColumn("q", F.col("q").cast("int")), "q")
+    kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.select("id", "vec").mapInArrow(run, f"q bigint, id {kind}, sim double")
+
+
+def _least(rows: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows of each query by falling similarity and id."""
+    rows = rows.sort_by([("q", "ascending"), ("sim", "descending"), ("id", "ascending")])
+    q = np.asarray(rows.column("q"))
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return rows.filter(pa.array(place < k))
 
 
 def _ranked(vectors: DataFrame, queries: DataFrame, k: int, sign: float = 1.0) -> DataFrame:
+    """Queries whose vectors take at most ``MAX_QUERY_BYTES`` are one broadcast
+    matrix, scanned against once; more go through the pivots of ``search``."""
     if "exclude" not in queries.columns:
-        queries = queries.withColumn("exclude", F.lit(None))
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    for block in _query_blocks(queries.select("query_id", "qvec", "exclude")):
-        part = _best(vectors, block, k, sign)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.select("id", F.lit(None).alias("query_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("sim")).limit(0)
-    return out.select(F.col("query_id").cast(query_type), F.col("rank").cast("bigint").alias("rank"), "id", "sim")
+        queries = queries.withColumn("exclude", F.lit(None).cast(f"array<{vectors.schema['id'].dataType.simpleString()}>"))
+    asked = written(queries.select(F.monotonically_increasing_id().alias("q"), "query_id", "qvec", "exclude"), "asked")
+    size = asked.agg(F.sum(8 * F.size("qvec") + 64).alias("bytes"), F.max(F.size("exclude")).alias("skip")).first()
+    more = k + max(0, size["skip"] or 0)
+    if (size["bytes"] or 0) <= MAX_QUERY_BYTES:
+        block = asked.select("q", "qvec").orderBy("q").collect()
+        number = spark_rows(vectors, [(i, r["q"]) for i, r in enumerate(block)])
+        got = _best(vectors, block, more, sign).withColumnRenamed("q", "i").join(number, "i").select("q", "id", "sim")
+    else:
+        got = indexed(vectors, asked.select("q", F.col("qvec").alias("vec")), more, sign)
+    found = got.join(asked.select("q", "query_id", "exclude"), "q") \
+        .where(F.coalesce(~F.array_contains("exclude", F.col("id")), F.lit(True)))
+    order = Window.partitionBy("q").orderBy(F.col("sim").desc_nulls_last(), F.col("id").asc())
+    sim = F.col("sim") * sign + 0.0      # no negative zero
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", sim.alias("sim"))
+
+
+def spark_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, "i bigint, q bigint")
+
+
+def indexed(vectors: DataFrame, queries: DataFrame, k: int, sign: float = 1.0) -> DataFrame:
+    """``(q, id, sim)`` for ``(q, vec)`` through pivots, ``sim`` times ``sign``:
+    the farthest vectors of a query are the nearest of its opposite."""
+    asked = queries if sign > 0 else queries.withColumn("vec", V.scale("vec", sign))
+    return search.search(search.build(vectors.select("id", "vec")), asked, k)[0].select("q", "id", "sim")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -159,6 +140,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return _ranked(vectors, queries, k)
 
 
+def nearest_indexed(vectors: DataFrame, queries: DataFrame, k: int = 10, sign: float = 1.0) -> DataFrame:
+    """As :func:`nearest`, through the pivots whatever the number of queries;
+    ``sign`` -1 gives the least similar ones."""
+    asked = written(queries.select(F.monotonically_increasing_id().alias("q"), "query_id", F.col("qvec").alias("vec")), "asked")
+    got = indexed(vectors, asked.select("q", "vec"), k, sign).join(asked.select("q", "query_id"), "q")
+    order = Window.partitionBy("q").orderBy(F.col("sim").desc_nulls_last(), "id")
+    return got.withColumn("rank", F.row_number().over(order)).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", (F.col("sim") * sign + 0.0).alias("sim"))
+
+
 def farthest(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """Least similar vector per query ``(query_id, id, sim)``; ties by smallest
     id, zero vectors are no answers."""

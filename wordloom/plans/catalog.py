@@ -199,13 +199,13 @@ def twentieth_queries(spark, sf_dir) -> DataFrame:
 
 
 def q_nearest_twentieth(spark, sf_dir):
-    r = vx.nearest(emb_vectors(spark, sf_dir), twentieth_queries(spark, sf_dir), k=10)
+    r = vx.nearest_indexed(emb_vectors(spark, sf_dir), twentieth_queries(spark, sf_dir), k=10)
     return r.select("query_id", "rank", "id", F.round("sim", 6).alias("sim"))
 
 
 def q_farthest_twentieth(spark, sf_dir):
-    r = vx.farthest(emb_vectors(spark, sf_dir), twentieth_queries(spark, sf_dir))
-    return r.select("query_id", "id", F.round("sim", 6).alias("sim"))
+    r = vx.nearest_indexed(emb_vectors(spark, sf_dir), twentieth_queries(spark, sf_dir), k=1, sign=-1.0)
+    return r.where(F.col("sim").isNotNull()).select("query_id", "id", F.round("sim", 6).alias("sim"))
 
 
 def q_analogy(spark, sf_dir):
