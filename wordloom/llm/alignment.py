@@ -39,6 +39,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from wordloom.llm.common import Batches, in_arrow, written
 from wordloom.llm.words import ragged, strings_at, texts_of, utf8_bytes
 
 MARK = "▁"
-SLICE_BYTES = 2 << 20      # texts are aligned this many bytes at a time, a longer one alone
+SLICE_BYTES = 1 << 20      # texts are aligned this many bytes at a time, a longer one alone
 CACHE_ENTRIES = 60_000     # per generation, of runs and of windows
 KEPT_IDS = 64              # longer windows and runs of more bytes are not kept
 SEPARATOR = np.uint32(0xFFFFFFFF)
@@ -138,36 +139,44 @@ class Aligner:
         self.a_path = a_path
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         a_bytes, b_bytes = byte_level_bytes(a_path), piece_bytes(self.b)
-        self.bytes = tuple(np.array(x, dtype=object) for x in (a_bytes, b_bytes))
+        self.spelling = tuple(np.frombuffer(b"".join(x), dtype=np.uint8) for x in (a_bytes, b_bytes))
         self.length = tuple(np.array([len(e) for e in x], dtype=np.int64) for x in (a_bytes, b_bytes))
+        self.start = tuple(np.cumsum(n) - n for n in self.length)
         self.spaced = tuple(np.array([e.startswith(b" ") for e in x]) for x in (a_bytes, b_bytes))
         self.pairs = ending_pairs(a_bytes, b_bytes)
         entries = [e for i, e in enumerate(b_bytes) if not self.b.is_byte(i)]
         self.cuts = not any(b" " in e.lstrip(b" ") or b"\n" in e for e in entries)
+        self.lone = np.array([self.b.piece_to_id(MARK)], dtype="<u4").tobytes()
         self.runs, self.windows = Memo(), Memo()
 
     # ------------------------------------------------------------ tokenising
 
-    def _run_ids(self, runs: list[str]) -> list[np.ndarray]:
+    def _run_ids(self, runs: list[str]) -> list[bytes]:
         """Ids of runs that begin with a space or a line end."""
         got = [self.runs.get(r) for r in runs]
         missing = [i for i, ids in enumerate(got) if ids is None]
         # the library puts a space before what it is given; before a line end it stands alone
         asked = [runs[i][1:] if runs[i][0] == " " else runs[i] for i in missing]
-        for i, ids in zip(missing, self.b.encode(asked, num_threads=1)):
-            if runs[i] == " ":      # of an empty string the library gives nothing
-                ids = [self.b.piece_to_id(MARK)]
-            got[i] = np.array(ids if runs[i][0] == " " else ids[1:], dtype=np.uint32)
-            if len(runs[i]) <= KEPT_IDS:
-                self.runs.put(runs[i], got[i])
+        found = self.b.encode(asked, num_threads=1)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(size.sum())).tobytes()
+        ends = (4 * np.cumsum(size)).tolist()
+        for i, x, y in zip(missing, [0, *ends], ends):
+            run = runs[i]
+            if run == " ":      # of an empty string the library gives nothing
+                got[i] = self.lone
+            else:
+                got[i] = flat[x:y] if run[0] == " " else flat[x + 4:y]
+            if len(run) <= KEPT_IDS:
+                self.runs.put(run, got[i])
         return got
 
     def b_ids(self, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of B for texts that already have the space."""
         data, bounds = utf8_bytes(spaced)
         if not self.cuts:
-            each = [np.array(x, dtype=np.uint32) for x in self.b.encode([t[1:] for t in spaced.to_pylist()], num_threads=1)]
-            return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+            each = self.b.encode([t[1:] for t in spaced.to_pylist()], num_threads=1)
+            return np.fromiter(chain.from_iterable(each), dtype=np.uint32), np.cumsum([0, *map(len, each)])
         space = data == 0x20
         cut = space.copy()
         cut[1:] &= ~space[:-1]
@@ -177,34 +186,63 @@ class Aligner:
         coded = pc.dictionary_encode(strings_at(data, starts))
         ids = self._run_ids(coded.dictionary.to_pylist())
         code = np.asarray(coded.indices)
-        size = np.array([len(x) for x in ids], dtype=np.int64)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         n = size[code]
-        out = np.concatenate(ids)[ragged((np.cumsum(size) - size)[code], n)]
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        out = pool[ragged((np.cumsum(size) - size)[code], n)]
         return out, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, bounds)]
 
     # -------------------------------------------------------------- aligning
 
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
-        """Groups as text, their number, and the links of one window."""
-        ends_a, ends_b = np.cumsum(self.length[0][a]), np.cumsum(self.length[1][b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        text, x, y = [], 0, 0
-        la, lb = a.tolist(), b.tolist()
-        for i, j in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            text.append(",".join(map(str, la[x:i])) + "|" + ",".join(map(str, lb[y:j])))
-            x, y = i, j
-        linked = (a[at_a].astype(np.int64) << 32) | b[at_b].astype(np.int64)
-        return ";".join(text), len(text), np.searchsorted(self.pairs, linked).astype(np.int32)
-
-    def _kept(self, ids: list[np.ndarray], offsets: list[np.ndarray], texts: list[str]) -> np.ndarray:
+    def _kept(self, ids: list[np.ndarray], offsets: list[np.ndarray], spaced: pa.Array) -> np.ndarray:
         """Which texts both tokenizers give back byte for byte."""
-        good = np.ones(len(texts), dtype=bool)
-        for table, flat, off in zip(self.bytes, ids, offsets):
-            each = table[flat].tolist()
-            for i, t in enumerate(texts):
-                good[i] &= b"".join(each[off[i]:off[i + 1]]) == t.encode("utf-8", "surrogatepass")
+        data, bounds = utf8_bytes(spaced)
+        good = np.ones(len(spaced), dtype=bool)
+        for side in (0, 1):
+            n = self.length[side][ids[side]]
+            total = np.concatenate([[0], np.cumsum(n)])[offsets[side]]
+            good &= np.diff(total) == np.diff(bounds)
+        for side in (0, 1):
+            held = np.flatnonzero(good)
+            mine = ids[side][ragged(offsets[side][held], np.diff(offsets[side])[held])]
+            spelt = self.spelling[side][ragged(self.start[side][mine], self.length[side][mine])]
+            size = np.diff(bounds)[held]
+            wrong = np.flatnonzero(spelt != data[ragged(bounds[held], size)])
+            good[held[np.searchsorted(np.cumsum(size), wrong, side="right")]] = False
         return good
 
+    def windows_of(self, a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> list[tuple[bytes, int, bytes]]:
+        """For windows of ids, one after the other: groups as text, each ended
+        by ``;``, their number, and the links. Both sides of a window have the
+        same bytes, so ends compare over all windows at once."""
+        ends = [np.cumsum(self.length[0][a]), np.cumsum(self.length[1][b])]
+        at_b = np.searchsorted(ends[1], ends[0])
+        at_a = np.flatnonzero(ends[1][at_b] == ends[0])
+        at_b = at_b[at_a]                       # the last tokens of each group
+        links = np.searchsorted(self.pairs, (a[at_a].astype(np.int64) << 32) | b[at_b].astype(np.int64)).astype("<i4").tobytes()
+        # the groups' tokens in order, those of A before those of B
+        n_a, n_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+        first = np.cumsum(n_a + n_b) - n_a - n_b
+        place_a, place_b = ragged(first, n_a), ragged(first + n_a, n_b)
+        ids = np.empty(len(a) + len(b), dtype=np.int64)
+        ids[place_a], ids[place_b] = a, b
+        after = np.full(len(ids), ord(","), dtype=np.uint8)
+        after[place_a[at_a]], after[place_b[at_b]] = ord("|"), ord(";")
+        digits = 1 + sum((ids >= 10 ** d).astype(np.int64) for d in range(1, 10))
+        stop = np.cumsum(digits + 1)            # where the next token's text begins
+        text = np.empty(int(stop[-1]) if len(stop) else 0, dtype=np.uint8)
+        text[stop - 1] = after
+        here = np.arange(len(ids))
+        for d in range(1, 11):
+            here = here[digits[here] >= d]
+            text[stop[here] - 1 - d] = 48 + ids[here] // 10 ** (d - 1) % 10
+        text = text.tobytes()
+        # windows end with a group
+        last = np.searchsorted(at_a, np.cumsum(size_a) - 1) + 1
+        cut = [0, *stop[place_b[at_b[last - 1]]].tolist()]
+        last = [0, *last.tolist()]
+        return [(text[cut[i]:cut[i + 1]], last[i + 1] - last[i], links[4 * last[i]:4 * last[i + 1]]) for i in range(len(size_a))]
+
     def align(self, texts: pa.Array) -> Aligned:
         """``texts``: a large_string array without nulls or empty texts."""
         none = np.zeros(len(texts), dtype=np.int64)
@@ -213,21 +251,20 @@ class Aligner:
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
         ids_a, off_a = encode_texts(self.a_path, spaced)
         ids_b, off_b = self.b_ids(spaced)
-        good = self._kept([ids_a, ids_b], [off_a, off_b], spaced.to_pylist())
-        sides = []
-        for ids, off in ((ids_a, off_a), (ids_b, off_b)):
-            n = np.where(good, np.diff(off), 0)
-            sides.append((ids[ragged(off[:-1], n)].astype(np.uint32), n))
-        (a, n_a), (b, n_b) = sides
+        good = self._kept([ids_a, ids_b], [off_a, off_b], spaced)
+        n_a, n_b = (np.where(good, np.diff(off), 0) for off in (off_a, off_b))
+        a, b = ids_a[ragged(off_a[:-1], n_a)], ids_b[ragged(off_b[:-1], n_b)]
         if not len(a):
             return Aligned(n_a, n_b, none, [""] * len(texts), none, np.zeros(0, np.int32))
 
         # both sides have the same bytes, so offsets in the whole slice compare
         begin = [np.cumsum(self.length[s][x]) - self.length[s][x] for s, x in enumerate((a, b))]
-        first = [np.cumsum(n) - n for n in (n_a, n_b)]
         held = np.flatnonzero(n_a)
-        marked = [begin[s][self.spaced[s][x]] for s, x in enumerate((a, b))]
-        anchors = np.union1d(np.intersect1d(*marked, assume_unique=True), begin[0][first[0][held]])
+        first_a = (np.cumsum(n_a) - n_a)[held]
+        spaced_a, spaced_b = (begin[s][self.spaced[s][x]] for s, x in enumerate((a, b)))
+        at = np.minimum(np.searchsorted(spaced_b, spaced_a), max(len(spaced_b) - 1, 0))
+        shared = spaced_a[spaced_b[at] == spaced_a] if len(spaced_b) else spaced_a[:0]
+        anchors = np.union1d(shared, begin[0][first_a])
         cut_a, cut_b = np.searchsorted(begin[0], anchors), np.searchsorted(begin[1], anchors)
         size_a, size_b = np.diff(np.append(cut_a, len(a))), np.diff(np.append(cut_b, len(b)))
 
@@ -240,32 +277,34 @@ class Aligner:
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [
             None, pa.py_buffer(np.append(start, len(keys)) * 4), pa.py_buffer(keys)])
         coded = pc.dictionary_encode(packed)
-        found = []
-        for key in coded.dictionary.to_pylist():
-            got = self.windows.get(key)
-            if got is None:
-                both = np.frombuffer(key, dtype=np.uint32)
-                mid = int(np.flatnonzero(both == SEPARATOR)[0])
-                got = self.window(both[:mid], both[mid + 1:])
-                if len(both) <= KEPT_IDS:
-                    self.windows.put(key, got)
-            found.append(got)
         code = np.asarray(coded.indices)
-        pool = np.concatenate([f[2] for f in found])
-        n_pool = np.array([len(f[2]) for f in found], dtype=np.int64)
-        n_found = np.array([f[1] for f in found], dtype=np.int64)
-        links = pool[ragged((np.cumsum(n_pool) - n_pool)[code], n_pool[code])]
+        named = coded.dictionary.to_pylist()
+        found = [self.windows.get(key) for key in named]
+        missing = np.array([i for i, w in enumerate(found) if w is None], dtype=np.int64)
+        if len(missing):
+            one = np.empty(len(named), dtype=np.int64)
+            one[code] = np.arange(len(code))    # a window that has this key
+            at = one[missing]
+            new = self.windows_of(a[ragged(cut_a[at], size_a[at])], size_a[at], b[ragged(cut_b[at], size_b[at])], size_b[at])
+            for i, window in zip(missing.tolist(), new):
+                found[i] = window
+                if len(named[i]) <= 4 * KEPT_IDS:
+                    self.windows.put(named[i], window)
+        n_found = np.fromiter((w[1] for w in found), dtype=np.int64, count=len(found))
+        pool = np.frombuffer(b"".join([w[2] for w in found]), dtype="<i4")
+        links = pool[ragged((np.cumsum(n_found) - n_found)[code], n_found[code])]
 
         # windows of each text: from its first anchor to the next text's
         at = np.full(len(texts) + 1, len(code))
-        at[held] = np.searchsorted(cut_a, first[0][held])
+        at[held] = np.searchsorted(cut_a, first_a)
         at = np.minimum.accumulate(at[::-1])[::-1]
-        total = [np.concatenate([[0], np.cumsum(x[code])]) for x in (n_found, n_pool)]
-        n_groups, n_links = (t[at[1:]] - t[at[:-1]] for t in total)
-        strings = np.array([f[0] for f in found], dtype=object)[code].tolist()
-        digest = [hashlib.sha256(";".join(strings[x:y]).encode()).hexdigest() if y > x else ""
+        total = np.concatenate([[0], np.cumsum(n_found[code])])
+        n_groups = total[at[1:]] - total[at[:-1]]
+        strings = list(map([w[0] for w in found].__getitem__, code.tolist()))
+        digest = [hashlib.sha256(b"".join(strings[x:y])[:-1]).hexdigest() if y > x else ""
                   for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-        return Aligned(n_a, n_b, n_groups, digest, n_links, links)
+        # ends are shared by one token of each side: a group has one link
+        return Aligned(n_a, n_b, n_groups, digest, n_groups, links)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
