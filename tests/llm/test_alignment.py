@@ -98,22 +98,26 @@ def test_pairs_hold_every_link_and_counts(spark):
     assert all(b == (n == best[p[1]]) for p, (n, b) in got.items())
 
 
-@pytest.mark.parametrize("kept", [0, 4])
-def test_memo_limits_change_nothing(monkeypatch, kept):
-    texts = pa.array(HARD * 3 + ["one two three four five"] * 5, pa.large_string())
-    want = al.Aligner(A, B).align(texts)
-    monkeypatch.setattr(al, "CACHE_ENTRIES", kept)
-    got = al.Aligner(A, B)
-    for _ in range(2):
-        again = got.align(texts)
-        assert again.digest == want.digest and (again.links == want.links).all()
-
-
-def test_vocabulary_without_cuts_takes_whole_texts(monkeypatch):
-    texts = pa.array(HARD, pa.large_string())
-    want = al.Aligner(A, B).align(texts)
-    whole = al.Aligner(A, B)
-    assert whole.cuts
-    whole.cuts = False
-    got = whole.align(texts)
+@pytest.mark.parametrize("long", [1, 7, 50])
+def test_pieces_of_long_texts_change_nothing(monkeypatch, long):
+    rng = random.Random(6)
+    texts = HARD + ["one two  three four five " * 9, " " * 40 + "x" + " " * 30, "▁a ▁ b ▁▁c " * 5, "nospaceatall" * 30]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "▁", "the ", "é"]) for _ in range(80)) for _ in range(200)]
+    texts = pa.array(texts, pa.large_string())
+    held = al.Aligner(A, B)
+    assert held.cuts
+    want = held.align(texts)
+    spaced = pa.array([" " + t for t in texts.to_pylist()], pa.large_string())
+    ids = held.b_ids(spaced)
+    monkeypatch.setattr(al, "LONG", long)
+    again = held.b_ids(spaced)
+    assert all((x == y).all() for x, y in zip(ids, again))
+    got = held.align(texts)
     assert got.digest == want.digest and (got.links == want.links).all()
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    docs = table(spark, SF, "documents").limit(60)
+    want = sorted(map(tuple, al.align(docs, A, B).drop("links").collect()))
+    monkeypatch.setattr(al, "SLICE_BYTES", 500)
+    assert sorted(map(tuple, al.align(docs, A, B).drop("links").collect())) == want

@@ -8,9 +8,10 @@ cut them into groups.
 **Anchors.** Every text is tokenised whole by both. Where tokens of A and B
 that begin with a space start at the same byte, the tokens before them end
 together: such verified ends split a document into windows of ids, mostly a
-word each. How a window aligns depends on its ids alone, so a window's groups
-and links are computed once and kept by its id tuples, in two bounded
-generations per worker.
+word each. How a window aligns depends on its ids alone, so the windows of a
+slice of texts are dictionary-encoded by their id tuples, each distinct one is
+aligned once, and groups and links are dealt out by dictionary index. (A
+dictionary kept over slices as Python objects was slower than aligning anew.)
 
 **Links.** Two linked tokens end together, so the shorter one's bytes end the
 longer one's. The pairs of vocabulary entries with that property are listed
@@ -23,10 +24,10 @@ Jobs: one scan tokenises, aligns and writes per document the digests and its
 links, four bytes each; the links are counted per task and added up; a second
 small job reads the written links beside the counts.
 
-B is asked once for each distinct run of a batch: no piece has a space mark
-after another character, and no piece holds a line end, so runs may be cut
-where a space follows another character and before line ends (checked when
-the vocabulary is loaded; otherwise texts are not cut).
+Texts longer than :data:`LONG` are given to B in pieces, cut where a space
+follows another character: no piece of its vocabulary has a space mark there,
+so merges never cross (checked when the vocabulary is loaded; otherwise texts
+stay whole).
 
 Defined results: null and empty texts, and texts whose bytes one tokenizer
 does not give back (a literal U+2581 in B), have no tokens: zeros and an empty
@@ -38,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 from itertools import chain
 
@@ -53,28 +55,10 @@ from wordloom.llm.words import ragged, strings_at, texts_of, utf8_bytes
 
 MARK = "▁"
 SLICE_BYTES = 1 << 20      # texts are aligned this many bytes at a time, a longer one alone
-CACHE_ENTRIES = 60_000     # per generation, of runs and of windows
-KEPT_IDS = 64              # longer windows and runs of more bytes are not kept
+LONG = 256 << 10           # longer texts are given to B in pieces of about so many bytes
 SEPARATOR = np.uint32(0xFFFFFFFF)
 
 
-class Memo:
-    """A dictionary in two generations: the older is dropped when the newer is full."""
-
-    def __init__(self):
-        self.new: dict = {}
-        self.old: dict = {}
-
-    def get(self, key):
-        got = self.new.get(key)
-        return self.old.get(key) if got is None else got
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= CACHE_ENTRIES:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
-
-
 def byte_level_bytes(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary file. Printable bytes
     stand for themselves, the others for the characters from U+0100 on."""
@@ -119,6 +103,18 @@ def ending_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int64)
 
 
+def pieces(text: str) -> list[str]:
+    """A text cut before spaces that follow another character, each piece but
+    the first without that space, which the library puts back. Pieces have
+    about :data:`LONG` characters, more where no such space comes."""
+    out, at = [], 0
+    for cut in re.finditer(r"(?<=[^ \u2581])[ \u2581](?=[\s\S])", text):
+        if cut.start() - at >= LONG:
+            out.append(text[at:cut.start()])
+            at = cut.end()
+    return [*out, text[at:]]
+
+
 @dataclass
 class Aligned:
     """Texts of a slice: tokens, groups and links of each, its digest, and the
@@ -145,52 +141,23 @@ class Aligner:
         self.spaced = tuple(np.array([e.startswith(b" ") for e in x]) for x in (a_bytes, b_bytes))
         self.pairs = ending_pairs(a_bytes, b_bytes)
         entries = [e for i, e in enumerate(b_bytes) if not self.b.is_byte(i)]
-        self.cuts = not any(b" " in e.lstrip(b" ") or b"\n" in e for e in entries)
-        self.lone = np.array([self.b.piece_to_id(MARK)], dtype="<u4").tobytes()
-        self.runs, self.windows = Memo(), Memo()
+        self.cuts = not any(b" " in e.lstrip(b" ") for e in entries)
 
     # ------------------------------------------------------------ tokenising
 
-    def _run_ids(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs that begin with a space or a line end."""
-        got = [self.runs.get(r) for r in runs]
-        missing = [i for i, ids in enumerate(got) if ids is None]
-        # the library puts a space before what it is given; before a line end it stands alone
-        asked = [runs[i][1:] if runs[i][0] == " " else runs[i] for i in missing]
-        found = self.b.encode(asked, num_threads=1)
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(size.sum())).tobytes()
-        ends = (4 * np.cumsum(size)).tolist()
-        for i, x, y in zip(missing, [0, *ends], ends):
-            run = runs[i]
-            if run == " ":      # of an empty string the library gives nothing
-                got[i] = self.lone
-            else:
-                got[i] = flat[x:y] if run[0] == " " else flat[x + 4:y]
-            if len(run) <= KEPT_IDS:
-                self.runs.put(run, got[i])
-        return got
-
     def b_ids(self, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of B for texts that already have the space."""
-        data, bounds = utf8_bytes(spaced)
-        if not self.cuts:
-            each = self.b.encode([t[1:] for t in spaced.to_pylist()], num_threads=1)
-            return np.fromiter(chain.from_iterable(each), dtype=np.uint32), np.cumsum([0, *map(len, each)])
-        space = data == 0x20
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
-        cut |= data == 0x0A
-        cut[bounds[:-1]] = True
-        starts = np.flatnonzero(cut)
-        coded = pc.dictionary_encode(strings_at(data, starts))
-        ids = self._run_ids(coded.dictionary.to_pylist())
-        code = np.asarray(coded.indices)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        n = size[code]
-        pool = np.frombuffer(b"".join(ids), dtype="<u4")
-        out = pool[ragged((np.cumsum(size) - size)[code], n)]
-        return out, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, bounds)]
+        bounds = utf8_bytes(spaced)[1]
+        parts = np.ones(len(spaced), dtype=np.int64)
+        texts = [t[1:] for t in spaced.to_pylist()]
+        if self.cuts and (np.diff(bounds) > LONG).any():
+            cut = [pieces(t) if n > LONG else [t] for t, n in zip(texts, np.diff(bounds))]
+            parts = np.array([len(c) for c in cut])
+            texts = list(chain.from_iterable(cut))
+        each = self.b.encode(texts, num_threads=1)
+        ends = np.cumsum([0, *map(len, each)])
+        ids = np.fromiter(chain.from_iterable(each), dtype=np.uint32, count=int(ends[-1]))
+        return ids, ends[np.concatenate([[0], np.cumsum(parts)])]
 
     # -------------------------------------------------------------- aligning
 
@@ -211,15 +178,16 @@ class Aligner:
             good[held[np.searchsorted(np.cumsum(size), wrong, side="right")]] = False
         return good
 
-    def windows_of(self, a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> list[tuple[bytes, int, bytes]]:
-        """For windows of ids, one after the other: groups as text, each ended
-        by ``;``, their number, and the links. Both sides of a window have the
+    def windows_of(self, a: np.ndarray, size_a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For windows of ids, one after the other, ``size_a`` ids of A in
+        each: groups as text, each ended by ``;``, the windows' bounds in it,
+        their numbers of groups, and the links. Both sides of a window have the
         same bytes, so ends compare over all windows at once."""
         ends = [np.cumsum(self.length[0][a]), np.cumsum(self.length[1][b])]
         at_b = np.searchsorted(ends[1], ends[0])
         at_a = np.flatnonzero(ends[1][at_b] == ends[0])
         at_b = at_b[at_a]                       # the last tokens of each group
-        links = np.searchsorted(self.pairs, (a[at_a].astype(np.int64) << 32) | b[at_b].astype(np.int64)).astype("<i4").tobytes()
+        links = np.searchsorted(self.pairs, (a[at_a].astype(np.int64) << 32) | b[at_b].astype(np.int64)).astype(np.int32)
         # the groups' tokens in order, those of A before those of B
         n_a, n_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
         first = np.cumsum(n_a + n_b) - n_a - n_b
@@ -236,12 +204,9 @@ class Aligner:
         for d in range(1, 11):
             here = here[digits[here] >= d]
             text[stop[here] - 1 - d] = 48 + ids[here] // 10 ** (d - 1) % 10
-        text = text.tobytes()
         # windows end with a group
-        last = np.searchsorted(at_a, np.cumsum(size_a) - 1) + 1
-        cut = [0, *stop[place_b[at_b[last - 1]]].tolist()]
-        last = [0, *last.tolist()]
-        return [(text[cut[i]:cut[i + 1]], last[i + 1] - last[i], links[4 * last[i]:4 * last[i + 1]]) for i in range(len(size_a))]
+        last = np.searchsorted(at_a, np.cumsum(size_a) - 1)
+        return text, np.concatenate([[0], stop[place_b[at_b[last]]]]), np.diff(last, prepend=-1), links
 
     def align(self, texts: pa.Array) -> Aligned:
         """``texts``: a large_string array without nulls or empty texts."""
@@ -261,11 +226,14 @@ class Aligner:
         begin = [np.cumsum(self.length[s][x]) - self.length[s][x] for s, x in enumerate((a, b))]
         held = np.flatnonzero(n_a)
         first_a = (np.cumsum(n_a) - n_a)[held]
-        spaced_a, spaced_b = (begin[s][self.spaced[s][x]] for s, x in enumerate((a, b)))
-        at = np.minimum(np.searchsorted(spaced_b, spaced_a), max(len(spaced_b) - 1, 0))
-        shared = spaced_a[spaced_b[at] == spaced_a] if len(spaced_b) else spaced_a[:0]
-        anchors = np.union1d(shared, begin[0][first_a])
-        cut_a, cut_b = np.searchsorted(begin[0], anchors), np.searchsorted(begin[1], anchors)
+        # anchors: texts begin, or tokens of both sides begin with a space at one byte
+        mark_a, mark_b = self.spaced[0][a], begin[1][self.spaced[1][b]]
+        marked = np.flatnonzero(mark_a)
+        at = np.minimum(np.searchsorted(mark_b, begin[0][marked]), max(len(mark_b) - 1, 0))
+        mark_a[marked] = mark_b[at] == begin[0][marked] if len(mark_b) else False
+        mark_a[first_a] = True
+        cut_a = np.flatnonzero(mark_a)
+        cut_b = np.searchsorted(begin[1], begin[0][cut_a])
         size_a, size_b = np.diff(np.append(cut_a, len(a))), np.diff(np.append(cut_b, len(b)))
 
         # a window's key: its ids of A, a separator, its ids of B
@@ -278,31 +246,22 @@ class Aligner:
             None, pa.py_buffer(np.append(start, len(keys)) * 4), pa.py_buffer(keys)])
         coded = pc.dictionary_encode(packed)
         code = np.asarray(coded.indices)
-        named = coded.dictionary.to_pylist()
-        found = [self.windows.get(key) for key in named]
-        missing = np.array([i for i, w in enumerate(found) if w is None], dtype=np.int64)
-        if len(missing):
-            one = np.empty(len(named), dtype=np.int64)
-            one[code] = np.arange(len(code))    # a window that has this key
-            at = one[missing]
-            new = self.windows_of(a[ragged(cut_a[at], size_a[at])], size_a[at], b[ragged(cut_b[at], size_b[at])], size_b[at])
-            for i, window in zip(missing.tolist(), new):
-                found[i] = window
-                if len(named[i]) <= 4 * KEPT_IDS:
-                    self.windows.put(named[i], window)
-        n_found = np.fromiter((w[1] for w in found), dtype=np.int64, count=len(found))
-        pool = np.frombuffer(b"".join([w[2] for w in found]), dtype="<i4")
+        one = np.empty(len(coded.dictionary), dtype=np.int64)
+        one[code] = np.arange(len(code))        # a window with each id tuple
+        text, cut, n_found, pool = self.windows_of(a[ragged(cut_a[one], size_a[one])], size_a[one],
+                                                   b[ragged(cut_b[one], size_b[one])])
         links = pool[ragged((np.cumsum(n_found) - n_found)[code], n_found[code])]
 
         # windows of each text: from its first anchor to the next text's
         at = np.full(len(texts) + 1, len(code))
         at[held] = np.searchsorted(cut_a, first_a)
         at = np.minimum.accumulate(at[::-1])[::-1]
-        total = np.concatenate([[0], np.cumsum(n_found[code])])
+        size = np.diff(cut)[code]
+        groups = text[ragged(cut[:-1][code], size)].tobytes()
+        total, ends = (np.concatenate([[0], np.cumsum(x)]) for x in (n_found[code], size))
         n_groups = total[at[1:]] - total[at[:-1]]
-        strings = list(map([w[0] for w in found].__getitem__, code.tolist()))
-        digest = [hashlib.sha256(b"".join(strings[x:y])[:-1]).hexdigest() if y > x else ""
-                  for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        digest = [hashlib.sha256(groups[x:y - 1]).hexdigest() if y > x else ""
+                  for x, y in zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist())]
         # ends are shared by one token of each side: a group has one link
         return Aligned(n_a, n_b, n_groups, digest, n_groups, links)
 
