@@ -32,11 +32,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component stays. Only the ids
-    that go are joined; of rows with one id and component, all stay."""
-    found = simhash.near_duplicates(docs, words=SIMHASH_WORDS, max_bits=SIMHASH_BITS)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each component stays: the one with the least id, null ids
+    last, of equal ids the first. Rows are numbered and written first, so that
+    repeated or null ids are told apart; only the numbers that go are joined."""
+    row = "row_number"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(spark, docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = written(spark, simhash.near_duplicates(numbered, id_col=row, words=SIMHASH_WORDS, max_bits=SIMHASH_BITS)
+                    .select(F.col(row).alias("member"), "component_id"), "components")
+    ids = numbered.select(F.col(row).alias("number"), F.col("doc_id").alias("id"))
+    first = found.join(ids, F.col("member") == F.col("number")).groupBy("component_id").agg(
+        F.min_by("member", F.struct(F.col("id").isNull(), "id", "member")).alias("stays"))
+    gone = found.join(first, "component_id").where(F.col("member") != F.col("stays")).select(F.col("member").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
