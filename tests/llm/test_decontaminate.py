@@ -32,7 +32,7 @@ def test_copies_and_edits_are_found(spark):
     docs = [(1, ITEM), (2, f"{filler(1, 300)} {ITEM.upper()}! {filler(2, 300)}"), (3, f"{filler(3, 40)} {edited} {filler(4, 9)}"),
             (4, f"{filler(5, 40)} {shorter}"), (5, f"{longer} {filler(6, 40)}"), (6, filler(7, 800)),
             (7, "the quick brown fox " + filler(8, 300)), (8, None), (9, "")]
-    got = found(spark, docs, [(70, ITEM), (71, filler(99, 30)), (72, None), (73, "too short")])
+    got = found(spark, docs, [(70, ITEM), (71, filler(99, 30)), (72, None), (73, "too short"), (74, "!!!")])
     assert set(got) == {(i, 70) for i in (1, 2, 3, 4, 5)}
     assert got[1, 70].score == 1.0 and got[2, 70].score == 1.0
     assert (got[2, 70].first_word, got[2, 70].last_word) == (300, 300 + len(w) - 1)
@@ -66,13 +66,60 @@ def test_alignment_against_plain_program():
         assert dc.align(a, b)[0] == h.max()
 
 
-def test_seeds_leave_no_stretch_uncovered():
-    index = dc.make_index([(1, ITEM)])
-    counts = np.random.default_rng(0).integers(0, 99, len(index.grams))
-    dc.choose_seeds(index, counts)
-    places = sorted(p for hits in index.seeds.values() for _, p in hits)
-    n = len(index.places[0])
-    assert all(any(i <= p < i + dc.SEED_SPAN for p in places) for i in range(n - dc.SEED_SPAN + 1))
+EDITS = {
+    "whole": lambda w, f: w,
+    "every 3rd changed": lambda w, f: [f() if i % 3 == 2 else x for i, x in enumerate(w)],
+    "every 4th changed": lambda w, f: [f() if i % 4 == 1 else x for i, x in enumerate(w)],
+    "every 3rd left out": lambda w, f: [x for i, x in enumerate(w) if i % 3 != 1],
+    "one put after every 2nd": lambda w, f: [y for i, x in enumerate(w) for y in ([x, f()] if i % 2 else [x])],
+    "one put after each": lambda w, f: [y for x in w for y in (x, f())],
+    "two put after every 3rd": lambda w, f: [y for i, x in enumerate(w) for y in ([x, f(), f()] if i % 3 == 2 else [x])],
+    "first half": lambda w, f: w[:(len(w) + 1) // 2],
+    "halves apart": lambda w, f: w[:len(w) // 2] + [f() for _ in range(len(w) // 3)] + w[len(w) // 2:],
+}
+
+
+def test_every_edit_that_aligns_is_found(spark):
+    """Against a full alignment of every item with every document: none that
+    reaches the score is missed, whatever the pattern."""
+    rnd = random.Random(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:25]
+    pool = " ".join(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()).split()
+
+    def foreign():
+        return rnd.choice(pool)
+    rows = []
+    for edit in EDITS.values():
+        for item, text in items:
+            words = edit(text.split(), foreign)
+            rows.append(([foreign() for _ in range(60)] + words + [foreign() for _ in range(60)], item))
+    for _ in range(60):
+        item, text = rnd.choice(items)
+        words = [x for w in text.split() for x in rnd.choice([[w], [w], [w], [foreign()], [], [w, foreign()]])]
+        rows.append(([foreign() for _ in range(60)] + words + [foreign() for _ in range(60)], item))
+    docs = frame(spark, [(i, " ".join(w)) for i, (w, _) in enumerate(rows)])
+    got = {(r.doc_id, r.item_id): r.score for r in dc.contaminated(docs, frame(spark, items, "item_id bigint, text string")).collect()}
+    index = dc.make_index(items)
+    n = 0
+    for i, (words, planted) in enumerate(rows):
+        ids, _ = dc.word_ids(dc.texts_of(dc.pa.array([" ".join(words)])), index.known)
+        for item, word in zip(index.item_ids, index.words):
+            if item != planted and i % 10:
+                continue
+            score = dc.align(word, ids)[0] / (dc.MATCH * len(word))
+            assert ((i, item) in got) == (score >= 0.5), (i, item, score)
+            if score >= 0.5:
+                assert got[i, item] == score
+                n += 1
+    assert n > 200
+
+
+def test_short_items_need_a_run(spark):
+    items = [(1, "of the"), (2, "word"), (3, "the cat of the house"), (4, ITEM)]
+    docs = [(1, "the end of time"), (2, "most of the time"), (3, "a word"), (4, "wordy"), (5, "the big cat of the big house"),
+            (6, "the dog of a house"), (7, "house of the cat the")]
+    got = {(d, i) for d, i in found(spark, docs, items)}
+    assert got == {(2, 1), (3, 2), (5, 3), (5, 1), (7, 1)}
 
 
 def test_table_against_whole_copies(spark):

@@ -1,17 +1,25 @@
-"""Benchmark decontamination: rare word n-grams of the test items seed
-candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-grams of the test items seed candidates,
+Smith-Waterman alignment scores them.
 
 Texts are lower-cased and read as words (letters, digits, underscore). One
-pass over the corpus counts how often each n-gram of the items occurs in it.
-Seeds are then chosen per item: of every :data:`SEED_SPAN` n-grams in a row,
-the one rarest in the corpus. So every stretch of ``SEED_WORDS + SEED_SPAN -
-1`` unchanged words of an item holds a seed, also where thousands of documents
-repeat the item and none of its n-grams is rare outright; nothing is capped.
-
-A second pass joins documents to items on the seeds and aligns each item with
-the stretch of the document around its hits (match 2, mismatch -1, gap -1).
+pass over the corpus counts how often each word of the items occurs in it.
+
+**Seeds.** Longer n-grams are lost on an edited copy: with every second word
+foreign no two words in a row survive. The n-grams are therefore single words,
+and rarity comes from taking several: an item of ``L`` words is seeded with its
+``T`` words that are rarest in the corpus, :data:`SEED_SHARE` of all. An
+alignment that reaches the score ``s`` matches at least ``s L`` words, so at
+least ``T - L + s L`` of the seeds, and they lie within ``(3 - 2 s) L`` words
+of the document, for each foreign word costs as a gap. A document stretch with
+so many seeds is a candidate; no alignment that reaches the score is missed,
+whatever was edited and however often the item is copied. Nothing is capped.
+
+**Scores.** A second pass joins documents to items on the seeds and aligns each
+item with the stretch around the candidates (match 2, mismatch -1, gap -1).
 The score is the alignment's share of the item's own best, so 1 is a whole
-copy and edits, insertions and deletions lower it gradually.
+copy and edits, insertions and deletions lower it gradually. A few common words
+may be half of a short item: those of fewer than :data:`SHORT_ITEM` words also
+need :data:`RUN_WORDS` words in a row unchanged, the whole item if it is shorter.
 
 Items are the query set: they are taken in blocks of at most
 :data:`BLOCK_CHARS` characters, each broadcast to the workers. A document is
@@ -22,6 +30,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +41,9 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import in_arrow, map_batches
 from wordloom.llm.words import ragged, split_words, texts_of
 
-SEED_WORDS = 3
-SEED_SPAN = 4
+SEED_SHARE = 0.75
+SHORT_ITEM = 12
+RUN_WORDS = 3
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 4_000_000
@@ -59,60 +69,72 @@ def item_words(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """A block of items: word ids, their n-grams, and the chosen seeds."""
+    """A block of items: their word ids, and once they are chosen the seeds.
+    The seeds of word ``w`` are ``seed_item[seed_at[w]:seed_at[w + 1]]``, the
+    items they belong to; ``need`` and ``reach`` are how many of an item's
+    seeds a candidate holds and within how many words."""
     item_ids: list
     words: list[np.ndarray]
     known: dict[str, int]
-    grams: np.ndarray                       # sorted distinct n-gram keys
-    places: list[np.ndarray]                # n-gram number at each place of an item
-    seeds: dict[int, list[tuple[int, int]]]     # n-gram number -> (item, place)
-
-    def gram_hits(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``ids`` where an n-gram of the block begins, and its number."""
-        n = len(ids) - SEED_WORDS + 1
-        if n <= 0 or not len(self.grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ok = ids >= 0
-        at = np.flatnonzero(np.logical_and.reduce([ok[k:n + k] for k in range(SEED_WORDS)]))
-        row = np.searchsorted(offsets, at, side="right")
-        at = at[at + SEED_WORDS <= offsets[row]]
-        key = _keys([ids[at + k] for k in range(SEED_WORDS)], len(self.known))
-        where = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
-        hit = self.grams[where] == key
-        return at[hit], where[hit]
-
-
-def _keys(parts: list[np.ndarray], base: int) -> np.ndarray:
-    key = np.zeros(len(parts[0]), dtype=np.int64)
-    for p in parts:
-        key = key * (base + 1) + p
-    return key
+    seed_at: np.ndarray | None = None
+    seed_item: np.ndarray | None = None
+    need: np.ndarray | None = None
+    reach: np.ndarray | None = None
+
+    def candidates(self, ids: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``(row, item, first, last)``: stretches of words, as places in
+        ``ids``, that hold the needed seeds of an item; neighbours joined."""
+        at = np.flatnonzero(ids >= 0)
+        n = np.diff(self.seed_at)[ids[at]]
+        at, n = at[n > 0], n[n > 0]
+        item = self.seed_item[ragged(self.seed_at[ids[at]], n)]
+        at = np.repeat(at, n)
+        row = np.searchsorted(offsets, at, side="right") - 1
+        pair = row * len(self.words) + item
+        order = np.argsort(pair, kind="stable")
+        pair, at, item, row = pair[order], at[order], item[order], row[order]
+        last = np.arange(len(at)) + self.need[item] - 1
+        inside = np.flatnonzero(last < len(at))
+        far = last[inside]
+        inside = inside[(pair[far] == pair[inside]) & (at[far] - at[inside] < self.reach[item[inside]])]
+        if not len(inside):
+            return []
+        lo, hi = at[inside], at[last[inside]]
+        # stretches of one pair come by their beginnings
+        new = np.flatnonzero(np.r_[True, (pair[inside][1:] != pair[inside][:-1]) | (lo[1:] - hi[:-1] > self.reach[item[inside][1:]])])
+        return list(zip(row[inside][new].tolist(), item[inside][new].tolist(), lo[new].tolist(),
+                        np.maximum.reduceat(hi, new).tolist()))
 
 
 def make_index(rows: list[tuple]) -> Index:
-    """``rows``: (item id, text). Items without text or with fewer than
-    ``SEED_WORDS`` words have no n-gram and match nothing."""
+    """``rows``: (item id, text). Items without a word match nothing."""
     known: dict[str, int] = {}
     ids, words = [], []
     for item, text in rows:
         ws = item_words(text) if text else []
-        if len(ws) >= SEED_WORDS:
+        if ws:
             ids.append(item)
             words.append(np.array([known.setdefault(w, len(known)) for w in ws], dtype=np.int64))
-    keys = [_keys([w[k:len(w) - SEED_WORDS + 1 + k] for k in range(SEED_WORDS)], len(known)) for w in words]
-    grams = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return Index(ids, words, known, grams, [np.searchsorted(grams, k) for k in keys], {})
-
-
-def choose_seeds(index: Index, counts: np.ndarray) -> None:
-    """Marks, in every ``SEED_SPAN`` n-grams in a row, the rarest (the first of equals)."""
-    for item, place in enumerate(index.places):
-        chosen = set()
-        rarity = counts[place]
-        for i in range(max(1, len(place) - SEED_SPAN + 1)):
-            chosen.add(i + int(rarity[i:i + SEED_SPAN].argmin()))
-        for p in sorted(chosen):
-            index.seeds.setdefault(int(place[p]), []).append((item, p))
+    return Index(ids, words, known)
+
+
+def choose_seeds(index: Index, counts: np.ndarray, min_score: float = MIN_SCORE) -> None:
+    """Marks the rarest words of each item, the first of equals, and how many
+    of them an alignment of the least score must match."""
+    word, item, need, reach = [], [], [], []
+    for i, w in enumerate(index.words):
+        n = len(w)
+        taken = max(1, ceil(SEED_SHARE * n))
+        rare = np.argsort(counts[w], kind="stable")[:taken]
+        word.append(w[rare])
+        item.append(np.full(taken, i))
+        need.append(max(1, taken - n + ceil(min_score * n - 1e-9)))
+        reach.append(ceil(n * (3 - 2 * min_score) - 1e-9) + 1)
+    word, item = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (word, item))
+    order = np.argsort(word, kind="stable")
+    index.seed_item = item[order]
+    index.seed_at = np.searchsorted(word[order], np.arange(len(index.known) + 1))
+    index.need, index.reach = np.array(need, dtype=np.int64), np.array(reach, dtype=np.int64)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -132,39 +154,29 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best, at[0], at[1]
 
 
+def _run_kept(item: np.ndarray, stretch: np.ndarray) -> bool:
+    """Whether a run of the item's words stands unchanged in a stretch."""
+    n = min(RUN_WORDS, len(item))
+    runs = {tuple(item[k:k + n].tolist()) for k in range(len(item) - n + 1)}
+    words = stretch.tolist()
+    return any(tuple(words[k:k + n]) in runs for k in range(len(words) - n + 1))
+
+
 def matches(index: Index, ids: np.ndarray, offsets: np.ndarray, min_score: float) -> list[tuple]:
     """(row, item number, score, first word, last word) of each document and
     item that align at ``min_score`` or better; the best place of each pair."""
-    at, gram = index.gram_hits(ids, offsets)
-    row = np.searchsorted(offsets, at, side="right") - 1
-    found: dict[tuple[int, int], list[int]] = {}
-    for p, g, r in zip(at.tolist(), gram.tolist(), row.tolist()):
-        for item, place in index.seeds.get(g, ()):
-            found.setdefault((r, item), []).append(p - int(offsets[r]) - place)
-    out = []
-    for (r, item), diagonals in found.items():
-        word = index.words[item]
-        doc = ids[offsets[r]:offsets[r + 1]]
-        slack = len(word) // 2 + 2
-        best = (0, 0, 0)
-        diagonals.sort()
-        while diagonals:
-            first = last = diagonals[0]
-            n = 0
-            while n < len(diagonals) and diagonals[n] <= last + slack:
-                last = diagonals[n]
-                n += 1
-                if last - first > 4 * len(word):
-                    break
-            diagonals = diagonals[n:]
-            lo, hi = max(0, first - slack), min(len(doc), last + len(word) + slack)
-            score, i, j = align(word, doc[lo:hi])
-            if score > best[0] and score >= min_score * MATCH * len(word):
-                back = align(word[:i + 1][::-1], doc[lo:lo + j + 1][::-1])
-                best = (score, lo + j - back[2], lo + j)
-        if best[0]:
-            out.append((r, item, best[0] / (MATCH * len(word)), best[1], best[2]))
-    return out
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for r, item, first, last in index.candidates(ids, offsets):
+        word, begin, reach = index.words[item], int(offsets[r]), int(index.reach[item])
+        lo, hi = max(begin, first - reach), min(int(offsets[r + 1]), last + reach + 1)
+        score, i, j = align(word, ids[lo:hi])
+        if score < min_score * MATCH * len(word) or score <= best.get((r, item), (0,))[0]:
+            continue
+        back = align(word[:i + 1][::-1], ids[lo:lo + j + 1][::-1])
+        start = lo + j - back[2]
+        if len(word) >= SHORT_ITEM or _run_kept(word, ids[start:lo + j + 1]):
+            best[r, item] = (score, start - begin, lo + j - begin)
+    return [(r, item, score / (MATCH * len(index.words[item])), x, y) for (r, item), (score, x, y) in best.items()]
 
 
 def blocks(items: DataFrame, item_id: str, item_text: str) -> list[list[tuple]]:
@@ -177,23 +189,25 @@ def blocks(items: DataFrame, item_id: str, item_text: str) -> list[list[tuple]]:
         yield sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (str(x[0]), x[1]))
 
 
-def seeded(docs: DataFrame, text_col: str, rows: list[tuple]) -> Index:
+def seeded(docs: DataFrame, text_col: str, rows: list[tuple], min_score: float) -> Index:
     """The index of a block, its seeds chosen by counts over all of ``docs``."""
     index = make_index(rows)
-    bc = docs.sparkSession.sparkContext.broadcast(index)
-
-    def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, offsets = word_ids(texts_of(b.column(0)), bc.value.known)
-        gram, n = np.unique(bc.value.gram_hits(ids, offsets)[1], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["gram", "n"])
-
-    counts = np.zeros(max(1, len(index.grams)), dtype=np.int64)
-    per_gram = map_batches(docs.select(text_col), count, "gram bigint, n bigint") \
-        .groupBy("gram").agg(F.sum("n").alias("n"))
-    for r in per_gram.collect():       # a row per n-gram of the block at most
-        counts[r["gram"]] = r["n"]
+    bc = docs.sparkSession.sparkContext.broadcast(index.known)
+
+    def count(batches):
+        total = np.zeros(len(bc.value), dtype=np.int64)
+        for b in batches:
+            ids, _ = word_ids(texts_of(b.column(0)), bc.value)
+            total += np.bincount(ids[ids >= 0], minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["word", "n"])
+
+    counts = np.zeros(len(index.known), dtype=np.int64)
+    per_word = in_arrow(docs.select(text_col), count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    for r in per_word.collect():       # a row per word of the block at most
+        counts[r["word"]] = r["n"]
     bc.unpersist()
-    choose_seeds(index, counts)
+    choose_seeds(index, counts, min_score)
     return index
 
 
@@ -210,7 +224,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item_kind = items.schema[item_id].dataType.simpleString()
     out = None
     for rows in blocks(items, item_id, item_text):
-        bc = spark.sparkContext.broadcast(seeded(docs, text_col, rows))
+        bc = spark.sparkContext.broadcast(seeded(docs, text_col, rows, min_score))
 
         def run(b: pa.RecordBatch, bc=bc) -> pa.RecordBatch:
             ids, offsets = word_ids(texts_of(b.column(1)), bc.value.known)
@@ -234,7 +248,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text",
     spark, schema = docs.sparkSession, docs.schema
     place = docs.columns.index(text_col)
     for rows in blocks(items, item_id, item_text):
-        bc = spark.sparkContext.broadcast(seeded(docs, text_col, rows))
+        bc = spark.sparkContext.broadcast(seeded(docs, text_col, rows, min_score))
 
         def run(batches, bc=bc):
             for b in batches:
