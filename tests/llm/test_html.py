@@ -61,6 +61,30 @@ def test_hostile_markup_takes_linear_time():
         assert time.time() - t < 20, piece
 
 
+def test_deep_and_unmatched_markup_takes_linear_time():
+    """Twice the page takes about twice the time."""
+    def seconds(make, n):
+        page = "<article>" + make(n)
+        t = time.process_time()
+        main(page)
+        return time.process_time() - t
+    shapes = [lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<x-y>" * n + "</zz>" * n, lambda n: "<div>" * n + "</b>" * n,
+              lambda n: "<i>" * n + "<li>x" * n, lambda n: "<table><tr><td>" * n + "</p>" * n, lambda n: "<a>" * n + "</a>" * n]
+    for make in shapes:
+        main(make(2000))
+        short, long = (min(seconds(make, n) for _ in range(3)) for n in (8000, 16000))
+        assert long < 3.2 * short + 0.2
+        assert long < 10
+
+
+def test_names_inside_articles():
+    text = "<article><p>" + "word " * 40 + "</p>{}<p>Last.</p></article>"
+    for name in ("share-price", "ad-hoc", "header_note", "social-science", "notice-of-motion", "menu-du-jour"):
+        assert "inner" in main(text.format(f"<p class='x {name}'>inner</p>")), name
+    for name in ("share", "share-buttons", "ad-300x250", "reader-comments", "comment-list", "cookie-notice", "inner-ad", "related_links"):
+        assert "inner" not in main(text.format(f"<div id='{name}'><p>inner</p></div>")), name
+
+
 def test_table_against_structure(spark):
     html = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = op5_html_text(spark, SF).collect()

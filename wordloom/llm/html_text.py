@@ -13,7 +13,12 @@ so a region never spans them.
 Regions are kept whose peak is at least :data:`PEAK_SHARE` of the highest
 window of the page. Article elements (``article``, ``main`` or their roles) are
 a hint only: the regions of one are kept or left together, by the highest of
-their peaks, and its lines count however much of them is linked.
+their peaks, and its lines count however much of them is linked. Outside
+marked elements a short closing paragraph that a dropped element cuts off from
+the text is a region of its own and goes with the other short ones.
+
+Open elements are found by tag, not by walking the stack: time grows with the
+page, however deeply it nests.
 """
 
 from __future__ import annotations
@@ -64,10 +69,24 @@ def is_inline(tag: str) -> bool:
     return tag in INLINE or "-" in tag
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    text = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    whole = text.split()
-    return set(whole) | {part for name in whole for part in re.split(r"[-_]", name)}
+#: words that say where or how a block stands, not what it holds
+LAYOUT_NAMES = {"area", "article", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form",
+                "group", "inline", "inner", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "reader",
+                "right", "section", "side", "site", "slot", "story", "text", "thread", "top", "unit", "user", "wrap", "wrapper"}
+
+
+def _names_dropped(attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether a class or the id names something that is no article text.
+    Outside articles one part of a compound name is enough; inside, all its
+    parts must be such names or layout words: ``share-buttons`` goes,
+    ``share-price`` stays."""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        named = name in DROPPED_NAMES or any(x in DROPPED_NAMES for x in parts)
+        if named and (not in_article or name in DROPPED_NAMES or all(
+                x in DROPPED_NAMES or x in LAYOUT_NAMES or any(c.isdigit() for c in x) for x in parts)):
+            return True
+    return False
 
 
 def is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
@@ -75,12 +94,9 @@ def is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     stays, for it holds the headline."""
     if tag in DROPPED and not (tag == "header" and in_article):
         return True
-    if tag in ("html", "body", "article", "main") or re.fullmatch("h[1-6]", tag):
-        names = set()
-    else:
-        names = _names(attributes) & DROPPED_NAMES
+    whole = tag in ("html", "body", "article", "main") or re.fullmatch("h[1-6]", tag)
     style = attributes.get("style", "").replace(" ", "").lower()
-    return bool(names) or attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes \
+    return (not whole and _names_dropped(attributes, in_article)) or attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes \
         or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
@@ -97,6 +113,8 @@ def lines_of(html: str) -> list[Line]:
     lines: list[Line] = []
     # (tag, is dropped, is article) of the open elements
     stack: list[tuple[str, bool, bool]] = []
+    # where in the stack the open elements of a tag stand: looked up, never searched
+    places: dict[str, list[int]] = {}
     state = {"dropped": 0, "article": 0, "links": 0, "number": 0}
 
     def number() -> int:
@@ -114,6 +132,7 @@ def lines_of(html: str) -> list[Line]:
         """Closes the innermost ``n`` elements."""
         for _ in range(n):
             tag, dropped, article = stack.pop()
+            places[tag].pop()
             state["links"] -= tag == "a"
             state["dropped"] -= dropped
             state["article"] -= article
@@ -122,6 +141,15 @@ def lines_of(html: str) -> list[Line]:
             elif not is_inline(tag):
                 start_line()
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close_within(tags, scopes):
+        """Closes the innermost of some elements, unless a scope began after it."""
+        depth = innermost(tags)
+        if depth >= 0 and depth > innermost(scopes):
+            close(len(stack) - depth)
+
     def text(raw: str):
         if raw and state["dropped"] == 0:
             lines[-1].parts.append(raw)
@@ -141,27 +169,12 @@ def lines_of(html: str) -> list[Line]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(len(stack) - depth)
-                    break
-                if stack[depth][0] in SCOPES and tag in INLINE | {"p", "li"} and tag not in SCOPES:
-                    break
+            close_within((tag,), SCOPES if tag in INLINE or tag in ("p", "li") else ())
             continue
         if tag in ENDS_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    close(len(stack) - depth)
-                    break
-                if stack[depth][0] in SCOPES:
-                    break
-        ends = SELF_CLOSING.get(tag, set())
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in ends:
-                close(len(stack) - depth)
-                break
-            if stack[depth][0] in SCOPES - ends:
-                break
+            close_within(("p",), SCOPES)
+        if tag in SELF_CLOSING:
+            close_within(SELF_CLOSING[tag], SCOPES - SELF_CLOSING[tag])
         if tag in VOID:
             if tag == "br":
                 text(" ")
@@ -183,6 +196,7 @@ def lines_of(html: str) -> list[Line]:
         article = not dropped and (tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
                                    or attributes.get("itemprop", "") == "articleBody")
         state["number"] += article and state["article"] == 0
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, dropped, article))
         state["links"] += tag == "a"
         state["dropped"] += dropped
