@@ -28,6 +28,18 @@ def test_pipeline_against_brute_force(spark):
     assert 0.4 * len(rows) < len(kept) < len(rows)
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = "one two three four five six seven", "quite another text that nobody has seen"
+    rows = [(0, b, 1), (1, a, 2), (1, b, 3), (0, b, 4), (0, b, 5), (None, b, 6), (None, "nobody knows this third one at all", 7),
+            (None, "nobody knows this third one at all", 8), (5, a, 9)]
+    for clash in ("gone", "row_number", "member"):
+        docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {clash} int").repartition(3)
+        out = cp.near_duplicates(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect()))
+        assert got == [(False, 0, b), (False, 1, a), (True, 0, "nobody knows this third one at all")]
+
+
 def test_stages_in_order():
     assert [f for _, f in cp.STAGES] == [cp.quality, cp.language, cp.near_duplicates, cp.decontamination, cp.pack]
 

@@ -8,6 +8,7 @@ import pytest
 from edge import TEXTS, empty_documents, hard_documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
 from wordloom.llm import bpe, packing, token_counts, token_files
@@ -79,6 +80,16 @@ def test_counts_of_hard_rows(spark, unigram):
     assert token_counts.count_tokens(empty_documents(spark), PIECE).count() == 0
 
 
+def test_marks_in_texts_are_spaces_to_the_pieces(unigram):
+    """U+2581 in a text joins the marks around it, as in the library."""
+    c = token_counts.Counter(token_counts.load_vocabulary(PIECE))
+    assert c.by_stretch
+    rnd = random.Random(9)
+    texts = ["▁▁ ▁", "x▁ ▁ y", "a▁   b", "▁", " ▁ ", "a▁b"]
+    texts += ["".join(rnd.choice("ab  ▁▁\n1é") for _ in range(rnd.randint(1, 25))) for _ in range(3000)]
+    assert c.texts(pa.array(texts, pa.large_string())).tolist() == [len(unigram.encode(t).ids) for t in texts]
+
+
 def brute_count(v, text):
     """Every segmentation's score by a plain program over (score, pieces)."""
     n = len(text)
@@ -173,6 +184,17 @@ def test_packing_of_the_table(spark):
     assert 1 - pdf.length.sum() / 2048 / pdf.sequence_id.nunique() < 0.03
 
 
+def test_equal_rows_spread_over_packers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_PER_PACKER", 50)
+    docs = spark.createDataFrame([(None, "one and the same text")] * 900, "doc_id bigint, text string").repartition(3)
+    cut = packing.pieces(docs, BYTE, 1, 2048, "doc_id", "text")
+    assert cut.select("salt").distinct().count() == 900
+    rows = packing.pack(docs, BYTE, 1).collect()
+    assert len(rows) == 900
+    deal = cut.groupBy((F.pmod(F.xxhash64("doc", "start", "ids_crc32", "salt"), F.lit(18))).alias("g")).count().collect()
+    assert len(deal) == 18 and max(r["count"] for r in deal) < 100
+
+
 def test_packing_hard_rows_and_many_packers(spark, monkeypatch):
     monkeypatch.setattr(packing, "ITEMS_PER_PACKER", 4)
     docs = hard_documents(spark)

@@ -103,16 +103,17 @@ def close_windows(sizes: np.ndarray, window: np.ndarray, offset: np.ndarray, ope
     return np.unique(window, return_inverse=True)[1].reshape(-1), offset
 
 
-PIECES = "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, grp bigint, seq bigint"
+PIECES = "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, grp bigint, seq bigint, salt bigint"
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int,
            id_col: str, text_col: str) -> DataFrame:
     """Documents cut into whole windows and a remainder, with a checksum of
     each piece. Whole windows are numbered within their partition (``grp`` is
-    -1 - partition, ``seq`` the number); remainders have null ``seq``."""
+    -1 - partition, ``seq`` the number); remainders have null ``seq``. ``salt``
+    tells equal pieces apart: it is written with them, by partition and row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, full = -1 - TaskContext.get().partitionId(), 0
+        group, full, rows = -1 - TaskContext.get().partitionId(), 0, 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -129,10 +130,13 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int,
             whole = length == capacity
             seq = full + np.cumsum(whole) - 1
             full += int(whole.sum())
+            salt = (-1 - group << 40) + rows + np.arange(len(doc))
+            rows += len(doc)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
-                 pa.array(size[doc]), pa.array(np.full(len(doc), group)), pa.array(seq, mask=~whole)],
-                ["doc", "start", "length", "ids_crc32", "doc_tokens", "grp", "seq"])
+                 pa.array(size[doc]), pa.array(np.full(len(doc), group)), pa.array(seq, mask=~whole),
+                 pa.array(salt)],
+                ["doc", "start", "length", "ids_crc32", "doc_tokens", "grp", "seq", "salt"])
     return in_arrow(docs.select(F.col(id_col).cast("bigint"), text_col), run, PIECES)
 
 
@@ -150,13 +154,14 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = CAPA
     n_packers = max(1, -(-rest.count() // ITEMS_PER_PACKER))
 
     def packer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["order", "salt"], kind="stable").reset_index(drop=True)
         sizes = pdf["length"].to_numpy()
         window, offset, left = sum_of_squares(sizes, capacity)
         window, offset = close_windows(sizes, window, offset, left, capacity)
         return pdf.assign(seq=window, offset=offset).drop(columns=["order"])
 
-    order = F.xxhash64("doc", "start", "ids_crc32")
+    # by the salt too, or a row that repeats would fill one packer
+    order = F.xxhash64("doc", "start", "ids_crc32", "salt")
     dealt = rest.withColumn("order", order) \
         .withColumn("grp", F.pmod(F.col("order"), F.lit(n_packers)).cast("bigint"))
     packed = dealt.groupBy("grp").applyInPandas(packer, f"{PIECES}, offset bigint")

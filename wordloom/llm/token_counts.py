@@ -13,7 +13,8 @@ vocabulary has all 256 byte pieces, else a stretch of them is one piece.
 
 Spaces are written as U+2581, one is put before a text, and an empty text has
 no tokens. Where no piece holds that mark after another character, every best
-segmentation breaks before each group of spaces; where also all scores are
+segmentation breaks before each group of spaces (a mark in the text itself is
+one, and is read as a space); where also all scores are
 whole numbers, sums carry no rounding and the break changes no tie. Then each
 distinct stretch of a batch is counted once. Otherwise whole texts are run.
 """
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from wordloom.llm.common import map_batches
@@ -116,7 +118,8 @@ class Counter:
         if not self.by_stretch:
             return np.array([self.count((" " + t).replace(" ", MARK)) if t else 0
                              for t in texts.to_pylist()], dtype=np.int64)
-        data, bounds = utf8_bytes(texts)
+        # a mark in the text is a space to every piece, so cuts must treat it as one
+        data, bounds = utf8_bytes(pc.replace_substring(texts, MARK, " "))
         if not len(data):
             return np.zeros(len(texts), dtype=np.int64)
         space = data == 0x20
