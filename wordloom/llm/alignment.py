@@ -24,10 +24,10 @@ Jobs: one scan tokenises, aligns and writes per document the digests and its
 links, four bytes each; the links are counted per task and added up; a second
 small job reads the written links beside the counts.
 
-Texts longer than :data:`LONG` are given to B in pieces, cut where a space
-follows another character: no piece of its vocabulary has a space mark there,
-so merges never cross (checked when the vocabulary is loaded; otherwise texts
-stay whole).
+B is asked once for each distinct run of a slice: no piece of its vocabulary
+has a space mark after another character or holds a line end, so merges never
+cross the places where a space follows another character or a line ends
+(checked when the vocabulary is loaded; otherwise it gets whole texts).
 
 Defined results: null and empty texts, and texts whose bytes one tokenizer
 does not give back (a literal U+2581 in B), have no tokens: zeros and an empty
@@ -39,7 +39,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from dataclasses import dataclass
 from itertools import chain
 
@@ -55,7 +54,6 @@ from wordloom.llm.words import ragged, strings_at, texts_of, utf8_bytes
 
 MARK = "▁"
 SLICE_BYTES = 1 << 20      # texts are aligned this many bytes at a time, a longer one alone
-LONG = 256 << 10           # longer texts are given to B in pieces of about so many bytes
 SEPARATOR = np.uint32(0xFFFFFFFF)
 
 
@@ -103,18 +101,6 @@ def ending_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(found), dtype=np.int64)
 
 
-def pieces(text: str) -> list[str]:
-    """A text cut before spaces that follow another character, each piece but
-    the first without that space, which the library puts back. Pieces have
-    about :data:`LONG` characters, more where no such space comes."""
-    out, at = [], 0
-    for cut in re.finditer(r"(?<=[^ \u2581])[ \u2581](?=[\s\S])", text):
-        if cut.start() - at >= LONG:
-            out.append(text[at:cut.start()])
-            at = cut.end()
-    return [*out, text[at:]]
-
-
 @dataclass
 class Aligned:
     """Texts of a slice: tokens, groups and links of each, its digest, and the
@@ -141,23 +127,37 @@ class Aligner:
         self.spaced = tuple(np.array([e.startswith(b" ") for e in x]) for x in (a_bytes, b_bytes))
         self.pairs = ending_pairs(a_bytes, b_bytes)
         entries = [e for i, e in enumerate(b_bytes) if not self.b.is_byte(i)]
-        self.cuts = not any(b" " in e.lstrip(b" ") for e in entries)
+        self.cuts = not any(b" " in e.lstrip(b" ") or b"\n" in e for e in entries)
+        self.lone = self.b.piece_to_id(MARK)
 
     # ------------------------------------------------------------ tokenising
 
     def b_ids(self, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of B for texts that already have the space."""
-        bounds = utf8_bytes(spaced)[1]
-        parts = np.ones(len(spaced), dtype=np.int64)
-        texts = [t[1:] for t in spaced.to_pylist()]
-        if self.cuts and (np.diff(bounds) > LONG).any():
-            cut = [pieces(t) if n > LONG else [t] for t, n in zip(texts, np.diff(bounds))]
-            parts = np.array([len(c) for c in cut])
-            texts = list(chain.from_iterable(cut))
-        each = self.b.encode(texts, num_threads=1)
-        ends = np.cumsum([0, *map(len, each)])
-        ids = np.fromiter(chain.from_iterable(each), dtype=np.uint32, count=int(ends[-1]))
-        return ids, ends[np.concatenate([[0], np.cumsum(parts)])]
+        data, bounds = utf8_bytes(spaced)
+        if not self.cuts:
+            each = self.b.encode([t[1:] for t in spaced.to_pylist()], num_threads=1)
+            return np.fromiter(chain.from_iterable(each), dtype=np.uint32), np.cumsum([0, *map(len, each)])
+        space = data == 0x20
+        cut = space.copy()
+        cut[1:] &= ~space[:-1]
+        cut |= data == 0x0A
+        cut[bounds[:-1]] = True
+        starts = np.flatnonzero(cut)
+        coded = pc.dictionary_encode(strings_at(data, starts))
+        runs, code = coded.dictionary, np.asarray(coded.indices)
+        # the library puts a space before what it is given: for the run's own, or alone before a line end
+        own = pc.starts_with(runs, " ")
+        found = self.b.encode(pc.if_else(own, pc.utf8_slice_codeunits(runs, 1), runs).to_pylist(), num_threads=1)
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        pool = np.fromiter(chain(chain.from_iterable(found), [self.lone]), dtype=np.uint32, count=int(size.sum()) + 1)
+        first = np.cumsum(size) - size
+        extra = ~np.asarray(own.to_numpy(zero_copy_only=False))
+        first, size = first + extra, size - extra
+        empty = size == 0           # a run that is one space
+        first[empty], size[empty] = len(pool) - 1, 1
+        n = size[code]
+        return pool[ragged(first[code], n)], np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, bounds)]
 
     # -------------------------------------------------------------- aligning
 
