@@ -27,6 +27,8 @@ from wordloom.functions.arrays import value_counts
 from wordloom.functions.text import tokenize
 from wordloom.sources.corpus import check_unique_ids, unique_ids
 
+BLOCK_DOCS = 128    # documents in a block of the inverted index
+
 
 def tokenized(corpus: DataFrame, preset: str = "A") -> DataFrame:
     """``(doc_id, words)``; narrow."""
@@ -111,6 +113,35 @@ def postings(corpus: DataFrame, preset: str = "A") -> DataFrame:
             .select("term", "doc_id", F.col("pos").cast("bigint").alias("pos")))
 
 
+def posting_blocks(corpus: DataFrame, docs_per_block: int = BLOCK_DOCS, preset: str = "A") -> DataFrame:
+    """Inverted index as lists: ``(term, block, first_doc, gaps, positions)``.
+
+    A block is a range of ``docs_per_block`` document ids (bigint), so a list
+    has at most that many entries however common the term is, and a stop word's
+    lists are built by as many tasks as it has blocks. ``gaps`` are the
+    differences between neighbouring ids, the first 0, ``positions`` the
+    term's slots as in :func:`postings`. The lists of a term in order of their
+    blocks are its whole posting list.
+    """
+    block = F.floor(F.col("doc_id") / F.lit(docs_per_block)).cast("bigint")
+    rows = postings(corpus, preset).withColumn("block", block)
+    lists = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "pos"))).alias("p"))
+    ids = F.col("p.doc_id")
+    before = F.concat(F.slice(ids, 1, 1), F.slice(ids, 1, F.size("p") - 1))
+    return lists.select("term", "block", ids[0].alias("first_doc"), F.zip_with(ids, before, lambda x, y: x - y).alias("gaps"),
+                        F.col("p.pos").alias("positions"))
+
+
+def unfold_postings(blocks: DataFrame) -> DataFrame:
+    """The postings ``(term, doc_id, pos)`` of :func:`posting_blocks`. Ids are
+    running sums of gaps; a list is as short as its block."""
+    start = F.struct(F.col("first_doc").alias("doc"), F.array().cast("array<bigint>").alias("ids"))
+    ids = F.aggregate("gaps", start, lambda a, g: F.struct((a["doc"] + g).alias("doc"), F.array_append(a["ids"], a["doc"] + g).alias("ids")),
+                      lambda a: a["ids"])
+    return blocks.select("term", F.explode(F.arrays_zip(ids.alias("doc_id"), F.col("positions").alias("pos"))).alias("p")) \
+        .select("term", "p.doc_id", "p.pos")
+
+
 def tfidf(corpus: DataFrame, preset: str = "A") -> DataFrame:
     """Long-form TF-IDF ``(doc_id, term, cnt, total, tf, df, idf, tf_idf)``.
 

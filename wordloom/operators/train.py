@@ -58,7 +58,7 @@ from wordloom.operators import huffman as hf
 from wordloom.operators import skipgram as sg
 from wordloom.operators import vocab as vo
 from wordloom.operators.tfidf import token_positions
-from wordloom.session import bucketed, drop_bucketed, remove_written, ship_package, written
+from wordloom.session import bucketed, drop_bucketed, remove_written, scratch_path, ship_package, written
 from wordloom.sources.corpus import check_unique_ids
 
 # Training settings of the reference program.
@@ -685,8 +685,18 @@ def assign_batches(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return corpus.withColumn("batch", F.pmod(hash32(keyed(F.col("doc_id"), seed)), F.lit(n)))
 
 
+def write_batches(corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """The documents written by batch, so that :func:`select_batch` reads the
+    files of one batch only."""
+    spark = corpus.sparkSession
+    path = scratch_path(spark, "batches")
+    dealt = assign_batches(corpus, n, seed)
+    dealt.write.partitionBy("batch").parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
 def select_batch(corpus: DataFrame, m: int) -> DataFrame:
-    """Documents of mini-batch ``m`` (after ``assign_batches``)."""
+    """Documents of mini-batch ``m`` (after ``assign_batches`` or ``write_batches``)."""
     return corpus.where(F.col("batch") == F.lit(m)).drop("batch")
 
 
@@ -699,7 +709,7 @@ def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int = REPLIC
     setting that does not depend on the corpus."""
     prep = prep or prepare(corpus)
     n_words = prep.words.count()
-    docs = assign_batches(prep.docs, batches, seed)
+    docs = write_batches(prep.docs, batches, seed)
     works = [replicas_of(select_batch(docs, b), prep.words, replicas, n_words, shards) for b in range(batches)]
     n_blocks = blocks_for(n_words, prep.words.sparkSession)
     fit = Fit(written(packed(init_params(prep, dim, seed), n_blocks), "params"), prep.words, [], [])

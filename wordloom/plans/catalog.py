@@ -20,8 +20,9 @@ from wordloom.operators import vectors as vx
 from wordloom.operators import vocab as vo
 from wordloom.functions import vector as V
 from wordloom.functions.text import tokenize
-from wordloom.session import written
-from wordloom.sources.corpus import chunk_documents, parse_json_corpus, read_corpus, read_table
+from wordloom.session import scratch_path, written
+from wordloom.sources.corpus import (chunk_documents, chunk_source, parse_json_corpus, read_corpus, read_table, write_result,
+                                     write_text_files)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +67,33 @@ def q_document_frequency(spark, sf_dir):
     return tfo.corpus_document_frequency(documents(spark, sf_dir), "A")
 
 
+def q_posting_lists(spark, sf_dir):
+    """The block lists, written and unfolded again."""
+    return tfo.unfold_postings(written(tfo.posting_blocks(documents(spark, sf_dir)), "posting-blocks"))
+
+
+def q_written_postings(spark, sf_dir):
+    """The postings written by ranges of (term, document), and those of the
+    terms from m to n read back: other files and row groups are skipped."""
+    path = scratch_path(spark, "postings")
+    write_result(tfo.postings(documents(spark, sf_dir)), path, cluster_by=["term", "doc_id"])
+    return spark.read.parquet(path).where((F.col("term") >= "m") & (F.col("term") < "n"))
+
+
+FILE_DOCS = 100         # documents in a text file
+FILE_CHUNK_BYTES = 4_096
+
+
+def q_file_chunks(spark, sf_dir):
+    """The documents written as text files of 100 each and read in chunks."""
+    path = scratch_path(spark, "texts")
+    docs = documents(spark, sf_dir).withColumn("file", F.floor(F.col("doc_id") / F.lit(FILE_DOCS)).cast("bigint"))
+    write_text_files(docs, path, "file")
+    spark.dataSource.register(chunk_source())
+    chunks = spark.read.format("chunked_text").option("chunkBytes", FILE_CHUNK_BYTES).load(path)
+    return chunks.select(F.regexp_extract("file", r"file=(\d+)/", 1).cast("bigint").alias("file"), "chunk", "text")
+
+
 def counted(spark, sf_dir, preset: str = "C") -> DataFrame:
     """Word counts, written: bounds, tree and frequent words all read them."""
     return written(vo.word_counts(documents(spark, sf_dir), preset), "counts")
@@ -134,6 +162,11 @@ def q_skipgram_pairs(spark, sf_dir):
     return sgo.skipgram_pairs(documents(spark, sf_dir), vo.tree_words(counts), frequent=vo.frequent_words(counts))
 
 
+def q_skipgram_windows(spark, sf_dir):
+    counts = counted(spark, sf_dir)
+    return sgo.skipgram_windows(documents(spark, sf_dir), vo.tree_words(counts), frequent=vo.frequent_words(counts))
+
+
 def q_cooccurrence(spark, sf_dir):
     return sgo.cooccurrence(q_skipgram_pairs(spark, sf_dir))
 
@@ -331,7 +364,7 @@ def q_fit_local(spark, sf_dir):
 
 def q_minibatch_sizes(spark, sf_dir):
     """Four mini-batches, each selected and counted on its own."""
-    docs = tr.assign_batches(documents(spark, sf_dir), 4, seed=0)
+    docs = tr.write_batches(documents(spark, sf_dir), 4, seed=0)
     parts = [tr.select_batch(docs, m).agg(
         F.lit(m).cast("bigint").alias("batch"), F.count(F.lit(1)).alias("n_docs"),
         F.sum(F.size(tokenize(F.col("text"), "C"))).cast("bigint").alias("n_tokens")) for m in range(4)]
@@ -360,6 +393,10 @@ def queries() -> dict[str, Query]:
         "document_frequency": q_document_frequency,
         "idf": _on_docs(tfo.idf),
         "postings": _on_docs(tfo.postings),
+        "posting_blocks": _on_docs(tfo.posting_blocks),
+        "posting_lists": q_posting_lists,
+        "written_postings": q_written_postings,
+        "file_chunks": q_file_chunks,
         "tfidf": _on_docs(tfo.tfidf),
         "tfidf_vectors": _on_docs(tfo.tfidf_vectors),
         "word_counts": q_word_counts,
@@ -376,6 +413,7 @@ def queries() -> dict[str, Query]:
         "encode_tokens": q_encode_tokens,
         "oov_rate": q_oov_rate,
         "skipgram_pairs": q_skipgram_pairs,
+        "skipgram_windows": q_skipgram_windows,
         "cooccurrence": q_cooccurrence,
         "cosine_pairs": q_cosine_pairs,
         "score_pairs": q_score_pairs,

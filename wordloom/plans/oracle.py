@@ -211,6 +211,22 @@ def sql() -> dict[str, str]:
       SELECT doc_id, (generate_subscripts(t, 1) - 1)::BIGINT AS pos, unnest(t) AS term
       FROM (SELECT doc_id, list_sort(list_distinct({toks('A')})) AS t FROM documents))"""
 
+    q["posting_lists"] = q["postings"]
+    q["written_postings"] = f"""SELECT * FROM ({q['postings']}) WHERE term >= 'm' AND term < 'n'"""
+    q["posting_blocks"] = f"""
+    WITH p AS ({q['postings']}),
+    g AS (SELECT *, doc_id // 128 AS block, doc_id - lag(doc_id, 1, doc_id) OVER (PARTITION BY term, doc_id // 128 ORDER BY doc_id) AS gap FROM p)
+    SELECT term, block::BIGINT AS block, min(doc_id) AS first_doc, list(gap::BIGINT ORDER BY doc_id) AS gaps,
+           list(pos ORDER BY doc_id) AS positions
+    FROM g GROUP BY term, block"""
+
+    # Characters at their byte offsets; a chunk has those that begin in it.
+    q["file_chunks"] = """
+    WITH f AS (SELECT doc_id // 100 AS file, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS whole FROM documents GROUP BY file),
+    c AS (SELECT file, generate_subscripts(s, 1) AS i, unnest(s) AS ch FROM (SELECT file, string_split(whole, '') AS s FROM f)),
+    o AS (SELECT file, i, ch, coalesce(sum(strlen(ch)) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM c)
+    SELECT file::BIGINT AS file, (at // 4096)::BIGINT AS chunk, string_agg(ch, '' ORDER BY i) AS text FROM o GROUP BY file, at // 4096"""
+
     q["tfidf"] = f"""
     WITH tc AS ({tc_a}),
     dfq AS (SELECT term, count(*)::BIGINT AS df FROM tc GROUP BY term),
@@ -266,6 +282,10 @@ def sql() -> dict[str, str]:
     FROM tp LEFT JOIN tree USING (word)"""
     q["skipgram_pairs"] = f"""WITH {v}, {_pairs_cte()}
     SELECT doc_id, pos::BIGINT AS pos, context_pos::BIGINT AS context_pos, word, context FROM pairs"""
+    q["skipgram_windows"] = f"""WITH {v}, {_pairs_cte()}
+    SELECT doc_id, pos::BIGINT AS pos, word, list(context_pos::BIGINT ORDER BY context_pos) AS context_pos,
+           list(context ORDER BY context_pos) AS context
+    FROM pairs GROUP BY doc_id, pos, word"""
     q["cooccurrence"] = f"""WITH {v}, {_pairs_cte()}
     SELECT word, context, count(*)::BIGINT AS n FROM pairs GROUP BY word, context"""
 

@@ -181,6 +181,94 @@ def _chunk_text(f, start: int, end: int, size: int) -> str:
     return data[first:max(first, last)].decode("utf-8", "replace")
 
 
+def write_text_files(corpus: DataFrame, path: str, group: str) -> None:
+    """Documents ``(doc_id, text)`` as text files, one for each value of the
+    column ``group`` in a folder named after it, a line end after each text,
+    by document id. A group is one task's: choose groups of a bounded size."""
+    lines = corpus.repartition(group).sortWithinPartitions(group, "doc_id")
+    lines.select(group, "text").write.partitionBy(group).text(path)
+
+
+def chunk_source() -> type:
+    """The data source ``chunked_text``: text files below a folder, or one
+    file, cut into pieces of ``chunkBytes`` bytes.
+
+    ``spark.dataSource.register(chunk_source())``, then
+    ``spark.read.format("chunked_text").option("chunkBytes", n).load(path)``
+    gives ``(file, chunk, text)``, ``file`` relative to the path. A partition
+    is a range of about ``partitionBytes`` (64 MB) of one file, read by the
+    task that needs it, so a large file is read in parallel. A code point that
+    spans a cut goes whole to the chunk in which it begins; other bytes that
+    are no UTF-8 become U+FFFD. ``path`` is any URI known to Arrow.
+    """
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Span(InputPartition):
+        def __init__(self, file: str, name: str, size: int, first: int, last: int):
+            self.file, self.name, self.size, self.first, self.last = file, name, size, first, last
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict):
+            self.path = options["path"]
+            self.step = int(options.get("chunkbytes", 1 << 20))
+            self.run = max(1, int(options.get("partitionbytes", 64 << 20)) // self.step)
+            if self.step <= 0:
+                raise ValueError("chunkBytes must be positive")
+
+        def open(self):
+            import pyarrow.fs
+            if self.path.startswith("file:") or "://" not in self.path:
+                return pyarrow.fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")
+            return pyarrow.fs.FileSystem.from_uri(self.path)
+
+        def partitions(self):
+            import pyarrow.fs
+            fs, top = self.open()
+            found = fs.get_file_info(top)
+            if found.type == pyarrow.fs.FileType.File:
+                files = [found]
+            else:
+                files = [f for f in fs.get_file_info(pyarrow.fs.FileSelector(top, recursive=True)) if f.is_file]
+            hidden = [f for f in files if any(x[:1] in "._" for x in f.path[len(top):].split("/") if x)]
+            out = []
+            for f in sorted((f for f in files if f not in hidden and f.size), key=lambda f: f.path):
+                n = -(-f.size // self.step)
+                name = f.path[len(top):].lstrip("/") or f.base_name
+                out += [Span(f.path, name, f.size, at, min(n, at + self.run)) for at in range(0, n, self.run)]
+            return out or [Span("", "", 0, 0, 0)]
+
+        def read(self, partition):
+            if not partition.size:
+                return
+            fs, _ = self.open()
+            with fs.open_input_file(partition.file) as f:
+                for i in range(partition.first, partition.last):
+                    start, end = i * self.step, min((i + 1) * self.step, partition.size)
+                    f.seek(start)
+                    data = f.read(min(end + 3, partition.size) - start)
+
+                    def begins(at):
+                        k = at
+                        while k < len(data) and k < at + 3 and data[k] & 0xC0 == 0x80:
+                            k += 1
+                        return k
+                    first = begins(0) if start else 0
+                    last = begins(end - start) if end < partition.size else len(data)
+                    yield partition.name, i, data[first:max(first, last)].decode("utf-8", "replace")
+
+    class ChunkedText(DataSource):
+        @classmethod
+        def name(cls):
+            return "chunked_text"
+
+        def schema(self):
+            return "file string, chunk bigint, text string"
+
+        def reader(self, schema):
+            return Reader(self.options)
+    return ChunkedText
+
+
 def write_result(df: DataFrame, path: str, cluster_by: str | list[str] | None = None,
                  partition_by: list[str] | None = None, mode: str = "overwrite",
                  num_partitions: int | None = None) -> None:
