@@ -53,7 +53,7 @@ from wordloom.llm.common import Batches, in_arrow, written
 from wordloom.llm.words import ragged, strings_at, texts_of, utf8_bytes
 
 MARK = "▁"
-SLICE_BYTES = 1 << 20      # texts are aligned this many bytes at a time, a longer one alone
+SLICE_BYTES = 2 << 20      # texts are aligned this many bytes at a time, a longer one alone
 SEPARATOR = np.uint32(0xFFFFFFFF)
 
 
@@ -116,7 +116,7 @@ class Aligned:
 class Aligner:
     """One per Python worker and pair of vocabulary files; see :func:`aligner`."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, pairs: np.ndarray | None = None):
         import sentencepiece
         self.a_path = a_path
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -125,7 +125,7 @@ class Aligner:
         self.length = tuple(np.array([len(e) for e in x], dtype=np.int64) for x in (a_bytes, b_bytes))
         self.start = tuple(np.cumsum(n) - n for n in self.length)
         self.spaced = tuple(np.array([e.startswith(b" ") for e in x]) for x in (a_bytes, b_bytes))
-        self.pairs = ending_pairs(a_bytes, b_bytes)
+        self.pairs = ending_pairs(a_bytes, b_bytes) if pairs is None else pairs
         entries = [e for i, e in enumerate(b_bytes) if not self.b.is_byte(i)]
         self.cuts = not any(b" " in e.lstrip(b" ") or b"\n" in e for e in entries)
         self.lone = self.b.piece_to_id(MARK)
@@ -269,10 +269,10 @@ class Aligner:
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def aligner(a_path: str, b_path: str) -> Aligner:
+def aligner(a_path: str, b_path: str, pairs: np.ndarray | None = None) -> Aligner:
     key = (a_path, b_path)
     if key not in _aligners:
-        _aligners[key] = Aligner(a_path, b_path)
+        _aligners[key] = Aligner(a_path, b_path, pairs)
     return _aligners[key]
 
 
@@ -281,9 +281,11 @@ ALIGNED = "doc_id {id}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint,
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links)``; a link
-    is a place in :attr:`Aligner.pairs`."""
+    is a place in :attr:`Aligner.pairs`, which workers get from the driver."""
+    pairs = docs.sparkSession.sparkContext.broadcast(aligner(a_path, b_path).pairs)
+
     def run(batches: Batches) -> Batches:
-        held = aligner(a_path, b_path)
+        held = aligner(a_path, b_path, pairs.value)
         for batch in batches:
             texts = texts_of(batch.column(1))
             bounds = utf8_bytes(texts)[1]
