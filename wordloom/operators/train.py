@@ -3,7 +3,7 @@
 Parameters are rows ``(block, keys, vecs, acc)``: the vectors of a block of
 keys, one after the other. A word's key is its place by descending count, the
 key of an internal node its heap number (see ``huffman``) with a minus sign.
-Block -1 holds the loss and the number of steps of the last iteration.
+Block -1 holds the loss and the number of steps of every round so far.
 
 Both trainers repeat one kind of job, :func:`changes`. Work is dealt to shards
 and written once, bucketed by shard, with a list of the keys each shard needs,
@@ -71,7 +71,7 @@ REPLICAS = 320
 BLOCK_KEYS = 512         # keys in a block of parameters
 CELL_WORDS = 32_768      # words, and nodes, in a cell of the gradient's grid, at most
 SHARD_TOKENS = 4_000_000  # known tokens in a shard of replicas, at most as expected
-SHARDS_PER_CORE = 2
+SHARDS_PER_CORE = 1
 SLICE_PAIRS = 32_768     # pairs of a replica that are laid out at once
 LOSS_FLOOR = 1e-7        # sigma is kept this far from 0 and 1 in the reported loss
 QUANTUM = 2.0 ** -40     # a replica's changes are multiples of it
@@ -173,7 +173,7 @@ def packed(params: DataFrame, n_blocks: int) -> DataFrame:
     none = F.array().cast("array<double>")
     blocks = rows.groupBy("block").agg(F.sort_array(F.collect_list("r")).alias("r")).select(
         "block", F.col("r.key").alias("keys"), F.flatten("r.vec").alias("vecs"), none.alias("acc"))
-    loss = params.sparkSession.createDataFrame([(LOSS_BLOCK, [], [0.0, 0.0], [])], PARAMS)
+    loss = params.sparkSession.createDataFrame([(LOSS_BLOCK, [], [], [])], PARAMS)
     return blocks.unionByName(loss)
 
 
@@ -294,7 +294,7 @@ def _work(rows: DataFrame, n_shards: int, n_blocks: int, keys_of: Callable[[pa.T
         return pa.table({"block": pa.array(blocks), "shard": pa.array(np.full(len(blocks), shard[0].as_py())),
                          "keys": _lists(keys[order], np.append(first, len(keys)))})
     keys = held.groupBy("shard").applyInArrow(need, "block bigint, shard bigint, keys array<bigint>")
-    return Work(held, bucketed(keys, "block", min(n_blocks, 2 * n_shards), "needs"), n_blocks)
+    return Work(held, bucketed(keys, "block", min(n_blocks, n_shards), "needs"), n_blocks)
 
 
 def shards_for(spark: SparkSession, least: int = 1) -> int:
@@ -569,15 +569,16 @@ def _summed(found: pa.Table, keys: np.ndarray, dim: int) -> tuple[np.ndarray, np
 
 def stepped(params: DataFrame, found: DataFrame, step: Callable) -> DataFrame:
     """The next parameters: ``step(vecs, acc, change)`` gives a block's vectors
-    and history after the summed changes. Block -1 takes the loss and steps."""
+    and history after the summed changes. Block -1 takes the loss and steps, too."""
     ship_package(params.sparkSession)
 
     def run(key, left, right):
         if key[0].as_py() == LOSS_BLOCK:
             right = right.take(pa.array(np.argsort(np.asarray(right.column("shard")), kind="stable"))) if right.num_rows else right
             rows = np.asarray(right.column("change").combine_chunks().flatten()).reshape(-1, 2) if right.num_rows else np.zeros((0, 2))
+            past = np.asarray(left.column("vecs").combine_chunks().flatten()).tolist()
             return pa.table({"block": left.column("block"), "keys": left.column("keys"),
-                             "vecs": pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64())), "acc": left.column("acc")})
+                             "vecs": pa.array([past + rows.sum(axis=0).tolist()], pa.list_(pa.float64())), "acc": left.column("acc")})
         keys = _ints(left.column("keys"))[0]
         vecs, acc = (np.asarray(left.column(c).combine_chunks().flatten()).reshape(len(keys), -1) for c in ("vecs", "acc"))
         total, _ = _summed(right, keys, vecs.shape[1])
@@ -635,26 +636,29 @@ def hs_gradient(targets: DataFrame, params: DataFrame, cell_words: int | None =
 @dataclass
 class Fit:
     """A trained model: blocks of parameters, the words they belong to, the
-    mean loss of each iteration's pair-steps (each before its step), and report
-    rows, whose words are keys."""
+    rounds of an iteration, and report rows, whose words are keys."""
     params: DataFrame
     words: DataFrame
-    losses: list[float]
+    rounds: int
     report: list[tuple]
 
     def rows(self) -> DataFrame:
         """``(kind, id, vec)``."""
         return unpacked(self.params)
 
+    @property
+    def losses(self) -> list[float]:
+        """The mean loss of each iteration's pair-steps, each before its step,
+        of several rounds their mean."""
+        past = np.array(self.params.where(F.col("block") == LOSS_BLOCK).first()["vecs"]).reshape(-1, 2)
+        mean = np.divide(past[:, 0], past[:, 1], out=np.zeros(len(past)), where=past[:, 1] > 0)
+        return mean.reshape(-1, self.rounds).mean(axis=1).tolist()
+
 
-def _next(fit: Fit, new: DataFrame) -> float:
-    """Writes the next parameters, removes the last ones, and returns the mean
-    loss of the iteration. One job computes and writes; the loss row is read
-    from what was written."""
+def _next(fit: Fit, new: DataFrame) -> None:
+    """Writes the next parameters, in one job, and removes the last ones."""
     old, fit.params = fit.params, written(new, "params")
     remove_written(old)
-    loss, steps = fit.params.where(F.col("block") == LOSS_BLOCK).first()["vecs"]
-    return loss / steps if steps else 0.0
 
 
 def sync_step(params: DataFrame, work: Work, lr: float) -> DataFrame:
@@ -670,10 +674,10 @@ def fit_sync(corpus: DataFrame, iters: int = ITERATIONS, dim: int = DIM, lr: flo
     iteration."""
     prep = prep or prepare(corpus)
     work = cells(word_targets(cooccurrence(prep, half), prep.words), prep.words.count(), cell_words)
-    fit = Fit(written(packed(init_params(prep, dim, seed), work.n_blocks), "params"), prep.words, [], [])
+    fit = Fit(written(packed(init_params(prep, dim, seed), work.n_blocks), "params"), prep.words, 1, [])
     for it in range(iters):
         rate = learning_rate(it, iters, lr, schedule)
-        fit.losses.append(_next(fit, stepped(fit.params, gradient(work, fit.params), adagrad(rate))))
+        _next(fit, stepped(fit.params, gradient(work, fit.params), adagrad(rate)))
         if probes:
             fit.report += probes.rows(it + 1, fit)
     work.drop()
@@ -712,11 +716,11 @@ def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int = REPLIC
     docs = write_batches(prep.docs, batches, seed)
     works = [replicas_of(select_batch(docs, b), prep.words, replicas, n_words, shards) for b in range(batches)]
     n_blocks = blocks_for(n_words, prep.words.sparkSession)
-    fit = Fit(written(packed(init_params(prep, dim, seed), n_blocks), "params"), prep.words, [], [])
+    fit = Fit(written(packed(init_params(prep, dim, seed), n_blocks), "params"), prep.words, batches, [])
     for it in range(iters):
         rate = learning_rate(it, iters, lr, schedule)
-        losses = [_next(fit, stepped(fit.params, local_sgd(work, fit.params, rate, half), averaging(replicas))) for work in works]
-        fit.losses.append(sum(losses) / len(losses))
+        for work in works:
+            _next(fit, stepped(fit.params, local_sgd(work, fit.params, rate, half), averaging(replicas)))
         if probes:
             fit.report += probes.rows(it + 1, fit)
     for work in works:
@@ -742,8 +746,9 @@ class Probes:
     k: int = 10
 
     def rows(self, iteration: int, fit: Fit) -> list[tuple]:
-        """``(iteration, kind, query, rank, key, value)`` after an iteration."""
-        out = [(iteration, "loss", None, None, None, fit.losses[-1])]
+        """``(iteration, kind, query, rank, key, value)`` after an iteration:
+        neighbours and answers."""
+        out = []
         wanted = {*self.words, *(w for t in self.triples for w in t)}
         if not hasattr(self, "keys"):
             self.keys = {r["word"]: r["id"] for r in fit.words.where(F.col("word").isin(*wanted)).collect()} if wanted else {}
@@ -794,7 +799,8 @@ class Probes:
 def training_report(fit: Fit) -> DataFrame:
     """``(iteration, kind, query, rank, word, value)``: the mean loss, nearest
     words and analogy answers of every iteration."""
+    losses = [(i, "loss", None, None, None, x) for i, x in enumerate(fit.losses, 1)]
     rows = fit.params.sparkSession.createDataFrame(
-        fit.report, "iteration int, kind string, query string, rank bigint, key bigint, value double")
+        losses + fit.report, "iteration int, kind string, query string, rank bigint, key bigint, value double")
     names = fit.words.select(F.col("id").alias("key"), "word")
     return rows.join(names, "key", "left").select("iteration", "kind", "query", "rank", "word", "value")
