@@ -1,18 +1,22 @@
 """Benchmark decontamination: rare n-grams of the test items seed candidates,
 Smith-Waterman alignment scores them.
 
-Texts are lower-cased and read as words (letters, digits, underscore). One
-pass over the corpus counts how often each word of the items occurs in it.
-
-**Seeds.** Longer n-grams are lost on an edited copy: with every second word
-foreign no two words in a row survive. The n-grams are therefore single words,
-and rarity comes from taking several: an item of ``L`` words is seeded with its
-``T`` words that are rarest in the corpus, :data:`SEED_SHARE` of all. An
-alignment that reaches the score ``s`` matches at least ``s L`` words, so at
-least ``T - L + s L`` of the seeds, and they lie within ``(3 - 2 s) L`` words
-of the document, for each foreign word costs as a gap. A document stretch with
-so many seeds is a candidate; no alignment that reaches the score is missed,
-whatever was edited and however often the item is copied. Nothing is capped.
+Texts are lower-cased and read as words (letters, digits, underscore). The
+n-grams are pairs of neighbouring words of an item; a document holds a pair
+where its words stand next to each other or with one word between them. One
+pass over the corpus counts how often it holds each pair.
+
+**Seeds.** An alignment that scores ``s`` of an item of ``L`` words, over ``l``
+of them and with ``M`` matched, pays 1 for each of the ``l - M`` unmatched and
+for each foreign word, ``2 (M - s L)`` in all at most. So ``M >= (2 s L + l) /
+3``; at least ``2 M - l - 1`` neighbouring pairs are matched whole, and of these
+at least ``(4 s - 1) L / 3 - 1`` stand in the document with one foreign word
+between them or none: a third of the pairs at a score of one half. That leaves
+room to choose: the pairs rarest in the corpus are the item's seeds, as many as
+make sure that half of that number are still found, all within ``(3 - 2 s) L``
+words. A stretch with so many seeds of an item is a candidate; no alignment
+that reaches the score is missed, whatever was edited and however often the
+item is copied. Nothing is capped. An item of one word is its own seed.
 
 **Scores.** A second pass joins documents to items on the seeds and aligns each
 item with the stretch around the candidates (match 2, mismatch -1, gap -1).
@@ -41,7 +45,6 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import in_arrow, map_batches
 from wordloom.llm.words import ragged, split_words, texts_of
 
-SEED_SHARE = 0.75
 SHORT_ITEM = 12
 RUN_WORDS = 3
 MIN_SCORE = 0.5
@@ -67,27 +70,57 @@ def item_words(text: str) -> list[str]:
     return [x for s in pc.ascii_split_whitespace(lower)[0].as_py() for x in WORD.findall(s)]
 
 
+def _keys(first: np.ndarray, second: np.ndarray, n_words: int) -> np.ndarray:
+    return first * (n_words + 1) + second
+
+
 @dataclass
 class Index:
-    """A block of items: their word ids, and once they are chosen the seeds.
-    The seeds of word ``w`` are ``seed_item[seed_at[w]:seed_at[w + 1]]``, the
-    items they belong to; ``need`` and ``reach`` are how many of an item's
-    seeds a candidate holds and within how many words."""
+    """A block of items: their word ids, their pairs as sorted keys (of a
+    one-word item the word with itself), the pair at each place of an item, and
+    once they are chosen the seeds. Pair ``g`` seeds the items
+    ``seed_item[seed_at[g]:seed_at[g + 1]]``; ``need`` and ``reach`` are how many
+    of an item's seeds a candidate holds and within how many words."""
     item_ids: list
     words: list[np.ndarray]
     known: dict[str, int]
+    pairs: np.ndarray
+    places: list[np.ndarray]
+    lone: np.ndarray
     seed_at: np.ndarray | None = None
     seed_item: np.ndarray | None = None
     need: np.ndarray | None = None
     reach: np.ndarray | None = None
 
+    def hits(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``ids`` at which a pair of the block begins, and its number."""
+        if not len(self.pairs):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(ids >= 0)
+        end = offsets[np.searchsorted(offsets, at, side="right")]
+        found, which = [], []
+        for gap in (1, 2):
+            inside = at[at + gap < end]
+            inside = inside[ids[inside + gap] >= 0]
+            key = _keys(ids[inside], ids[inside + gap], len(self.known))
+            where = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            same = self.pairs[where] == key
+            found.append(inside[same])
+            which.append(where[same])
+        if len(self.lone):
+            alone = at[np.isin(ids[at], self.lone)]
+            found.append(alone)
+            which.append(np.searchsorted(self.pairs, _keys(ids[alone], ids[alone], len(self.known))))
+        found, which = np.concatenate(found), np.concatenate(which)
+        order = np.argsort(found, kind="stable")
+        return found[order], which[order]
+
     def candidates(self, ids: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``(row, item, first, last)``: stretches of words, as places in
         ``ids``, that hold the needed seeds of an item; neighbours joined."""
-        at = np.flatnonzero(ids >= 0)
-        n = np.diff(self.seed_at)[ids[at]]
-        at, n = at[n > 0], n[n > 0]
-        item = self.seed_item[ragged(self.seed_at[ids[at]], n)]
+        at, gram = self.hits(ids, offsets)
+        n = np.diff(self.seed_at)[gram]
+        item = self.seed_item[ragged(self.seed_at[gram], n)]
         at = np.repeat(at, n)
         row = np.searchsorted(offsets, at, side="right") - 1
         pair = row * len(self.words) + item
@@ -115,25 +148,29 @@ def make_index(rows: list[tuple]) -> Index:
         if ws:
             ids.append(item)
             words.append(np.array([known.setdefault(w, len(known)) for w in ws], dtype=np.int64))
-    return Index(ids, words, known)
+    keys = [_keys(w[:-1], w[1:], len(known)) if len(w) > 1 else _keys(w, w, len(known)) for w in words]
+    pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    lone = np.array(sorted({int(w[0]) for w in words if len(w) == 1}), dtype=np.int64)
+    return Index(ids, words, known, pairs, [np.searchsorted(pairs, k) for k in keys], lone)
 
 
 def choose_seeds(index: Index, counts: np.ndarray, min_score: float = MIN_SCORE) -> None:
-    """Marks the rarest words of each item, the first of equals, and how many
-    of them an alignment of the least score must match."""
-    word, item, need, reach = [], [], [], []
-    for i, w in enumerate(index.words):
-        n = len(w)
-        taken = max(1, ceil(SEED_SHARE * n))
-        rare = np.argsort(counts[w], kind="stable")[:taken]
-        word.append(w[rare])
-        item.append(np.full(taken, i))
-        need.append(max(1, taken - n + ceil(min_score * n - 1e-9)))
+    """Marks the rarest pairs of each item, the first of equals, and how many
+    of them an alignment of the least score must hold."""
+    gram, item, need, reach = [], [], [], []
+    for i, (word, place) in enumerate(zip(index.words, index.places)):
+        n = len(word)
+        sure = min(len(place), max(1, ceil((4 * min_score - 1) * n / 3 - 1 - 1e-9)))
+        kept = max(1, sure // 2)
+        rare = np.argsort(counts[place], kind="stable")[:len(place) - sure + kept]
+        gram.append(place[rare])
+        item.append(np.full(len(rare), i))
+        need.append(kept)
         reach.append(ceil(n * (3 - 2 * min_score) - 1e-9) + 1)
-    word, item = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (word, item))
-    order = np.argsort(word, kind="stable")
+    gram, item = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (gram, item))
+    order = np.argsort(gram, kind="stable")
     index.seed_item = item[order]
-    index.seed_at = np.searchsorted(word[order], np.arange(len(index.known) + 1))
+    index.seed_at = np.searchsorted(gram[order], np.arange(len(index.pairs) + 1))
     index.need, index.reach = np.array(need, dtype=np.int64), np.array(reach, dtype=np.int64)
 
 
@@ -192,20 +229,19 @@ def blocks(items: DataFrame, item_id: str, item_text: str) -> list[list[tuple]]:
 def seeded(docs: DataFrame, text_col: str, rows: list[tuple], min_score: float) -> Index:
     """The index of a block, its seeds chosen by counts over all of ``docs``."""
     index = make_index(rows)
-    bc = docs.sparkSession.sparkContext.broadcast(index.known)
+    bc = docs.sparkSession.sparkContext.broadcast(index)
 
     def count(batches):
-        total = np.zeros(len(bc.value), dtype=np.int64)
+        total = np.zeros(len(bc.value.pairs), dtype=np.int64)
         for b in batches:
-            ids, _ = word_ids(texts_of(b.column(0)), bc.value)
-            total += np.bincount(ids[ids >= 0], minlength=len(total))
+            total += np.bincount(bc.value.hits(*word_ids(texts_of(b.column(0)), bc.value.known))[1], minlength=len(total))
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
 
-    counts = np.zeros(len(index.known), dtype=np.int64)
-    per_word = in_arrow(docs.select(text_col), count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    for r in per_word.collect():       # a row per word of the block at most
-        counts[r["word"]] = r["n"]
+    counts = np.zeros(len(index.pairs), dtype=np.int64)
+    per_pair = in_arrow(docs.select(text_col), count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in per_pair.collect():       # a row per pair of the block at most
+        counts[r["pair"]] = r["n"]
     bc.unpersist()
     choose_seeds(index, counts, min_score)
     return index
