@@ -197,9 +197,9 @@ def test_scans_and_exchanges(spark):
 
 
 def test_python_only_in_training_and_vector_queries(spark):
-    """Only the trainers' kernels and the similarity matrices run Python in tasks."""
+    """Only the trainers' kernels, the similarity matrices and the text chunk reader run Python in tasks."""
     from wordloom.plans import catalog
-    python = {"node_targets", "root_targets", "nearest_twentieth", "farthest_twentieth", "hs_gradient", "sync_step", "fit_sync", "fit_local", "word_vectors", "training_report",
+    python = {"file_chunks", "node_targets", "root_targets", "nearest_twentieth", "farthest_twentieth", "hs_gradient", "sync_step", "fit_sync", "fit_local", "word_vectors", "training_report",
               "nearest", "farthest", "analogy"}
     for name, q in catalog.queries().items():
         if name not in python:

@@ -224,8 +224,8 @@ def sql() -> dict[str, str]:
     q["file_chunks"] = """
     WITH f AS (SELECT doc_id // 100 AS file, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS whole FROM documents GROUP BY file),
     c AS (SELECT file, generate_subscripts(s, 1) AS i, unnest(s) AS ch FROM (SELECT file, string_split(whole, '') AS s FROM f)),
-    o AS (SELECT file, i, ch, coalesce(sum(strlen(ch)) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM c)
-    SELECT file::BIGINT AS file, (at // 4096)::BIGINT AS chunk, string_agg(ch, '' ORDER BY i) AS text FROM o GROUP BY file, at // 4096"""
+    o AS (SELECT file, i, ch, coalesce(sum(strlen(ch)) OVER (PARTITION BY file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c)
+    SELECT file::BIGINT AS file, (start // 4096)::BIGINT AS chunk, string_agg(ch, '' ORDER BY i) AS text FROM o GROUP BY file, start // 4096"""
 
     q["tfidf"] = f"""
     WITH tc AS ({tc_a}),
