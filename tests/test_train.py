@@ -104,15 +104,17 @@ def changed(found):
     return {("node", -k) if k < 0 else ("word", k): v for k, v in out.items()}, loss
 
 
-@pytest.mark.parametrize("replicas, shards, size", [(1, 1, 1000), (3, 2, 7), (3, 3, 1), (5, 5, 1000)])
-def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, shards, size):
-    """Pair by pair in each replica, from the same vectors, whatever shares a shard."""
+@pytest.mark.parametrize("replicas, shards, size, unit", [
+    (1, 1, 1000, "pair"), (3, 2, 7, "pair"), (3, 3, 1, "pair"), (5, 5, 1000, "pair"),
+    (1, 1, 1000, "centre"), (3, 2, 9, "centre"), (3, 3, 1, "centre")])
+def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, shards, size, unit):
+    """Pair by pair, or centre by centre, in each replica, from the same vectors, whatever shares a shard."""
     monkeypatch.setattr(tr, "SLICE_PAIRS", size)
     prep, params, wv, nv, path, toks = small
     lr = 0.05
     work = tr.replicas_of(prep.docs, prep.words, replicas, len(wv), shards)
     blocks = tr.packed(params, work.n_blocks)
-    got, (got_loss, got_steps) = changed(tr.local_sgd(work, blocks, lr))
+    got, (got_loss, got_steps) = changed(tr.local_sgd(work, blocks, lr, unit=unit))
     dealt = {}
     for r in work.rows.where("part > 0").orderBy("id").collect():
         dealt.setdefault(r["part"], []).append(r["b"])
@@ -121,15 +123,22 @@ def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, shards, siz
     for texts in dealt.values():
         W, N = ({k: np.array(v) for k, v in d.items()} for d in (wv, nv))
         for t in texts:
-            for w, c in loop_pairs(t):
-                upd = np.zeros(DIM)
-                for node, label in path[c]:
-                    s = sigma(float(W[w] @ N[node]))
-                    g = lr * (label - s)
-                    loss -= math.log(max(s if label else 1 - s, tr.LOSS_FLOOR))
-                    upd += g * N[node]
-                    N[node] = N[node] + g * W[w]
-                    steps += 1
+            pairs = [(i, t[i], t[j]) for i in range(len(t)) for j in range(max(0, i - 4), min(len(t) - 1, i + 4) + 1) if j != i]
+            assert [p[1:] for p in pairs] == list(loop_pairs(t))
+            units = [[p] for p in pairs] if unit == "pair" else [
+                [p for p in pairs if p[0] == i] for i in sorted({p[0] for p in pairs})]
+            for some in units:
+                w, upd, nodes = some[0][1], np.zeros(DIM), {}
+                for _, _, c in some:
+                    for node, label in path[c]:
+                        s = sigma(float(W[w] @ N[node]))
+                        g = lr * (label - s)
+                        loss -= math.log(max(s if label else 1 - s, tr.LOSS_FLOOR))
+                        upd += g * N[node]
+                        nodes[node] = nodes.get(node, 0) + g * W[w]
+                        steps += 1
+                for node, change_of in nodes.items():
+                    N[node] = N[node] + change_of
                 W[w] = W[w] + upd
         for kind, now, base in (("word", W, wv), ("node", N, nv)):
             for k, v in now.items():
@@ -139,7 +148,7 @@ def test_local_sgd_matches_loop(spark, small, monkeypatch, replicas, shards, siz
     assert all(k in got for k, v in change.items() if np.abs(v).max() > 0)
     assert got_steps == steps and got_loss == pytest.approx(loss, abs=1e-5)
     # averaging divides by the configured replicas and keeps untouched rows
-    new = tr.unpacked(tr.stepped(blocks, tr.local_sgd(work, blocks, lr), tr.averaging(replicas)))
+    new = tr.unpacked(tr.stepped(blocks, tr.local_sgd(work, blocks, lr, unit=unit), tr.averaging(replicas)))
     after = {(r["kind"], r["id"]): r["vec"] for r in new.collect()}
     base = {("word", k): v for k, v in wv.items()} | {("node", k): v for k, v in nv.items()}
     assert after.keys() == base.keys()
@@ -229,8 +238,21 @@ def test_pairs_come_in_slices(small, size):
     *_, toks = small
     docs = [(np.arange(len(t)), np.array(t, dtype=np.int64)) for t in toks.values()]
     got = list(tr.pair_slices(docs, 4, size))
-    assert all(len(c) == len(x) == size for c, x in got[:-1]) and len(got[-1][0]) <= size
-    assert [p for c, x in got for p in zip(c.tolist(), x.tolist())] == [p for t in toks.values() for p in loop_pairs(t)]
+    assert all(len(c) == len(x) <= size + 8 * max(1, size // 8) for c, x in got)
+    assert [p for c, x in got for p in zip(c[:, 1].tolist(), x.tolist())] == [p for t in toks.values() for p in loop_pairs(t)]
+    places = [set(c[:, 0].tolist()) for c, _ in got]
+    assert sum(map(len, places)) == len(set().union(*places))       # no centre is in two slices
+
+
+def test_steps_of_a_centre_and_of_a_pair_differ_little(spark, real):
+    """Both take the same gradients: with a small rate the same fit."""
+    docs, prep = real
+    a, b = ({(r["kind"], r["id"]): np.array(r["vec"]) for r in tr.fit_local(
+        docs, iters=1, replicas=8, dim=8, lr=0.001, prep=prep, unit=u).rows().collect()} for u in ("centre", "pair"))
+    start = {(r["kind"], r["id"]): np.array(r["vec"]) for r in tr.init_params(prep, 8).collect()}
+    apart = sum(np.abs(a[k] - b[k]).sum() for k in a)
+    moved = sum(np.abs(a[k] - start[k]).sum() for k in a)
+    assert apart < 0.02 * moved
 
 
 def test_repeated_ids_raise(spark):

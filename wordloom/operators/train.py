@@ -24,10 +24,12 @@ holds one shard's work and vectors.
   (AdaGrad), so no coordinate moves more than ``lr`` an iteration whatever the
   corpus size.
 - **Local SGD with parameter averaging** (:func:`fit_local`), the reference's
-  scheme: documents are dealt to a fixed number of replicas; each takes one
-  SGD step per (centre, context) pair, in order of documents and positions,
-  from the same parameters, and the new parameters are ``base + sum(changes) /
-  replicas``. A shard holds some replicas and works them off one after the
+  scheme: documents are dealt to a fixed number of replicas; each takes SGD
+  steps in order of documents and positions, from the same parameters, and the
+  new parameters are ``base + sum(changes) / replicas``. A step takes the up to
+  8 pairs of a centre together, each node on their paths once; ``unit="pair"``
+  takes them one by one as the reference does, four times as slow. Both move by
+  the same gradients, a centre's pairs only do not see one another's change. A shard holds some replicas and works them off one after the
   other on one copy of its vectors, put back in between. A replica's changes
   are rounded to multiples of 2^-40, whose sums are exact: a fit is the same
   bit for bit under any number of shards and any order.
@@ -45,7 +47,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -421,12 +422,18 @@ def gradient_kernel(shard: Shard, work: pa.Table) -> None:
     shard.steps += int(n.sum())
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions ``starts[i] .. starts[i] + lengths[i] - 1``, concatenated."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def pair_slices(docs, half: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words of all (centre, context) pairs, documents ``(pos, ids)`` in order,
-    by centre position and then context position, ``size`` at a time and the
-    last ones fewer. About twice as many are held, however long a document is."""
-    centres, contexts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    run = max(1, size // max(1, 2 * half))
+    """``(centres, contexts)`` of all pairs, documents ``(pos, ids)`` in order,
+    by centre position and then context position: centres as rows (running
+    number of the occurrence, word). About ``size`` pairs come at a time,
+    however long a document is; the pairs of a centre come together."""
+    run, held, number, found = max(1, size // max(1, 2 * half)), [], 0, 0
     for pos, ids in docs:
         for at in range(0, len(ids), run):
             here = pos[at:at + run]
@@ -434,59 +441,109 @@ def pair_slices(docs, half: int, size: int) -> Iterator[tuple[np.ndarray, np.nda
             n = hi - lo
             c = np.repeat(np.arange(at, at + len(here)), n)
             j = np.arange(len(c)) - np.repeat(np.cumsum(n) - n - lo, n)
-            centres = np.concatenate([centres, ids[c[j != c]]])
-            contexts = np.concatenate([contexts, ids[j[j != c]]])
-            while len(centres) >= size:
-                yield centres[:size], contexts[:size]
-                centres, contexts = centres[size:], contexts[size:]
-    if len(centres):
-        yield centres, contexts
-
-
-def sgd(vecs: np.ndarray, centres: list[int], contexts: list[int], path: list[np.ndarray], label: list[list[float]],
-        lr: float) -> list[np.ndarray]:
-    """One step per pair on ``vecs``, in order; the scores before each. A
-    pair's nodes are distinct, so the whole path is one product."""
-    clip, scores = V.LOGISTIC_CLIP, []
-    for c, x in zip(centres, contexts):
-        at, w = path[x], vecs[c]
-        nv = vecs.take(at, axis=0)
-        s = nv @ w
-        scores.append(s)
-        g = np.array([lr * (t - (1.0 / (1.0 + exp(-z)) if -clip < z < clip else z > 0)) for t, z in zip(label[x], s.tolist())])
-        vecs[at] = nv + g[:, None] * w
-        w += g @ nv
+            c, j = c[j != c], j[j != c]
+            held.append((np.stack([number + c, ids[c]], axis=1), ids[j]))
+            found += len(c)
+            if found >= size:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, found = [], 0
+        number += len(ids)
+    if found:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def by_pair(centres: np.ndarray, contexts: np.ndarray, paths: Paths) -> tuple[np.ndarray, ...]:
+    """A step for each pair: the context's path. ``(centre of each step, where
+    its nodes begin, nodes, n, n1)``."""
+    at = ragged(paths.off[contexts], paths.length[contexts])
+    begin = np.concatenate([[0], np.cumsum(paths.length[contexts])])
+    return centres, begin, paths.nodes[at], np.ones(len(at)), paths.labels[at].astype(float)
+
+
+def by_centre(centres: np.ndarray, contexts: np.ndarray, paths: Paths) -> tuple[np.ndarray, ...]:
+    """A step for the neighbouring pairs of one centre, as :func:`by_pair`:
+    each node on their paths once, with the number ``n`` of pairs that pass it
+    and the number ``n1`` of those that go left there."""
+    place = np.cumsum(np.diff(centres, prepend=-1) != 0) - 1
+    at = ragged(paths.off[contexts], paths.length[contexts])
+    width = int(paths.nodes.max()) + 1 if len(paths.nodes) else 1
+    key = np.repeat(place, paths.length[contexts]) * width + paths.nodes[at]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(first, append=len(key))
+    n1 = np.add.reduceat(paths.labels[at][order].astype(float), first) if len(first) else np.zeros(0)
+    steps = int(place[-1]) + 1 if len(place) else 0
+    begin = np.searchsorted(key[first] // width, np.arange(steps + 1))
+    return centres[np.flatnonzero(np.diff(centres, prepend=-1))], begin, key[first] % width, n.astype(float), n1
+
+
+def sgd(vecs: np.ndarray, centres: np.ndarray, begin: np.ndarray, nodes: np.ndarray, n: np.ndarray, n1: np.ndarray,
+        lr: float) -> np.ndarray:
+    """Steps on ``vecs``, in order; the scores before each. The nodes of a step
+    are distinct and updated from its centre's vector before the step, the
+    centre from their vectors before it."""
+    clip, take, rows = V.LOGISTIC_CLIP, vecs.take, list(vecs)
+    scores = np.empty(len(nodes))
+    most, less = lr * n1, lr * n
+    for c, x, y in zip(centres.tolist(), begin[:-1].tolist(), begin[1:].tolist()):
+        at, w = nodes[x:y], rows[c]
+        nv = take(at, 0)
+        s = scores[x:y] = nv @ w
+        if y > x and np.abs(s).max() >= clip:
+            g = most[x:y] - less[x:y] * sigma(s)
+        else:
+            e = np.exp(-s)
+            e += 1.0
+            g = most[x:y] - less[x:y] / e
+        up = g @ nv
+        nv += g[:, None] * w
+        vecs[at] = nv
+        w += up
     return scores
 
 
-def replica_kernel(shard: Shard, work: pa.Table, lr: float, half: int, size: int) -> None:
-    """SGD pair by pair in each replica of the shard, from the same vectors."""
+@dataclass
+class Paths:
+    """Paths of a shard's words: rows of their nodes and labels, words one after the other."""
+    nodes: np.ndarray
+    labels: np.ndarray
+    off: np.ndarray
+    length: np.ndarray
+
+
+UNITS = {"centre": by_centre, "pair": by_pair}
+
+
+def replica_kernel(shard: Shard, work: pa.Table, lr: float, half: int, size: int, unit: str) -> None:
+    """SGD in each replica of the shard, from the same vectors, a step for each
+    ``unit`` in order of documents and positions."""
     part = np.asarray(work.column("part"))
     order = np.lexsort([np.asarray(work.column("id")), part])
-    (a, a_off), (b, b_off), (c, _) = (_ints(work.column(x)) for x in "abc")
+    (a, a_off), (b, b_off), (c, c_off) = (_ints(work.column(x)) for x in "abc")
     heads = order[part[order] == 0]
     words, code, length = (np.concatenate([x[o[i]:o[i + 1]] for i in heads] or [np.zeros(0, np.int64)])
-                           for x, o in ((a, a_off), (b, b_off), (c, _ints(work.column("c"))[1])))
+                           for x, o in ((a, a_off), (b, b_off), (c, c_off)))
     nodes, labels, off = paths_of(code, length)
-    nodes = shard.at(-nodes)
-    row = shard.at(words)
-    path = [nodes[x:y] for x, y in zip(off[:-1], off[1:])]
-    label = [labels[x:y].astype(float).tolist() for x, y in zip(off[:-1], off[1:])]
+    row, nodes = shard.at(words), shard.at(-nodes)
+    paths = Paths(nodes, labels, off[:-1], length)
     vecs = shard.base.copy()
     docs = order[part[order] > 0]
     cut = np.flatnonzero(np.diff(part[docs], prepend=-1))
     for x, y in zip(cut, [*cut[1:], len(docs)]):
         texts = ((a[a_off[i]:a_off[i + 1]], np.searchsorted(words, b[b_off[i]:b_off[i + 1]])) for i in docs[x:y])
         as_centre, as_context, loss = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0.0
-        for centre, context in pair_slices(texts, half, size):
-            scores = sgd(vecs, row[centre].tolist(), context.tolist(), path, label, lr)
-            s = sigma(np.concatenate(scores))
-            taken = np.concatenate([labels[off[i]:off[i + 1]] for i in context.tolist()])
-            loss += loss_of(s, np.ones(len(s)), taken)
+        for place, context in pair_slices(texts, half, size):
+            centre = place[:, 1]
+            starts, begin, at, n, n1 = UNITS[unit](place[:, 0], context, paths)
+            # steps come as places of centres in their documents; their words follow
+            first = np.flatnonzero(np.diff(place[:, 0], prepend=-1)) if unit == "centre" else np.arange(len(centre))
+            scores = sgd(vecs, row[centre[first]], begin, at, n, n1, lr)
+            loss += loss_of(sigma(scores), n, n1)
             as_centre += np.bincount(centre, length[context], minlength=len(words)).astype(np.int64)
             as_context += np.bincount(context, minlength=len(words))
         used = np.flatnonzero(as_context)
-        touched = np.unique(np.concatenate([row[as_centre > 0], *[path[i] for i in used.tolist()]]))
+        touched = np.unique(np.concatenate([row[as_centre > 0], nodes[ragged(off[:-1][used], length[used])]]))
         shard.change[touched] += np.rint((vecs[touched] - shard.base[touched]) / QUANTUM) * QUANTUM
         vecs[touched] = shard.base[touched]
         shard.n[row] += as_centre
@@ -545,12 +602,13 @@ def gradient(work: Work, params: DataFrame) -> DataFrame:
     return changes(work, params, gradient_kernel)
 
 
-def local_sgd(work: Work, params: DataFrame, lr: float = LEARNING_RATE, half: int = sg.HALF_WINDOW) -> DataFrame:
+def local_sgd(work: Work, params: DataFrame, lr: float = LEARNING_RATE, half: int = sg.HALF_WINDOW, unit: str = "centre") -> DataFrame:
     """One round of SGD on every replica from the same parameters, as
-    :func:`changes`. A task holds its shard's vectors and tokens; of the pairs,
+    :func:`changes`. A step takes all pairs of a centre (``unit`` "centre") or
+    one ("pair"). A task holds its shard's vectors and tokens; of the pairs,
     ``SLICE_PAIRS`` are laid out at once."""
     size = SLICE_PAIRS
-    return changes(work, params, lambda shard, rows: replica_kernel(shard, rows, lr, half, size))
+    return changes(work, params, lambda shard, rows: replica_kernel(shard, rows, lr, half, size, unit))
 
 
 def _summed(found: pa.Table, keys: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -707,7 +765,7 @@ def select_batch(corpus: DataFrame, m: int) -> DataFrame:
 def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int = REPLICAS, dim: int = DIM,
               lr: float = LEARNING_RATE, seed: int = 0, schedule: str = "constant", batches: int = 1,
               half: int = sg.HALF_WINDOW, probes: Probes | None = None, prep: Prepared | None = None,
-              shards: int | None = None) -> Fit:
+              shards: int | None = None, unit: str = "centre") -> Fit:
     """The reference's scheme: per iteration and mini-batch, local SGD on every
     replica from the same parameters, then averaging over the replicas, a
     setting that does not depend on the corpus."""
@@ -720,7 +778,7 @@ def fit_local(corpus: DataFrame, iters: int = ITERATIONS, replicas: int = REPLIC
     for it in range(iters):
         rate = learning_rate(it, iters, lr, schedule)
         for work in works:
-            _next(fit, stepped(fit.params, local_sgd(work, fit.params, rate, half), averaging(replicas)))
+            _next(fit, stepped(fit.params, local_sgd(work, fit.params, rate, half, unit), averaging(replicas)))
         if probes:
             fit.report += probes.rows(it + 1, fit)
     for work in works:
