@@ -812,12 +812,13 @@ class Probes:
             self.keys = {r["word"]: r["id"] for r in fit.words.where(F.col("word").isin(*wanted)).collect()} if wanted else {}
         if not self.keys:
             return out
-        key = F.explode(F.array(*[F.lit(k).cast("bigint") for k in self.keys.values()])).alias("key")
-        held = fit.params.where(F.col("block") != LOSS_BLOCK).select(key, "keys", "vecs") \
-            .where(F.array_contains("keys", F.col("key")))
-        dim = (F.size("vecs") / F.size("keys")).cast("int")
-        place = F.array_position("keys", F.col("key")).cast("int") - 1
-        vec = {r["key"]: np.array(r["vec"]) for r in held.select("key", F.slice("vecs", place * dim + 1, dim).alias("vec")).collect()}
+        if not hasattr(self, "blocks"):     # which never change
+            asked = F.array(*[F.lit(k).cast("bigint") for k in self.keys.values()])
+            self.blocks = [r["block"] for r in fit.params.where(F.arrays_overlap("keys", asked)).select("block").collect()]
+        vec = {}
+        for r in fit.params.where(F.col("block").isin(*self.blocks)).select("keys", "vecs").collect():
+            some = np.array(r["vecs"]).reshape(len(r["keys"]), -1)
+            vec |= {k: v for k, v in zip(r["keys"], some) if k in self.keys.values()}
         known = {w: vec[k] for w, k in self.keys.items()}
         asked = [("nearest", w, known[w], set()) for w in self.words if w in known]
         asked += [("analogy", " ".join(t), known[t[0]] - known[t[1]] + known[t[2]], {self.keys[w] for w in t})
