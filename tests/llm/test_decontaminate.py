@@ -48,6 +48,8 @@ def test_several_blocks_give_the_same(spark, monkeypatch):
     docs = [(i, f"{filler(i, 30)} {filler(1000 + i % 7, 25)}") for i in range(40)]
     items = [(i, filler(1000 + i, 25)) for i in range(7)]
     one = {k: v.score for k, v in found(spark, docs, items).items()}
+    monkeypatch.setattr(dc, "SLICE_BYTES", 900)
+    assert one == {k: v.score for k, v in found(spark, docs, items).items()}
     monkeypatch.setattr(dc, "BLOCK_CHARS", 300)
     assert one == {k: v.score for k, v in found(spark, docs, items).items()}
     assert len(one) == 40

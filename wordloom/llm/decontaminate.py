@@ -42,14 +42,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import in_arrow, map_batches
-from wordloom.llm.words import ragged, split_words, texts_of
+from wordloom.llm.common import in_arrow
+from wordloom.llm.words import ragged, split_words, texts_of, utf8_bytes
 
 SHORT_ITEM = 12
 RUN_WORDS = 3
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 4_000_000
+SLICE_BYTES = 4 << 20       # texts of a batch are handled this many bytes at a time, a longer one alone
 WORD = re.compile(r"\w+")
 
 
@@ -64,6 +65,17 @@ def word_ids(texts: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.nda
     return ids, np.concatenate([[0], np.cumsum(per)])[w.offsets]
 
 
+def slices(batches, col: int):
+    """Arrow batches cut so that the texts of one take about ``SLICE_BYTES``."""
+    for b in batches:
+        bounds = utf8_bytes(texts_of(b.column(col)))[1]
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, side="right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def item_words(text: str) -> list[str]:
     """The words of one item, cut as :func:`word_ids` cuts documents."""
     lower = pc.utf8_lower(pa.array([text], pa.large_string()))
@@ -233,7 +245,7 @@ def seeded(docs: DataFrame, text_col: str, rows: list[tuple], min_score: float)
 
     def count(batches):
         total = np.zeros(len(bc.value.pairs), dtype=np.int64)
-        for b in batches:
+        for b in slices(batches, 0):
             total += np.bincount(bc.value.hits(*word_ids(texts_of(b.column(0)), bc.value.known))[1], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
@@ -262,17 +274,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for rows in blocks(items, item_id, item_text):
         bc = spark.sparkContext.broadcast(seeded(docs, text_col, rows, min_score))
 
-        def run(b: pa.RecordBatch, bc=bc) -> pa.RecordBatch:
-            ids, offsets = word_ids(texts_of(b.column(1)), bc.value.known)
-            m = matches(bc.value, ids, offsets, min_score)
-            cols = list(zip(*m)) if m else [()] * 5
-            item = pa.array([bc.value.item_ids[i] for i in cols[1]])
-            return pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(cols[0], pa.int64())), item if len(item) else pa.nulls(0, pa.int64()),
-                 *(pa.array(c, t) for c, t in zip(cols[2:], (pa.float64(), pa.int64(), pa.int64())))],
-                ["id", "item", "score", "first_word", "last_word"])
-
-        part = map_batches(docs.select(id_col, text_col), run,
+        def run(batches, bc=bc):
+            for b in slices(batches, 1):
+                ids, offsets = word_ids(texts_of(b.column(1)), bc.value.known)
+                m = matches(bc.value, ids, offsets, min_score)
+                cols = list(zip(*m)) if m else [()] * 5
+                item = pa.array([bc.value.item_ids[i] for i in cols[1]])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(cols[0], pa.int64())), item if len(item) else pa.nulls(0, pa.int64()),
+                     *(pa.array(c, t) for c, t in zip(cols[2:], (pa.float64(), pa.int64(), pa.int64())))],
+                    ["id", "item", "score", "first_word", "last_word"])
+
+        part = in_arrow(docs.select(id_col, text_col), run,
                            f"id {kind}, item {item_kind}, score double, first_word bigint, last_word bigint")
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
@@ -287,7 +300,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text",
         bc = spark.sparkContext.broadcast(seeded(docs, text_col, rows, min_score))
 
         def run(batches, bc=bc):
-            for b in batches:
+            for b in slices(batches, place):
                 ids, offsets = word_ids(texts_of(b.column(place)), bc.value.known)
                 keep = np.ones(b.num_rows, dtype=bool)
                 keep[[m[0] for m in matches(bc.value, ids, offsets, min_score)]] = False
