@@ -95,15 +95,100 @@ def test_quality_on_labels_not_fitted(docs, labels):
     assert model.passed[0] > 0                    # the sure view teaches the other
 
 
-def test_toxic_documents_not_fitted_are_rejected(spark):
+def test_toxic_documents_not_fitted_are_rejected_in_every_language(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     part = F.crc32(F.col("doc_id").cast("string")) % 2
-    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    told = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     model = qc.train(docs, labels.filter(part == 0))
-    got = qc.score(docs, model, toxicity=True).join(labels.filter(part == 1), "doc_id").toPandas()
+    got = qc.score(told, model, toxicity=True).join(labels.filter(part == 1), "doc_id") \
+        .join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     good = got[got.quality == 1]
-    assert (~good[good.toxic == 1].kept).mean() > 0.5
-    assert good[good.toxic == 0].kept.mean() > 0.98
+    print("passed on", model.passed, model.toxic.passed, "pieces", len(model.toxic.pieces))
+    print(good.groupby(["lang", "toxic"], dropna=False).kept.agg(["size", "sum"]))
+    toxic, clean = good[good.toxic == 1], good[good.toxic == 0]
+    assert (~toxic.kept).mean() > 0.93 and clean.kept.mean() > 0.98
+    assert (~toxic.kept).groupby(toxic.lang).mean().min() > 0.85
+    assert (got.kept == ((got.quality == 1) & (got.toxic == 0))).mean() > 0.97
+
+
+def test_word_pieces_and_shares_against_plain_counts():
+    texts = ["Bomentera bomentes ab ab abc\nbomentera", "", None, "ß ßß\ud800x ßß\ud800x", "idiot " * 3 + "word " * 500]
+    got = [qc.word_pieces(t) for t in texts]
+    chosen = np.unique(np.concatenate([qc.pieces_of(w) for w in ("bomentera", "ab", "ßß\ud800x", "idiot", "unseen")]))
+    shares = qc.piece_shares(texts, chosen)
+    for t, (at, k, n), row in zip(texts, got, shares):
+        words = qc.WORD.findall((t or "").lower())
+        plain = {}
+        for w in words:
+            for p in qc.pieces_of(w):
+                plain[p] = plain.get(p, 0) + 1
+        assert n == len(words) and dict(zip(at.tolist(), k.tolist())) == plain and list(at) == sorted(plain)
+        assert np.allclose(row, [np.log1p(100 * plain.get(p, 0) / (n + 50)) for p in chosen.tolist()])
+    evidence = qc.Evidence(got)
+    places = np.flatnonzero(np.isin(evidence.hashes, chosen))
+    assert np.allclose(evidence.shares(places), shares[:, np.isin(chosen, evidence.hashes)])
+
+
+def test_exact_tail_and_newton_fit_against_plain_programs():
+    from fractions import Fraction
+    from math import comb
+    for k, n, p in ((0, 5, .3), (3, 7, .118), (31, 62, .118), (40, 40, .5), (1, 1, .01)):
+        q = Fraction(p)
+        exact = float(sum(comb(n, i) * q ** i * (1 - q) ** (n - i) for i in range(k, n + 1)))
+        assert qc.binomial_tail(np.array([k]), np.array([n]), p)[0] == pytest.approx(exact, rel=1e-9)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    weight = rng.uniform(0.5, 2, 200)
+    fit = qc.fit_logistic(x, y, weight)
+    # the slope of the penalised log loss, row by row, vanishes
+    slope = [qc.RIDGE * w for w in fit.weights[:-1]] + [0.0]
+    for row, label, w in zip(x, y, weight):
+        z = [(v - m) / s for v, m, s in zip(row, fit.mean, fit.scale)] + [1.0]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(z, fit.weights))))
+        slope = [g + w * (p - label) * a for g, a in zip(slope, z)]
+    assert max(map(abs, slope)) < 1e-2
+
+
+def test_rows_are_passed_on_only_where_kept_rows_bear_it_out():
+    def plain(p, right, weight):
+        from math import comb
+        best, base = np.inf, sum(right) / len(right)
+        for cut in sorted(set(p)):
+            at = [i for i in range(len(p)) if p[i] >= cut]
+            k, n = sum(right[i] for i in at), len(at)
+            tail = sum(comb(n, i) * base ** i * (1 - base) ** (n - i) for i in range(int(k), n + 1))
+            if sum(weight[i] * right[i] for i in at) >= qc.SURE * sum(weight[i] for i in at) and tail <= qc.CHANCE:
+                best = min(best, cut)
+        return best
+    rng = np.random.default_rng(4)
+    for signal in (0.0, 1.0, 3.0):
+        right = rng.integers(0, 2, 80).astype(float)
+        p = np.round(1 / (1 + np.exp(-signal * (2 * right - 1) - rng.normal(size=80))), 2)
+        weight = rng.uniform(0.5, 2, 80)
+        assert qc.sure_from(p, right, weight) == plain(p.tolist(), right.tolist(), weight.tolist())
+    assert qc.sure_from(np.full(100, 0.9), np.ones(100), np.ones(100)) == np.inf     # no better than chance
+
+
+def test_evidence_chooses_as_a_plain_program():
+    from math import comb
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"], 6)) + (" vile vile" if i % 5 == 0 else "") for i in range(120)]
+    bad = np.array([i % 5 == 0 for i in range(100)], dtype=float)
+    rows = np.arange(100)
+    evidence = qc.Evidence([qc.word_pieces(t) for t in texts])
+    expected = set()
+    counts = [dict(zip(*[v.tolist() for v in qc.word_pieces(t)[:2]])) for t in texts]
+    pieces = {p for c in counts for p in c}
+    for p in pieces:
+        for times in (1, 2):
+            held = [i for i in range(100) if counts[i].get(p, 0) >= times]
+            k, n, q = int(sum(bad[i] for i in held)), len(held), 0.2
+            tail = sum(comb(n, i) * q ** i * (1 - q) ** (n - i) for i in range(k, n + 1))
+            if k > 1 and k > q * n and tail * 2 * len(pieces) <= qc.WORD_RISK:
+                expected.add(p)
+    got = set(evidence.hashes[evidence.choose(rows, bad)].tolist())
+    assert got == expected == set(qc.pieces_of("vile"))
 
 
 def test_a_view_without_information_passes_nothing_wrong_on():

@@ -14,9 +14,8 @@ def test_pipeline_against_brute_force(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     quality = quality_classifier.train(docs, labels)
-    kept = [i for i, r in rows.items() if quality.score(
-        quality_classifier.text_features(r.text)[None], quality_classifier.meta_features(r.source, r.lang, r.n_chars)[None])[0]
-        >= quality_classifier.KEEP]
+    kept = [i for i, r in rows.items() if quality_classifier.judge(quality, [r.text], [r.source], [r.lang], [r.n_chars])[0]
+            >= quality_classifier.KEEP]
     language = language_id.train(docs.filter(docs.doc_id.isin(kept)))
     kept = sorted(i for i in kept if (p := language.predict(rows[i].text))[0] != "und" and p[1] >= cp.MIN_LANGUAGE_SCORE)
     least = brute_components([brute_fingerprint(rows[i].text) for i in kept], 2)

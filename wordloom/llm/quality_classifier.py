@@ -6,29 +6,32 @@ of repetition and length. The metadata view sees only source, language and the
 recorded number of characters. Both are ridge logistic regressions.
 
 Each is fitted on labelled rows. In every round each view scores a pool of
-unlabelled rows, and the rows it is most confident of, by its probabilities
-calibrated on labelled rows kept apart, join the training set of the other
-view. A view whose calibrated probabilities never get sure passes nothing on.
-In the end both views are calibrated and combined by a logistic regression on
-the rows kept apart, and the combination scores all documents.
-
-Toxicity is a label of its own and seen by its words: of the hashed words of
-the labelled documents' whole texts, those that stand in toxic ones more often
-than chance allows (exact binomial tail, Bonferroni over all words) enter a
-ridge logistic regression. A document is good where it is of quality and not
+unlabelled rows, and the rows it is most confident of join the training set of
+the other view. A view passes on only rows as confident as those it is right
+about on labelled rows kept apart (at least :data:`SURE` of them, and more
+often than chance allows), so that a view without information stays silent. In
+the end both views are calibrated and combined by a logistic regression on the
+rows kept apart, and the combination scores all documents.
+
+Two targets are co-trained so: quality, and not being toxic. The text view of
+toxicity sees words: how large a part of the whole text's words is a given word
+or starts with given letters. In every round those words and word starts are
+chosen anew that stand, once or twice or more, in toxic rows more often than
+chance allows (exact binomial tail, Bonferroni over all of them); rows count by
+their label or pseudo-label. A document is good where it is of quality and not
 toxic: its score is the lesser of both probabilities. Labels that bear out no
 word leave toxicity out.
 
-Fitting uses a bounded sample: :data:`LABELLED_ROWS` labelled rows, half of
-them of each class where there are as many, and :data:`POOL_ROWS` unlabelled
-ones, all by id hash. Rows are weighted back to the class counts of all labels.
+Fitting uses a bounded sample: :data:`LABELLED_ROWS` of toxic, of bad and of
+good labelled rows, and :data:`POOL_ROWS` unlabelled ones, all by id hash. Rows
+are weighted back to the counts of all labels.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-from math import lgamma
+from collections import Counter
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -38,11 +41,12 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import hash_share, in_arrow, map_batches
 
-LABELLED_ROWS = 4_000
+LABELLED_ROWS = {"toxic": 1_200, "bad": 1_200, "good": 1_600}
 POOL_ROWS = 4_000
 ROUNDS = 4
 PER_ROUND = 300
 SURE = 0.98
+CHANCE = 0.001              # of a view without information passing rows on, per round and label
 RIDGE = 1.0
 KEEP = 0.5
 CLASSES = 9
@@ -51,9 +55,8 @@ TEXT_SIZE = CLASSES ** 3 + DENSE
 SOURCES, LANGUAGES, SIZES = 64, 32, 24
 META_SIZE = SOURCES + LANGUAGES + SIZES
 WORD = re.compile(r"\w+")
-WORD_HASHES = 1 << 24       # whole numbers that single precision holds
+STARTS = range(3, 8)        # lengths of word starts, in characters
 WORD_RISK = 0.01            # of taking any word for toxic by chance
-MAX_WORDS = 1_000
 
 _CLASS = np.full(0x250, 8, dtype=np.uint8)
 for _c in range(0x250):
@@ -62,16 +65,50 @@ for _c in range(0x250):
                   3 if _s.isspace() else 5 if _s in ".,;:'\"()-" else 6 if _s in "!?" else 7 if _s in "#*$%&|<>@^~_=+\\/{}[]" else 8)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the distinct words of one whole text, ascending."""
-    found = {crc32(w.encode("utf-8", "surrogatepass")) % WORD_HASHES for w in set(WORD.findall((text or "").lower()))}
-    return np.array(sorted(found), dtype=np.int32)
-
-
-def text_features(text: str | None) -> np.ndarray:
-    """All that is seen of one text: ``TEXT_SIZE`` measures, then its word
-    hashes."""
-    return np.concatenate([text_measures(text), word_hashes(text).astype(np.float32)])
+def _hash(text: str) -> int:
+    return crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def pieces_of(word: str) -> list[int]:
+    """Hashes of a word and of its starts; the upper half is that of the
+    shortest start, so words that share none are told apart by it alone."""
+    head = _hash(word[:STARTS[0]]) >> 1 << 32
+    return [head | _hash(word + " "), *[head | _hash(word[:n]) for n in STARTS if n <= len(word)]]
+
+
+def share_measure(count: np.ndarray, words: int) -> np.ndarray:
+    """What ``count`` of a text's words counts for; short texts count less."""
+    return np.log1p(100 * count / (words + 50))
+
+
+def word_pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of a whole text's words and word starts, ascending, how often
+    each occurs, and the number of words."""
+    words = Counter(WORD.findall((text or "").lower()))
+    found = [(p, k) for w, k in words.items() for p in pieces_of(w)]
+    at, of = np.unique(np.array([p for p, _ in found], dtype=np.int64), return_inverse=True)
+    count = np.bincount(of.reshape(-1), [k for _, k in found], minlength=len(at)) if found else np.zeros(0)
+    return at, count.astype(np.int32), words.total()
+
+
+def piece_shares(texts: list[str | None], chosen: np.ndarray) -> np.ndarray:
+    """One row per whole text, one column per chosen piece."""
+    x = np.zeros((len(texts), len(chosen)), dtype=np.float32)
+    place = {p: j for j, p in enumerate(chosen.tolist())}
+    heads = {p >> 32 for p in place}
+    known: dict[str, bool] = {}
+    for i, text in enumerate(texts):
+        words = WORD.findall((text or "").lower())
+        for w in words:
+            head = w[:STARTS[0]]
+            if head not in known:
+                known[head] = _hash(head) >> 1 in heads
+            if known[head]:
+                for p in pieces_of(w):
+                    if p in place:
+                        x[i, place[p]] += 1
+        x[i] = share_measure(x[i], len(words))
+    return x
 
 
 def text_measures(text: str | None) -> np.ndarray:
@@ -143,52 +180,63 @@ def probability(logit: np.ndarray) -> np.ndarray:
 
 def binomial_tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     """P(X >= k) of a binomial distribution, exact."""
+    log_factorial = np.append(0, np.cumsum(np.log(np.arange(1, n.max(initial=0) + 1))))
+
     def one(k: int, n: int) -> float:
         i = np.arange(k, n + 1)
-        logs = [lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) for j in i.tolist()]
-        return float(np.exp(np.array(logs) + i * np.log(p) + (n - i) * np.log1p(-p)).sum())
+        logs = log_factorial[n] - log_factorial[i] - log_factorial[n - i] + i * np.log(p) + (n - i) * np.log1p(-p)
+        return float(np.exp(logs).sum())
     known: dict[tuple[int, int], float] = {}
     return np.array([known[c] if c in known else known.setdefault(c, one(*c)) for c in zip(k.tolist(), n.tolist())])
 
 
-@dataclass
-class Toxicity:
-    """Word hashes, ascending, and the logistic regression on which of them a
-    text holds."""
-    words: np.ndarray
-    fit: Logistic
-
-    def held(self, texts: list[np.ndarray]) -> np.ndarray:
-        """One row per text, one column per word."""
-        return np.array([np.isin(self.words, t) for t in texts], dtype=np.float32).reshape(len(texts), len(self.words))
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        return probability(self.fit.logit(self.held(texts)))
-
-
-def fit_toxicity(texts: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> Toxicity | None:
-    """``texts``: the word hashes of labelled rows."""
-    if not 0 < toxic.sum() < len(toxic):
-        return None
-    words, at = np.unique(np.concatenate(texts), return_inverse=True)
-    of = np.repeat(toxic, [len(t) for t in texts])
-    n, k = np.bincount(at, minlength=len(words)), np.bincount(at[of == 1], minlength=len(words))
-    share = toxic.mean()
-    able = np.flatnonzero((k > share * n) & (k > 1))
-    tail = binomial_tail(k[able], n[able], share)
-    borne_out = np.flatnonzero(tail * max(1, len(words)) <= WORD_RISK)
-    chosen = able[borne_out[np.argsort(tail[borne_out], kind="stable")][:MAX_WORDS]]
-    if not len(chosen):
-        return None
-    model = Toxicity(np.sort(words[chosen]), None)
-    model.fit = fit_logistic(model.held(texts), toxic.astype(float), weight)
-    return model
+class Evidence:
+    """The words and word starts of sampled texts: an entry per row and
+    distinct piece."""
+
+    def __init__(self, pieces: list[tuple[np.ndarray, np.ndarray, int]]):
+        self.rows = len(pieces)
+        sizes = [len(at) for at, _, _ in pieces]
+        self.hashes, piece = np.unique(np.concatenate([np.zeros(0, np.int64), *[at for at, _, _ in pieces]]), return_inverse=True)
+        self.piece = piece.reshape(-1).astype(np.int32)
+        self.row = np.repeat(np.arange(self.rows, dtype=np.int32), sizes)
+        self.count = np.concatenate([np.zeros(0, np.int32), *[k for _, k, _ in pieces]])
+        self.words = np.array([n for _, _, n in pieces], dtype=np.int64)
+
+    def choose(self, rows: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        """Places of the pieces that stand, at least once or at least twice,
+        in bad rows more often than chance allows."""
+        label = np.full(self.rows, -1, dtype=np.int8)
+        label[rows] = bad
+        share = label[label >= 0].mean()
+        if not 0 < share < 1:
+            return np.zeros(0, dtype=np.int64)
+        of = label[self.row]
+        found = []
+        for times in (1, 2):
+            seen = (of >= 0) & (self.count >= times)
+            n = np.bincount(self.piece[seen], minlength=len(self.hashes))
+            k = np.bincount(self.piece[seen & (of == 1)], minlength=len(self.hashes))
+            able = np.flatnonzero((k > share * n) & (k > 1))
+            found.append(able[binomial_tail(k[able], n[able], share) * 2 * len(self.hashes) <= WORD_RISK])
+        return np.unique(np.concatenate(found))
+
+    def shares(self, chosen: np.ndarray) -> np.ndarray:
+        """As :func:`piece_shares` of the sampled texts."""
+        column = np.full(len(self.hashes), -1, dtype=np.int64)
+        column[chosen] = np.arange(len(chosen))
+        at = np.flatnonzero(column[self.piece] >= 0) if len(chosen) else np.zeros(0, dtype=np.int64)
+        x = np.zeros((self.rows, len(chosen)), dtype=np.float32)
+        x[self.row[at], column[self.piece[at]]] = share_measure(self.count[at], self.words[self.row[at]])
+        return x
 
 
 @dataclass
 class Model:
-    """The fitted views, their calibrations and the combination; ``constant``
-    is the quality of every row where labels do not hold both classes."""
+    """The fitted views of one target, their calibrations and the combination;
+    ``constant`` is the probability of every row where labels do not hold both
+    classes. ``pieces``: the words and word starts that end the text view.
+    ``toxic``: the model of not being toxic beside one of quality."""
     constant: float | None
     text: Logistic | None = None
     meta: Logistic | None = None
@@ -196,80 +244,104 @@ class Model:
     meta_scale: Logistic | None = None
     both: Logistic | None = None
     passed: tuple[int, int] = (0, 0)    # pseudo-labels given by the text and by the metadata view
+    pieces: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    toxic: Model | None = None
 
-    toxic: Toxicity | None = None
-
-    def score(self, x_text: np.ndarray, x_meta: np.ndarray, words: list[np.ndarray] | None = None) -> np.ndarray:
-        """The lesser probability of quality and of no toxicity. ``words``: the word hashes,
-        where they do not follow the measures in ``x_text``."""
-        quality = self.quality(x_text, x_meta)
-        return quality if self.toxic is None else np.minimum(quality, 1 - self.toxic.score(
-            list(x_text[:, TEXT_SIZE:]) if words is None else words))
-
-    def quality(self, x_text: np.ndarray, x_meta: np.ndarray) -> np.ndarray:
-        """Probability of quality alone."""
+    def score(self, x_text: np.ndarray, x_meta: np.ndarray) -> np.ndarray:
+        """Probability of the target."""
         if self.constant is not None:
             return np.full(len(x_text), self.constant)
-        x_text = x_text[:, :len(self.text.mean)]
         views = np.column_stack([self.text_scale.logit(self.text.logit(x_text)[:, None]),
                                  self.meta_scale.logit(self.meta.logit(x_meta)[:, None])])
         return probability(self.both.logit(views))
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pool: list[np.ndarray]) -> Model:
+def sure_from(p: np.ndarray, right: np.ndarray, weight: np.ndarray) -> float:
+    """The least probability from which on rows kept apart are right as often
+    as :data:`SURE`, and more often than chance allows; infinite without any."""
+    if right.all():
+        return np.inf
+    order = np.argsort(-p, kind="stable")
+    p, right, weight = p[order], right[order], weight[order]
+    ends = np.append(p[1:] != p[:-1], True)
+    share = np.cumsum(weight * right) / np.cumsum(weight)
+    able = np.flatnonzero(ends & (share >= SURE))
+    tail = binomial_tail(np.cumsum(right)[able].astype(np.int64), able + 1, float(right.mean()))
+    able = able[tail <= CHANCE]
+    return float(p[able[-1]]) if len(able) else np.inf
+
+
+def co_train(x: list[np.ndarray], y: np.ndarray, weight: np.ndarray, pool: list[np.ndarray],
+             evidence: Evidence | None = None) -> Model:
     """``x`` and ``pool``: (text view, metadata view) of labelled and
-    unlabelled rows. Every third labelled row is kept apart for calibration."""
+    unlabelled rows. Every third labelled row is kept apart for calibration.
+    ``evidence``: the words of the labelled and then of the unlabelled rows."""
     apart = np.arange(len(y)) % 3 == 2
     if min(y[apart].sum(), (1 - y[apart]).sum(), y[~apart].sum(), (1 - y[~apart]).sum()) < 1:
         return Model(float((y * weight).sum() / weight.sum()))
+    rows = [np.vstack(v) for v in zip(x, pool)]
+    kept, unknown = np.flatnonzero(apart), np.arange(len(y), len(rows[0]))
     # per view: training rows, labels, weights
-    sets = [[v[~apart], y[~apart].astype(float), weight[~apart]] for v in x]
-    free = [np.ones(len(pool[0]), dtype=bool) for _ in x]
+    sets = [[np.flatnonzero(~apart), y[~apart].astype(float), weight[~apart]] for _ in x]
+    free = [np.ones(len(unknown), dtype=bool) for _ in x]
     passed = [0, 0]
-
-    def fitted(v: int) -> tuple[Logistic, Logistic]:
-        model = fit_logistic(*sets[v])
-        scale = fit_logistic(model.logit(x[v][apart])[:, None], y[apart], weight[apart], ridge=0.1)
-        return model, scale
-
-    views = [fitted(0), fitted(1)]
     base = float((y * weight).sum() / weight.sum())
+
+    def fitted() -> tuple[list[np.ndarray], list[tuple[Logistic, Logistic]], np.ndarray]:
+        """Both views' inputs, fits and calibrations, and the chosen pieces."""
+        chosen, seen = np.zeros(0, dtype=np.int64), rows
+        if evidence is not None:
+            chosen = evidence.choose(np.concatenate([s[0] for s in sets]), 1 - np.concatenate([s[1] for s in sets]))
+            seen = [np.hstack([rows[0], evidence.shares(chosen)]), rows[1]]
+        views = []
+        for v, (at, labels, weights) in enumerate(sets):
+            model = fit_logistic(seen[v][at], labels, weights)
+            views.append((model, fit_logistic(model.logit(seen[v][kept])[:, None], y[apart], weight[apart], ridge=0.1)))
+        return seen, views, chosen
+
+    seen, views, chosen = fitted()
     for _ in range(ROUNDS):
         given = 0
         for v in (0, 1):
             other = 1 - v
             model, scale = views[v]
-            p = probability(scale.logit(model.logit(pool[v])[:, None])) if len(pool[v]) else np.zeros(0)
-            rows, labels = [], []
-            for label, sure, share in ((1, p, base), (0, 1 - p, 1 - base)):
-                able = np.flatnonzero(free[v] & (sure >= SURE))
+            known, p = (probability(scale.logit(model.logit(seen[v][at])[:, None])) for at in (kept, unknown))
+            for label, of_known, sure, share in ((1.0, known, p, base), (0.0, 1 - known, 1 - p, 1 - base)):
+                cut = sure_from(of_known, (y[apart] == label).astype(float), weight[apart])
+                able = np.flatnonzero(free[v] & (sure >= cut))
                 best = able[np.argsort(-sure[able], kind="stable")][:max(1, int(PER_ROUND * share))]
-                rows += best.tolist()
-                labels += [float(label)] * len(best)
-            free[v][rows] = False
-            if rows:
+                free[v][best] = False
                 s = sets[other]
-                sets[other] = [np.vstack([s[0], pool[other][rows]]), np.append(s[1], labels),
-                               np.append(s[2], np.full(len(rows), weight.mean()))]
-            passed[v] += len(rows)
-            given += len(rows)
-        views = [fitted(0), fitted(1)]
+                sets[other] = [np.append(s[0], unknown[best]), np.append(s[1], np.full(len(best), label)),
+                               np.append(s[2], np.full(len(best), weight.mean()))]
+                passed[v] += len(best)
+                given += len(best)
         if not given:
             break
-    logits = np.column_stack([views[v][1].logit(views[v][0].logit(x[v][apart])[:, None]) for v in (0, 1)])
+        seen, views, chosen = fitted()
+    logits = np.column_stack([views[v][1].logit(views[v][0].logit(seen[v][kept])[:, None]) for v in (0, 1)])
     both = fit_logistic(logits, y[apart], weight[apart], ridge=0.1)
-    return Model(None, views[0][0], views[1][0], views[0][1], views[1][1], both, tuple(passed))
+    return Model(None, views[0][0], views[1][0], views[0][1], views[1][1], both, tuple(passed),
+                 np.zeros(0, dtype=np.int64) if evidence is None else evidence.hashes[chosen])
 
 
-def _views(b: pa.RecordBatch, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    text, source, lang, size = (b.column(i).to_pylist() for i in at)
-    return (np.array([text_measures(t) for t in text], dtype=np.float32).reshape(b.num_rows, TEXT_SIZE),
-            np.array([meta_features(*m) for m in zip(source, lang, size)], dtype=np.float32).reshape(b.num_rows, META_SIZE))
+def views_of(text: list, source: list, lang: list, size: list) -> tuple[np.ndarray, np.ndarray]:
+    return (np.array([text_measures(t) for t in text], dtype=np.float32).reshape(len(text), TEXT_SIZE),
+            np.array([meta_features(*m) for m in zip(source, lang, size)], dtype=np.float32).reshape(len(text), META_SIZE))
 
 
-def _good(model: Model, b: pa.RecordBatch, at: list[int]) -> np.ndarray:
-    words = None if model.toxic is None else [word_hashes(t) for t in b.column(at[0]).to_pylist()]
-    return model.score(*_views(b, at), words)
+def judge(model: Model, text: list, source: list, lang: list, size: list, toxicity: bool = True) -> np.ndarray:
+    """Scores of rows: the probability of quality or, with ``toxicity``, the
+    lesser one of quality and of not being toxic."""
+    x_text, x_meta = views_of(text, source, lang, size)
+    p = model.score(x_text, x_meta)
+    if toxicity and model.toxic is not None:
+        p = np.minimum(p, model.toxic.score(piece_shares(text, model.toxic.pieces), x_meta))
+    return p
+
+
+def _columns(b: pa.RecordBatch, at: list[int]) -> list[list]:
+    return [b.column(i).to_pylist() for i in at]
 
 
 VIEW_COLUMNS = ("text", "source", "lang", "n_chars")
@@ -287,46 +359,56 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_co
                            (F.avg(F.when(F.col("x").isin(0, 1), F.col("x"))) >= 0.5).cast("int").alias("toxic"))
     ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
     marked = ids.join(label, "id", "left").withColumn("h", F.xxhash64("id", F.lit("quality")))
-    totals = {r["good"]: r["count"] for r in marked.groupBy("good").count().collect()}     # 0, 1 and null
-    limits = {None: POOL_ROWS, 0: LABELLED_ROWS // 2, 1: LABELLED_ROWS // 2}
-    share = {g: 1.3 * n / totals[g] for g, n in limits.items() if totals.get(g)}
-    below = F.when(F.col("good").isNull(), share.get(None, 0.0)).when(F.col("good") == 1, share.get(1, 0.0)) \
-        .otherwise(share.get(0, 0.0))
-    limit = F.when(F.col("good").isNull(), POOL_ROWS).otherwise(LABELLED_ROWS // 2)
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("good") == 1, "good").when(F.col("good") == 0, "bad").otherwise("none")
+    marked = marked.withColumn("kind", kind)
+    totals = {r["kind"]: r["count"] for r in marked.groupBy("kind").count().collect()}
+    limits = LABELLED_ROWS | {"none": POOL_ROWS}
+    below, limit = F.lit(0.0), F.lit(0)
+    for k, n in limits.items():
+        below = F.when(F.col("kind") == k, 1.3 * n / max(1, totals.get(k, 0))).otherwise(below)
+        limit = F.when(F.col("kind") == k, n).otherwise(limit)
     chosen = marked.filter(hash_share(F.col("h")) < below) \
-        .withColumn("k", F.row_number().over(Window.partitionBy("good").orderBy("h", "id"))).filter(F.col("k") <= limit)
-    # LABELLED_ROWS + POOL_ROWS rows at most
-    small = F.broadcast(chosen.select(F.col("id").alias("i"), "good", "toxic", "h").dropDuplicates(["i"]))
+        .withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("h", "id"))).filter(F.col("k") <= limit)
+    # LABELLED_ROWS and POOL_ROWS at most
+    small = F.broadcast(chosen.select(F.col("id").alias("i"), "good", "toxic", "kind", "h").dropDuplicates(["i"]))
     rows = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]) \
-        .join(small, F.col("id") == F.col("i")).select("good", "h", *[f"v{i}" for i in range(4)], "toxic")
+        .join(small, F.col("id") == F.col("i")).select("good", "toxic", "kind", "h", *[f"v{i}" for i in range(4)])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        xt, xm = _views(b, [2, 3, 4, 5])
-        words = [None if x is None else word_hashes(t) for t, x in zip(b.column(2).to_pylist(), b.column(6).to_pylist())]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(xt), pa.list_(pa.float32())),
-                                           pa.array(list(xm), pa.list_(pa.float32())), b.column(6),
-                                           pa.array(words, pa.list_(pa.int32()))], ["good", "h", "t", "m", "toxic", "w"])
-
-    kinds = "good int, h bigint, t array<float>, m array<float>, toxic int, w array<int>"
-    got = map_batches(rows, run, kinds).orderBy("h").toArrow()
-    good = np.array([-1 if g is None else g for g in got["good"].to_pylist()], dtype=np.int64)
-    view = [np.asarray(got[c].combine_chunks().values, dtype=np.float32).reshape(len(good), -1) if len(good) else
-            np.zeros((0, n), np.float32) for c, n in (("t", TEXT_SIZE), ("m", META_SIZE))]
-    marks = np.array([-1 if x is None else x for x in got["toxic"].to_pylist()], dtype=np.int64)
-    told = np.flatnonzero(marks >= 0)
-    texts = [got["w"][i].values.to_numpy(zero_copy_only=False).copy() for i in told.tolist()]
-    del got
+        given = _columns(b, [4, 5, 6, 7])
+        xt, xm = views_of(*given)
+        pieces = [word_pieces(t) for t in given[0]]
+        return pa.RecordBatch.from_arrays(
+            [*b.columns[:4], pa.array(list(xt), pa.list_(pa.float32())), pa.array(list(xm), pa.list_(pa.float32())),
+             pa.array([p for p, _, _ in pieces], pa.list_(pa.int64())), pa.array([k for _, k, _ in pieces], pa.list_(pa.int32())),
+             pa.array([n for _, _, n in pieces], pa.int64())], ["good", "toxic", "kind", "h", "t", "m", "p", "k", "n"])
+
+    schema = "good int, toxic int, kind string, h bigint, t array<float>, m array<float>, p array<bigint>, k array<int>, n bigint"
+    got = map_batches(rows, run, schema).orderBy("h").toArrow()
+    if not len(got):
+        return Model(1.0)
+    good, bad_words = (np.array([-1 if g is None else g for g in got[c].to_pylist()], dtype=np.int64) for c in ("good", "toxic"))
+    view = [np.asarray(got[c].combine_chunks().values, dtype=np.float32).reshape(len(good), -1) for c in ("t", "m")]
+    kinds = got["kind"].to_pylist()
+    in_sample = Counter(kinds)
+    weight = np.array([totals[k] / in_sample[k] for k in kinds])
     known = good >= 0
-    y = good[known].astype(float)
-    if not len(y):
+    if not known.any():
         return Model(1.0)
-    in_sample = {g: max(1, int((y == g).sum())) for g in (0, 1)}
-    weight = np.array([totals.get(int(g), 0) / in_sample[int(g)] for g in y])
-    weight = weight / weight.mean()
-    model = co_train([v[known] for v in view], y, weight, [v[~known] for v in view])
-    of_row = np.zeros(len(good))
-    of_row[known] = weight
-    model.toxic = fit_toxicity(texts, marks[told], of_row[told])
+
+    def fit(known: np.ndarray, y: np.ndarray, x: list[np.ndarray], evidence: Evidence | None = None) -> Model:
+        return co_train([v[known] for v in x], y[known].astype(float), weight[known] / weight[known].mean(),
+                        [v[~known] for v in x], evidence)
+
+    model = fit(known, good, view)
+    told = bad_words >= 0
+    if 0 < (bad_words == 1).sum() < told.sum():
+        p, k, n = got["p"].combine_chunks(), got["k"].combine_chunks(), got["n"].to_pylist()
+        order = np.append(np.flatnonzero(told), np.flatnonzero(~told)).tolist()
+        evidence = Evidence([(p[i].values.to_numpy(), k[i].values.to_numpy(), n[i]) for i in order])
+        toxic = fit(told, 1 - bad_words, [np.zeros((len(good), 0), dtype=np.float32), view[1]], evidence)
+        if toxic.constant is None and len(toxic.pieces):
+            model.toxic = toxic
     return model
 
 
@@ -338,7 +420,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
     bc = docs.sparkSession.sparkContext.broadcast(model)     # some thousand numbers
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = _good(bc.value, b, [1, 2, 3, 4]) if toxicity else bc.value.quality(*_views(b, [1, 2, 3, 4]))
+        s = judge(bc.value, *_columns(b, [1, 2, 3, 4]), toxicity)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(s >= keep)],
                                           ["id", "quality_score", "kept"])
 
@@ -356,6 +438,6 @@ def keep_good(docs: DataFrame, model: Model, columns: tuple[str, str, str, str]
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(_good(bc.value, b, at) >= keep)) if b.num_rows else b
+            yield b.filter(pa.array(judge(bc.value, *_columns(b, at)) >= keep)) if b.num_rows else b
 
     return in_arrow(docs, run, docs.schema)
