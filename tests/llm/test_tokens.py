@@ -227,3 +227,17 @@ def test_sum_of_squares_against_plain_loop():
             count[h + s] += h + s < capacity
             assert (window[i], offset[i]) == (w, h)
         assert sorted(left) == [w for w, f in enumerate(fills) if f[0] < capacity]
+
+
+def test_windows_left_open_go_through_the_same_rule_again():
+    rnd = random.Random(6)
+    for capacity, n in ((10, 200), (2048, 1000), (33, 1)):
+        sizes = np.array([rnd.randint(1, capacity - 1) for _ in range(n)])
+        window, offset, _ = packing.sum_of_squares(sizes, capacity)
+        again, place = packing.place_again(sizes, window, offset, capacity)
+        assert sorted(set(again)) == list(range(again.max() + 1)) and again.max() <= window.max()
+        for w in range(again.max() + 1):
+            at = sorted(np.flatnonzero(again == w), key=lambda i: place[i])
+            assert [place[i] for i in at] == [sum(sizes[at[:j]]) for j in range(len(at))] and sizes[at].sum() <= capacity
+        full = np.bincount(window, sizes)[window] == capacity
+        assert (offset[full] == place[full]).all()

@@ -9,9 +9,9 @@ level, then to the window opened last.
 
 Remainders are dealt to packers by a hash, so a packer's work and its level
 array are bounded (:data:`ITEMS_PER_PACKER` expected remainders, capacity
-levels) however large the input or its largest source. What a packer still
-has open at the end below :data:`CLOSE_FILL` of the capacity is placed anew,
-longest first into the fullest window that holds it.
+levels) however large the input or its largest source. What lies in windows
+that are not full at the end goes through another round of the same rule,
+longest first.
 
 Sequence ids are dense: prefix sums over the groups that made sequences.
 """
@@ -35,7 +35,6 @@ from wordloom.llm.words import texts_of
 
 CAPACITY = 2048
 ITEMS_PER_PACKER = 8_000
-CLOSE_FILL = 0.98
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -71,35 +70,16 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return window, offset, [w for level in stack for w in level]
 
 
-def close_windows(sizes: np.ndarray, window: np.ndarray, offset: np.ndarray, open_windows: list[int],
-                  capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Empties open windows filled below ``CLOSE_FILL`` and places what they
-    held anew, longest first, into the fullest window it fits; windows are
-    numbered densely again."""
+def place_again(sizes: np.ndarray, window: np.ndarray, offset: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Empties the windows that are not full and sends what they held through
+    another round of the same rule, longest first; windows are numbered
+    densely again."""
     window, offset = window.copy(), offset.copy()
-    fill = np.bincount(window, sizes, minlength=(window.max() + 1) if len(window) else 0).astype(np.int64)
-    weak = {w for w in open_windows if fill[w] < CLOSE_FILL * capacity}
-    again = [i for i in range(len(sizes)) if window[i] in weak]
-    again.sort(key=lambda i: (-sizes[i], i))
-    count = np.zeros(capacity + 1, dtype=np.int64)
-    stack: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for w in open_windows:
-        if w not in weak:
-            count[fill[w]] += 1
-            stack[fill[w]].append(w)
-    new = len(fill)
-    for i in again:
-        s = int(sizes[i])
-        fits = np.flatnonzero(count[1:capacity - s + 1])
-        if len(fits):
-            h = int(fits[-1]) + 1
-            w = stack[h].pop()
-            count[h] -= 1
-        else:
-            h, w, new = 0, new, new + 1
-        window[i], offset[i] = w, h
-        stack[h + s].append(w)
-        count[h + s] += 1
+    fill = np.bincount(window, sizes)
+    again = np.flatnonzero(fill[window] < capacity)
+    again = again[np.argsort(-sizes[again], kind="stable")]
+    placed, offset[again], _ = sum_of_squares(sizes[again], capacity)
+    window[again] = len(fill) + placed
     return np.unique(window, return_inverse=True)[1].reshape(-1), offset
 
 
@@ -156,8 +136,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = CAPA
     def packer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "salt"], kind="stable").reset_index(drop=True)
         sizes = pdf["length"].to_numpy()
-        window, offset, left = sum_of_squares(sizes, capacity)
-        window, offset = close_windows(sizes, window, offset, left, capacity)
+        window, offset = place_again(sizes, *sum_of_squares(sizes, capacity)[:2], capacity)
         return pdf.assign(seq=window, offset=offset).drop(columns=["order"])
 
     # by the salt too, or a row that repeats would fill one packer
