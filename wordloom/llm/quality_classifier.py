@@ -18,7 +18,8 @@ toxicity sees words: how large a part of the whole text's words is a given word
 or starts with given letters. In every round those words and word starts are
 chosen anew that stand, once or twice or more, in toxic rows more often than
 chance allows (exact binomial tail, Bonferroni over all of them); rows count by
-their label or pseudo-label. A document is good where it is of quality and not
+their label or pseudo-label. Candidates are those that labels alone make likely
+(:data:`CANDIDATE_RISK`), found by sums in Spark. A document is good where it is of quality and not
 toxic: its score is the lesser of both probabilities. Labels that bear out no
 word leave toxicity out.
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import hash_share, in_arrow, map_batches
+from wordloom.llm.common import hash_share, in_arrow, map_batches, remove, written
 
 LABELLED_ROWS = {"toxic": 1_200, "bad": 1_200, "good": 1_600}
 POOL_ROWS = 4_000
@@ -56,6 +57,7 @@ SOURCES, LANGUAGES, SIZES = 64, 32, 24
 META_SIZE = SOURCES + LANGUAGES + SIZES
 WORD = re.compile(r"\w+")
 STARTS = range(3, 8)        # lengths of word starts, in characters
+CANDIDATE_RISK = 0.01       # per word, by labels alone; pseudo-labels may bear such words out
 WORD_RISK = 0.01            # of taking any word for toxic by chance
 
 _CLASS = np.full(0x250, 8, dtype=np.uint8)
@@ -194,10 +196,13 @@ class Evidence:
     """The words and word starts of sampled texts: an entry per row and
     distinct piece."""
 
-    def __init__(self, pieces: list[tuple[np.ndarray, np.ndarray, int]]):
+    def __init__(self, pieces: list[tuple[np.ndarray, np.ndarray, int]], total: int | None = None):
+        """``total``: how many different pieces the texts hold, where only
+        candidates are given."""
         self.rows = len(pieces)
         sizes = [len(at) for at, _, _ in pieces]
         self.hashes, piece = np.unique(np.concatenate([np.zeros(0, np.int64), *[at for at, _, _ in pieces]]), return_inverse=True)
+        self.total = len(self.hashes) if total is None else total
         self.piece = piece.reshape(-1).astype(np.int32)
         self.row = np.repeat(np.arange(self.rows, dtype=np.int32), sizes)
         self.count = np.concatenate([np.zeros(0, np.int32), *[k for _, k, _ in pieces]])
@@ -218,7 +223,7 @@ class Evidence:
             n = np.bincount(self.piece[seen], minlength=len(self.hashes))
             k = np.bincount(self.piece[seen & (of == 1)], minlength=len(self.hashes))
             able = np.flatnonzero((k > share * n) & (k > 1))
-            found.append(able[binomial_tail(k[able], n[able], share) * 2 * len(self.hashes) <= WORD_RISK])
+            found.append(able[binomial_tail(k[able], n[able], share) * 2 * self.total <= WORD_RISK])
         return np.unique(np.concatenate(found))
 
     def shares(self, chosen: np.ndarray) -> np.ndarray:
@@ -330,6 +335,39 @@ def views_of(text: list, source: list, lang: list, size: list) -> tuple[np.ndarr
             np.array([meta_features(*m) for m in zip(source, lang, size)], dtype=np.float32).reshape(len(text), META_SIZE))
 
 
+def candidate_pieces(told: DataFrame, share: float) -> tuple[np.ndarray, int]:
+    """Of the pieces (column ``p``, counts ``k``) of labelled rows (column
+    ``toxic``, 0 or 1) those that stand in toxic rows, once or twice or more,
+    so much more often than their ``share`` that the binomial tail is below
+    :data:`CANDIDATE_RISK` (Chernoff bound); and the number of all pieces."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, count = (b.column(i).flatten().to_numpy() for i in (0, 1))
+            bad = np.repeat(b.column(2).to_numpy(), [len(v) for v in b.column(0)])
+            piece, of = np.unique(at, return_inverse=True)
+            sums = [np.bincount(of.reshape(-1)[seen], minlength=len(piece)) for seen in
+                    (count >= 1, (count >= 1) & (bad == 1), count >= 2, (count >= 2) & (bad == 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (piece, *sums)], ["piece", "n1", "k1", "n2", "k2"])
+
+    sums = in_arrow(told.select("p", "k", "toxic"), run, "piece bigint, n1 bigint, k1 bigint, n2 bigint, k2 bigint") \
+        .groupBy("piece").agg(*[F.sum(c).alias(c) for c in ("n1", "k1", "n2", "k2")])
+    sums = written(told.sparkSession, sums, "pieces")
+
+    def clear(n: str, k: str):
+        n, k = F.col(n), F.col(k)
+        part = k / n
+        rest = F.when(k < n, (n - k) * F.log((1 - part) / (1 - share))).otherwise(0.0)
+        return (k > 1) & (part > share) & (k * F.log(part / share) + rest >= -np.log(CANDIDATE_RISK))
+
+    # pieces of a bounded sample of rows
+    chosen = sums.filter(clear("n1", "k1") | clear("n2", "k2")).select("piece").toArrow()["piece"].to_numpy()
+    total = sums.count()
+    remove(told.sparkSession, sums)
+    return np.sort(chosen), total
+
+
 def judge(model: Model, text: list, source: list, lang: list, size: list, toxicity: bool = True) -> np.ndarray:
     """Scores of rows: the probability of quality or, with ``toxicity``, the
     lesser one of quality and of not being toxic."""
@@ -384,9 +422,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_co
              pa.array([n for _, _, n in pieces], pa.int64())], ["good", "toxic", "kind", "h", "t", "m", "p", "k", "n"])
 
     schema = "good int, toxic int, kind string, h bigint, t array<float>, m array<float>, p array<bigint>, k array<int>, n bigint"
-    got = map_batches(rows, run, schema).orderBy("h").toArrow()
+    spark = docs.sparkSession
+    sample = written(spark, map_batches(rows, run, schema).withColumn("r", F.monotonically_increasing_id()), "sample")
+    got = sample.drop("p", "k").toArrow()
     if not len(got):
+        remove(spark, sample)
         return Model(1.0)
+    got = got.take(np.argsort(got["h"].to_numpy(), kind="stable"))
     good, bad_words = (np.array([-1 if g is None else g for g in got[c].to_pylist()], dtype=np.int64) for c in ("good", "toxic"))
     view = [np.asarray(got[c].combine_chunks().values, dtype=np.float32).reshape(len(good), -1) for c in ("t", "m")]
     kinds = got["kind"].to_pylist()
@@ -403,12 +445,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_co
     model = fit(known, good, view)
     told = bad_words >= 0
     if 0 < (bad_words == 1).sum() < told.sum():
-        p, k, n = got["p"].combine_chunks(), got["k"].combine_chunks(), got["n"].to_pylist()
+        candidates, total = candidate_pieces(sample.filter("toxic is not null"), float((bad_words == 1).sum() / told.sum()))
+        bc = spark.sparkContext.broadcast(candidates)
+
+        def held(b: pa.RecordBatch) -> pa.RecordBatch:
+            at = [v.values.to_numpy() for v in b.column(1)]
+            seen = [np.isin(v, bc.value) for v in at]
+            return pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([v[w] for v, w in zip(at, seen)], pa.list_(pa.int64())),
+                 pa.array([v.values.to_numpy()[w] for v, w in zip(b.column(2), seen)], pa.list_(pa.int32()))], ["r", "p", "k"])
+
+        found = map_batches(sample.select("r", "p", "k"), held, "r bigint, p array<bigint>, k array<int>").toArrow()
+        place = {r: i for i, r in enumerate(found["r"].to_pylist())}
+        p, k = (found[c].combine_chunks() for c in ("p", "k"))
+        words, at = got["n"].to_pylist(), [place[r] for r in got["r"].to_pylist()]
         order = np.append(np.flatnonzero(told), np.flatnonzero(~told)).tolist()
-        evidence = Evidence([(p[i].values.to_numpy(), k[i].values.to_numpy(), n[i]) for i in order])
+        evidence = Evidence([(p[at[i]].values.to_numpy(), k[at[i]].values.to_numpy(), words[i]) for i in order], total)
         toxic = fit(told, 1 - bad_words, [np.zeros((len(good), 0), dtype=np.float32), view[1]], evidence)
         if toxic.constant is None and len(toxic.pieces):
             model.toxic = toxic
+    remove(spark, sample)
     return model
 
 
