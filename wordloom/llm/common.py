@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,6 +46,14 @@ BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def release() -> None:
+    """Gives what Arrow and the C library hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)    # glibc
+    if trim is not None:
+        trim(0)
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """``mapInArrow`` with this package sent to the workers. Batches hold up to
     :data:`BATCH_BYTES` (a longer row alone) instead of Spark's 64 MB, unless
@@ -58,7 +67,7 @@ def in_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> Da
     def run(batches: Batches) -> Batches:
         for out in fn(batches):
             yield out
-            pa.default_memory_pool().release_unused()    # else a worker keeps its largest batches
+            release()    # else a worker keeps its largest batches
 
     return df.mapInArrow(run, schema)
 
