@@ -28,6 +28,7 @@ from wordloom.functions.text import tokenize
 from wordloom.sources.corpus import check_unique_ids, unique_ids
 
 BLOCK_DOCS = 128    # documents in a block of the inverted index
+PART_BYTES = 4 << 20    # bytes of text whose postings a task holds, as expected
 
 
 def tokenized(corpus: DataFrame, preset: str = "A") -> DataFrame:
@@ -99,8 +100,8 @@ def idf(corpus: DataFrame, preset: str = "A", n_docs: int | None = None) -> Data
                     F.ln(n_docs.cast("double") / F.col("df")).cast("float").alias("idf")))
 
 
-def postings(corpus: DataFrame, preset: str = "A") -> DataFrame:
-    """Inverted index in long form ``(term, doc_id, pos)``.
+def postings(corpus: DataFrame, preset: str = "A", *keep: str) -> DataFrame:
+    """Inverted index in long form ``(term, doc_id, pos)``, with the columns ``keep``.
 
     ``pos`` is the term's slot among the document's sorted distinct terms
     (where the reference sends the idf back to). Narrow: built per row.
@@ -109,8 +110,8 @@ def postings(corpus: DataFrame, preset: str = "A") -> DataFrame:
     term would put a stop word's whole posting list in one row.
     """
     terms = F.array_distinct(F.sort_array(tokenize(F.col("text"), preset)))
-    return (corpus.select("doc_id", F.posexplode(terms).alias("pos", "term"))
-            .select("term", "doc_id", F.col("pos").cast("bigint").alias("pos")))
+    return (corpus.select("doc_id", *keep, F.posexplode(terms).alias("pos", "term"))
+            .select("term", "doc_id", F.col("pos").cast("bigint").alias("pos"), *keep))
 
 
 def posting_blocks(corpus: DataFrame, docs_per_block: int = BLOCK_DOCS, preset: str = "A") -> DataFrame:
@@ -118,13 +119,19 @@ def posting_blocks(corpus: DataFrame, docs_per_block: int = BLOCK_DOCS, preset:
 
     A block is a range of ``docs_per_block`` document ids (bigint), so a list
     has at most that many entries however common the term is, and a stop word's
-    lists are built by as many tasks as it has blocks. ``gaps`` are the
+    lists are built by as many tasks as it has blocks. Texts are exchanged by
+    block, which holds all of its lists; postings, many times larger, stay in
+    their tasks. ``gaps`` are the
     differences between neighbouring ids, the first 0, ``positions`` the
     term's slots as in :func:`postings`. The lists of a term in order of their
     blocks are its whole posting list.
     """
+    size = corpus.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    parts = max(2 * corpus.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     block = F.floor(F.col("doc_id") / F.lit(docs_per_block)).cast("bigint")
-    rows = postings(corpus, preset).withColumn("block", block)
+    # a given number of partitions: texts are much smaller than what they are unfolded to
+    docs = corpus.withColumn("block", block).repartition(parts, "block")
+    rows = postings(docs, preset, "block")
     lists = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "pos"))).alias("p"))
     ids = F.col("p.doc_id")
     before = F.concat(F.slice(ids, 1, 1), F.slice(ids, 1, F.size("p") - 1))
@@ -136,8 +143,11 @@ def unfold_postings(blocks: DataFrame) -> DataFrame:
     """The postings ``(term, doc_id, pos)`` of :func:`posting_blocks`. Ids are
     running sums of gaps; a list is as short as its block."""
     start = F.struct(F.col("first_doc").alias("doc"), F.array().cast("array<bigint>").alias("ids"))
-    ids = F.aggregate("gaps", start, lambda a, g: F.struct((a["doc"] + g).alias("doc"), F.array_append(a["ids"], a["doc"] + g).alias("ids")),
-                      lambda a: a["ids"])
+    first, n = F.col("first_doc"), F.size("gaps")
+    many = F.aggregate("gaps", start, lambda a, g: F.struct((a["doc"] + g).alias("doc"), F.array_append(a["ids"], a["doc"] + g).alias("ids")),
+                       lambda a: a["ids"])
+    # most lists have one or two entries
+    ids = F.when(n == 1, F.array(first)).when(n == 2, F.array(first, first + F.get("gaps", F.lit(1)))).otherwise(many)
     return blocks.select("term", F.explode(F.arrays_zip(ids.alias("doc_id"), F.col("positions").alias("pos"))).alias("p")) \
         .select("term", "p.doc_id", "p.pos")
 
